@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixmill.shipping import ship
+
 #: White space of the contracts: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +42,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow, with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -26,6 +26,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from helixmill.llm._base import arrow
+
 SCHEMA = "doc_id long, ids binary, decoded binary"
 CACHE = 1_000_000
 #: Characters below this are split with re and spelled-out classes, which is twice as fast; the classes come from the regex module.
@@ -176,4 +178,4 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
                 ids = [codec.encode(text or "") for text in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), run, SCHEMA)
