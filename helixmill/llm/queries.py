@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixmill.llm.bpe import encode_and_decode
 from helixmill.llm.exact_dedup import exact_dedup
 from helixmill.llm.mixing import mix
+from helixmill.llm.pii import BASE, PATTERNS, find_pii, joined
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +18,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform(F.concat(*PATTERNS), lambda x: x["score"]))
+    return found.select(
+        "doc_id", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in BASE), F.sha2(joined(*BASE), 256).alias("base_sha256"), joined(*PATTERNS).alias("spans"), F.coalesce(best, F.lit(0.0)).alias("score")
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -32,7 +41,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_bpe, op7_mixing)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_exact_dedup, op5_bpe, op7_mixing)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
