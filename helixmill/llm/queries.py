@@ -9,6 +9,7 @@ from helixmill.llm.bpe import encode_and_decode
 from helixmill.llm.exact_dedup import exact_dedup
 from helixmill.llm.mixing import mix
 from helixmill.llm.pii import BASE, PATTERNS, find_pii, joined
+from helixmill.llm.quality import quality
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -41,7 +42,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_exact_dedup, op5_bpe, op7_mixing)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_exact_dedup, op5_bpe, op7_mixing, op10_quality)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
