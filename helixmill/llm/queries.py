@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill.llm.bpe import encode_and_decode
 from helixmill.llm.exact_dedup import exact_dedup
+from helixmill.llm.langid import identify
 from helixmill.llm.mixing import mix
 from helixmill.llm.pii import BASE, PATTERNS, find_pii, joined
 from helixmill.llm.quality import quality
@@ -38,6 +39,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_exact_dedup, op5_bpe, op7_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_exact_dedup, op5_bpe, op6_language_id, op7_mixing, op10_quality)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
