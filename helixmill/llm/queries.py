@@ -9,6 +9,7 @@ from helixmill.llm.bpe import encode_and_decode
 from helixmill.llm.exact_dedup import exact_dedup
 from helixmill.llm.langid import identify
 from helixmill.llm.mixing import mix
+from helixmill.llm.near_dedup import near_duplicates
 from helixmill.llm.pii import BASE, PATTERNS, find_pii, joined
 from helixmill.llm.quality import quality
 
@@ -32,6 +33,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_exact_dedup, op5_bpe, op6_language_id, op7_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op10_quality)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
