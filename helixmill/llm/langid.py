@@ -147,8 +147,8 @@ def learn(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, t
 _trees: dict[int, Trees] = {}
 
 
-def identify(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, then held_out, lang_pred, score of every row."""
+def identify(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
+    """The kept columns, then held_out, lang_pred, score (under these names) of every row."""
     counts = learn(docs, docs_per_lang=docs_per_lang)
     shared, version = docs.sparkSession.sparkContext.broadcast(counts), hash(tuple((k, len(g), float(n.sum()), int(g.sum())) for k, (g, n) in sorted(counts.items())))
 
@@ -169,8 +169,8 @@ def identify(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, keep: tuple
                 best = bits.argmin(1)
                 names = np.where(known, np.array(trees.langs, object)[best], "und")
                 score = np.where(known, share[np.arange(n), best] / share.sum(1), 0.0)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(names.tolist(), pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(names.tolist(), pa.string()), pa.array(score)], [*batch.schema.names[:-1], *names[1:]])
 
-    rows = docs.select(*keep, held_out().alias("held_out"), F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double"
+    rows = docs.select(*keep, held_out().alias(names[0]), F.col("text").cast("string").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", `{names[1]}` string, `{names[2]}` double"
     return arrow(rows, run, schema)
