@@ -160,16 +160,16 @@ def identify(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, keep: tuple
         for batch in batches:
             data, at = flat(batch.column(batch.num_columns - 1))
             n = len(at) - 1
-            names, score = np.full(n, "und", object), np.zeros(n)
+            langs, score = np.full(n, "und", object), np.zeros(n)
             if trees:
                 known = _has_letter(data, at)
                 bits = trees.code_lengths(data, at)
                 size = np.maximum(np.diff(at), 1)[:, None]
                 share = np.exp2(-(bits - bits.min(1, keepdims=True)) / size * np.minimum(size, EVIDENCE_BYTES))
                 best = bits.argmin(1)
-                names = np.where(known, np.array(trees.langs, object)[best], "und")
+                langs = np.where(known, np.array(trees.langs, object)[best], "und")
                 score = np.where(known, share[np.arange(n), best] / share.sum(1), 0.0)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(names.tolist(), pa.string()), pa.array(score)], [*batch.schema.names[:-1], *names[1:]])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(langs.tolist(), pa.string()), pa.array(score)], [*batch.schema.names[:-1], *names[1:]])
 
     rows = docs.select(*keep, held_out().alias(names[0]), F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", `{names[1]}` string, `{names[2]}` double"
