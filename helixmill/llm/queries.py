@@ -12,6 +12,7 @@ from helixmill.llm.mixing import mix
 from helixmill.llm.near_dedup import near_duplicates
 from helixmill.llm.pii import BASE, PATTERNS, find_pii, joined
 from helixmill.llm.quality import quality
+from helixmill.llm.suffix_dedup import remove_repeats
 
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(_table(spark, sf_dir, "documents"))
     best = F.array_max(F.transform(F.concat(*PATTERNS), lambda x: x["score"]))
@@ -60,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op10_quality)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
