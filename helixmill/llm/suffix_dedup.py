@@ -7,10 +7,10 @@ modulo v: a position is sampled if the 73-byte string there has the least hash o
 string). Equal 200-byte strings have equal least strings, so the cover property holds, with 1 sample in 65 bytes where a difference
 cover modulo 128 needs 1 in 11. And since only equality to a depth of 200 counts, suffixes are ordered by hashes of what the level compares.
 
-Level by level, starts of 200-byte strings are dealt with in spans of 128 (one per sample), then 16, then 1. A span has a core, the bytes
+Level by level, starts of 200-byte strings are dealt with in spans of 128 (one per sample), then 32, 8 and 1. A span has a core, the bytes
 common to all its strings, and a full, the bytes they cover together. Buckets (equal cores) are sorted by full: neighbours with equal fulls settle all their starts as
 repeated; a bucket of one has no repeats; only in buckets with different fulls does one suffix per full go to the next level. Levels are thus
-ties of more than 73, 185 and 200 bytes. Equality of two strings is that of two independent 64-bit hashes.
+ties of more than 73, 169, 193 and 200 bytes. Equality of two strings is that of two independent 64-bit hashes.
 
 Scale: a bucket is a key of a sort, so Spark spills it and never holds it in memory; copies of a passage go on as one suffix. One row in 65 bytes is
 shuffled at the first level. Texts move once, packed, to meet their spans; they move to the inner levels only if the ids that need them
@@ -34,7 +34,7 @@ from helixmill.llm._base import arrow, durable, flat, mix, slices
 from helixmill.llm.shingles import powers
 
 LENGTH = 200
-SPANS = (128, 16, 1)
+SPANS = (128, 32, 8, 1)
 CORE = LENGTH - SPANS[0] + 1
 SLICE = 1 << 19
 BROADCAST_ROWS = 500_000
