@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill.llm.bpe import encode_and_decode
 from helixmill.llm.exact_dedup import exact_dedup
+from helixmill.llm.html_extract import extract
 from helixmill.llm.langid import identify
 from helixmill.llm.mixing import mix
 from helixmill.llm.near_dedup import near_duplicates
@@ -62,11 +63,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op9_html, op10_quality)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
