@@ -7,9 +7,9 @@ is below the next step's number: long texts stop after one to three steps.
 `BANDS` bands of `ROWS` registers make two texts of similarity 0.85 meet with a chance of 1 - 1.7e-6. Texts with equal shingle sets are one
 class, and only class representatives go on. In each bucket all members are compared with its least member (a star, never all pairs): first
 by signature (a pair under 0.70 there has a chance below 1e-7 to reach 0.85), then exactly. Where a bucket's members end up in several
-components, those outside its least member's component are compared with all members by signature, in blocks of chunks, and pairs that
-pass are verified too: so no link between members of a bucket is lost, whatever the bucket's size, and a bucket whose members all link with its
-least costs nothing more.
+components, those outside its least member's component are compared with all members, in blocks of chunks, by signature and then exactly, and only
+links that join components leave a block: so no link between members of a bucket that matters is lost, whatever the bucket's size. A bucket whose members all
+link with its least costs nothing more; one whose members mostly don't costs comparisons (not rows) in the square of those.
 
 Scale: texts are read twice and never shuffled unless the candidates outgrow the broadcast bound; shuffled are band values (16 bytes each), and shingle sets
 of pairs that pass the signature test. Nothing is collected; components settle by star contraction of links.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm._base import arrow, durable, mix
-from helixmill.llm.components import components, pairs_array
+from helixmill.llm.components import UnionFind, components, pairs_array
 from helixmill.llm.shingles import sets_of
 
 BANDS, ROWS = 28, 6
@@ -36,7 +36,7 @@ PERCENT = 85
 #: Estimates under this are not verified.
 LEAST_ESTIMATE = 0.70
 BROADCAST_ROWS = 500_000
-CHUNK = 128
+CHUNK = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,37 +112,54 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def _link(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= PERCENT * max(len(x), len(y)) else 0
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, shingles_a, shingles_b) with 100 * intersection >= PERCENT * union."""
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (a, b))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        pairs = zip(batch.column(2), batch.column(3), strict=True)
+        keep = [_link(*(np.frombuffer(v.as_buffer(), "<u8") for v in pair)) for pair in pairs]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two chunks of a bucket: pairs of different components whose signatures agree often enough."""
+    """Rows (band, left, right) of two chunks of a bucket: links between members of different components, as few as join these.
+
+    A pair is looked at in the first band it shares only, and not again once other links have joined it."""
     least = LEAST_ESTIMATE * BANDS * ROWS
     for batch in batches:
-        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = (np.frombuffer(b"".join(m["sign"] for m in side), "<u2").reshape(len(side), -1) for side in (left, right))
-            a, b = (np.array([m["doc_id"] for m in side]) for side in (left, right))
-            p, q = (np.array([m["component_id"] for m in side]) for side in (left, right))
+        for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            sides = []
+            for side in (left.values, right.values):
+                signs = np.frombuffer(b"".join(side.field("sign").to_pylist()), "<u2").reshape(len(side), -1)
+                sets = [np.frombuffer(x.as_buffer(), "<u8") for x in side.field("shingles")]
+                sides.append((side.field("doc_id").to_pylist(), side.field("component_id").to_pylist(), signs, sets))
+            (a, p, x, s), (b, q, y, t) = sides
+            joined = UnionFind()
             for k in range(len(a)):
-                hit = (p[k] != q) & ((x[k] == y).sum(1) >= least)
-                if hit.any():
-                    yield pairs_array(np.minimum(a[k], b[hit]), np.maximum(a[k], b[hit]))
+                same = x[k] == y
+                for i in np.flatnonzero(same.sum(1) >= least):
+                    if joined.root(p[k]) == joined.root(q[i]) or same[i].reshape(BANDS, ROWS).all(1).argmax() != band:
+                        continue
+                    if _link(s[k], t[i]):
+                        joined.join(p[k], q[i])
+                        yield pairs_array([min(a[k], b[i])], [max(a[k], b[i])])
+
+
+def _sets(ids: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
+    """doc_id, shingles of these documents."""
+    ids = durable(ids, "ids")
+    few = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(few, "doc_id", "left_semi")
+    return durable(arrow(texts, _blobs, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
     """The pairs (a, b) that link by their full sets."""
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(few, "doc_id", "left_semi")
-    sets = durable(arrow(texts, _blobs, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, broadcast_rows)
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s_{name}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
     return arrow(met, _linked, "a long, b long")
@@ -154,7 +171,7 @@ def near_duplicates(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) ->
     full = signs.where("n_shingles > 0 and doc_id is not null")
     classes = durable(full.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     heads = durable(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sign"), "heads")
-    in_bands = heads.select("doc_id", F.explode("bands").alias("bucket"))
+    in_bands = heads.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = durable(in_bands.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = durable(in_bands.join(buckets, "bucket"), "members")
 
@@ -169,15 +186,15 @@ def near_duplicates(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) ->
     split = labelled.groupBy("bucket").agg(F.max(F.when(F.col("doc_id") == F.col("least"), F.col("component_id"))).alias("main"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
     rest = durable(labelled.join(split.select("bucket", "main"), "bucket"), "rest")
     if rest.limit(1).count():
+        sets = _sets(rest.select("doc_id").distinct(), docs, broadcast_rows)
         chunks = F.ceil(F.col("n") / CHUNK).cast("long")
-        signed = rest.join(heads.select("doc_id", "sign"), "doc_id").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks))
-        member = F.collect_list(F.struct("doc_id", "component_id", "sign"))
-        every = durable(signed.groupBy("bucket", "chunk").agg(member.alias("left")), "chunks")
-        apart = signed.where("component_id <> main").groupBy("bucket", "chunk").agg(member.alias("right")).select("bucket", "right")
-        compared = arrow(every.join(apart, "bucket").select("left", "right"), _blocks, "a long, b long").distinct()
-        more = durable(compared.join(likely, ["a", "b"], "left_anti"), "more")
+        full_rows = rest.join(heads.select("doc_id", "sign"), "doc_id").join(sets, "doc_id").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks))
+        member = F.collect_list(F.struct("doc_id", "component_id", "sign", "shingles"))
+        every = full_rows.groupBy("bucket", "band", "chunk").agg(member.alias("left"))
+        apart = full_rows.where("component_id <> main").groupBy("bucket", "chunk").agg(member.alias("right")).select("bucket", "right")
+        more = durable(arrow(every.join(apart, "bucket").select("band", "left", "right"), _blocks, "a long, b long"), "more")
         if more.limit(1).count():
-            links = links.union(durable(_verify(more, docs, broadcast_rows), "verified"))
+            links = links.union(more)
             found = components(links)
 
     reps = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key1", "key2", F.col("n_shingles").alias("n"), F.coalesce("component_id", "rep").alias("component"))
