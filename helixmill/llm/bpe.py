@@ -5,7 +5,7 @@ vocabulary: hash and displace, so that each of the n keys has its own of n slots
 misses, merges: the bytes form a doubly linked list, a heap holds the adjacent pairs by (rank, position), the least is merged, its
 two new neighbours enter the heap, and stale heap entries are skipped.
 
-Workers remember what they found for recent pre-tokens (at most `CACHE` of them, some 200 MB, then they start anew): frequent words cost one probe.
+Workers remember what they found for recent pre-tokens (at most `CACHE` of them, some 90 MB, then they start anew): frequent words cost one probe.
 
 Scale: one pass over the texts without a shuffle; only the tables of the fixed vocabulary are broadcast (some 50,000 entries, 2 MB).
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from helixmill.llm._base import arrow
 
 SCHEMA = "doc_id long, ids binary, decoded binary"
-CACHE = 1_000_000
+CACHE = 400_000
 #: Characters below this are split with re and spelled-out classes, which is twice as fast; the classes come from the regex module.
 PLAIN_BELOW = 0x250
 

@@ -118,8 +118,11 @@ class Trees:
 
 
 def _has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    ascii_letters = np.concatenate([[0], np.cumsum(_letter[_fold[data]])])
-    out = ascii_letters[at[1:]] > ascii_letters[at[:-1]]
+    out = np.zeros(len(at) - 1, bool)
+    for i, j in slices(at, SLICE):
+        full = np.flatnonzero(np.diff(at[i : j + 1])) + i
+        if len(full):
+            out[full] = np.logical_or.reduceat(_letter[_fold[data[at[i] : at[j]]]], at[full] - at[i])
     for i in np.flatnonzero(~out & (np.diff(at) > 0)):
         out[i] = any(map(str.isalpha, data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")))
     return out
