@@ -34,8 +34,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return _met(docs, exact_dedup(docs).where("not kept").select("doc_id"), "left_anti").select(*docs.columns)
+    """One document of each group of equal texts stays; of rows that repeat a doc_id, one."""
+    left = _met(docs, exact_dedup(docs).where("not kept").select("doc_id"), "left_anti").select(*docs.columns)
+    twice = durable(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.limit(1).count():
+        left = _met(left, twice, "left_anti").unionByName(_met(left, twice, "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    return left
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
