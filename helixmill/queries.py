@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions import digests, dna, labels, vectors
 from helixmill.operators import calibration, intervals, metrics, sampling, variants
-from helixmill.plans.proxies import keyed_variants, scored, sequences, with_views
+from helixmill.plans import extended  # noqa: F401  registers its queries
+from helixmill.plans.proxies import keyed_variants, scored, sequences
 from helixmill.plans.proxies import read as table
 from helixmill.plans.proxies import variants as v_rows
 from helixmill.plans.proxies import vectors as e_rows
 from helixmill.plans.proxies import windows as w_rows
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *views: str):
-    """Register a query; the oracle's SQL may use the proxy views named."""
-
-    def add(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLE_SQL[name] = (with_views(*views) if views else "") + sql
-        return function
-
-    return add
-
-
-def r(column, digits: int = 6):
-    return F.round(column, digits)
-
+from helixmill.registry import ORACLE_SQL, QUERIES, query, r  # noqa: F401
 
 # variants: P, F, A, W, T, U
 
