@@ -57,9 +57,9 @@ def read_vcf(spark: SparkSession, path: str, *, strict: bool = True) -> DataFram
     alts = F.filter(F.split(F.upper(F.get(f, F.lit(4))), ","), lambda a: (a != "") & (a != "."))
     if not strict:
         broken |= F.size(alts) == 0
-    checked = F.when(broken, F.raise_error(F.concat(F.lit("bad VCF line: "), F.col("value"))).cast("bigint")).otherwise(pos)
+    checked = F.when(F.coalesce(broken, F.lit(True)), F.raise_error(F.concat(F.lit("bad VCF line: "), F.col("value"))).cast("bigint")).otherwise(pos)
     item = lambda i: F.get(f, F.lit(i))
-    rows = lines.select(vcf_chrom(item(0)).alias("chrom"), checked.alias("pos"), item(2).alias("id"), F.upper(item(3)).alias("ref"), alts.alias("alts"), F.coalesce(item(6), F.lit(".")).alias("filter"), info_map(F.coalesce(item(7), F.lit(""))).alias("info"))
+    rows = lines.select(vcf_chrom(item(0)).alias("chrom"), checked.alias("pos"), item(2).alias("id"), F.upper(item(3)).alias("ref"), F.when(F.coalesce(broken, F.lit(True)), F.array(F.lit(""))).otherwise(alts).alias("alts"), F.coalesce(item(6), F.lit(".")).alias("filter"), info_map(F.coalesce(item(7), F.lit(""))).alias("info"))
     return rows.select("*", F.posexplode("alts").alias("alt_index", "alt")).drop("alts")
 
 
