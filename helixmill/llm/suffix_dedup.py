@@ -12,7 +12,8 @@ common to all its strings, and a full, the bytes they cover together. Buckets (e
 repeated; a bucket of one has no repeats; only in buckets with different fulls does one suffix per full go to the next level. Levels are thus
 ties of more than 73, 169, 193 and 200 bytes. Equality of two strings is that of two independent 64-bit hashes.
 
-Scale: a bucket is a key of a sort, so Spark spills it and never holds it in memory; copies of a passage go on as one suffix. One row in 65 bytes is
+Scale: a bucket is a key of a sort, so Spark spills it and never holds it in memory; copies of a passage are combined in each task's batches before they are
+shuffled, and go on to the next level as one suffix. One row in 65 bytes is
 shuffled at the first level. Texts move once, packed, to meet their spans; they move to the inner levels only if the ids that need them
 outgrow the broadcast bound.
 
@@ -100,36 +101,53 @@ def _emit(hashes: Hashes, start: np.ndarray, size: np.ndarray, place: np.ndarray
     return core, full, some
 
 
-ROW = "core long, full long, key long, place int"
+ROW = "core long, full long, key long, place int, met boolean"
 
 
 def _batch(core, full, key, place) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), pa.array(key, pa.int64()), pa.array(place.astype(np.int32))], ["core", "full", "key", "place"])
+    """Rows of a batch, combined before the shuffle: of suffixes equal here, all are met (repeated), and only the first goes to its core's bucket;
+    the others go to buckets of their own. So neither a passage with many copies nor a periodic text fills one bucket."""
+    with np.errstate(over="ignore"):
+        _, first, which, count = np.unique(mix(full) ^ core, return_index=True, return_inverse=True, return_counts=True)
+        met = count[which] > 1
+        spare = met.copy()
+        spare[first] = False
+        own = mix(key.astype(np.int64).view(np.uint64) * np.uint64(3) + mix(place.astype(np.int64).view(np.uint64)) + np.uint64(1))
+        core = np.where(spare, own, core)
+    return pa.record_batch([pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), pa.array(key, pa.int64()), pa.array(place.astype(np.int32)), pa.array(met)], ["core", "full", "key", "place", "met"])
+
+
+def _gathered(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    if parts:
+        yield _batch(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_numpy()
         data, at = flat(batch.column(1))
+        parts = []
         for i, j in slices(at, SLICE):
             ends = at[i : j + 1] - at[i]
             hashes = Hashes(data[at[i] : at[j]])
             row, spot = cover(hashes, ends)
             core, full, some = _emit(hashes, ends[row], np.diff(ends)[row], spot - ends[row] - SPANS[0] + 1, SPANS[0])
-            yield _batch(core, full, keys[i:j][row[some]], (spot - ends[row] - SPANS[0] + 1)[some])
+            parts.append((core, full, keys[i:j][row[some]], (spot - ends[row] - SPANS[0] + 1)[some]))
+        yield from _gathered(parts)
 
 
 def _inner(span: int, outer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            parts = []
             for key, packed, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = np.frombuffer(unpack(packed.as_buffer()), np.uint8)
                 outers = np.asarray(places.values.to_numpy(), np.int64)
                 place = np.unique((outers[:, None] + np.arange(0, outer, span)[None, :]).ravel())
                 core, full, some = _emit(Hashes(data), np.zeros(len(place), np.int64), np.full(len(place), len(data)), place, span)
-                if some.any():
-                    yield _batch(core, full, np.full(int(some.sum()), key), place[some])
+                parts.append((core, full, np.full(int(some.sum()), key, np.int64), place[some]))
+            yield from _gathered(parts)
 
     return run
 
@@ -141,7 +159,7 @@ def _settle(rows: DataFrame) -> DataFrame:
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = rows.select("*", F.lag("full").over(line).alias("before"), F.lead("full").over(line).alias("after"), (F.min("full").over(whole) != F.max("full").over(whole)).alias("mixed"))
     first = F.col("before").isNull() | (F.col("before") != F.col("full"))
-    again = F.coalesce(F.col("before") == F.col("full"), F.lit(False)) | F.coalesce(F.col("after") == F.col("full"), F.lit(False))
+    again = F.col("met") | F.coalesce(F.col("before") == F.col("full"), F.lit(False)) | F.coalesce(F.col("after") == F.col("full"), F.lit(False))
     marked = seen.select("key", "place", again.alias("again"), (F.col("mixed") & first).alias("probe"))
     return marked.where("again or probe")
 
