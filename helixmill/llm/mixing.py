@@ -25,7 +25,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 REPEAT = 3
 SEED = 20
 BLOCK_WORDS = 16
-SHARD_ROWS = 20_000
+SHARD_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, *, weights=WEIGHTS, repeat: int = REPEAT) -> DataFrame:
