@@ -49,7 +49,12 @@ def read_vcf(spark: SparkSession, path: str, *, strict: bool = True) -> DataFram
 
     ALTs that are empty or . are dropped before they are numbered; rows left without any are skipped. strict needs 8 fields and a position of 1 or more,
     lenient 5 fields and an ALT; what breaks the rule is an error."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    return parse_vcf(spark.read.text(path), strict=strict)
+
+
+def parse_vcf(lines: DataFrame, *, strict: bool = True) -> DataFrame:
+    """read_vcf's rows from a frame of lines (value)."""
+    lines = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
     f = F.split("value", "\t")
     need = 8 if strict else 5
     pos = F.get(f, F.lit(1)).try_cast("bigint")
