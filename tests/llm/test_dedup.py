@@ -2,7 +2,7 @@ import collections
 import hashlib
 import re
 
-from conftest import cases  # the module beside this file
+from samples import cases
 from helixmill.llm.components import components
 from helixmill.llm.exact_dedup import exact_dedup
 from helixmill.llm.near_dedup import near_duplicates

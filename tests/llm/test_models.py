@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 import regex
-from conftest import cases, words
+from samples import cases, words
 from helixmill.llm.bpe import Codec, PerfectHash, encode_and_decode, merge, read_ranks
 from helixmill.llm.html_extract import Page, extract, generate, train
 from helixmill.llm.langid import Trees, identify

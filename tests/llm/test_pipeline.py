@@ -1,7 +1,7 @@
 import collections
 
 import corpus_pipeline
-from conftest import SCHEMA, cases, words
+from samples import SCHEMA, cases, words
 
 
 def test_stages_take_effect(spark, tmp_path):

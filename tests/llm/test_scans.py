@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest import cases
+from samples import cases
 from helixmill.llm.licenses import TEMPLATES, scan
 from helixmill.llm.pii import BASE, PATTERNS, find_pii, joined
 from helixmill.llm.quality import quality
@@ -82,7 +82,7 @@ def test_quality(spark, docs, no_docs):
 
 
 def test_quality_rejects_symbols(spark):
-    from conftest import words
+    from samples import words
 
     rows = [(i, words(i, 200), "en") for i in range(20)] + [(99, " ".join(w + "&&&" for w in words(50, 200).split()), "en")]
     kept = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
