@@ -21,6 +21,7 @@ import html as entities
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,19 @@ _RAW = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in (*SILENT, "title"
 _PUNCT = re.compile(r"[.,;:!?]")
 
 
+_BAD_STEMS = tuple(sorted(t for t in BAD if len(t) > 5))
+
+
+@lru_cache(100_000)
+def _is_bad(token: str) -> bool:
+    return token in BAD or token.startswith(_BAD_STEMS)
+
+
+@lru_cache(100_000)
+def _is_good(token: str) -> bool:
+    return token in GOOD and not _is_bad(token)
+
+
 class Page:
     """Nodes in document order: parent, end (of the subtree), features; texts of text nodes."""
 
@@ -109,7 +123,7 @@ class Page:
         if attributes:
             for a, b, c in _ATTRIBUTE.findall(attributes):
                 tokens |= {*_SPLIT.split((a or b or c).lower())}
-        good, bad = len(tokens & GOOD), len(tokens & BAD)
+        good, bad = sum(map(_is_good, tokens)), sum(map(_is_bad, tokens))
         inside = self.inside[parent]
         if tag in ENCLOSING:
             k = ENCLOSING.index(tag)
@@ -292,14 +306,30 @@ def generate(seed: int) -> tuple[str, list[bool]]:
             return element(r.choice(["h2", "h3"]), "", text(r.randint(1, 8), True, ""))
         return element("p", "", text(r.choice([1, 1, 2, 5, 20, 60, 120]), True))
 
+    def comments() -> str:
+        one = lambda: element("div", name("comment"), element("b", "", text(1, False, "")), element("p", "", text(r.choice([2, 10, 40]), False)))
+        return element(r.choice(["section", "div"]), f' {r.choice(["id", "class"])}="{r.choice(["comments", "commentlist", "reader-comments", "disqus_thread"])}"', *(one() for _ in range(r.randint(1, 5))))
+
     def content() -> str:
-        out = [element("h1", "", text(r.randint(2, 12), True, ""))] * 1 if r.random() < 0.9 else []
+        out = [element("h1", "", text(r.randint(2, 12), True, ""))] if r.random() < 0.9 else []
         for _ in range(r.choice([0, 1, 2, 4, 8, 15])):
             out.append(paragraph())
             if r.random() < 0.08:
                 out.append(element("div", name("ad", "advert", "promo", "newsletter", "share social"), text(r.randint(1, 15), False)))
             if r.random() < 0.04:
                 out.append(element("aside", "", text(r.randint(1, 15), False)))
+            if r.random() < 0.03:
+                out.append(element("form", "", element("label", "", text(2, False, "")), "<input name=q>"))
+            if r.random() < 0.05:
+                out.append(element(r.choice(["section", "div"]), "", paragraph(), element("p", "", text(r.randint(5, 30), True))))
+            if r.random() < 0.03:
+                out.append(element("figure", "", "<img src=x>", element("figcaption", "", text(r.randint(2, 10), True))))
+        if r.random() < 0.15:
+            out.append(comments())
+        if r.random() < 0.08:
+            out.append(element("nav", "", links(r.randint(2, 4))))
+        if r.random() < 0.06:
+            out.append(element("footer", "", text(r.randint(2, 10), False)))
         if not out:
             out.append(paragraph())
         return "".join(out)
@@ -330,8 +360,7 @@ def generate(seed: int) -> tuple[str, list[bool]]:
     if r.random() < 0.25:
         parts.append(element("div", ' class="related"', element("h3", "", text(2, False, "")), links(r.randint(2, 5))))
     if r.random() < 0.35:
-        one = lambda: element("div", name("comment"), element("b", "", text(1, False, "")), element("p", "", text(r.choice([2, 10, 40]), False)))
-        parts.append(element(r.choice(["section", "div"]), f' {r.choice(["id", "class"])}="comments"', *(one() for _ in range(r.randint(1, 5)))))
+        parts.append(comments())
     if r.random() < 0.25:
         parts.append(element("div", ' id="sidebar"', element("p", "", text(r.randint(2, 30), False)), links(3)))
     if r.random() < 0.85:
@@ -343,7 +372,7 @@ def generate(seed: int) -> tuple[str, list[bool]]:
 
 
 _model: list[Boosted] = []
-TRAINING_PAGES = 400
+TRAINING_PAGES = 600
 
 
 def train(pages: int = TRAINING_PAGES) -> Boosted:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from helixmill.llm._base import arrow, flat, slices
 
 DOCS_PER_LANG = 1500
+MAX_LANGUAGES = 1000
 ORDER = 3
 MAX_CELLS = 64_000_000
 #: Score: the winner's share of 2 ** -bits, with at most this many bytes' worth of evidence.
@@ -131,15 +132,13 @@ def _has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """4-byte counts per language over the sample."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    size = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().limit(10_001).collect()}
-    if len(size) > 10_000:
-        raise ValueError("more than 10,000 languages: lang is no language column")
+    size = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(size) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: lang is no language column")
     if not size:
         return {}
     # a hash bound leaves about twice the sample of the rarest cut; the window then cuts each language exactly
-    part = F.lit(1.0)
-    for lang, n in size.items():
-        part = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * docs_per_lang / n))).otherwise(part)
+    part = F.create_map(*(F.lit(x) for lang, n in size.items() for x in (lang, min(1.0, 2.0 * docs_per_lang / n))))[F.col("lang")]
     near = ids.where((F.col("h") / F.lit(2.0**64) + 0.5) <= part)
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= docs_per_lang)
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(best.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
