@@ -31,7 +31,7 @@ from helixmill.llm._base import arrow, flat, slices
 DOCS_PER_LANG = 1500
 MAX_LANGUAGES = 1000
 ORDER = 3
-MAX_CELLS = 64_000_000
+MAX_CELLS = 40_000_000
 #: Score: the winner's share of 2 ** -bits, with at most this many bytes' worth of evidence.
 EVIDENCE_BYTES = 100
 SLICE = 1 << 20
@@ -86,20 +86,31 @@ class Trees:
         self.bits = [self._table(*counts[lang]) for lang in self.langs]
 
     def _table(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-        a = self.a
-        chance = np.full(a, 1.0 / a)
-        for k in range(self.order + 1):
-            key = np.zeros(len(grams), np.int64)
-            for byte in range(k, -1, -1):
-                key = key * a + self.code[(grams >> (8 * byte)) & 255]
-            count = np.bincount(key, n, a ** (k + 1)).reshape(-1, a)
-            lower = np.broadcast_to(chance.reshape(1, -1, a) if k > 1 else chance.reshape(1, 1, a), (a if k else 1, a ** max(0, k - 1), a)).reshape(-1, a)
-            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            left = 1 - np.where(count > 0, lower, 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(left > 1e-12, kinds / (total + kinds) / left, 0) * lower
-                chance = np.where(total > 0, np.where(count > 0, count / (total + kinds), escape), lower)
-        return -np.log2(np.maximum(chance, 1e-12)).astype(np.float32).ravel()
+        """Code lengths by (context, byte). The highest order is made one leading symbol at a time, so that little is held besides the result."""
+        a, codes = self.a, [self.code[(grams >> (8 * back)) & 255].astype(np.int64) for back in range(self.order + 1)]
+        chance = np.full((1, a), 1.0 / a)
+        for k in range(self.order):
+            chance = self._chances(codes[: k + 1], n, np.tile(chance, (a if k > 1 else 1, 1)) if k else chance)
+        if not self.order:
+            return -np.log2(np.maximum(self._chances(codes, n, chance), 1e-12)).astype(np.float32).ravel()
+        out = np.empty((a, a**self.order), np.float32)
+        for lead in range(a):
+            mine = codes[-1] == lead
+            lower = chance if self.order > 1 else chance[:1]
+            out[lead] = -np.log2(np.maximum(self._chances([c[mine] for c in codes[:-1]], n[mine], lower), 1e-12)).ravel()
+        return out.ravel()
+
+    def _chances(self, codes: list[np.ndarray], n: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Rows of chances: one per context of len(codes) - 1 symbols before codes[0]. lower: the next shorter contexts' rows, or one for all."""
+        a, key = self.a, np.zeros(len(n), np.int64)
+        for c in codes[::-1]:
+            key = key * a + c
+        count = np.bincount(key, n, a ** len(codes)).reshape(-1, a)
+        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+        left = 1 - np.where(count > 0, lower, 0).sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where(left > 1e-12, kinds / (total + kinds) / left, 0) * lower
+            return np.where(total > 0, np.where(count > 0, count / (total + kinds), escape), lower)
 
     def code_lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
@@ -160,7 +171,7 @@ def identify(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, keep: tuple
             _trees[version] = Trees(shared.value)
         trees = _trees.get(version)
         for batch in batches:
-            data, at = flat(batch.column(batch.num_columns - 1))
+            data, at = flat(batch.column(text_at))
             n = len(at) - 1
             langs, score = np.full(n, "und", object), np.zeros(n)
             if trees:
@@ -171,8 +182,12 @@ def identify(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, keep: tuple
                 best = bits.argmin(1)
                 langs = np.where(known, np.array(trees.langs, object)[best], "und")
                 score = np.where(known, share[np.arange(n), best] / share.sum(1), 0.0)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(langs.tolist(), pa.string()), pa.array(score)], [*batch.schema.names[:-1], *names[1:]])
-
-    rows = docs.select(*keep, held_out().alias(names[0]), F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", `{names[1]}` string, `{names[2]}` double"
+            yield pa.record_batch([*batch.columns[:kept], pa.array(langs.tolist(), pa.string()), pa.array(score)], [*batch.schema.names[:kept], *names[1:]])
+
+    # the text crosses to Python once: as one of the kept columns, or after them
+    columns, kept = [*keep, held_out().alias(names[0])], len(keep) + 1
+    whole = "text" in keep and docs.schema["text"].dataType.typeName() == "string"
+    text_at = keep.index("text") if whole else kept
+    rows = docs.select(*columns) if whole else docs.select(*columns, F.col("text").cast("string").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:kept]) + f", `{names[1]}` string, `{names[2]}` double"
     return arrow(rows, run, schema)
