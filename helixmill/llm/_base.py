@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -44,10 +47,30 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What operators keep in a worker during a task; emptied after it, since idle workers stay and their memory counts.
+worker_caches: list[dict] = []
+
+
+def release() -> None:
+    """Empty the worker's caches and hand freed memory back to the system."""
+    for cache in worker_caches:
+        cache.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what they have
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow, with this package on the workers."""
+    """mapInArrow, with this package on the workers; each task gives its memory back."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_or_empty(column: str = "text") -> Column:

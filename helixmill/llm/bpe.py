@@ -26,7 +26,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from helixmill.llm._base import arrow
+from helixmill.llm._base import arrow, worker_caches
 
 SCHEMA = "doc_id long, ids binary, decoded binary"
 CACHE = 400_000
@@ -156,10 +156,11 @@ class Codec(dict):
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+worker_caches.append(_codecs)
 
 
 def _codec(table, *at: str) -> Codec:
-    """The worker's codec: kept from task to task, since workers are used again."""
+    """The worker's codec, for one task."""
     if at not in _codecs:
         _codecs.clear()
         _codecs[at] = Codec(table.value, at[1])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm._base import arrow, flat, slices
+from helixmill.llm._base import arrow, flat, slices, worker_caches
 
 DOCS_PER_LANG = 1500
 MAX_LANGUAGES = 1000
@@ -158,6 +158,7 @@ def learn(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, t
 
 
 _trees: dict[int, Trees] = {}
+worker_caches.append(_trees)
 
 
 def identify(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
