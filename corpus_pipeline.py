@@ -19,6 +19,8 @@ from helixmill.llm.queries import coded
 
 #: Lists of ids are broadcast up to this many rows; beyond it the texts are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: The near-dedup stage's least similarity; op4's 85 binds that query only.
+NEAR_PERCENT = 80
 
 
 def _met(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -43,8 +45,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return _met(docs, near_duplicates(docs).where("not kept").select("doc_id"), "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates (similarity 0.8 or more) stays."""
+    return _met(docs, near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id"), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

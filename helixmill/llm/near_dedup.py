@@ -4,9 +4,10 @@ SuperMinHash: each shingle walks a pseudo-random permutation of the m registers
 [0, 1), to the register it reaches. All shingles of all texts of a batch take a step together, and a text stops once each of its registers
 is below the next step's number: long texts stop after one to three steps.
 
-`BANDS` bands of `ROWS` registers make two texts of similarity 0.85 meet with a chance of 1 - 1.7e-6. Texts with equal shingle sets are one
+The least similarity is an argument, and `banding` derives the rest from it: bands and rows that make two texts of that similarity meet with a chance of
+1 - 1.8e-6 or more (28 bands of 6 for 0.85, 34 of 5 for 0.80). Texts with equal shingle sets are one
 class, and only class representatives go on. In each bucket all members are compared with its least member (a star, never all pairs): first
-by signature (a pair under 0.70 there has a chance below 1e-7 to reach 0.85), then exactly. Where a bucket's members end up in several
+by signature (a pair that reaches the similarity has a chance below 1e-7 to agree in fewer registers than asked), then exactly. Where a bucket's members end up in several
 components, those outside its least member's component are compared with all members, in blocks of chunks, by signature and then exactly, and only
 links that join components leave a block: so no link between members of a bucket that matters is lost, whatever the bucket's size. A bucket whose members all
 link with its least costs nothing more; one whose members mostly don't costs comparisons (not rows) in the square of those.
@@ -20,7 +21,10 @@ Cases: null or blank text has an empty set and links with nothing; fewer than fi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +35,37 @@ from helixmill.llm._base import arrow, durable, mix
 from helixmill.llm.components import UnionFind, components, pairs_array
 from helixmill.llm.shingles import sets_of
 
-BANDS, ROWS = 28, 6
+#: op4's contract.
 PERCENT = 85
-#: Estimates under this are not verified.
-LEAST_ESTIMATE = 0.70
+#: Chances that a pair of just the least similarity shares no band, and that its signatures agree too rarely to be verified.
+MISSED, UNVERIFIED = 1.8e-6, 1e-7
+MOST_REGISTERS = 176
 BROADCAST_ROWS = 500_000
 CHUNK = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Banding(NamedTuple):
+    percent: int
+    bands: int
+    rows: int
+    #: Pairs that agree in fewer registers are not verified.
+    least: int
+
+
+def banding(percent: int) -> Banding:
+    """The most selective bands (most rows) within MOST_REGISTERS that miss a pair of this similarity with a chance of MISSED at most."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
+    s = min(percent, 99) / 100
+    needed = {rows: math.ceil(math.log(MISSED) / math.log1p(-(s**rows))) for rows in range(1, 17)}
+    rows = max((r for r, n in needed.items() if r * n <= MOST_REGISTERS), default=1)
+    m, below, least = needed[rows] * rows, 0.0, 0
+    while (below := below + math.comb(m, least) * s**least * (1 - s) ** (m - least)) < UNVERIFIED:
+        least += 1
+    return Banding(percent, needed[rows], rows, least)
+
+
 def super_minhash(row: np.ndarray, shingle: np.ndarray, n: int, m: int) -> np.ndarray:
     """n x m registers of the sets (row, shingle); a register's high half is the step, its low half the draw."""
     registers = np.full(n * m, np.iinfo(np.uint64).max, np.uint64)
@@ -70,8 +96,8 @@ def super_minhash(row: np.ndarray, shingle: np.ndarray, n: int, m: int) -> np.nd
 SIGNS = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sign binary"
 
 
-def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    m = BANDS * ROWS
+def _signs(by: Banding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    m = by.bands * by.rows
     for batch in batches:
         for i, j, row, shingle in sets_of(batch.column(1)):
             n = j - i
@@ -84,9 +110,9 @@ def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys[1, full] = np.bitwise_xor.reduceat(mix(shingle ^ _STEP), starts)
             registers = super_minhash(row, shingle, n, m)
             with np.errstate(over="ignore"):
-                band = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :].repeat(n, 0)
-                for r in range(ROWS):
-                    band = mix(band * _STEP + registers[:, r::ROWS])
+                band = np.arange(1, by.bands + 1, dtype=np.uint64)[None, :].repeat(n, 0)
+                for r in range(by.rows):
+                    band = mix(band * _STEP + registers[:, r :: by.rows])
             short = (mix(registers) >> np.uint64(48)).astype("<u2")
             some = size > 0
             lists = [band[k].view(np.int64) if some[k] else [] for k in range(n)]
@@ -103,33 +129,31 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(by: Banding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, sign_a, sign_b) whose signatures agree often enough."""
-    least = LEAST_ESTIMATE * BANDS * ROWS
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
-        keep = (a == b).sum(1) >= least
+        keep = (a == b).sum(1) >= by.least
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def _link(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= PERCENT * max(len(x), len(y)) else 0
-    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+def _link(percent: int, x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, shingles_a, shingles_b) with 100 * intersection >= PERCENT * union."""
+def _linked(by: Banding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, shingles_a, shingles_b) with 100 * intersection >= percent * union."""
     for batch in batches:
         pairs = zip(batch.column(2), batch.column(3), strict=True)
-        keep = [_link(*(np.frombuffer(v.as_buffer(), "<u8") for v in pair)) for pair in pairs]
+        keep = [_link(by.percent, *(np.frombuffer(v.as_buffer(), "<u8") for v in pair)) for pair in pairs]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(by: Banding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (band, left, right) of two chunks of a bucket: links between members of different components, as few as join these.
 
     A pair is looked at in the first band it shares only, and not again once other links have joined it."""
-    least = LEAST_ESTIMATE * BANDS * ROWS
     for batch in batches:
         for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             sides = []
@@ -141,10 +165,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             joined = UnionFind()
             for k in range(len(a)):
                 same = x[k] == y
-                for i in np.flatnonzero(same.sum(1) >= least):
-                    if joined.root(p[k]) == joined.root(q[i]) or same[i].reshape(BANDS, ROWS).all(1).argmax() != band:
+                for i in np.flatnonzero(same.sum(1) >= by.least):
+                    if joined.root(p[k]) == joined.root(q[i]) or same[i].reshape(by.bands, by.rows).all(1).argmax() != band:
                         continue
-                    if _link(s[k], t[i]):
+                    if _link(by.percent, s[k], t[i]):
                         joined.join(p[k], q[i])
                         yield pairs_array([min(a[k], b[i])], [max(a[k], b[i])])
 
@@ -157,17 +181,18 @@ def _sets(ids: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
     return durable(arrow(texts, _blobs, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, by: Banding, broadcast_rows: int) -> DataFrame:
     """The pairs (a, b) that link by their full sets."""
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, broadcast_rows)
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s_{name}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-    return arrow(met, _linked, "a long, b long")
+    return arrow(met, partial(_linked, by), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    signs = durable(arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), _signs, SIGNS), "signs")
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Documents of Jaccard similarity percent / 100 or more are linked."""
+    by = banding(percent)
+    signs = durable(arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), partial(_signs, by), SIGNS), "signs")
     full = signs.where("n_shingles > 0 and doc_id is not null")
     classes = durable(full.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     heads = durable(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sign"), "heads")
@@ -177,8 +202,8 @@ def near_duplicates(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) ->
 
     sign = lambda name: heads.select(F.col("doc_id").alias(name), F.col("sign").alias(f"sign_{name}"))
     stars = members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    likely = durable(arrow(stars.join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "sign_a", "sign_b"), _alike, "a long, b long"), "likely")
-    links = durable(_verify(likely, docs, broadcast_rows), "verified")
+    likely = durable(arrow(stars.join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "sign_a", "sign_b"), partial(_alike, by), "a long, b long"), "likely")
+    links = durable(_verify(likely, docs, by, broadcast_rows), "verified")
     found = components(links)
 
     # buckets of three or more whose members aren't one component yet
@@ -192,7 +217,7 @@ def near_duplicates(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) ->
         member = F.collect_list(F.struct("doc_id", "component_id", "sign", "shingles"))
         every = full_rows.groupBy("bucket", "band", "chunk").agg(member.alias("left"))
         apart = full_rows.where("component_id <> main").groupBy("bucket", "chunk").agg(member.alias("right")).select("bucket", "right")
-        more = durable(arrow(every.join(apart, "bucket").select("band", "left", "right"), _blocks, "a long, b long"), "more")
+        more = durable(arrow(every.join(apart, "bucket").select("band", "left", "right"), partial(_blocks, by), "a long, b long"), "more")
         if more.limit(1).count():
             links = links.union(more)
             found = components(links)

@@ -5,7 +5,7 @@ import re
 from samples import cases
 from helixmill.llm.components import components
 from helixmill.llm.exact_dedup import exact_dedup
-from helixmill.llm.near_dedup import near_duplicates
+from helixmill.llm.near_dedup import banding, near_duplicates
 from helixmill.llm.suffix_dedup import LENGTH, remove_repeats
 
 WORD, SPACE = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]+")
@@ -125,3 +125,27 @@ def test_repeats_at_every_offset(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for rows in (500_000, 0):  # with ids broadcast, and with a shuffle
         assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in remove_repeats(frame, broadcast_rows=rows).collect()) == want
+
+
+def test_near_duplicates_at_each_percent(spark):
+    """Pairs of similarity 0.80 to 0.85 are linked at 80 and not at 85, in the pipeline's stage too."""
+    import corpus_pipeline
+
+    assert banding(85)[:3] == (85, 28, 6)
+    for percent in (50, 80, 85, 95):
+        _, bands, rows, least = banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands < 2e-6 and least < percent / 100 * bands * rows
+    rows = []
+    for i in range(40):
+        base = [f"w{i}.{k}" for k in range(104)]
+        rows.append((2 * i, " ".join(base), "en", "s", 0))
+        for k in (20, 60):  # two changed words: 90 shared shingles of 110
+            base[k] = f"e{i}.{k}"
+        rows.append((2 * i + 1, " ".join(base), "en", "s", 0))
+    a, b = (shingle_set(r[1]) for r in rows[:2])
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    linked = {r.doc_id: r.component_id for r in near_duplicates(docs, percent=80).collect()}
+    assert linked == {i: i - i % 2 for i in range(80)}
+    assert all(r.kept for r in near_duplicates(docs).collect())
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == list(range(0, 80, 2))
