@@ -6,7 +6,9 @@ down, where bytes seen at this order are excluded and the rest renormalised; bel
 to 1 and a text's code length, the sum of -log2, is exact. The language with the shortest code wins.
 
 Bytes are folded first: A-Z to lower case, other ASCII bytes than letters to one symbol. Bytes the sample doesn't hold share one more symbol.
-Since statistics are frozen, code lengths are tabulated once a worker: one table row per (context, byte), one column per language.
+Since statistics are frozen, code lengths are tabulated once a worker: one table row per (context, byte), one column per language. Where such tables
+would hold over MAX_CELLS cells (many languages, many distinct bytes), the same order-3 trees are kept sparsely instead: sorted seen grams with
+their chances and sorted contexts with their escapes, looked up once per distinct gram of a slice. Code lengths are the same, the order is always 3.
 
 Training reads only text and lang of documents with non-null lang that aren't held out (crc32 of doc_id as text, mod 3, is 1): the `docs_per_lang`
 documents with the least hash of doc_id of each language, a bound that doesn't grow with the corpus; those are read whole. Prediction reads text only.
@@ -31,6 +33,7 @@ from helixmill.llm._base import arrow, flat, slices, worker_caches
 DOCS_PER_LANG = 1500
 MAX_LANGUAGES = 1000
 ORDER = 3
+#: Tables of more cells are kept sparsely.
 MAX_CELLS = 40_000_000
 #: Score: the winner's share of 2 ** -bits, with at most this many bytes' worth of evidence.
 EVIDENCE_BYTES = 100
@@ -73,8 +76,54 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 4-byte keys, and each key's place among them."""
+    high, low = (keys >> 16).astype(np.uint16), keys.astype(np.uint16)
+    seen = np.zeros(1 << 16, bool)
+    seen[high] = seen[low] = True
+    halves = np.flatnonzero(seen)
+    if len(halves) ** 2 > 1 << 24:
+        return np.unique(keys, return_inverse=True)
+    place = np.cumsum(seen, dtype=np.int32) - 1
+    pair = place[high] * np.int32(len(halves)) + place[low]
+    seen = np.zeros(len(halves) ** 2, bool)
+    seen[pair] = True
+    pairs = np.flatnonzero(seen)
+    return (halves[pairs // len(halves)] << 16 | halves[pairs % len(halves)]).astype(np.uint32), (np.cumsum(seen, dtype=np.int32) - 1)[pair]
+
+
+class SparseTree:
+    """One language's context tree: per order its seen grams with their chances, and its contexts with the factor of an escape."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, a: int):
+        self.a, self.levels, lower = a, [], None
+        for k in range(ORDER + 1):
+            mask = np.uint32((1 << 8 * (k + 1)) - 1)
+            keys, of = np.unique(grams & mask, return_inverse=True)
+            count = np.bincount(of, n)
+            contexts, of = np.unique(keys >> 8, return_inverse=True)
+            total, kinds = np.bincount(of, count), np.bincount(of)
+            # what is seen at this order is seen one order down
+            below = lower[1][np.searchsorted(lower[0], keys & (mask >> 8))] if lower else np.full(len(keys), 1.0 / a)
+            left = 1 - np.bincount(of, below)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(left > 1e-12, kinds / (total + kinds) / left, 0)
+            lower = keys, count / (total + kinds)[of]
+            self.levels.append((mask, *lower, contexts, escape))
+
+    def bits(self, keys: np.ndarray) -> np.ndarray:
+        chance = np.full(len(keys), 1.0 / self.a)
+        for mask, grams, seen, contexts, escape in self.levels:
+            mine = keys & mask
+            at = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
+            context = mine >> 8
+            of = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+            chance = np.where(grams[at] == mine, seen[at], np.where(contexts[of] == context, escape[of] * chance, chance))
+        return -np.log2(np.maximum(chance, 1e-12)).astype(np.float32)
+
+
 class Trees:
-    """The languages' context trees as one table of code lengths."""
+    """The languages' context trees as one table of code lengths, or sparsely."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
@@ -82,8 +131,16 @@ class Trees:
         self.code = np.full(256, len(seen), np.int32)
         self.code[seen] = np.arange(len(seen))
         self.a = a = len(seen) + 1
-        self.order = next(k for k in range(ORDER, -1, -1) if a ** (k + 1) * len(self.langs) <= MAX_CELLS or k == 0)
-        self.bits = [self._table(*counts[lang]) for lang in self.langs]
+        self.order = ORDER
+        self.sparse = a ** (ORDER + 1) * len(self.langs) > MAX_CELLS
+        self.bits = [] if self.sparse else [self._table(*counts[lang]) for lang in self.langs]
+        self.trees = [SparseTree(self._coded(counts[lang][0]), counts[lang][1], a) for lang in self.langs] if self.sparse else []
+
+    def _coded(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams), np.uint32)
+        for back in range(ORDER, -1, -1):
+            out = out << 8 | self.code[(grams >> (8 * back)) & 255].astype(np.uint32)
+        return out
 
     def _table(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Code lengths by (context, byte). The highest order is made one leading symbol at a time, so that little is held besides the result."""
@@ -91,13 +148,10 @@ class Trees:
         chance = np.full((1, a), 1.0 / a)
         for k in range(self.order):
             chance = self._chances(codes[: k + 1], n, np.tile(chance, (a if k > 1 else 1, 1)) if k else chance)
-        if not self.order:
-            return -np.log2(np.maximum(self._chances(codes, n, chance), 1e-12)).astype(np.float32).ravel()
         out = np.empty((a, a**self.order), np.float32)
         for lead in range(a):
             mine = codes[-1] == lead
-            lower = chance if self.order > 1 else chance[:1]
-            out[lead] = -np.log2(np.maximum(self._chances([c[mine] for c in codes[:-1]], n[mine], lower), 1e-12)).ravel()
+            out[lead] = -np.log2(np.maximum(self._chances([c[mine] for c in codes[:-1]], n[mine], chance), 1e-12)).ravel()
         return out.ravel()
 
     def _chances(self, codes: list[np.ndarray], n: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -121,10 +175,18 @@ class Trees:
                 continue
             raw = data[at[i] : at[j]]
             symbols, starts = self.code[_fold[raw]], at[full] - at[i]
-            key = np.zeros(len(symbols), np.int32)
-            for back in [*_contexts(symbols, starts, self.code[32])[ORDER - self.order :], symbols]:
-                key = key * self.a + back
-            for k, bits in enumerate(self.bits):
+            backs = [*_contexts(symbols, starts, self.code[32]), symbols]
+            if self.sparse:
+                key = np.zeros(len(symbols), np.uint32)
+                for back in backs:
+                    key = key << 8 | back.astype(np.uint32)
+                grams, key = _distinct(key)
+            else:
+                key = np.zeros(len(symbols), np.int32)
+                for back in backs:
+                    key = key * self.a + back
+            for k in range(len(self.langs)):
+                bits = self.trees[k].bits(grams) if self.sparse else self.bits[k]
                 out[full, k] = np.add.reduceat(bits[key], starts, dtype=np.float64)
         return out
 

@@ -70,6 +70,73 @@ def test_context_trees_sum_to_one():
     assert np.allclose(chances.sum(1), 1, atol=1e-3)
 
 
+def order_three(texts):
+    """Code length of a text by brute force: order-3 trees with escape method C and exclusion. texts: language to training texts, ASCII or not."""
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32
+    seen, trees = {32}, {}
+    for lang, many in texts.items():
+        trees[lang] = collections.defaultdict(collections.Counter)
+        for t in many:
+            s = bytes([32] * 3 + [fold(b) for b in t.encode()])
+            seen |= {*s}
+            for i in range(3, len(s)):
+                for k in range(4):
+                    trees[lang][s[i - k : i]][s[i]] += 1
+    a = len(seen) + 1
+
+    def chance(tree, context, b):
+        lower = lambda x: chance(tree, context[1:], x) if context else 1 / a
+        n = tree.get(context)
+        if not n:
+            return lower(b)
+        if b in n:
+            return n[b] / (n.total() + len(n))
+        left = 1 - sum(map(lower, n))
+        return len(n) / (n.total() + len(n)) / left * lower(b) if left > 1e-12 else 0
+
+    def bits(lang, text):
+        s = [32] * 3 + [fold(b) if fold(b) in seen else 255 for b in text.encode()]
+        return sum(-np.log2(max(1e-12, chance(trees[lang], bytes(s[i - 3 : i]), s[i]))) for i in range(3, len(s)))
+
+    return bits
+
+
+def test_order_three_for_many_languages_and_bytes(monkeypatch):
+    import pyarrow as pa
+    from helixmill.llm import langid
+
+    r = random.Random(5)
+    scripts = ["".join(map(chr, range(lo, lo + 40))) for lo in (97 - 3, 0xC0, 0x391, 0x430, 0x5D0, 0x627, 0x905, 0xE01, 0x3041)] + ["😀😁🚀"]
+    texts = {f"l{k:02}": ["".join(r.choice(scripts[k % 10][:9] + " e") for _ in range(60)) for _ in range(4)] for k in range(30)}
+    asked = [t[0][:40] for t in texts.values()] + ["", "zq Ω ÿ 漢 x", "abc"]
+
+    def trees(some):
+        batch = pa.record_batch([pa.array([k for k, v in some.items() for _ in v]), pa.array([t for v in some.values() for t in v])], ["lang", "text"])
+        counts = collections.defaultdict(lambda: ([], []))
+        for out in langid._count_grams(iter([batch])):
+            for lang, g, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                counts[lang][0].append(g)
+                counts[lang][1].append(n)
+        return Trees({k: (np.array(g, np.int64), np.array(n, float)) for k, (g, n) in counts.items()})
+
+    def lengths(model):
+        raw = [t.encode() for t in asked]
+        return model.code_lengths(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([*map(len, raw)])]))
+
+    many = trees(texts)
+    assert many.a**4 * 30 > langid.MAX_CELLS
+    brute = order_three(texts)
+    assert np.allclose(lengths(many), [[brute(lang, t) for lang in texts] for t in asked], rtol=1e-4, atol=1e-3)
+    few = {k: texts[k] for k in ("l00", "l10")}
+    tables = lengths(trees(few))
+    monkeypatch.setattr(langid, "MAX_CELLS", 0)
+    assert np.allclose(tables, lengths(trees(few)), rtol=1e-4, atol=1e-3)
+    keys = np.random.default_rng(1).integers(0, 1 << 32, 9000, dtype=np.uint64).astype(np.uint32)
+    for k in (keys, keys & 0x03030303):
+        values, at = langid._distinct(k)
+        assert np.array_equal(values[at], k) and np.array_equal(values, np.unique(k))
+
+
 def test_language_id_held_out(spark, docs, no_docs):
     letters = {"aa": "abcde", "bb": "vwxyz"}
     rows = []
