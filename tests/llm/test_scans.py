@@ -92,3 +92,20 @@ def test_quality_rejects_symbols(spark):
 @pytest.mark.parametrize("kind", PATTERNS)
 def test_pii_patterns_are_possessive_or_bounded(kind):
     assert "++" in PATTERNS[kind] or kind in ("phone", "iban", "ssn")
+
+
+def test_quality_rejects_word_salad(spark):
+    """Long texts with no or few common words, or with one of them only; lengths are guarded by n_words, not by common words."""
+    from helixmill.llm.quality import COMMON, MIN_COMMON_WORDS
+
+    r = random.Random(7)
+    made = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) + "x"
+    prose = lambda n: " ".join(r.choice(COMMON[:20]) if r.random() < 0.35 else made() for _ in range(n))
+    rows = [(i, prose(r.randint(100, 500)), "en") for i in range(200)] + [(1000, prose(3000), "en"), (1001, prose(3000), None), (1002, " ".join(made() for _ in range(12)), None)]
+    salad = [made() for _ in range(3000)]
+    rows += [(2000, " ".join(salad), None), (2001, " ".join(made() for _ in range(400)), "en"), (2002, " ".join(salad[:1500] + COMMON[:11] + salad[1500:]), None)]
+    rows += [(2003, " ".join(w if k % 3 else "the" for k, w in enumerate(salad)), None)]
+    got = {x.doc_id: x for x in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(x.class_distance is None or x.class_distance <= 0.25 for x in got.values()) and not any(x.base_failed for x in got.values())
+    assert {i for i, x in got.items() if not x.kept} == {2000, 2001, 2002, 2003}
+    assert all((x.common_distance is None) == (x.n_words < MIN_COMMON_WORDS) for x in got.values())
