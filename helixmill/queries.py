@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import digests, dna, labels, vectors
 from helixmill.operators import calibration, intervals, metrics, sampling, variants
-from helixmill.plans import catalog, extended  # noqa: F401  they register their queries
+from helixmill.plans import catalog, extended, whole  # noqa: F401  they register their queries
 from helixmill.plans.proxies import keyed_variants, scored, sequences
 from helixmill.plans.proxies import read as table
 from helixmill.plans.proxies import variants as v_rows
