@@ -137,15 +137,14 @@ def pad_for_tokens(sequence: Column, token: int = KMER) -> Column:
 
 
 def kmer_ids(sequence: Column, *, first_id: int = 0, oov: int = -1) -> Column:
-    """Index of each 6-mer in base 4 in the order A, T, C, G; oov if it holds another base."""
-    count = F.ceil(F.length(sequence) / F.lit(KMER)).cast("int")
+    """Index of each 6-mer in base 4 in the order A, T, C, G; oov if it holds another base or is cut short. Linear in the length."""
 
-    def one(i: Column) -> Column:
-        kmer = F.substring(sequence, i * KMER + 1, F.lit(KMER))
+    def one(kmer: Column) -> Column:
         digits = F.translate(kmer, KMER_BASES, "0123")
         return F.when(digits.rlike(f"^[0-3]{{{KMER}}}$"), F.conv(digits, 4, 10).cast("int") + first_id).otherwise(oov)
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.expr("cast(array() as array<int>)"))
+    kmers = F.regexp_extract_all(sequence, F.lit(f"(?s).{{1,{KMER}}}"), F.lit(0))
+    return F.coalesce(F.transform(kmers, one), F.expr("cast(array() as array<int>)"))
 
 
 def window_starts(length: Column, window: int, margin: int, stride: int) -> Column:

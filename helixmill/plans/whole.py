@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixmill.functions import vectors
+from helixmill.functions import dna, vectors
 from helixmill.operators import intervals
-from helixmill.plans.extended import _L2
-from helixmill.plans.proxies import read, variants, windows
+from helixmill.plans.extended import _DIGIT, _L2
+from helixmill.plans.proxies import read, sequences, variants, windows
 from helixmill.registry import query, r
 
 
@@ -41,3 +41,18 @@ def c10_regions(spark, sf_dir):
     """Every window of the held-out chromosomes against every other window."""
     w = windows(spark, sf_dir)
     return intervals.overlapping_pairs(w.where("chrom in ('20', '21')"), w).where("l_id <> r_id").agg(F.count("*").alias("n"))
+
+
+_KMER = "case when length(k) < 6 or position('N' in k) > 0 then -1 else " + " + ".join(f"{4 ** (6 - i)} * {_DIGIT.format(i)}" for i in range(1, 7)) + " end"
+
+
+@query("G5_kmer_ids_whole", f"select id, len(ids) as n_ids, sha256(coalesce(array_to_string(ids, ','), '')) as ids_sha256 from (select id, list_transform(regexp_extract_all(coalesce(seq, ''), '.{{1,6}}'), lambda k: {_KMER}) as ids from dseq)", "dseq")
+def g5(spark, sf_dir):
+    """Count and digest of all ids of every sequence."""
+    s = sequences(spark, sf_dir).select("id", dna.kmer_ids(F.col("seq")).alias("ids"))
+    return s.select("id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+
+
+@query("G4_pad_whole", "select id, rpad(seq, cast(ceil(length(seq) / cast(6 as double)) * 6 as int), 'A') as padded from dseq", "dseq")
+def g4(spark, sf_dir):
+    return sequences(spark, sf_dir).select("id", dna.pad_for_tokens(F.col("seq")).alias("padded"))

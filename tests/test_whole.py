@@ -1,7 +1,6 @@
 """Queries on whole tables against brute force; their SQL is compared in test_oracle.py."""
 
 import collections
-import datetime
 import hashlib
 import math
 import random
@@ -46,3 +45,26 @@ def test_every_window(spark, tables):
     assert sorted(map(tuple, QUERIES["J13_overlapping_pairs_whole"](spark, folder).collect())) == pairs and pairs
     chrom = {i: c for i, c, _ in windows}
     assert QUERIES["C10_region_overlaps_whole"](spark, folder).first().n == 2 * sum(chrom[i] in (20, 21) for i, _ in pairs)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    folder, r = tmp_path_factory.mktemp("documents"), random.Random(4)
+    rows = [(i, "".join(r.choice("abcdefghz .") for _ in range(r.choice((0, 5, 70, 9000)))), "abc"[min(2, r.randrange(9))], "s", r.randrange(900)) for i in range(160)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 3) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder), rows
+
+
+def test_every_base(spark, documents):
+    folder, rows = documents
+    letters = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAN")
+    ids, padded = {}, {}
+    for i, text, *_ in rows:
+        seq = "".join(x for x in text if x.isalpha()).upper().translate(letters)
+        kmers = [seq[k : k + 6] for k in range(0, len(seq), 6)]
+        known = [int("".join(str("ATCG".index(x)) for x in k), 4) if len(k) == 6 and "N" not in k else -1 for k in kmers]
+        ids[i] = (len(known), hashlib.sha256(",".join(map(str, known)).encode()).hexdigest())
+        padded[i] = seq + "A" * (-len(seq) % 6)
+    assert {x.id: (x.n_ids, x.ids_sha256) for x in QUERIES["G5_kmer_ids_whole"](spark, folder).collect()} == ids
+    assert {x.id: x.padded for x in QUERIES["G4_pad_whole"](spark, folder).collect()} == padded and max(map(len, padded.values())) > 3000
