@@ -4,7 +4,7 @@ Texts and templates become five-word shingles of alphanumeric words in lower cas
 of two up to min(t, 16); so has the text, one at every shingle. A window's signature is the least value of each of `BANDS` x `ROWS` hash
 functions; a band is a hash of `ROWS` of them. A window equal to a template's meets it for certain; at similarity 0.8, 8 bands of 2 meet with a chance of
 1 - (1 - 0.64) ** 8 = 0.9997. Each hit is verified: of the template's distinct shingles, the share that stands within 1.25 template lengths
-around the hit must reach `CONTAINMENT`.
+around the hit must reach `CONTAINMENT`. A text of fewer shingles than a template's W has no window and goes straight to the verification, every place of it a hit.
 
 A text without any shingle of any template can't contain 0.8 of one, so it skips the windows: that loses nothing.
 
@@ -89,8 +89,10 @@ class Templates:
         self.bit = np.zeros(1 << _BITS, bool)
         self.bit[(self.all >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.bands: dict[int, dict[int, set[int]]] = {}
+        self.of_width: dict[int, list[int]] = {}
         for k, t in enumerate(self.length):
             width = 1 << min(t, WIDEST).bit_length() - 1
+            self.of_width.setdefault(width, []).append(k)
             for value in window_bands(hashes[row == k], width).ravel().tolist():
                 self.bands.setdefault(width, {}).setdefault(value, set()).add(k)
         self.values = {w: np.array(sorted(v), np.uint64) for w, v in self.bands.items()}
@@ -99,6 +101,9 @@ class Templates:
         """name, first shingle, last shingle, containment of the matches in one text."""
         spots: dict[int, set[int]] = {}
         for width, values in self.values.items():
+            if len(hashes) < width:
+                spots.update((k, set(range(len(hashes)))) for k in self.of_width[width])
+                continue
             bands = window_bands(hashes, width)
             for at, band in zip(*np.nonzero(np.isin(bands, values)), strict=True):
                 for k in self.bands[width][int(bands[at, band])]:

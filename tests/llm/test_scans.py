@@ -109,3 +109,10 @@ def test_quality_rejects_word_salad(spark):
     assert all(x.class_distance is None or x.class_distance <= 0.25 for x in got.values()) and not any(x.base_failed for x in got.values())
     assert {i for i, x in got.items() if not x.kept} == {2000, 2001, 2002, 2003}
     assert all((x.common_distance is None) == (x.n_words < MIN_COMMON_WORDS) for x in got.values())
+
+
+def test_licenses_in_texts_shorter_than_a_window(spark):
+    bsd, gpl = TEMPLATES["BSD"].split(), TEMPLATES["GPL-3.0"].split()
+    texts = [" ".join(gpl[:-1]), " ".join(bsd[:18]), " ".join(bsd[2:]), "x " + " ".join(bsd[:18]), " ".join(bsd[:17]), " ".join(gpl[:10])]
+    got = {(r.doc_id, r.license, r.first_word, round(r.containment, 4)) for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(0, "GPL-3.0", 0, 0.875), (1, "BSD", 0, round(14 / 17, 4)), (2, "BSD", 0, round(15 / 17, 4)), (3, "BSD", 1, round(14 / 17, 4))}
