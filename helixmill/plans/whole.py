@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.functions import dna, vectors
-from helixmill.operators import intervals
+from helixmill.operators import intervals, sampling
+from helixmill.plans import scoring
 from helixmill.plans.extended import _DIGIT, _L2
-from helixmill.plans.proxies import read, sequences, variants, windows
+from helixmill.plans.proxies import read, scored, sequences, variants, windows
 from helixmill.registry import query, r
 
 
@@ -56,3 +57,23 @@ def g5(spark, sf_dir):
 @query("G4_pad_whole", "select id, rpad(seq, cast(ceil(length(seq) / cast(6 as double)) * 6 as int), 'A') as padded from dseq", "dseq")
 def g4(spark, sf_dir):
     return sequences(spark, sf_dir).select("id", dna.pad_for_tokens(F.col("seq")).alias("padded"))
+
+
+CAP = 50
+
+
+@query(
+    "T5_stratified_cap_ids",
+    f"select s.id, s.grp from (select *, row_number() over (partition by grp order by sha256('7:' || cast(id as varchar)), id) as r from sl) s join (select grp, count(*) as k, sum(count(*)) over () as total from sl group by grp) n on s.grp = n.grp where s.r <= case when n.total <= {CAP} then n.k else greatest(1, round_even(cast({CAP} as double) * n.k / n.total, 0)) end",
+    "sl",
+)
+def t5(spark, sf_dir):
+    """The rows chosen under a cap that all tables exceed."""
+    return sampling.stratified_cap(scored(spark, sf_dir), "grp", "id", CAP, "7").select("id", "grp")
+
+
+@query("C6_training_tuples_rows")
+def c6(spark, sf_dir):
+    """The tuples themselves. Synthetic places are drawn by a hash SQL doesn't have."""
+    source = F.when(F.col("source") == "R", "clinvar").otherwise("gnomad")
+    return scoring.training_tuples(windows(spark, sf_dir), variants(spark, sf_dir).withColumn("edit_source", source), seed="7")

@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from helixmill.plans.whole import CAP
 from helixmill.queries import QUERIES
 
 
@@ -68,3 +69,31 @@ def test_every_base(spark, documents):
         padded[i] = seq + "A" * (-len(seq) % 6)
     assert {x.id: (x.n_ids, x.ids_sha256) for x in QUERIES["G5_kmer_ids_whole"](spark, folder).collect()} == ids
     assert {x.id: x.padded for x in QUERIES["G4_pad_whole"](spark, folder).collect()} == padded and max(map(len, padded.values())) > 3000
+
+
+def sha(ident):
+    return hashlib.sha256(f"7:{ident}".encode()).hexdigest()
+
+
+def test_a_cap_that_binds(spark, documents):
+    folder, rows = documents
+    groups = collections.defaultdict(list)
+    for i, _, lang, *_ in rows:
+        groups[lang].append(i)
+    want = {(i, g) for g, ids in groups.items() for i in sorted(ids, key=lambda i: (sha(i), i))[: max(1, round(CAP * len(ids) / len(rows)))]}
+    assert {(x.id, x.grp) for x in QUERIES["T5_stratified_cap_ids"](spark, folder).collect()} == want and len(want) < len(rows)
+
+
+def test_tuples_are_drawn(spark, tables):
+    folder, _, windows, lines = tables
+    edits = [(p % 22 + 1, o * 8 + n, "clinvar" if flag == "R" else "gnomad") for o, p, _, n, *_, flag in lines]
+    real, made = [], []
+    for i, c, s in windows:
+        for source, want in {"gnomad": 3, "clinvar": 3, "snv": 1, "indel": 1}.items():
+            inside = sorted((sha(f"{i}:{pos}"), pos) for chrom, pos, x in edits if chrom == c and x == source and s < pos <= s + 4096)[:want]
+            real += [(i, source, pos, pos - 1 - s, k + 1) for k, (_, pos) in enumerate(inside)]
+            made += [(i, "indel" if source == "indel" else "snv", k + 1) for k in range(len(inside), want)]
+    got = QUERIES["C6_training_tuples_rows"](spark, folder).collect()
+    assert sorted(tuple(x) for x in got if x.source_row_id is not None) == sorted(real) and real
+    assert sorted((x.id, x.edit_source, x.slot) for x in got if x.source_row_id is None) == sorted(made) and made
+    assert all(64 <= x.rel_pos < 4032 for x in got if x.source_row_id is None) and len(got) == 8 * len(windows)
