@@ -1,11 +1,12 @@
 """Removal of every byte that lies in a 200-byte string which also starts elsewhere: blockwise suffix sorting over a cover sample.
 
-The plan is that of difference-cover suffix sorting: choose a sample of suffixes such that any two equal strings of the wanted length hold
-sampled suffixes at the same offset; rank the sample once; then sort one bucket of suffixes at a time, and settle suffixes that tie for long
-by the sample's ranks instead of by their bytes. Two things differ from a suffix array in one memory. The cover is chosen by content, not by position
+Difference-cover suffix sorting chooses a sample of suffixes such that any two equal strings of the wanted length hold sampled suffixes at the same
+offset, ranks the sample once, sorts one bucket of suffixes at a time, and settles suffixes that tie for long by the sample's ranks. Here the sample and the buckets
+are kept and two things differ. No ranks are computed: long ties are settled by hashes of spans around the sampled suffixes (below), since only equality to a
+depth of 200 bytes counts; ranks order suffixes beyond that depth, which nothing here asks for, and take sorts of the whole sample. And the cover is chosen by content, not by position
 modulo v: a position is sampled if the 73-byte string there has the least hash of some 128 neighbours (of one 200-byte
 string). Equal 200-byte strings have equal least strings, so the cover property holds, with 1 sample in 65 bytes where a difference
-cover modulo 128 needs 1 in 11. And since only equality to a depth of 200 counts, suffixes are ordered by hashes of what the level compares.
+cover modulo 128 needs 1 in 11.
 
 Level by level, starts of 200-byte strings are dealt with in spans of 128 (one per sample), then 32, 8 and 1. A span has a core, the bytes
 common to all its strings, and a full, the bytes they cover together. Buckets (equal cores) are sorted by full: neighbours with equal fulls settle all their starts as
