@@ -11,22 +11,31 @@ from helixmill.llm.suffix_dedup import LENGTH, remove_repeats
 WORD, SPACE = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]+")
 
 
-def test_exact_dedup_is_brute_force(docs, no_docs):
-    got = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(docs, block_bytes=64).collect()}
+def exact_by_hand(rows):
     groups = collections.defaultdict(list)
-    for d, t, *_ in cases():
-        if d is not None:
-            groups[SPACE.sub("", t or "")].append((d, len(t or "")))
-    want = {(None, None, 1, True, hashlib.sha256(SPACE.sub("", t or "").encode()).hexdigest()) for d, t, *_ in cases() if d is None}
+    for k, (d, t, *_) in enumerate(rows):
+        groups[SPACE.sub("", t or "")].append((-len(t or ""), d is None, d or 0, k))
     for norm, members in groups.items():
-        keep = min(members, key=lambda m: (-m[1], m[0]))[0]
-        want |= {(d, keep, len(members), d == keep, hashlib.sha256(norm.encode()).hexdigest()) for d, _ in members}
-    assert got == want
-    assert exact_dedup(docs).count() == len(cases())
-    assert exact_dedup(docs, broadcast_rows=0).count() == len(cases())
+        best = min(members)
+        for m in members:
+            yield rows[m[3]][0], None if best[1] else best[2], len(members), m == best, hashlib.sha256(norm.encode()).hexdigest()
+
+
+def test_exact_dedup_is_brute_force(docs, no_docs):
+    want = collections.Counter(exact_by_hand(cases()))
+    for options in ({"block_bytes": 64}, {}, {"broadcast_rows": 0}, {"block_bytes": 1000, "salt_rows": 1}):
+        assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(docs, **options).collect()) == want
     assert exact_dedup(no_docs).count() == 0
 
 
+def test_exact_dedup_of_repeated_doc_ids(spark):
+    """A doc_id that repeats with another text names no block of both; rows without doc_id have groups too."""
+    long, short = [(1, "a" * 9000), (2, "a" * 9000), (1, "b" * 9000), (3, "b" * 9000)], [(1, "aa"), (2, "aa"), (1, "bb"), (3, "b b")]
+    for rows in (long, short, [(None, "x y"), (None, "xy"), (7, "xy"), (7, "xy"), (7, "x  y"), (None, "z"), (-4, None), (None, "")]):
+        got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == collections.Counter(exact_by_hand(rows))
+
+
 def shingle_set(text):
     w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(text or "")]
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
