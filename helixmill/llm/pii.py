@@ -1,7 +1,8 @@
 """PII spans: regular expressions propose, checksum validators confirm, context words adjust the score.
 
 Everything is built-in SQL functions. regexp_extract_all gives a pattern's matches and split gives the gaps between them; running sums of
-both lengths give each match's start and end in code points. The patterns are possessive and anchored at run starts (or at the end of the match
+both lengths give each match's start and end in code points. Neither they nor the context of a span take longer the further into a text it is, so
+a text's time grows with its length and the logarithm of its number of matches. The patterns are possessive and anchored at run starts (or at the end of the match
 before, \\G), which finds the same leftmost matches in time linear in the text: a very long run of digits or letters is not tried again from
 each of its characters.
 
@@ -43,6 +44,8 @@ CONTEXT = {
     "ssn": "ssn|social security",
 }
 CONTEXT_CHARS, CONTEXT_BONUS, THRESHOLD = 40, 0.3, 0.5
+#: Characters before a span are read from pieces of so many.
+CHUNK = 256
 
 
 def _digits(match: Column) -> Column:
@@ -78,26 +81,43 @@ def _holds(kind: str, m: Column) -> Column:
     return mod97(m) if kind == "iban" else F.lit(True)
 
 
+def running(lengths: Column) -> Column:
+    """Running sums of an array of ints, by doubling: log2(n) passes, none of which grows an array."""
+    shifts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.size(lengths).cast("double"))).cast("int") - 1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(shifts, lengths, lambda sums, shift: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - shift), F.lit(0))))
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """array<struct<kind, start, end, score>> of a kind, in order of start."""
-    pattern = F.lit(PATTERNS[kind])
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("got"))
-    pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
-
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["match"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(p["match"].isNull() | ~_holds(kind, p["match"]), s["got"]).otherwise(F.concat(s["got"], one)).alias("got"))
-
-    found = F.aggregate(pairs, state, step, lambda s: s["got"])
-    before = lambda x: F.substring(text, F.greatest(F.lit(1), x["start"] + 1 - CONTEXT_CHARS), F.least(x["start"], F.lit(CONTEXT_CHARS)))
-    score = lambda x: F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(F.lower(before(x)).rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0)))
-    scored = F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score")))
+    matches = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("match"))
+
+    def placed(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0))))
+        spans = F.zip_with(pairs, ends, lambda p, end: F.struct((end - F.length(p["match"])).alias("start"), end.alias("end"), p["match"].alias("match")))
+        return F.filter(spans, lambda s: s["match"].isNotNull() & _holds(kind, s["match"]))
+
+    def scored(found: Column, chunks: Column) -> Column:
+        def one(x: Column) -> Column:
+            # the characters before a span are in its chunk and the one before it, wherever in the text that is
+            at = F.floor(x["start"] / CHUNK).cast("int")
+            near = F.concat(F.coalesce(F.get(chunks, at - 1), F.lit("")), F.substring(F.coalesce(F.get(chunks, at), F.lit("")), F.lit(1), x["start"] - at * CHUNK))
+            score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(F.lower(F.right(near, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0)))
+            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
+
+        return F.transform(found, one)
+
+    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    spans = let(let(matches, placed), lambda found: F.when(F.size(found) == 0, none).otherwise(let(chunks, lambda c: scored(found, c))))
     if kind not in BASE:
-        scored = F.filter(scored, lambda x: x["score"] >= THRESHOLD)
+        spans = F.filter(spans, lambda x: x["score"] >= THRESHOLD)
     need = F.instr(text, NEEDS[kind]) > 0 if kind in ("email", "phone") else text.rlike(NEEDS[kind])
-    return F.when(need, scored).otherwise(F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)"))
+    return F.when(need, spans).otherwise(none)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

@@ -36,6 +36,29 @@ def test_pii_is_python_re(spark, docs, no_docs):
     assert find_pii(docs).count() == len(cases()) and find_pii(no_docs).count() == 0
 
 
+def test_pii_spans_and_scores_of_every_case(spark, docs, no_docs):
+    """All columns of the hard cases, and scores by hand: context is the 40 characters before a span, across pieces and other spans."""
+    from helixmill.llm.pii import CHUNK, CONTEXT, PRIOR
+
+    got = find_pii(docs).select("doc_id", joined(*PATTERNS).alias("spans"), *PATTERNS).collect()
+    assert len(got) == len(cases()) and find_pii(no_docs).select(joined(*PATTERNS)).count() == 0
+    r = random.Random(8)
+    bits = ["contact ", "mail", " phone ", "Host ", "zz", "é" * 7, "😀", " a@b.co ", " 10.0.0.1 ", "\n", "q" * (CHUNK - 30), " +1 555 123 4567 "]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(80))) for _ in range(60)]
+    for row in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        for kind in BASE:
+            for x in row[kind]:
+                near = row.text[max(0, x.start - 40) : x.start].lower()
+                assert abs(x.score - min(1.0, PRIOR[kind] + 0.3 * bool(re.search(CONTEXT[kind], near)))) < 1e-9
+
+
+def test_pii_of_very_many_spans(spark):
+    """Positions of 40,000 addresses in one text, in time that grows with the text."""
+    text = " ".join(f"mail é u{i}@x{i}.com" for i in range(40_000))
+    row = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(x.start, x.end) for x in row.email] == [m.span() for m in re.finditer(BASE_PATTERNS["email"], text)]
+
+
 def test_pii_added_kinds_and_long_texts(spark):
     texts = ["a" * 200_000, "1" * 200_000, "1 " * 50_000, "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, not GB83WEST12345698765432", "my ssn 078-05-1120, part 078-05-1121", "part no 078-05-1120 only"]
     got = [r.spans for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").select(joined(*PATTERNS).alias("spans")).collect()]
