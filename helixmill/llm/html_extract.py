@@ -32,7 +32,7 @@ from helixmill.llm._base import arrow
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = ("script", "style", "template", "noscript", "textarea", "iframe", "svg", "select")
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp script small span strong style sub sup template time tt u var wbr".split())
 ENDS = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 BARRIER = frozenset("article aside blockquote body div dl footer form header html li main nav ol section table td th ul".split())
 CLOSES_P = BARRIER - {"body", "html", "td", "th", "li"} | frozenset("h1 h2 h3 h4 h5 h6 p pre hr address figure fieldset".split())
@@ -44,8 +44,10 @@ BAD = frozenset(
 )
 ENCLOSING = ("article", "main", "nav", "header", "footer", "aside", "form", "a", "head", "title", "li", "p", "table", "h1", "h2", "section", "button")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: An attribute is a name, and after = a value in quotes or without; stray quotes are part of a name or of a value, as in browsers.
+_NAME, _QUOTED = r"[^\s/>][^\s/>=]*+", r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|{_NAME}{_QUOTED})*+)(?:>|\Z)|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(rf"""({_NAME})(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
 _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 _RAW = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in (*SILENT, "title")}
@@ -90,7 +92,7 @@ class Page:
                 self._close(tag)
             else:
                 self._open(tag, m[3] or "")
-                if tag in SILENT and not (m[3] or "").rstrip().endswith("/"):
+                if tag in SILENT and not (tag == "svg" and (m[3] or "").rstrip().endswith("/")):
                     stop = _RAW[tag].search(source, at)
                     at = stop.end() if stop else n
                     self._pop()
@@ -121,8 +123,9 @@ class Page:
         up = self.numbers[parent]
         tokens = set()
         if attributes:
-            for a, b, c in _ATTRIBUTE.findall(attributes):
-                tokens |= {*_SPLIT.split((a or b or c).lower())}
+            for name, a, b, c in _ATTRIBUTE.findall(attributes):
+                if name.lower() in ("class", "id", "role"):
+                    tokens |= {*_SPLIT.split((a or b or c).lower())}
         good, bad = sum(map(_is_good, tokens)), sum(map(_is_bad, tokens))
         inside = self.inside[parent]
         if tag in ENCLOSING:

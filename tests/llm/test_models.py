@@ -212,3 +212,45 @@ def test_html_rows(spark):
     assert len(out) == len(rows) and texts[1] == texts[None] == "A & B one twothree four © five six" and texts[2] == texts[3] == ""
     assert texts[5] == ("word " * 20_000).strip() and all(r.n_chars == len(r.text) for r in out)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_of_malformed_tags(spark):
+    """Stray and missing quotes, unquoted values, broken comments and end tags: no markup in the text, and no text lost."""
+    bodies = {
+        "<p class=don't>one <b>two</b> it's": "one two it's",
+        '<p title="a" b">Hello': "Hello",
+        "<p data-x=it's>Second": "Second",
+        '<p title="abc>Hello</p><p>World': "Hello World",
+        "a < b <3 </> x </ foo> y": "a < b <3 x y",
+        "<p class = 'a>b' id=x/>T": "T",
+        "<!-->A<!--->B<!-- c --!>D": "ABD",
+        """<p a="1"b='2'c>E""": "E",
+        "<p =x>M<p x=>N<p \"q\">O<p title='it\"s'>P": "M N O P",
+        "<a href=http://x/y?z=1>L</a><script src=a/>var x = '<p>no';</script>K<div": "LK",
+    }
+    filler = "A sentence of the article, long enough, with commas and stops. " * 6
+    rows = [(i, "u", f"<html><body><article><p>{filler}</p><p>{body}") for i, body in enumerate(bodies)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'n' nav", "1 text", "2 n_chars")
+    got = {r.page_id: r.text for r in extract(docs).collect()}
+    for i, want in enumerate(bodies.values()):
+        assert got[i] == f"{filler.strip()} {want}"
+
+
+def test_html_attributes_by_name():
+    page = Page("<div data-class='nav' title='class=menu' CLASS=footer><p>x")
+    assert page.numbers[1][8] == 1 and Page("<div data-class=nav title=\"id='menu'\"><p>x").numbers[1][8] == 0
+
+
+def test_html_decoding_is_exhaustive():
+    """The best of all labelings in which no node without main text has a descendant with it."""
+    import itertools
+
+    r = np.random.default_rng(3)
+    for source in ("<div>a<p>b<p>c</div>d", "<ul><li>a<li><b>b</b>c</ul><p>d", "<p>x<div><div><p>y</div>z</div>"):
+        page = Page(source)
+        n = len(page.parent)
+        for _ in range(20):
+            odds = r.normal(0, 2, n)
+            score = lambda on: sum(-np.logaddexp(0, -o) if x else -np.logaddexp(0, o) for x, o in zip(on, odds))
+            legal = [on for on in itertools.product((0, 1), repeat=n) if all(on[page.parent[i]] or not on[i] for i in range(1, n))]
+            assert [i in {*page.decode(odds)} for i in range(n)] == [bool(x) for x in max(legal, key=score)]
