@@ -18,6 +18,7 @@ def test_stages_take_effect(spark, tmp_path):
     language, exact, near, mixed, coded = seen
     assert {4, 5, 6, 9} & {*language} == set() and {0, 1, 2, 3, 7, 8} <= {*language}
     assert {0, 1} & {*exact} == set() and 2 in exact  # the longest of equal texts stays
+    assert exact.count(10) == 1  # one of two rows that are alike
     assert {*near} <= {*exact} and 3 not in near and {7, 8} & {*near} == {7}
     assert {*mixed} <= {*near} and max(collections.Counter(mixed).values()) <= 3 and len(exact) == len({*exact})
     assert sorted(coded) == sorted(mixed)
@@ -25,6 +26,36 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(r.doc_id for r in ran.collect()) == sorted(coded)
 
 
+def kept(spark, stage, docs):
+    return sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in stage(spark, docs, "").collect())
+
+
+def test_rows_with_repeated_or_no_doc_id(spark):
+    """Rows are judged by their texts: none is dropped because of its id, and extra columns with the names of inner ones stay."""
+    texts = [words(k, 60) for k in range(6)]
+    near_copy = " ".join(texts[0].split()[:-1] + ["changed"])
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, near_copy), (3, texts[4]), (1 << 40, texts[5])]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    names = ("_text", "text_", "_held_out", "held_out", "lang_pred", "score", "_times", "times", "copy", "_copy", "own_id", "OWN_ID_", "size", "kept", "key", "taken", "row", "salt", "n")
+    docs = frame.selectExpr("*", *(f"'{n}' as `{n}`" for n in names))
+    assert kept(spark, corpus_pipeline.language_id, docs) == sorted((-1 if d is None else d, t) for d, t in rows)
+    # of equal texts the one with a doc_id of its own stays
+    exact = [(1, texts[0]), (2, texts[1]), (-1, texts[2]), (-1, texts[3]), (-1, near_copy), (3, texts[4]), (1 << 40, texts[5])]
+    assert kept(spark, corpus_pipeline.exact, docs) == sorted(exact)
+    near = [x for x in exact if x[1] not in (near_copy, texts[0])]
+    got = kept(spark, corpus_pipeline.near, docs)
+    assert [x for x in got if x[1] not in (near_copy, texts[0])] == sorted(near) and len(got) == len(near) + 1
+    everything = collections.Counter(kept(spark, corpus_pipeline.mixing, docs))
+    assert everything == collections.Counter((-1 if d is None else d, t) for d, t in rows)  # one source: each document once
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mixing):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and all(r[n] == n for r in out.collect() for n in names)
+    crowded = frame.withColumn("doc_id", frame.doc_id + (1 << 62))
+    assert len(kept(spark, corpus_pipeline.exact, crowded)) == len(exact)
+    unnamed = frame.selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars")
+    assert len(kept(spark, corpus_pipeline.exact, unnamed)) == len(exact)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
