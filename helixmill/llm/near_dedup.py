@@ -10,10 +10,14 @@ class, and only class representatives go on. In each bucket all members are comp
 by signature (a pair that reaches the similarity has a chance below 1e-7 to agree in fewer registers than asked), then exactly. Where a bucket's members end up in several
 components, those outside its least member's component are compared with all members, in blocks of chunks, by signature and then exactly, and only
 links that join components leave a block: so no link between members of a bucket that matters is lost, whatever the bucket's size. A bucket whose members all
-link with its least costs nothing more; one whose members mostly don't costs comparisons (not rows) in the square of those.
+link with its least costs nothing more; one whose members mostly don't costs comparisons in the square of those. Its rows go to one block per chunk of
+`chunk_bytes` of signatures and sets, so up to that size each is sent once; beyond it a row is sent as often as there are chunks.
+
+Equality of shingles is that of their 54-bit hashes: two texts of 300 shingles each count a shared one too many with a chance of some 5e-12.
 
 Scale: texts are read twice and never shuffled unless the candidates outgrow the broadcast bound; shuffled are band values (16 bytes each), and shingle sets
-of pairs that pass the signature test. Nothing is collected; components settle by star contraction of links.
+of pairs that pass the signature test. A document of very many pairs, and a bucket of very many members, are met in parts (`part_rows`), so no task meets them whole.
+Nothing is collected; components settle by star contraction of links.
 
 Cases: null or blank text has an empty set and links with nothing; fewer than five words are one shingle. Rows without doc_id link with nothing
 (component_id null, kept). Rows repeating a doc_id are copies of one document. Ties don't occur: ids decide. Only doc_id and text are read.
@@ -41,7 +45,10 @@ PERCENT = 85
 MISSED, UNVERIFIED = 1.8e-6, 1e-7
 MOST_REGISTERS = 176
 BROADCAST_ROWS = 500_000
-CHUNK = 64
+#: Pairs of one document that meet its signature or set under one key.
+PART_ROWS = 256
+#: Signatures and sets of a chunk; a document of an eighth of it or more is a chunk of its own.
+CHUNK_BYTES = 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,27 +157,64 @@ def _linked(by: Banding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _blocks(by: Banding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, left, right) of two chunks of a bucket: links between members of different components, as few as join these.
+BLOCK = ("bucket", "l", "r", "is_left", "apart", "band", "doc_id", "component_id", "bands", "sign", "shingles")
 
-    A pair is looked at in the first band it shares only, and not again once other links have joined it."""
+
+def _blocks(by: Banding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (BLOCK) in order of bucket, l and r: of each block, members to the right against those to the left, in links that join components, as few as do."""
+    block = None
     for batch in batches:
-        for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            sides = []
-            for side in (left.values, right.values):
-                signs = np.frombuffer(b"".join(side.field("sign").to_pylist()), "<u2").reshape(len(side), -1)
-                sets = [np.frombuffer(x.as_buffer(), "<u8") for x in side.field("shingles")]
-                sides.append((side.field("doc_id").to_pylist(), side.field("component_id").to_pylist(), signs, sets))
-            (a, p, x, s), (b, q, y, t) = sides
-            joined = UnionFind()
-            for k in range(len(a)):
-                same = x[k] == y
-                for i in np.flatnonzero(same.sum(1) >= by.least):
-                    if joined.root(p[k]) == joined.root(q[i]) or same[i].reshape(by.bands, by.rows).all(1).argmax() != band:
-                        continue
-                    if _link(by.percent, s[k], t[i]):
-                        joined.join(p[k], q[i])
-                        yield pairs_array([min(a[k], b[i])], [max(a[k], b[i])])
+        plain = [batch.column(k).to_pylist() for k in range(8)]
+        bands = batch.column(8).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, by.bands)
+        for k, (bucket, l, r, is_left, apart, band, doc, component) in enumerate(zip(*plain, strict=True)):  # noqa: E741
+            if block is None or block.key != (bucket, l, r):
+                if block is not None:
+                    yield from block.links()
+                block = _Block(by, (bucket, l, r), band)
+            sign, shingles = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in ((9, "<u2"), (10, "<u8")))
+            block.sides[is_left].append((doc, component, apart, bands[k].copy(), sign, shingles))
+    if block is not None:
+        yield from block.links()
+
+
+class _Block:
+    def __init__(self, by: Banding, key: tuple[int, int, int], band: int):
+        self.by, self.key, self.band, self.sides = by, key, band, {True: [], False: []}
+
+    def links(self) -> Iterator[pa.RecordBatch]:
+        """A pair is looked at in the first band it shares only, in one of the two blocks that hold it if both are apart, and not again once other links have joined it."""
+        left, right = self.sides[True], self.sides[False]
+        if not left or not right:
+            return
+        by, joined, a, b = self.by, UnionFind(), [], []
+        ids, apart, bands, signs = (np.array([x[k] for x in left]) for k in (0, 2, 3, 4))
+        for doc, component, _, mine, sign, shingles in right:
+            near = ((signs == sign).sum(1) >= by.least) & ((bands == mine).argmax(1) == self.band) & (ids != doc) & ~(apart & (ids > doc))
+            for i in np.flatnonzero(near):
+                other = left[i]
+                if joined.root(component) != joined.root(other[1]) and _link(by.percent, shingles, other[5]):
+                    joined.join(component, other[1])
+                    a.append(min(doc, other[0]))
+                    b.append(max(doc, other[0]))
+        if a:
+            yield pairs_array(a, b)
+
+
+def _many(pairs: DataFrame, name: str, part_rows: int) -> DataFrame:
+    """The values of pairs[name] with more than part_rows pairs, and the parts to meet them in: at most 1 / part_rows as many as pairs."""
+    return durable(pairs.groupBy(name).count().where(F.col("count") > part_rows).select(name, F.ceil(F.col("count") / part_rows).cast("int").alias("parts")), "many")
+
+
+def _fetch(pairs: DataFrame, table: DataFrame, name: str, other: str, many: DataFrame, broadcast_rows: int) -> DataFrame:
+    """pairs with what table has for pairs[name]. A value of very many pairs is met in parts: its row of the table is repeated once per part, and `other` deals
+    the pairs to the parts. Beyond the broadcast bound Spark's own skew join is left to split them."""
+    n = many.count()
+    if not 0 < n <= broadcast_rows:
+        return pairs.join(table, name)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(F.broadcast(many), name, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+    spread = table.join(F.broadcast(many), name, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(spread, [name, "part"]).drop("part")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -181,46 +225,72 @@ def _sets(ids: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
     return durable(arrow(texts, _blobs, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, by: Banding, broadcast_rows: int) -> DataFrame:
-    """The pairs (a, b) that link by their full sets."""
+def _side(table: DataFrame, column: str, name: str) -> DataFrame:
+    return table.select(F.col("doc_id").alias(name), F.col(column).alias(f"{column}_{name}"))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, by: Banding, broadcast_rows: int, part_rows: int) -> DataFrame:
+    """The pairs (a, b) that link by their full sets; a is the end that may have very many pairs, so its set comes last and isn't sent with each."""
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, broadcast_rows)
-    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s_{name}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-    return arrow(met, partial(_linked, by), "a long, b long")
+    met = _fetch(pairs.join(_side(sets, "shingles", "b"), "b"), _side(sets, "shingles", "a"), "a", "b", _many(pairs, "a", part_rows), broadcast_rows)
+    return arrow(met.select("a", "b", "shingles_a", "shingles_b"), partial(_linked, by), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _in_buckets(in_bands: DataFrame, broadcast_rows: int, part_rows: int) -> DataFrame:
+    """doc_id, band, bucket, least, n of all members of buckets of two or more."""
+    buckets = durable(in_bands.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    if buckets.count() <= broadcast_rows:
+        return durable(in_bands.join(F.broadcast(buckets), "bucket"), "members")
+    large = durable(buckets.where(F.col("n") > part_rows), "large")
+    if not 0 < large.count() <= broadcast_rows:
+        return durable(in_bands.join(buckets, "bucket"), "members")
+    small = in_bands.join(F.broadcast(large.select("bucket")), "bucket", "left_anti").join(buckets.where(F.col("n") <= part_rows), "bucket")
+    return durable(small.unionByName(in_bands.join(F.broadcast(large), "bucket")), "members")
+
+
+def _apart(members: DataFrame, found: DataFrame, heads: DataFrame, docs: DataFrame, by: Banding, broadcast_rows: int, chunk_bytes: int) -> DataFrame | None:
+    """Links between members of buckets of three or more that aren't one component yet; None if all are."""
+    labelled = members.where("n > 2").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    split = labelled.groupBy("bucket").agg(F.max(F.when(F.col("doc_id") == F.col("least"), F.col("component_id"))).alias("main"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
+    split = durable(split.select("bucket", "main"), "split")
+    n = split.count()
+    if not n:
+        return None
+    few = (lambda x: F.broadcast(x)) if n <= broadcast_rows else (lambda x: x)
+    rest = durable(labelled.join(few(split), "bucket").select("bucket", "band", "doc_id", "component_id", (F.col("component_id") != F.col("main")).alias("apart")), "rest")
+    sets = _sets(rest.select("doc_id").distinct(), docs, broadcast_rows)
+    whole = rest.join(heads.select("doc_id", "bands", "sign"), "doc_id").join(sets, "doc_id")
+    bytes_of = F.octet_length("shingles") + F.octet_length("sign") + 8 * by.bands
+    sizes = durable(whole.groupBy("bucket").agg(F.ceil(F.sum(bytes_of) / chunk_bytes).alias("chunks")), "sizes")
+    # chunk numbers below 0 are documents that are a chunk of their own
+    chunk = F.when(bytes_of * 8 >= chunk_bytes, -1 - F.shiftrightunsigned(F.xxhash64("doc_id"), 2)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+    rows = durable(whole.join(few(sizes), "bucket").withColumn("chunk", chunk).drop("chunks"), "rows")
+    chunks = durable(rows.groupBy("bucket", "chunk").agg(F.bool_or("apart").alias("apart")), "chunks")
+    blocks = durable(chunks.select("bucket", F.col("chunk").alias("l")).join(chunks.where("apart").select("bucket", F.col("chunk").alias("r")), "bucket"), "blocks")
+    some = F.broadcast(blocks) if blocks.count() <= broadcast_rows else blocks
+    part = lambda side, apart: rows.where(apart).join(some, (rows.bucket == some.bucket) & (rows.chunk == some[side])).drop(rows.bucket)
+    both = part("l", F.lit(True)).withColumn("is_left", F.lit(True)).unionByName(part("r", F.col("apart")).withColumn("is_left", F.lit(False)))
+    in_order = both.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r").select(*BLOCK)
+    return durable(arrow(in_order, partial(_blocks, by), "a long, b long"), "more")
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS, part_rows: int = PART_ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Documents of Jaccard similarity percent / 100 or more are linked."""
     by = banding(percent)
     signs = durable(arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), partial(_signs, by), SIGNS), "signs")
     full = signs.where("n_shingles > 0 and doc_id is not null")
     classes = durable(full.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     heads = durable(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sign"), "heads")
-    in_bands = heads.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = durable(in_bands.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = durable(in_bands.join(buckets, "bucket"), "members")
+    members = _in_buckets(heads.select("doc_id", F.posexplode("bands").alias("band", "bucket")), broadcast_rows, part_rows)
 
-    sign = lambda name: heads.select(F.col("doc_id").alias(name), F.col("sign").alias(f"sign_{name}"))
-    stars = members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    likely = durable(arrow(stars.join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "sign_a", "sign_b"), partial(_alike, by), "a long, b long"), "likely")
-    links = durable(_verify(likely, docs, by, broadcast_rows), "verified")
+    stars = durable(members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    signed = _fetch(stars.join(_side(heads, "sign", "b"), "b"), _side(heads, "sign", "a"), "a", "b", _many(stars, "a", part_rows), broadcast_rows)
+    likely = durable(arrow(signed.select("a", "b", "sign_a", "sign_b"), partial(_alike, by), "a long, b long"), "likely")
+    links = durable(_verify(likely, docs, by, broadcast_rows, part_rows), "verified")
     found = components(links)
-
-    # buckets of three or more whose members aren't one component yet
-    labelled = members.where("n > 2").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    split = labelled.groupBy("bucket").agg(F.max(F.when(F.col("doc_id") == F.col("least"), F.col("component_id"))).alias("main"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
-    rest = durable(labelled.join(split.select("bucket", "main"), "bucket"), "rest")
-    if rest.limit(1).count():
-        sets = _sets(rest.select("doc_id").distinct(), docs, broadcast_rows)
-        chunks = F.ceil(F.col("n") / CHUNK).cast("long")
-        full_rows = rest.join(heads.select("doc_id", "sign"), "doc_id").join(sets, "doc_id").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks))
-        member = F.collect_list(F.struct("doc_id", "component_id", "sign", "shingles"))
-        every = full_rows.groupBy("bucket", "band", "chunk").agg(member.alias("left"))
-        apart = full_rows.where("component_id <> main").groupBy("bucket", "chunk").agg(member.alias("right")).select("bucket", "right")
-        more = durable(arrow(every.join(apart, "bucket").select("band", "left", "right"), partial(_blocks, by), "a long, b long"), "more")
-        if more.limit(1).count():
-            links = links.union(more)
-            found = components(links)
+    more = _apart(members, found, heads, docs, by, broadcast_rows, chunk_bytes)
+    if more is not None and more.limit(1).count():
+        found = components(links.union(more))
 
     reps = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("key1", "key2", F.col("n_shingles").alias("n"), F.coalesce("component_id", "rep").alias("component"))
     met = signs.join(reps, (signs.key1 == reps.key1) & (signs.key2 == reps.key2) & (F.col("n_shingles") == F.col("n")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")

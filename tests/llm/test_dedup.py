@@ -90,8 +90,35 @@ def test_near_duplicates_across_a_bucket(spark):
             x = up[x]
         return x
 
-    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {d: root(d) for d in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # whole, in small parts and chunks, in chunks of one document each, and with shuffles in place of broadcasts
+    for options in ({}, {"part_rows": 2, "chunk_bytes": 30_000}, {"chunk_bytes": 1000}, {"broadcast_rows": 0, "part_rows": 2, "chunk_bytes": 30_000}, {"broadcast_rows": 60, "part_rows": 2}):
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs, **options).collect()}
+        assert got == {d: root(d) for d in sets}, options
+
+
+def test_near_duplicates_find_every_link(spark):
+    """Recall against brute force: 300 texts with edits that put pairs above and below the similarity."""
+    import itertools
+    import random
+
+    r = random.Random(9)
+    rows = []
+    for base in range(30):
+        text = [f"w{r.randrange(4000)}" for _ in range(r.randrange(40, 160))]
+        for _ in range(10):
+            edited = [w if r.random() > 0.018 else f"e{r.randrange(9999)}" for w in text]
+            rows.append((len(rows), " ".join(edited)))
+    sets = {d: shingle_set(t) for d, t in rows}
+    links = {(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a] == got[b] for a, b in links)
+    assert len(links) > 100 and found == len(links)
+    up = {d: d for d in sets}
+    for a, b in sorted(links):
+        low, high = sorted((up[a], up[b]))
+        up = {d: low if c == high else c for d, c in up.items()}
+    assert got == up
 
 
 def test_components_settle(spark):
