@@ -186,9 +186,38 @@ def test_mixing_is_brute_force(spark, docs, no_docs):
         taken[x.source] += x.taken
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 64 for s in order)
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mix(frame.repartition(7), shard_rows=100).collect()), key=str)
+    small = collections.Counter()
+    for x in mix(frame, shard_rows=10, section_shards=3).collect():
+        small[x.source] += x.taken
+    assert all(abs(small[s] - target[s]) <= 0.02 * target[s] + 64 for s in order)
     assert mix(docs).count() == len(cases()) and mix(no_docs).count() == 0
 
 
+def test_apportion_is_the_loop(spark):
+    """Seats by closed form equal those given one at a time to the highest quotient, with a party of nearly all votes, ties and parties without votes."""
+    from helixmill.llm.mixing import apportion
+
+    r = random.Random(12)
+    groups = []
+    for g in range(60):
+        votes = [r.choice([0, 1, 2, 3, 7, r.randrange(1, 2000)]) for _ in range(r.randrange(1, 40))]
+        if g % 3 == 0:
+            votes[0] = r.randrange(10_000, 200_000)
+        if g % 5 == 0:
+            votes = [float(v) * r.random() for v in votes]
+        groups.append((votes, r.choice([0, 1, 5, 17, 80, 400])))
+    groups += [([0, 0], 0), ([4, 4, 4], 1), ([4, 4, 4], 2), ([1] * 9 + [1000], 100), ([0.4] * 9, 3)]
+    rows = [(g, p, float(v), t) for g, (votes, t) in enumerate(groups) for p, v in enumerate(votes)]
+    got = collections.defaultdict(dict)
+    for x in apportion(spark.createDataFrame(rows, "g long, p long, v double, t long"), ["g"], "p", "v", "t", "n").collect():
+        got[x.g][x.p] = x.n
+    for g, (votes, total) in enumerate(groups):
+        seats = [0] * len(votes)
+        for _ in range(total if sum(votes) else 0):
+            seats[max(range(len(votes)), key=lambda p: (votes[p] / (2 * seats[p] + 1), -p))] += 1
+        assert [got[g][p] for p in range(len(votes))] == seats, g
+
+
 def test_html_trees_on_unseen_pages():
     model = train()
     right = whole = 0
