@@ -1,12 +1,16 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-Texts and templates become five-word shingles of alphanumeric words in lower case. A template of t shingles has windows of W shingles, W the greatest power
-of two up to min(t, 16); so has the text, one at every shingle. A window's signature is the least value of each of `BANDS` x `ROWS` hash
-functions; a band is a hash of `ROWS` of them. A window equal to a template's meets it for certain; at similarity 0.8, 8 bands of 2 meet with a chance of
-1 - (1 - 0.64) ** 8 = 0.9997. Each hit is verified: of the template's distinct shingles, the share that stands within 1.25 template lengths
+Texts and templates become five-word shingles of alphanumeric words in lower case. A template of t shingles has windows of W shingles (`window_width`); so has the text, one at every
+shingle. A window's signature is the least value of each of `BANDS` x `ROWS` hash functions; a band is a hash of `ROWS` of them. At similarity 0.8, 8 bands of 2 meet with a chance of
+1 - (1 - 0.64) ** 8 = 0.9997, equal windows for certain. Each hit is verified: of the template's distinct shingles, the share that stands within 1.25 template lengths
 around the hit must reach `CONTAINMENT`. A text of fewer shingles than a template's W has no window and goes straight to the verification, every place of it a hit.
 
-A text without any shingle of any template can't contain 0.8 of one, so it skips the windows: that loses nothing.
+W is such that a text with 0.8 of a template's shingles, its words in order, has a window equal to one of the template's, and is found for certain: a changed or left-out word costs five
+shingles, an added one four, so there are t / 20 such places at most and one run between them has 0.8 t / (t / 20 + 1) shingles or more. Texts with the words out of order
+depend on the bands. A text without any shingle of any template can't contain 0.8 of one, so it skips the windows.
+
+Templates are whole license texts (MIT, BSD, ISC, Zlib, BSL, Unlicense and others, file headers of Apache, GPL, LGPL and MPL) and one-sentence notices (`license_texts.py`). A text that holds
+the three-clause BSD license holds most of the two-clause one, so both are reported, each with its containment.
 
 Scale: one pass, no shuffle; templates are a fixed list. Work grows with a text's length, and with its hits.
 
@@ -16,6 +20,7 @@ the earliest. Repeated rows are reported alike. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,23 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from helixmill.llm._base import arrow, flat, mix
+from helixmill.llm.license_texts import TEMPLATES
 from helixmill.llm.shingles import ranges, shingles
 
-#: Notices as their licenses word them.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-}
 WIDEST, BANDS, ROWS, CONTAINMENT = 16, 8, 2, 0.8
 _BITS = 18
 
@@ -57,6 +48,12 @@ def _shingled(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, row, hashes
 
 
+def window_width(t: int) -> int:
+    """The greatest power of two up to WIDEST that a run of matching shingles reaches for certain in a text with 0.8 of t shingles."""
+    run = math.ceil(CONTAINMENT * t / (t // 20 + 1) - 1e-9)
+    return 1 << min(max(run, 1), WIDEST).bit_length() - 1
+
+
 def window_bands(hashes: np.ndarray, width: int) -> np.ndarray:
     """windows x BANDS band values of every window of width, a power of two, of one text."""
     n = len(hashes) - width + 1
@@ -91,7 +88,7 @@ class Templates:
         self.bands: dict[int, dict[int, set[int]]] = {}
         self.of_width: dict[int, list[int]] = {}
         for k, t in enumerate(self.length):
-            width = 1 << min(t, WIDEST).bit_length() - 1
+            width = window_width(t)
             self.of_width.setdefault(width, []).append(k)
             for value in window_bands(hashes[row == k], width).ravel().tolist():
                 self.bands.setdefault(width, {}).setdefault(value, set()).add(k)
@@ -110,22 +107,34 @@ class Templates:
                     spots.setdefault(k, set()).add(int(at))
         out = []
         for k, places in spots.items():
-            t = self.length[k]
-            reach = max(t, int(1.25 * t))
-            found = []
-            mine = np.flatnonzero(np.isin(hashes, self.shingles[k]))
-            for p in sorted(places):
-                for at in mine[(mine > p - reach) & (mine <= p + 1)]:
-                    inside = mine[(mine >= at) & (mine < at + reach)]
-                    found.append((len(np.unique(hashes[inside])) / len(self.shingles[k]), int(at), int(inside[-1])))
+            found = self._contained(k, hashes, np.array(sorted(places)))
             taken: list[tuple[int, int]] = []
-            for share, first, last in sorted({*found}, key=lambda x: (-x[0], x[1])):
+            for share, first, last in sorted(found, key=lambda x: (-x[0], x[1])):
                 if share >= CONTAINMENT and all(last < a or first > b for a, b in taken):
                     taken.append((first, last))
                     out.append((self.names[k], first, last, share))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+    def _contained(self, k: int, hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple[float, int, int]]:
+        """Containment, first and last shingle of each stretch around a hit that begins with a shingle of template k; shingles enter and leave one count."""
+        mine, reach = self.shingles[k], max(self.length[k], int(1.25 * self.length[k]))
+        name = np.minimum(np.searchsorted(mine, hashes), len(mine) - 1)
+        spots = np.flatnonzero(mine[name] == hashes)
+        near = np.searchsorted(places, spots + reach) > np.searchsorted(places, spots - 1)
+        counts, distinct, end = [0] * len(mine), 0, 0
+        at, names = spots.tolist(), name[spots].tolist()
+        for i, start in enumerate(at):
+            while end < len(at) and at[end] < start + reach:
+                distinct += not counts[names[end]]
+                counts[names[end]] += 1
+                end += 1
+            if near[i]:
+                yield distinct / len(mine), start, at[end - 1]
+            counts[names[i]] -= 1
+            distinct -= not counts[names[i]]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row per match: doc_id, license, first_word, last_word (of the text's alphanumeric words), containment."""
 
