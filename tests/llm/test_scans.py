@@ -132,7 +132,8 @@ def test_quality(spark, docs, no_docs):
             want = counts(texts[r.doc_id])
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
             assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
-    assert quality(docs).count() == len(cases()) and quality(no_docs).count() == 0
+    assert len(quality(docs).collect()) == len(cases()) and quality(no_docs).collect() == []
+    assert all(x.kept != x.base_failed for x in quality(docs.withColumn("lang", docs.lang.substr(9, 1)).replace("", None, ["lang"])).collect())  # no references
 
 
 def test_quality_rejects_symbols(spark):
@@ -148,13 +149,16 @@ def test_pii_patterns_are_possessive_or_bounded(kind):
     assert "++" in PATTERNS[kind] or kind in ("phone", "iban", "ssn")
 
 
+COMMON = "the of and to in is it that for on with as are was be this by at from or".split()
+
+
 def test_quality_rejects_word_salad(spark):
     """Long texts with no or few common words, or with one of them only; lengths are guarded by n_words, not by common words."""
-    from helixmill.llm.quality import COMMON, MIN_COMMON_WORDS
+    from helixmill.llm.quality import MIN_COMMON_WORDS
 
     r = random.Random(7)
     made = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) + "x"
-    prose = lambda n: " ".join(r.choice(COMMON[:20]) if r.random() < 0.35 else made() for _ in range(n))
+    prose = lambda n: " ".join(r.choice(COMMON) if r.random() < 0.35 else made() for _ in range(n))
     rows = [(i, prose(r.randint(100, 500)), "en") for i in range(200)] + [(1000, prose(3000), "en"), (1001, prose(3000), None), (1002, " ".join(made() for _ in range(12)), None)]
     salad = [made() for _ in range(3000)]
     rows += [(2000, " ".join(salad), None), (2001, " ".join(made() for _ in range(400)), "en"), (2002, " ".join(salad[:1500] + COMMON[:11] + salad[1500:]), None)]
@@ -165,6 +169,65 @@ def test_quality_rejects_word_salad(spark):
     assert all((x.common_distance is None) == (x.n_words < MIN_COMMON_WORDS) for x in got.values())
 
 
+def test_quality_distances_are_brute_force(spark):
+    """Words, references, distances to the own or the nearest language, limits and verdicts by hand."""
+    import collections
+    import math
+
+    from helixmill.llm import quality as q
+
+    r = random.Random(4)
+    letters = {"aa": "abcdefgh", "bb": "qrstuvwx", "cc": "éàbcßñ"}
+    lists = {lang: ["".join(r.choice(a) for _ in range(r.randint(1, 3))) for _ in range(25)] for lang, a in letters.items()}
+
+    def text(lang, n):
+        return " ".join(r.choice(lists[lang]) if r.random() < 0.5 else "".join(r.choice(letters[lang]) for _ in range(7)).capitalize() for _ in range(n))
+
+    rows = [(i, text(["aa", "bb", "cc"][i % 3], r.choice([3, 20, 40, 90, 200])), ["aa", "bb", "cc"][i % 3]) for i in range(150)]
+    rows += [(200, text("aa", 150), "bb"), (201, text("cc", 150), None), (202, "1234 %% " * 3 + text("bb", 60).upper(), "bb"), (203, "z" * 300, "aa"), (204, None, "aa"), (205, text("bb", 90), "dd"), (206, "", None)]
+    word = re.compile(q.WORD)
+    top, docs = collections.defaultdict(collections.Counter), {}
+    for i, t, lang in rows:
+        docs[i] = (t or "", lang)
+        if lang and t is not None:
+            top[lang].update(word.findall(t.lower()))
+    words_of = {lang: sorted(sorted(c, key=lambda w: (-c[w], w))[: q.COMMON_WORDS]) for lang, c in top.items() if c}
+
+    def classes(t):
+        kinds = [0] * 6
+        for c in t:
+            kinds[1 if c.isupper() else 0 if c.isalpha() else 2 if c in "0123456789" else 3 if c in " \t\n\v\f\r" else 4 if c in "#*$%&|<>" else 5] += 1
+        return kinds
+
+    def histogram(t, lang):
+        c = collections.Counter(word.findall(t.lower()))
+        own = [c[w] for w in words_of[lang]]
+        return [*own, c.total() - sum(own)]
+
+    share = lambda h: [x / sum(h) for x in h]
+    entropy = lambda p: -sum(x * math.log2(x) for x in p if x > 0)
+    distance = lambda p, s: math.sqrt(max(0.0, entropy([(x + y) / 2 for x, y in zip(p, s, strict=True)]) - (entropy(p) + entropy(s)) / 2))
+    failed = {i: (len(word.findall(t)) < 10 or 100 * counts(t)[4] > 20 * len(word.findall(t))) for i, (t, _) in docs.items()}
+    refs = {}
+    for lang in words_of:
+        good = [t for i, (t, own) in docs.items() if own == lang and not failed[i]]
+        if good:
+            refs[lang] = tuple(share([sum(x) for x in zip(*map(f, good), strict=True)]) for f in (classes, lambda t, lang=lang: histogram(t, lang)))
+    got = {x.doc_id: x for x in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {*refs} == {"aa", "bb", "cc", "dd"}
+    for i, (t, lang) in docs.items():
+        use = [lang] if lang in refs else [*refs]
+        want = min(distance(share(classes(t)), refs[x][0]) for x in use) if len(t) >= q.MIN_CHARS else None
+        assert (got[i].class_distance is None) == (want is None) and (want is None or abs(got[i].class_distance - want) < 1e-9), i
+        want = min(distance(share(histogram(t, x)), refs[x][1]) for x in use) if len(word.findall(t)) >= q.MIN_COMMON_WORDS else None
+        assert (got[i].common_distance is None) == (want is None) and (want is None or abs(got[i].common_distance - want) < 1e-9), i
+        assert got[i].base_failed == failed[i]
+    assert not got[200].kept and got[201].kept  # another language than its own; none of its own
+    fixed = {x.doc_id: x for x in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_common_distance=0.4).collect()}
+    for i, x in fixed.items():
+        assert x.kept == (not failed[i] and (x.class_distance or 0) <= q.MAX_CLASS_DISTANCE and (x.common_distance or 0) <= 0.4)
+
+
 def test_licenses_in_texts_shorter_than_a_window(spark):
     gpl, ccby = TEMPLATES["GPL-3.0-notice"].split(), TEMPLATES["CC-BY-SA-4.0-notice"].split()
     texts = [" ".join(gpl[:-1]), " ".join(gpl[:10]), " ".join(ccby[1:]), "x " + " ".join(gpl[:-1]), " ".join(ccby[:9])]
