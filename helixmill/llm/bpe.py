@@ -5,7 +5,7 @@ vocabulary: hash and displace, so that each of the n keys has its own of n slots
 misses, merges: the bytes form a doubly linked list, a heap holds the adjacent pairs by (rank, position), the least is merged, its
 two new neighbours enter the heap, and stale heap entries are skipped.
 
-Workers remember what they found for recent pre-tokens (at most `CACHE` of them, some 90 MB, then they start anew): frequent words cost one probe.
+Workers remember what they found for recent pre-tokens (at most `CACHE_BYTES` of them, then they start anew): frequent words cost one probe.
 
 Scale: one pass over the texts without a shuffle; only the tables of the fixed vocabulary are broadcast (some 50,000 entries, 2 MB).
 
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from helixmill.llm._base import arrow, worker_caches
 
 SCHEMA = "doc_id long, ids binary, decoded binary"
-CACHE = 400_000
+#: A task's cache of pre-tokens, in bytes with what an entry costs besides its texts.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 220
 #: Characters below this are split with re and spelled-out classes, which is twice as fast; the classes come from the regex module.
 PLAIN_BELOW = 0x250
 
@@ -121,7 +122,7 @@ class Codec(dict):
 
     def __init__(self, table: PerfectHash, pattern: str):
         super().__init__()
-        self.get_id = table.get
+        self.held, self.get_id = 0, table.get
         self.tokens = dict(zip(table.values, table.keys, strict=True))
         self.pairs = dict(zip(table.keys, table.values, strict=True)).get  # the merges' ranks
         self.split = regex.compile(pattern).findall
@@ -142,8 +143,10 @@ class Codec(dict):
         whole = self.get_id(raw)
         ids = [whole] if whole >= 0 else merge(raw, self.pairs)
         packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self) >= CACHE:
+        self.held += len(raw) + len(packed) + ENTRY_BYTES
+        if self.held > CACHE_BYTES:
             self.clear()
+            self.held = 0
         self[word] = packed
         return packed
 

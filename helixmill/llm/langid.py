@@ -13,7 +13,8 @@ their chances and sorted contexts with their escapes, looked up once per distinc
 Training reads only text and lang of documents with non-null lang that aren't held out (crc32 of doc_id as text, mod 3, is 1): the `docs_per_lang`
 documents with the least hash of doc_id of each language, a bound that doesn't grow with the corpus; those are read whole. Prediction reads text only.
 
-Scale: one narrow pass picks the sample, one pass predicts; no shuffle of texts. Broadcast: the sample's 4-byte counts, bounded by the sample.
+Scale: one narrow pass picks the sample, one pass predicts; no shuffle of texts. Broadcast: one row a language, the sample's ids (counted first) and 4-byte counts. The sample
+bounds the counts of a language; for many languages it should be smaller, as a worker holds the trees of all.
 
 Cases: null text or one without a letter gives `und`, score 0; so does every text if nothing was learned. Ties go to the first language in
 order. Rows without doc_id are predicted, never learned from, and not held out. Repeated rows are predicted alike.
@@ -28,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm._base import arrow, flat, slices, worker_caches
+from helixmill.llm._base import arrow, durable, flat, slices, worker_caches
 
 DOCS_PER_LANG = 1500
-MAX_LANGUAGES = 1000
+#: The sample's ids are broadcast up to this many.
+BROADCAST_ROWS = 500_000
 ORDER = 3
 #: Tables of more cells are kept sparsely.
 MAX_CELLS = 40_000_000
@@ -205,16 +207,12 @@ def _has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """4-byte counts per language over the sample."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    size = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(size) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: lang is no language column")
-    if not size:
-        return {}
-    # a hash bound leaves about twice the sample of the rarest cut; the window then cuts each language exactly
-    part = F.create_map(*(F.lit(x) for lang, n in size.items() for x in (lang, min(1.0, 2.0 * docs_per_lang / n))))[F.col("lang")]
-    near = ids.where((F.col("h") / F.lit(2.0**64) + 0.5) <= part)
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    # a hash bound leaves about twice the sample of each language; the window then cuts each exactly
+    near = ids.join(F.broadcast(sizes), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 2.0 * docs_per_lang)
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= docs_per_lang)
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(best.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    chosen = durable(best.select("doc_id", "lang").distinct(), "chosen")
+    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
     rows = arrow(sample, _count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return {lang: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in rows.groupby("lang")}
 

@@ -38,6 +38,16 @@ def test_codec_is_tiktoken(ranks):
         assert codec.decode(ids) == t.encode()
 
 
+def test_codec_with_a_small_cache(ranks, monkeypatch):
+    from helixmill.llm import bpe
+
+    codec, texts = Codec(PerfectHash(ranks), P.PATTERN), [words(k, 200) + " " + "q" * 3000 for k in range(20)]
+    whole = [codec.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
+    small = Codec(PerfectHash(ranks), P.PATTERN)
+    assert [small.encode(t) for t in texts] == whole and small.held <= 5000 + 20_000
+
+
 def test_merge_is_brute_force(ranks):
     def brute(word):
         parts = [bytes([b]) for b in word]
@@ -159,6 +169,16 @@ def test_language_id_held_out(spark, docs, no_docs):
     assert all(r.lang_pred == "und" and r.score == 0 for r in nothing)
 
 
+def test_language_id_of_very_many_languages(spark):
+    """More than a thousand values of lang, and the sample's ids met by a shuffle, give what few do."""
+    r = random.Random(3)
+    texts = {f"{k:04}": "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(3)) for k in range(1100)}
+    rows = [(3 * k + j, " ".join([t] * 3), lang) for k, (lang, t) in enumerate(texts.items()) for j in range(3)]
+    got = {x.doc_id: x for x in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    learned = {lang for i, _, lang in rows if not got[i].held_out}
+    assert len(learned) > 1000 and all(got[i].lang_pred == lang for i, _, lang in rows if lang in learned)
+
+
 def test_mixing_is_brute_force(spark, docs, no_docs):
     r = random.Random(2)
     rows = [(i, words(i, r.randrange(0, 60)), r.choice(["b", "a", "b", "b", "c", None])) for i in range(900)]
