@@ -1,4 +1,4 @@
-"""Removal of every byte that lies in a 200-byte string which also starts elsewhere: blockwise suffix sorting over a cover sample.
+"""Removal of every byte that lies in a 200-byte string which also starts elsewhere: blockwise sorting of a cover sample's hashed spans.
 
 Difference-cover suffix sorting chooses a sample of suffixes such that any two equal strings of the wanted length hold sampled suffixes at the same
 offset, ranks the sample once, sorts one bucket of suffixes at a time, and settles suffixes that tie for long by the sample's ranks. Here the sample and the buckets
@@ -19,7 +19,7 @@ shuffled at the first level. Texts move once, packed, to meet their spans; they
 outgrow the broadcast bound.
 
 Cases: null text counts as empty. A text under 200 bytes keeps all its bytes. Repeated rows are copies, so both lose their repeated bytes. Rows without
-doc_id are texts like others. Rows are told apart by a 64-bit hash of doc_id and text. Other columns are not read.
+doc_id are texts like others. Rows are told apart by hashes of doc_id and text, 64 bits and 64 more where these collide. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -196,10 +196,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in (total, removed, spans)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+def _keyed(docs: DataFrame, key_bits: int) -> DataFrame:
+    """key, doc_id, text: a key is a hash of a row's doc_id and text, and another one in rows whose key other rows than their copies have. (Of 5e10 rows some 70 pairs share a 64-bit hash.)"""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(F.col("doc_id"), text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    hashes = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), text), 64 - key_bits).alias("key"), F.xxhash64(F.lit(1), F.col("doc_id"), text).alias("other")
+    texts = docs.select(*hashes, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    doubt = durable(texts.groupBy("key").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("key", F.lit(True).alias("shared")), "doubt")
+    n = doubt.count()
+    if n:
+        texts = texts.join(F.broadcast(doubt) if n <= BROADCAST_ROWS else doubt, "key", "left").withColumn("key", F.when(F.col("shared"), F.col("other")).otherwise(F.col("key")))
+    return texts.select("key", "doc_id", "text")
+
+
+def remove_repeats(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, key_bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+    texts = _keyed(docs, key_bits)
     levels = [durable(_settle(arrow(texts.select("key", "text"), _samples, ROW)), "level")]
     for outer, span in zip(SPANS, SPANS[1:], strict=False):
         probes = levels[-1].where("probe").groupBy("key").agg(F.collect_list("place").alias("places"))

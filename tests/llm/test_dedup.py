@@ -146,6 +146,8 @@ def test_repeats_are_brute_force(docs, no_docs):
     want = sorted(((d if d is not None else -1), *x) for (d, *_), x in zip(rows, brute_removal([r[1] for r in rows])))
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs).collect())
     assert got == want
+    # nearly all rows share a key of three bits, so they get another
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs, key_bits=3).collect()) == want
     assert remove_repeats(no_docs).count() == 0
 
 
