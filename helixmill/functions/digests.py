@@ -39,3 +39,9 @@ def pick(draw: Column, weights: dict[str, float]) -> Column:
         seen += weight / total
         out = (F if out is None else out).when(draw < F.lit(seen), name)
     return out.otherwise(list(weights)[-1]) if out is not None else F.lit(next(iter(weights)))
+
+
+def draw(seed: str, ident: Column, n: Column | int) -> Column:
+    """A whole number from 0 to n - 1: the first 60 bits of sha256(seed:ident) modulo n."""
+    first = F.conv(F.substring(priority(seed, ident), 1, 15), 16, 10).cast("long")
+    return first % (F.lit(n) if isinstance(n, int) else n)

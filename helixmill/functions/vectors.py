@@ -69,3 +69,10 @@ def mean_pool(rows: Column, first: Column, last: Column) -> Column:
     part = F.slice(rows, first + 1, last - first + 1)
     total = F.aggregate(part, F.transform(F.element_at(rows, 1), lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda p, q: p + q.cast("double")))
     return F.transform(total, lambda x: (x / F.size(part)).cast("float"))
+
+
+def pool(tokens: Column, first: Column, last: Column, *, centre: Column | None = None, radius: int = 0) -> Column:
+    """Mean of the content tokens first to last, or of those within `radius` of the centre that are content."""
+    if centre is None:
+        return mean_pool(tokens, first, last)
+    return mean_pool(tokens, F.greatest(first, centre - radius), F.least(last, centre + radius))

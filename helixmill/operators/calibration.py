@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.digests import priority
+from helixmill.operators.ranking import seeded_rank
 
 
 def bucket_samples(rows: DataFrame, seed: str, limit: int) -> DataFrame:
     """(bucket_id, value): rows of id, chain, value exploded to their chain; of each bucket the `limit` first in a seeded order."""
     many = rows.select("id", F.explode("chain").alias("bucket_id"), "value")
-    order = Window.partitionBy("bucket_id").orderBy(priority(seed, F.concat_ws(":", "bucket_id", "id")))
-    return many.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit).select("bucket_id", "value")
+    return seeded_rank(many, ["bucket_id"], priority(seed, F.concat_ws(":", "bucket_id", "id")), "id", "rn").where(F.col("rn") <= limit).select("bucket_id", "value")
 
 
 def calibrate(samples: DataFrame, grid: int) -> DataFrame:

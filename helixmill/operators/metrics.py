@@ -2,29 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import math
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def average_rank(value: str, by: list[str] | None = None) -> Column:
-    """Rank with ties at their mean. Ungrouped ranks need all rows in one order, so global metrics go through rank_sums, which doesn't."""
-    order, ties = Window.partitionBy(*(by or [])).orderBy(value), Window.partitionBy(*(by or []), value)
-    return F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0)
+from helixmill.functions.digests import priority
+from helixmill.operators.ranking import met, running, seeded_rank, value_bin, value_ranks
 
 
 def auroc(rows: DataFrame, by: list[str]) -> DataFrame:
     """Mann-Whitney with ties at half. Rows are first summed per distinct score, so the running sum sees each score once."""
     sums = rows.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    one = sums.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    wins = F.sum(F.col("p") * (F.col("under") + F.col("n") / F.lit(2.0)))
+    return _wins(sums, by)
+
+
+def _wins(sums: DataFrame, by: list[str]) -> DataFrame:
+    one = running(sums, by, value_bin(F.col("score").cast("double")), ["score"], upto=F.col("n"))
+    wins = F.sum(F.col("p") * (F.col("upto") - F.col("n") / F.lit(2.0)))
     return one.groupBy(*by).agg((wins / F.nullif(F.sum("p") * F.sum("n"), F.lit(0)).cast("double")).alias("auroc"), F.sum(F.col("p") + F.col("n")).alias("n"))
 
 
 def average_precision(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Stable descending order: ties by id."""
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumn("hits", F.sum("label").over(order)).withColumn("at", F.count("*").over(order))
+    """Stable descending order: ties by id. (Rows of scores within a 64th of an octave are sorted together.)"""
+    seen = running(rows, by, -value_bin(F.col("score").cast("double")), [F.desc("score"), "id"], hits=F.col("label"), at=F.lit(1))
     return seen.groupBy(*by).agg((F.sum(F.when(F.col("label") == 1, F.col("hits") / F.col("at").cast("double"))) / F.nullif(F.sum("label"), F.lit(0)).cast("double")).alias("average_precision"))
 
 
@@ -36,13 +37,15 @@ def threshold_metrics(rows: DataFrame, threshold: float, by: list[str]) -> DataF
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Pearson correlation of average ranks; null where a side is constant."""
-    ranked = rows.select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
+    """Pearson correlation of average ranks; null where a side is constant. Equal pairs are counted first."""
+    pairs = rows.groupBy(*by, x, y).agg(F.count("*").cast("double").alias("c"))
+    ranked = met(met(pairs, value_ranks(rows, by, x, "rx").drop("n"), [*by, x]), value_ranks(rows, by, y, "ry").drop("n"), [*by, y])
     moved = F.when((F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry")), F.lit(True))
-    sx, sy, n = F.sum("rx"), F.sum("ry"), F.count("*").cast("double")
-    top = F.sum(F.col("rx") * F.col("ry")) - sx * sy / n
-    vx, vy = F.sum(F.col("rx") * F.col("rx")) - sx * sx / n, F.sum(F.col("ry") * F.col("ry")) - sy * sy / n
-    return ranked.groupBy(*by).agg(F.when(moved, top / F.sqrt(F.nullif(vx * vy, F.lit(0.0)))).alias("spearman"), F.count("*").alias("n"))
+    total = lambda e: F.sum(F.col("c") * e)
+    rx, ry, n = F.col("rx"), F.col("ry"), F.sum("c")
+    top = total(rx * ry) - total(rx) * total(ry) / n
+    vx, vy = total(rx * rx) - total(rx) * total(rx) / n, total(ry * ry) - total(ry) * total(ry) / n
+    return ranked.groupBy(*by).agg(F.when(moved, top / F.sqrt(F.nullif(vx * vy, F.lit(0.0)))).alias("spearman"), n.cast("long").alias("n"))
 
 
 def join_scores(scores: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
@@ -52,22 +55,38 @@ def join_scores(scores: DataFrame, labels: DataFrame, key: list[str]) -> DataFra
     return a.join(b, key, "full_outer").withColumn("state", state).drop("_l", "_s")
 
 
+def equal_fields(scores: DataFrame, receipts: DataFrame, key: str, fields: list[str], how: str = "inner") -> DataFrame:
+    """key, equal (all fields alike, nulls included) and state: verified, mismatched, missing_receipt or extra_receipt."""
+    a = scores.select(key, F.struct(*fields).alias("_s"))
+    b = receipts.select(key, F.struct(*fields).alias("_r"))
+    equal = F.col("_s").eqNullSafe(F.col("_r"))
+    state = F.when(F.col("_s").isNull(), "extra_receipt").when(F.col("_r").isNull(), "missing_receipt").when(equal, "verified").otherwise("mismatched")
+    return a.join(b, key, how).select(key, equal.alias("equal"), state.alias("state"))
+
+
 def folds(rows: DataFrame, k: int, seed: str, by: str = "label") -> DataFrame:
     """Stratified folds: round robin in a seeded order within each class."""
-    order = Window.partitionBy(by).orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256))
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    return seeded_rank(rows, [by], priority(seed, F.col("id")), "id", "fold").withColumn("fold", (F.col("fold") - 1) % k)
 
 
-def bootstrap(rows: DataFrame, replicates: int, seed: str) -> DataFrame:
-    """Rows with (replicate, copies): each row's number of draws is Poisson(1) from a hash, the usual large-sample stand-in for n draws with replacement, so no row
-    number, shuffle or driver loop is needed. Rows without a draw are left out."""
-    draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("id").cast("string")), 256), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
-    cuts, p, total = [], 0.36787944117144233, 0.0
+def _poisson_cuts() -> list[float]:
+    cuts, p, total = [], math.exp(-1), 0.0
     for k in range(1, 9):
         total += p
         cuts.append(total)
         p /= k
-    copies = sum(F.when(F.col("draw") >= c, 1).otherwise(0) for c in cuts)
+    return cuts
+
+
+#: A uniform draw at or above the k-th means k copies or more.
+POISSON_CUTS = _poisson_cuts()
+
+
+def bootstrap(rows: DataFrame, replicates: int, seed: str) -> DataFrame:
+    """Rows with (replicate, copies): each row's number of draws is Poisson(1) from a hash, the usual large-sample stand-in for n draws with replacement, so no row
+    number, shuffle or driver loop is needed. Rows without a draw are left out."""
+    draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("id").cast("string")), 256), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    copies = sum(F.when(F.col("draw") >= c, 1).otherwise(0) for c in POISSON_CUTS)
     many = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", draw)
     return many.withColumn("copies", copies).where("copies > 0").drop("draw")
 
@@ -76,6 +95,14 @@ def bootstrap_auroc(rows: DataFrame, replicates: int, seed: str) -> DataFrame:
     """AUROC of each replicate, weighted by copies."""
     drawn = bootstrap(rows, replicates, seed)
     sums = drawn.groupBy("replicate", "score").agg(F.sum(F.col("label") * F.col("copies")).alias("p"), F.sum((1 - F.col("label")) * F.col("copies")).alias("n"))
-    below = Window.partitionBy("replicate").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    one = sums.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    return one.groupBy("replicate").agg((F.sum(F.col("p") * (F.col("under") + F.col("n") / F.lit(2.0))) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0)).cast("double")).alias("auroc"))
+    return _wins(sums, ["replicate"]).select("replicate", "auroc")
+
+
+def permutation_p(rows: DataFrame, permutations: int, seed: str) -> DataFrame:
+    """p_value: (hits + 1) / (permutations + 1), where a hit is a relabeling whose positives' scores sum to no less than the real ones. Relabeling k takes as positive
+    the rows that come first in the order of sha256(seed:k:id), as many as there are."""
+    real = rows.agg(F.sum("label").alias("positives"), F.sum(F.col("label") * F.col("score")).alias("seen"))
+    many = rows.select("id", "score", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k"))
+    ranked = seeded_rank(many, ["k"], priority(seed, F.concat_ws(":", "k", "id")), "id", "at")
+    sums = ranked.join(F.broadcast(real)).groupBy("k").agg(F.sum(F.when(F.col("at") <= F.col("positives"), F.col("score")).otherwise(0)).alias("drawn"), F.first("seen").alias("seen"))
+    return sums.agg(((F.count_if(F.col("drawn") >= F.col("seen")) + 1) / (F.count("*") + 1).cast("double")).alias("p_value"))

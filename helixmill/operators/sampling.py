@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.digests import pick, priority, uniform
+from helixmill.operators.ranking import met, seeded_rank
+from helixmill.scratch import few
 
 
 def fraction(rows: DataFrame, ident: str, share: float, seed: str) -> DataFrame:
@@ -18,17 +20,16 @@ def first_k(rows: DataFrame, ident: str, k: int, seed: str) -> DataFrame:
 
 
 def first_k_per(rows: DataFrame, by: list[str], ident: str, k: int, seed: str) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(priority(seed, F.col(ident)), ident)
-    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    return seeded_rank(rows, by, priority(seed, F.col(ident)), ident, "_r").where(F.col("_r") <= k).drop("_r")
 
 
 def stratified_cap(rows: DataFrame, by: str, ident: str, cap: int, seed: str) -> DataFrame:
     """At most about cap rows, classes in proportion (half-even rounding), at least one of each."""
-    whole, one = Window.partitionBy(), Window.partitionBy(by)
-    order = Window.partitionBy(by).orderBy(priority(seed, F.col(ident)), ident)
-    counts = rows.groupBy(by).agg(F.count("*").alias("_n")).withColumn("_all", F.sum("_n").over(whole))
+    counts = few(rows.groupBy(by).agg(F.count("*").alias("_n")), "classes")
+    total = counts.agg(F.sum("_n").alias("_all"))
     quota = F.when(F.col("_all") <= cap, F.col("_n")).otherwise(F.greatest(F.lit(1), F.bround(F.lit(float(cap)) * F.col("_n") / F.col("_all"))))
-    return rows.withColumn("_r", F.row_number().over(order)).join(counts.select(by, quota.alias("_q")), by).where("_r <= _q").drop("_r", "_q")
+    ranked = seeded_rank(rows, [by], priority(seed, F.col(ident)), ident, "_r")
+    return met(ranked, counts.join(F.broadcast(total)).select(by, quota.alias("_q")), [by]).where("_r <= _q").drop("_r", "_q")
 
 
 def categorical(rows: DataFrame, ident: str, weights: dict[str, float], seed: str, name: str) -> DataFrame:
@@ -38,5 +39,5 @@ def categorical(rows: DataFrame, ident: str, weights: dict[str, float], seed: st
 def balanced(rows: DataFrame, flag: str, ident: str, limit: int, seed: str) -> DataFrame:
     """Half positives, the rest negatives, in seeded order."""
     half = limit // 2
-    order = Window.partitionBy(flag).orderBy(priority(seed, F.col(ident)), ident)
-    return rows.withColumn("_r", F.row_number().over(order)).where(F.when(F.col(flag) == 1, F.col("_r") <= half).otherwise(F.col("_r") <= limit - half)).drop("_r")
+    ranked = seeded_rank(rows, [flag], priority(seed, F.col(ident)), ident, "_r")
+    return ranked.where(F.when(F.col(flag) == 1, F.col("_r") <= half).otherwise(F.col("_r") <= limit - half)).drop("_r")

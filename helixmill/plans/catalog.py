@@ -66,23 +66,6 @@ def c10(spark, sf_dir):
     return keys.join(other, "k").where("role < right_role").groupBy(F.col("role").alias("left_role"), "right_role").agg(F.count("*").alias("shared"))
 
 
-@query("C10_region_overlaps", "select count(*) as n from (select distinct a.id, b.id from w a join w b on a.chrom = b.chrom and a.start_bp < b.end_bp and b.start_bp < a.end_bp where a.chrom in ('20', '21') and b.id % 8 = 1 and a.id % 8 = 2)", "w")
-def c10_regions(spark, sf_dir):
-    w = windows(spark, sf_dir)
-    return intervals.overlapping_pairs(w.where("chrom in ('20', '21') and id % 8 = 2"), w.where("id % 8 = 1")).agg(F.count("*").alias("n"))
-
-
-@query("W2_average_rank", "select id, rank() over (partition by grp order by score) + (count(*) over (partition by grp, score) - 1) / cast(2 as double) as rank from sl", "sl")
-def w2(spark, sf_dir):
-    return scored(spark, sf_dir).select("id", metrics.average_rank("score", ["grp"]).alias("rank"))
-
-
-@query("W3_cumulative_positives", "select id, cast(sum(label) over (partition by grp order by score desc, id rows unbounded preceding) as bigint) as hits from sl", "sl")
-def w3(spark, sf_dir):
-    order = Window.partitionBy("grp").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return scored(spark, sf_dir).select("id", F.sum("label").over(order).cast("long").alias("hits"))
-
-
 @query("A15_sparse_buckets", "select grp as bucket_id, count(*) as n, case when count(*) < 60 then 'backs_off' else 'low_confidence' end as warning from sl group by grp having count(*) < 100", "sl")
 def a15(spark, sf_dir):
     per = scored(spark, sf_dir).groupBy(F.col("grp").alias("bucket_id")).agg(F.count("*").alias("n")).where("n < 100")
@@ -114,12 +97,6 @@ def a22(spark, sf_dir):
     return spark.createDataFrame([(int(np.searchsorted(total, q)) + 1, q) for q in (0.5, 0.9)], "components int, share double")
 
 
-@query("A24_ridge", "select round(regr_slope(value, score), 4) as slope, round(regr_intercept(value, score), 3) as intercept from sl", "sl")
-def a24(spark, sf_dir):
-    slope, intercept = research.ridge(scored(spark, sf_dir), ["score"], "value", 0.0)
-    return spark.createDataFrame([(round(float(slope), 4), round(float(intercept), 3))], "slope double, intercept double")
-
-
 @query("G22_gaussian_kl")
 def g22(spark, sf_dir):
     return spark.createDataFrame([(research.gaussian_kl(pairs(spark, sf_dir), "x", 64),)], "kl double")
@@ -160,16 +137,6 @@ def t6(spark, sf_dir):
     return first_k(scored(spark, sf_dir), "id", 30, "11").select("id")
 
 
-@query("SM4_synthetic_snvs")
-def sm4(spark, sf_dir):
-    """Two edits a sequence of 512 bases or more, at least 64 from its ends, from the id's hash; never the base that is there."""
-    s = sequences(spark, sf_dir).where("length(seq) >= 512").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-    at = (F.pmod(F.xxhash64("id", "k"), F.length("seq") - 128) + 64).cast("int")
-    placed = s.withColumn("rel_pos", at).withColumn("ref", F.substring("seq", F.col("rel_pos") + 1, F.lit(1))).where("ref <> 'N'")
-    shift = F.pmod(F.xxhash64("id", "k", F.lit("alt")), F.lit(3)).cast("int") + 1
-    return placed.select("id", "rel_pos", "ref", F.substring(F.replace(F.lit("ACGT"), F.col("ref"), F.lit("")), shift, F.lit(1)).alias("alt"))
-
-
 @query("C9_evaluation", "select count(*) as n, cast(sum(label) as bigint) as positives, round((select sum(case when p.score > q.score then cast(1 as double) when p.score = q.score then cast(0.5 as double) else 0 end) / count(*) from sl p, sl q where p.label = 1 and q.label = 0), 6) as auroc from sl", "sl")
 def c9(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("split", F.lit("eval"))
@@ -177,26 +144,7 @@ def c9(spark, sf_dir):
     return counts.join(metrics.auroc(s, ["split"]).drop("n"), "split").select("n", "positives", r("auroc").alias("auroc"))
 
 
-@query("C16_receipts", "select count(*) filter (score = 7 and id % 2 = 0) as mismatched, count(*) as n from sl", "sl")
-def c16(spark, sf_dir):
-    s = scored(spark, sf_dir).select("id", "score", "value")
-    receipts = s.select("id", F.when((F.col("score") == 7) & (F.col("id") % 2 == 0), F.lit(-1.0)).otherwise(F.col("score")).alias("r_score"), F.col("value").alias("r_value"))
-    same = F.col("score").eqNullSafe(F.col("r_score")) & F.col("value").eqNullSafe(F.col("r_value"))
-    return s.join(receipts, "id").agg(F.count_if(~same).alias("mismatched"), F.count("*").alias("n"))
-
-
 @query("C17_collapse_alerts", "select split, round(avg(vp), 6) < 0.9 as low_variance, count(*) as dims from (select split, i, var_pop(v) as vp from (select split, unnest(x) as v, unnest(range(64)) as i from e) group by split, i) group by split", "e")
 def c17(spark, sf_dir):
     many = pairs(spark, sf_dir).select("split", F.posexplode("x").alias("i", "v"))
     return many.groupBy("split", "i").agg(F.var_pop("v").alias("vp")).groupBy("split").agg((r(F.avg("vp")) < 0.9).alias("low_variance"), F.count("*").alias("dims"))
-
-
-@query("C8_scoring", "select id, round(least(1, sqrt(power(x[1] - y[1], 2) + power(x[2] - y[2], 2)) / 4), 5) as sigma_calibrated from e", "e")
-def c8(spark, sf_dir):
-    """Raw distance of two components, then its percentile on an even grid from 0 to 4."""
-    from helixmill.functions.vectors import region_l2
-
-    grid = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: i / F.lit(2.0))
-    cdf = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: i / F.lit(8.0))
-    raw = pairs(spark, sf_dir).select("id", region_l2(F.col("x"), F.col("y"), [0, 1]).alias("sigma_raw"))
-    return raw.select("id", r(calibration.percentile_on_grid(F.col("sigma_raw"), grid, cdf), 5).alias("sigma_calibrated"))

@@ -123,22 +123,6 @@ def j18(spark, sf_dir):
     return miss.agg(F.count_distinct("l_partkey").alias("missing"), F.count("*").alias("requests"))
 
 
-@query("J19_receipt_equality", "select count(*) filter (nullif(score, 7) is not distinct from nullif(score, 7) and value is not distinct from case when id % 9 = 0 then null else value end) as equal, count(*) as n from sl", "sl")
-def j19(spark, sf_dir):
-    left = F.nullif(F.col("score"), F.lit(7.0))
-    same = left.eqNullSafe(left) & F.col("value").eqNullSafe(F.when(F.col("id") % 9 != 0, F.col("value")))
-    return scored(spark, sf_dir).agg(F.count_if(same).alias("equal"), F.count("*").alias("n"))
-
-
-@query("J20_pairwise_mean", f"select round(avg({_L2}), 6) as mean_distance, count(*) as n from (select a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on a.vec_id < b.vec_id and a.label = b.label where a.vec_id < 128 and b.vec_id < 128)")
-def j20(spark, sf_dir):
-    # within a batch of 128 vectors, as the monitor takes them; pairs of one label
-    e = read(spark, sf_dir, "embeddings").where("vec_id < 128").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    other = e.select(F.col("vec_id").alias("other"), "label", F.col("x").alias("y"))
-    met = e.join(other, "label").where("vec_id < other")
-    return met.agg(r(F.avg(vectors.l2(F.col("x"), F.col("y")))).alias("mean_distance"), F.count("*").alias("n"))
-
-
 @query("A19_class_controls", "select round(sum(auroc * n) / sum(n), 6) as weighted_auroc from (select grp, sum(case when p.score > q.score then cast(1 as double) when p.score = q.score then cast(0.5 as double) else 0 end) / count(*) as auroc, (select count(*) from sl s where s.grp = p.grp) as n from sl p join sl q using (grp) where p.label = 1 and q.label = 0 group by grp)", "sl")
 def a19(spark, sf_dir):
     per = metrics.auroc(scored(spark, sf_dir), ["grp"]).where("auroc is not null")
@@ -171,12 +155,6 @@ def a34(spark, sf_dir):
     return both.groupBy("metric").agg(F.count("*").alias("n"), r(F.min("value")).alias("value")).where("n > 1")
 
 
-@query("T5_stratified_cap", "select count(*) as n from sl", "sl")
-def t5(spark, sf_dir):
-    # at a cap over the number of rows all stay; smaller caps are tested in the unit tests
-    return sampling.stratified_cap(scored(spark, sf_dir), "grp", "id", 1_000_000, "7").agg(F.count("*").alias("n"))
-
-
 @query("T8_first_windows", "select id from w order by id limit 25", "w")
 def t8(spark, sf_dir):
     return windows(spark, sf_dir).select("id").orderBy("id").limit(25)
@@ -196,12 +174,6 @@ def h6(spark, sf_dir):
 _DIGIT = "(position(substr(k, {0}, 1) in 'ATCG') - 1)"
 
 
-@query("G5_kmer_ids", "select id, case when position('N' in k) > 0 then -1 else " + " + ".join(f"{4 ** (6 - i)} * {_DIGIT.format(i)}" for i in range(1, 7)) + " end as first_kmer from (select id, substr(seq, 1, 6) as k from dseq where length(seq) >= 6)", "dseq")
-def g5(spark, sf_dir):
-    s = sequences(spark, sf_dir).where("length(seq) >= 6")
-    return s.select("id", F.element_at(dna.kmer_ids(F.substring("seq", 1, 60)), 1).cast("long").alias("first_kmer"))
-
-
 @query("G8_G9_buckets", "select id, case when id % 3 = 0 then 'coding' when id % 3 = 1 then 'intron' else 'other' end || '|' || case when label = 1 then 'high' else 'low' end || '|none' as bucket_id from sl", "sl")
 def g8(spark, sf_dir):
     groups = [("coding", ("missense_variant", "synonymous_variant")), ("intron", ("intron", "intron_variant"))]
@@ -217,12 +189,6 @@ def g11(spark, sf_dir):
     return scored(spark, sf_dir).select("id", r(calibration.percentile_on_grid(F.col("score"), grid, cdf)).alias("percentile"))
 
 
-@query("G15_normalised", "select id, round(sqrt(list_sum(list_transform(x, lambda q: q * q))) / sqrt(list_sum(list_transform(x, lambda q: q * q))), 3) as size, round(x[1] / sqrt(list_sum(list_transform(x, lambda q: q * q))), 4) as first from e", "e")
-def g15(spark, sf_dir):
-    n = pairs(spark, sf_dir).select("id", vectors.normalised(F.col("x")).alias("u"))
-    return n.select("id", r(vectors.norm(F.col("u")), 3).alias("size"), r(F.element_at("u", 1).cast("double"), 4).alias("first"))
-
-
 @query("G18_edit_cost", "select source_row_id, case when ref = alt then 0 else 1 end as cost from v", "v")
 def g18(spark, sf_dir):
     return variants(spark, sf_dir).select("source_row_id", dna.edit_cost(F.col("ref"), F.col("alt")).alias("cost"))
@@ -239,11 +205,6 @@ def g21(spark, sf_dir):
     return pairs(spark, sf_dir).select("id", r(vectors.prediction_loss(F.col("x"), F.col("y"))).alias("loss"))
 
 
-@query("ST2_epochs", "select epoch, count(*) as n from w cross join range(3) t(epoch) group by epoch", "w")
-def st2(spark, sf_dir):
-    return epochs(windows(spark, sf_dir), 3, "7", "id").groupBy(F.col("epoch").cast("long").alias("epoch")).agg(F.count("*").alias("n"))
-
-
 @query("ST4_not_done", "select id from w where id % 4 <> 0", "w")
 def st4(spark, sf_dir):
     w = windows(spark, sf_dir)
@@ -253,32 +214,3 @@ def st4(spark, sf_dir):
 @query("C1_placed_windows", "select chrom, start_bp, start_bp + 512 as end_bp, count(*) as variant_count from (select distinct chrom, greatest(0, least(pos - 1 - 256, 1000000000 - 512)) as start_bp from v) w join v using (chrom) where w.start_bp < v.pos and v.pos <= w.start_bp + 512 group by 1, 2 having count(*) >= 12", "v")
 def c1(spark, sf_dir):
     return scoring.placed_windows(variants(spark, sf_dir), F.lit(1_000_000_000), window=512, least=12)
-
-
-@query("C6_training_tuples", "select count(*) as tuples, count(distinct id) as windows from w, range(8)", "w")
-def c6(spark, sf_dir):
-    # eight tuples a window, whatever mix of real and synthetic edits
-    source = F.when(F.col("source") == "R", "clinvar").otherwise("gnomad")
-    made = scoring.training_tuples(windows(spark, sf_dir), variants(spark, sf_dir).withColumn("edit_source", source), seed="7")
-    return made.agg(F.count("*").alias("tuples"), F.count_distinct("id").alias("windows"))
-
-
-@query("A25_paired_bootstrap")
-def a25(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    a = metrics.bootstrap_auroc(s, 50, "7").select("replicate", F.col("auroc").alias("a"))
-    b = metrics.bootstrap_auroc(s.withColumn("score", F.col("value")), 50, "7").select("replicate", F.col("auroc").alias("b"))
-    d = a.join(b, "replicate").select((F.col("a") - F.col("b")).alias("d"))
-    return d.agg(r(F.percentile("d", 0.025)).alias("lo"), r(F.percentile("d", 0.5)).alias("mid"), r(F.percentile("d", 0.975)).alias("hi"))
-
-
-@query("A27_permutation_p")
-def a27(spark, sf_dir):
-    """(hits + 1) / (n + 1) over 100 relabelings by hash order; the statistic is the sum of scores of positives."""
-    s = scored(spark, sf_dir).select("id", "label", "score")
-    many = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    by_hash = Window.partitionBy("k").orderBy(F.xxhash64("k", "id"), "id")
-    positives = s.agg(F.sum("label").alias("p"), F.sum(F.col("label") * F.col("score")).alias("seen"))
-    drawn = many.withColumn("at", F.row_number().over(by_hash)).join(F.broadcast(positives)).where("at <= p")
-    sums = drawn.groupBy("k").agg(F.sum("score").alias("drawn"), F.first("seen").alias("seen"))
-    return sums.agg(((F.count_if(F.col("drawn") >= F.col("seen")) + 1) / (F.count("*") + 1).cast("double")).alias("p_value"))

@@ -77,3 +77,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAN").alias("seq"))
+
+
+def draw_sql(ident: str, n: int | str, seed: str = "7") -> str:
+    """SQL of functions.digests.draw for an SQL text expression."""
+    return f"cast(('0x' || substr(sha256('{seed}:' || {ident}), 1, 15))::ubigint % ({n}) as bigint)"

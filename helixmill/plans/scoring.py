@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.digests import priority
+from helixmill.functions.digests import draw, priority
 from helixmill.operators.intervals import variants_in_windows, windows_off
 
 #: Tuples a window gives per source.
@@ -44,7 +45,7 @@ def training_tuples(windows: DataFrame, edits: DataFrame, *, seed: str, quota: d
     have = real.groupBy("id", "edit_source").agg(F.count("*").alias("have"))
     short = wanted.join(have, ["id", "edit_source"], "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < want")
     made = short.withColumn("slot", F.explode(F.sequence(F.col("have").cast("int") + 1, F.col("want"))))
-    spot = F.pmod(F.xxhash64(F.lit(seed), "id", "edit_source", "slot"), F.col("span") - 128) + 64
+    spot = draw(seed, F.concat_ws(":", "id", "edit_source", "slot"), F.col("span") - 128) + 64
     synthetic = made.select("id", F.when(F.col("edit_source") == "indel", "indel").otherwise("snv").alias("edit_source"), F.lit(None).cast("long").alias("source_row_id"), spot.alias("rel_pos"), "slot")
     return real.unionByName(synthetic)
 
@@ -84,3 +85,51 @@ def cross_entropy_plan(candidates: Callable[[int, dict], DataFrame], objective:
         counts = {x["kind"]: x["count"] for x in best.groupBy("kind").count().collect()}
         weights = {kind: smoothing * weights.get(kind, 1.0 / max(1, len(counts))) + (1 - smoothing) * n / elites for kind, n in counts.items()}
     return best, weights
+
+
+def refit(elites: DataFrame, column: str, before: dict[str, float], smoothing: float) -> DataFrame:
+    """name, weight: the old weights smoothed with the elites' shares; one row a name."""
+    shares = elites.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n"))
+    old = elites.sparkSession.createDataFrame(list(before.items()), "name string, old double")
+    whole = elites.agg(F.count("*").alias("all"))
+    met = old.join(F.broadcast(shares), "name", "left").join(F.broadcast(whole))
+    return met.select("name", (F.lit(smoothing) * F.col("old") + F.lit(1 - smoothing) * F.coalesce("n", F.lit(0)) / F.greatest("all", F.lit(1))).alias("weight"))
+
+
+def zero_shot(rows: DataFrame, logp: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """rows (ref_window, alt_window) with score, minus the log-likelihood's gain. Each distinct window goes to the scorer once."""
+    score = F.pandas_udf(logp, "double")
+    distinct = rows.select(F.explode(F.array("ref_window", "alt_window")).alias("window")).distinct()
+    known = distinct.select(F.xxhash64("window").alias("h"), "window", score("window").alias("logp"))
+    side = lambda name: known.select(F.col("h").alias(f"{name}_h"), F.col("window").alias(f"{name}_window"), F.col("logp").alias(f"{name}_logp"))
+    hashed = rows.withColumns({"ref_h": F.xxhash64("ref_window"), "alt_h": F.xxhash64("alt_window")})
+    met = hashed.join(side("ref"), ["ref_h", "ref_window"]).join(side("alt"), ["alt_h", "alt_window"])
+    return met.withColumn("score", F.col("ref_logp") - F.col("alt_logp")).drop("ref_h", "alt_h", "ref_logp", "alt_logp")
+
+
+def build_cache(requests: DataFrame, path: str, encode: Callable[[pd.Series], pd.Series], *, key: str = "window_hash") -> None:
+    """Adds to the cache below path, as a shard of its own, the states of the requests' keys that it lacks: run again after any stop, it goes on where it was."""
+    import uuid
+
+    spark, state = requests.sparkSession, F.pandas_udf(encode, "array<float>")
+    wanted = requests.select(key, "sequence").dropDuplicates([key])
+    try:
+        done = spark.read.parquet(f"{path}/*").select(key)
+    except AnalysisException:  # nothing has been built yet
+        done = None
+    missing = wanted if done is None else wanted.join(done, key, "left_anti")
+    missing.select(key, state("sequence").alias("state")).write.parquet(f"{path}/{uuid.uuid4().hex}")
+
+
+def assemble(specs: DataFrame, cache: DataFrame) -> DataFrame:
+    """specs (id, source_key, target_key) with the cached states source and target; specs without both are left out."""
+    side = lambda name: cache.select(F.col("key").alias(f"{name}_key"), F.col("state").alias(name))
+    return specs.join(side("source"), "source_key").join(side("target"), "target_key")
+
+
+def rollout(examples: DataFrame, predict: Callable[[Column], Column], steps: int) -> DataFrame:
+    """id, k, predicted, target: the predictor's output fed back to it, after each of `steps` steps."""
+    from functools import reduce
+
+    states = F.array(*(reduce(lambda s, _: predict(s), range(k), F.col("source")) for k in range(1, steps + 1)))
+    return examples.select("id", "target", F.posexplode(states).alias("at", "predicted")).select("id", (F.col("at") + 1).alias("k"), "predicted", "target")

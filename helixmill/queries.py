@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import digests, dna, labels, vectors
 from helixmill.operators import calibration, intervals, metrics, sampling, variants
-from helixmill.plans import catalog, extended, whole  # noqa: F401  they register their queries
+from helixmill.plans import catalog, composites, extended, files, runtime, statistics, whole  # noqa: F401  they register their queries
 from helixmill.plans.proxies import keyed_variants, scored, sequences
 from helixmill.plans.proxies import read as table
 from helixmill.plans.proxies import variants as v_rows
@@ -78,12 +78,6 @@ def f8(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", labels.canonical_label(F.col("quality")).alias("label"))
 
 
-@query("F12_relative_edit", "select w.id, v.source_row_id, v.pos - 1 - w.start_bp as rel_pos from v join w on v.chrom = w.chrom and w.start_bp < v.pos and v.pos <= w.end_bp where w.id % 16 = 1", "v", "w")
-def f12(spark, sf_dir):
-    met = intervals.variants_in_windows(w_rows(spark, sf_dir).where("id % 16 = 1"), v_rows(spark, sf_dir))
-    return met.select("id", "source_row_id", (F.col("pos") - 1 - F.col("start_bp")).alias("rel_pos"))
-
-
 @query("F15_source_label", "select id, case when cast(replace(source, 'src', '') as int) % 2 = 0 then 'genome' else 'mrna' end as source from dseq", "dseq")
 def f15(spark, sf_dir):
     aliases = {f"src {n}": ("genome", "mrna")[n % 2] for n in range(100)}
@@ -157,14 +151,6 @@ def a33(spark, sf_dir):
     return v_rows(spark, sf_dir).groupBy("cls", "source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cls", "source").limit(12)
 
 
-@query("T1_T9_canonical_order", "select source_row_id, row_number() over (partition by role order by cast(chrom as int), pos, ref, alt, source_row_id) as at from vk", "vk")
-def t1(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("role").orderBy(dna.chrom_rank(F.col("chrom")), "pos", "ref", "alt", "source_row_id")
-    return keyed_variants(spark, sf_dir).select("source_row_id", F.row_number().over(order).cast("long").alias("at"))
-
-
 @query("U1_missing_keys", "select variant_key from vk where cls in ('P', 'LP') except select variant_key from vk where role = 'train'", "vk")
 def u1(spark, sf_dir):
     rows = keyed_variants(spark, sf_dir)
@@ -194,11 +180,6 @@ def j1(spark, sf_dir):
     return intervals.variants_in_windows(w_rows(spark, sf_dir), v_rows(spark, sf_dir)).select("id", "source_row_id")
 
 
-@query("J2_window_counts", f"select w.id, count(*) as n from v join w on {_INSIDE} group by w.id", "v", "w")
-def j2(spark, sf_dir):
-    return intervals.variants_in_windows(w_rows(spark, sf_dir), v_rows(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("n"))
-
-
 @query("J3_windows_with_variant", "select id from w where exists (select 1 from v where v.cls = 'P' and v.chrom = w.chrom and v.pos - 1 < w.end_bp and w.start_bp < v.pos - 1 + length(v.ref))", "v", "w")
 def j3(spark, sf_dir):
     return intervals.windows_with(w_rows(spark, sf_dir), v_rows(spark, sf_dir).where("cls = 'P'")).select("id")
@@ -238,12 +219,6 @@ def j11(spark, sf_dir):
     return rows.join(turned, ["chrom", "spot", "ref", "alt"], "left_semi").agg(F.count("*").alias("n"))
 
 
-@query("J13_overlapping_pairs", "select a.id as l_id, b.id as r_id from w a join w b on a.chrom = b.chrom and a.start_bp < b.end_bp and b.start_bp < a.end_bp where a.id % 4 = 1 and b.id % 4 = 2", "w")
-def j13(spark, sf_dir):
-    w = w_rows(spark, sf_dir)
-    return intervals.overlapping_pairs(w.where("id % 4 = 1"), w.where("id % 4 = 2"))
-
-
 @query("J14_index_consistency", "select 'missing' as problem, count(*) as n from v where source_row_id % 7 = 0 union all select 'orphan', count(*) from v where source_row_id % 7 <> 0 and source_row_id not in (select source_row_id from v where flt = 'PASS')", "v")
 def j14(spark, sf_dir):
     base = v_rows(spark, sf_dir)
@@ -328,14 +303,6 @@ def w5(spark, sf_dir):
     return sequences(spark, sf_dir).select("id", F.explode(dna.window_starts(F.length("seq"), 1024, 256, 512).cast("array<bigint>")).alias("start_bp"))
 
 
-@query("W6_shard_numbers", "select source_row_id, (row_number() over (partition by chrom order by pos, source_row_id) - 1) // 1000 as shard from v", "v")
-def w6(spark, sf_dir):
-    from pyspark.sql import Window
-
-    at = F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "source_row_id")).cast("long") - 1
-    return v_rows(spark, sf_dir).select("source_row_id", F.floor(at / 1000).alias("shard"))
-
-
 # vectors
 
 
@@ -430,11 +397,6 @@ def g1(spark, sf_dir):
     return s.select("id", dna.apply_edit(F.col("seq"), F.lit(9), F.substring("seq", 10, 1), F.lit("TTT")).alias("edited"))
 
 
-@query("G4_pad", "select id, rpad(seq, cast(ceil(length(seq) / cast(6 as double)) * 6 as int), 'A') as padded from dseq where length(seq) < 3000", "dseq")
-def g4(spark, sf_dir):
-    return sequences(spark, sf_dir).where("length(seq) < 3000").select("id", dna.pad_for_tokens(F.col("seq")).alias("padded"))
-
-
 # sampling, calibration, digests
 
 _DRAW = "cast(('0x' || substr(sha256('7:' || cast(id as varchar)), 1, 16))::ubigint as double) / pow(2, 64)"
@@ -480,29 +442,3 @@ def h1(spark, sf_dir):
 @query("H4_key_list_digest", "select chrom, sha256('[\"' || string_agg(variant_key, '\",\"' order by variant_key) || '\"]') as digest from vk where role <> 'train' group by chrom", "vk")
 def h4(spark, sf_dir):
     return keyed_variants(spark, sf_dir).where("role <> 'train'").groupBy("chrom").agg(digests.key_list_sha256(F.col("variant_key")).alias("digest"))
-
-
-def _calibration_rows(spark, sf_dir):
-    chain = labels.backoff_chain(F.col("grp"), F.when(F.col("label") == 1, "high").otherwise("low"), F.lit("none"))
-    return scored(spark, sf_dir).select("id", chain.alias("chain"), "value")
-
-
-_CAL = "c as (select id, value, unnest([grp || '|' || g || '|none', grp || '|' || g, grp, '*']) as bucket_id from (select *, case label when 1 then 'high' else 'low' end as g from sl)), s as (select bucket_id, min(value) as lo, max(value) as hi, count(*) as n from c group by 1)"
-
-
-@query("A14_calibration", f"select bucket_id, i, round(cast((select count(*) from c where c.bucket_id = q.bucket_id and c.value <= case when i = 10 then hi else lo + (hi - lo) * i / cast(10 as double) end) as double) / n, 6) as cdf from (with {_CAL} select s.*, unnest(range(11)) as i from s) q".replace("from (with", "from (with").replace("(select count(*) from c", f"(with {_CAL} select count(*) from c"), "sl")
-def a14(spark, sf_dir):
-    table_ = calibration.calibrate(calibration.bucket_samples(_calibration_rows(spark, sf_dir), "7", 10_000), 11)
-    return table_.select("bucket_id", F.posexplode("cdf").alias("i", "cdf")).select("bucket_id", F.col("i").cast("long").alias("i"), r("cdf").alias("cdf"))
-
-
-@query("G10_backoff", f"select id, coalesce(case when (select n from s where s.bucket_id = a) >= 60 then a end, case when (select n from s where s.bucket_id = b) >= 60 then b end, case when (select n from s where s.bucket_id = grp) >= 60 then grp end, '*') as bucket_id from (select id, grp, grp || '|' || g || '|none' as a, grp || '|' || g as b from (select *, case label when 1 then 'high' else 'low' end as g from sl)), lateral (select 1)".replace("from s where", f"from (with {_CAL} select * from s) s where"), "sl")
-def g10(spark, sf_dir):
-    rows = _calibration_rows(spark, sf_dir)
-    sizes = calibration.bucket_samples(rows, "7", 10_000).groupBy("bucket_id").agg(F.count("*").alias("n_calibration"))
-    return calibration.choose_bucket(rows, sizes, 60).select("id", "bucket_id")
-
-
-@query("A26_bootstrap_auroc")
-def a26(spark, sf_dir):
-    return metrics.bootstrap_auroc(scored(spark, sf_dir), 100, "7").select("replicate", r("auroc").alias("auroc"))

@@ -86,24 +86,37 @@ def clinvar_rows(vcf: DataFrame) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str, *, tile: int = TILE) -> DataFrame:
     """contig, start, sequence: contigs in tiles of `tile` bases, upper case. An empty or repeated contig is an error.
 
-    Lines carry their place in the file, contig names are spread by a running maximum, and bases are numbered by running sums within a contig; no task holds
-    a contig as one string. (Both windows run in file order over one file's lines, 60 bytes each.)"""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
-    order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = F.when(F.col("line").startswith(">"), F.struct(F.col("at"), F.split_part(F.substring("line", 2, 1_000_000), F.lit(" "), F.lit(1)).alias("name")))
-    named = lines.withColumn("contig", F.max(head).over(order))
-    inside = Window.partitionBy("file", "contig").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    bases = named.where(~F.col("line").startswith(">")).withColumn("from", F.coalesce(F.sum(F.length("line")).over(inside), F.lit(0)))
+    A line's place is its file, the start of its split in it and its number there. Splits are summed first (bases before and after the last header), so a split's lines only
+    need what came before it, one row a split; no task holds a file's lines or a contig as one string."""
+    split, file = F.col("_metadata.file_block_start"), F.col("_metadata.file_path")
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), file.alias("file"), split.alias("split"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
+    inside = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    header = F.col("line").startswith(">")
+    bases = F.when(header, 0).otherwise(F.length("line"))
+    head = F.when(header, F.struct("split", "at", F.split_part(F.substring("line", 2, 1_000_000), F.lit(" "), F.lit(1)).alias("name")))
+    local = lines.withColumn("head", F.max(head).over(inside)).withColumn("upto", F.sum(bases).over(inside))
+    local = local.withColumn("from_head", F.max(F.when(header, F.col("upto"))).over(inside))
+    # per split: its last header, and the bases after it (all, without one)
+    ends = local.groupBy("file", "split").agg(F.max("head").alias("last"), (F.max("upto") - F.coalesce(F.max("from_head"), F.lit(0))).alias("tail"))
+    along = Window.partitionBy("file").orderBy("split")
+    before, until = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # bases of the open contig when a split begins: the tails since the last split with a header
+    with_run = ends.withColumn("run", F.sum(F.when(F.col("last").isNotNull(), 1).otherwise(0)).over(until))
+    tails = with_run.withColumn("sum", F.sum("tail").over(Window.partitionBy("file", "run").orderBy("split").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    opens = tails.select("file", "split", F.max("last").over(before).alias("open"), F.coalesce(F.lag("sum").over(along), F.lit(0)).alias("open_bases"))
+    placed = local.join(opens, ["file", "split"])
+    contig = F.coalesce("head", "open")
+    start = F.when(F.col("head").isNotNull(), F.col("upto") - F.col("from_head")).otherwise(F.col("open_bases") + F.col("upto")) - F.length("line")
+    body = placed.where(~header).select(contig.alias("contig"), "line", start.alias("from"))
     cut = F.explode(F.sequence(F.expr(f"`from` div {tile}"), F.expr(f"(`from` + length(line) - 1) div {tile}")))
-    parts = bases.select("contig.name", "contig.at", "from", "line", cut.alias("tile"))
+    parts = body.select("contig.name", "from", "line", cut.alias("tile"))
     low = F.greatest(F.col("from"), F.col("tile") * tile)
     piece = F.substring("line", (low - F.col("from") + 1).cast("int"), (F.least(F.col("from") + F.length("line"), (F.col("tile") + 1) * tile) - low).cast("int"))
-    whole_tiles = parts.groupBy("name", "at", "tile").agg(F.array_sort(F.collect_list(F.struct(F.col("from"), piece.alias("s")))).alias("p"))
-    out = whole_tiles.select(F.col("name").alias("contig"), (F.col("tile") * tile).alias("start"), F.upper(F.array_join(F.col("p.s"), "")).alias("sequence"), "at")
-    twice = named.where(F.col("line").startswith(">")).groupBy("contig.name").count().where("count > 1 or name = ''")
+    whole_tiles = parts.groupBy("name", "tile").agg(F.array_sort(F.collect_list(F.struct(F.col("from"), piece.alias("s")))).alias("p"))
+    twice = lines.where(header).groupBy(F.split_part(F.substring("line", 2, 1_000_000), F.lit(" "), F.lit(1)).alias("name")).count().where("count > 1 or name = ''")
     if twice.limit(1).count():
         raise ValueError("a contig stands twice in the FASTA, or has no name")
-    return out.drop("at")
+    return whole_tiles.select(F.col("name").alias("contig"), (F.col("tile") * tile).alias("start"), F.upper(F.array_join(F.col("p.s"), "")).alias("sequence"))
 
 
 def contig_candidates(chrom: Column) -> Column:
@@ -113,6 +126,14 @@ def contig_candidates(chrom: Column) -> Column:
     return F.array_distinct(F.when(F.upper(bare).isin("M", "MT"), F.concat(plain, F.array(*map(F.lit, ("MT", "chrM", "M", "chrMT"))))).otherwise(plain))
 
 
+def resolve_contigs(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """rows (chrom) with contig: the first of the chromosome's spellings that contigs (contig) has, else null. Spellings are looked up once per chromosome."""
+    names = rows.select("chrom").distinct()
+    tried = names.select("chrom", F.posexplode(contig_candidates(F.col("chrom"))).alias("at", "contig"))
+    found = tried.join(contigs.select("contig").distinct(), "contig").groupBy("chrom").agg(F.min_by("contig", "at").alias("contig"))
+    return rows.join(F.broadcast(found), "chrom", "left")  # one row a chromosome
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, *, closed: bool = False) -> DataFrame:
     """JSON lines of a fixed schema; a broken line is an error. closed: each line must hold exactly the schema's keys, once each."""
     if not closed:
@@ -154,9 +175,9 @@ def genotypes_to_variants(calls: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def write_vcf(rows: DataFrame, path: str) -> None:
-    """rows of chrom, pos, id, ref, alt by chromosome rank, position and id, after a header. A single sorted text file is one task's work: shards should stay Parquet."""
+    """rows of chrom, pos, id, ref, alt by chromosome rank, position, id and alleles, after a header. A single sorted text file is one task's work: shards should stay Parquet."""
     header = rows.sparkSession.createDataFrame([(0, "##fileformat=VCFv4.2"), (1, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO")], "n int, value string").select(F.lit(-1).alias("c"), F.col("n").cast("bigint").alias("p"), F.lit("").alias("i"), "value")
-    body = rows.select(chrom_rank(F.col("chrom")).alias("c"), F.col("pos").cast("bigint").alias("p"), F.coalesce("id", F.lit(".")).alias("i"), F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit(".")).alias("value"))
+    body = rows.select(chrom_rank(F.col("chrom")).alias("c"), F.col("pos").cast("bigint").alias("p"), F.concat_ws("\t", F.coalesce("id", F.lit(".")), "ref", "alt").alias("i"), F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit(".")).alias("value"))
     header.unionByName(body).coalesce(1).sortWithinPartitions("c", "p", "i").select("value").write.text(path)
 
 

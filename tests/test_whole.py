@@ -32,7 +32,7 @@ def test_every_batch_of_vectors(spark, tables):
         for j, y, b in vectors[:i]:
             if i // 128 == j // 128 and a == b:
                 want[i // 128].append(math.dist(x, y))
-    got = {x.batch: (x.mean_distance, x.n) for x in QUERIES["J20_pairwise_mean_batches"](spark, folder).collect()}
+    got = {x.batch: (x.mean_distance, x.n) for x in QUERIES["J20_pairwise_mean"](spark, folder).collect()}
     assert got.keys() == want.keys() == {0, 1, 2}
     assert all(got[k][1] == len(d) and abs(got[k][0] - sum(d) / len(d)) < 1e-5 for k, d in want.items())
 
@@ -41,11 +41,11 @@ def test_every_window(spark, tables):
     folder, _, windows, lines = tables
     edits = [(p % 22 + 1, o * 8 + n) for o, p, _, n, *_ in lines]
     want = sorted((i, pos, pos - 1 - s) for i, c, s in windows for chrom, pos in edits if c == chrom and s < pos <= s + 4096)
-    assert sorted(map(tuple, QUERIES["F12_relative_edit_whole"](spark, folder).collect())) == want and len({x[0] % 16 for x in want}) == 16
+    assert sorted(map(tuple, QUERIES["F12_relative_edit"](spark, folder).collect())) == want and len({x[0] % 16 for x in want}) == 16
     pairs = sorted((i, j) for i, c, s in windows for j, d, t in windows if i < j and c == d and s < t + 4096 and t < s + 4096)
-    assert sorted(map(tuple, QUERIES["J13_overlapping_pairs_whole"](spark, folder).collect())) == pairs and pairs
+    assert sorted(map(tuple, QUERIES["J13_overlapping_pairs"](spark, folder).collect())) == pairs and pairs
     chrom = {i: c for i, c, _ in windows}
-    assert QUERIES["C10_region_overlaps_whole"](spark, folder).first().n == 2 * sum(chrom[i] in (20, 21) for i, _ in pairs)
+    assert QUERIES["C10_region_overlaps"](spark, folder).first().n == 2 * sum(chrom[i] in (20, 21) for i, _ in pairs)
 
 
 @pytest.fixture(scope="module")
@@ -67,8 +67,8 @@ def test_every_base(spark, documents):
         known = [int("".join(str("ATCG".index(x)) for x in k), 4) if len(k) == 6 and "N" not in k else -1 for k in kmers]
         ids[i] = (len(known), hashlib.sha256(",".join(map(str, known)).encode()).hexdigest())
         padded[i] = seq + "A" * (-len(seq) % 6)
-    assert {x.id: (x.n_ids, x.ids_sha256) for x in QUERIES["G5_kmer_ids_whole"](spark, folder).collect()} == ids
-    assert {x.id: x.padded for x in QUERIES["G4_pad_whole"](spark, folder).collect()} == padded and max(map(len, padded.values())) > 3000
+    assert {x.id: (x.n_ids, x.ids_sha256) for x in QUERIES["G5_kmer_ids"](spark, folder).collect()} == ids
+    assert {x.id: x.padded for x in QUERIES["G4_pad"](spark, folder).collect()} == padded and max(map(len, padded.values())) > 3000
 
 
 def sha(ident):
@@ -81,7 +81,7 @@ def test_a_cap_that_binds(spark, documents):
     for i, _, lang, *_ in rows:
         groups[lang].append(i)
     want = {(i, g) for g, ids in groups.items() for i in sorted(ids, key=lambda i: (sha(i), i))[: max(1, round(CAP * len(ids) / len(rows)))]}
-    assert {(x.id, x.grp) for x in QUERIES["T5_stratified_cap_ids"](spark, folder).collect()} == want and len(want) < len(rows)
+    assert {(x.id, x.grp) for x in QUERIES["T5_stratified_cap"](spark, folder).collect()} == want and len(want) < len(rows)
 
 
 def test_tuples_are_drawn(spark, tables):
@@ -93,7 +93,7 @@ def test_tuples_are_drawn(spark, tables):
             inside = sorted((sha(f"{i}:{pos}"), pos) for chrom, pos, x in edits if chrom == c and x == source and s < pos <= s + 4096)[:want]
             real += [(i, source, pos, pos - 1 - s, k + 1) for k, (_, pos) in enumerate(inside)]
             made += [(i, "indel" if source == "indel" else "snv", k + 1) for k in range(len(inside), want)]
-    got = QUERIES["C6_training_tuples_rows"](spark, folder).collect()
+    got = QUERIES["C6_training_tuples"](spark, folder).collect()
     assert sorted(tuple(x) for x in got if x.source_row_id is not None) == sorted(real) and real
     assert sorted((x.id, x.edit_source, x.slot) for x in got if x.source_row_id is None) == sorted(made) and made
     assert all(64 <= x.rel_pos < 4032 for x in got if x.source_row_id is None) and len(got) == 8 * len(windows)
