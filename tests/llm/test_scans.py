@@ -169,7 +169,7 @@ def test_quality_rejects_word_salad(spark):
     assert all((x.common_distance is None) == (x.n_words < MIN_COMMON_WORDS) for x in got.values())
 
 
-def test_quality_distances_are_brute_force(spark):
+def test_quality_distances_are_brute_force(spark, monkeypatch):
     """Words, references, distances to the own or the nearest language, limits and verdicts by hand."""
     import collections
     import math
@@ -223,7 +223,9 @@ def test_quality_distances_are_brute_force(spark):
         assert (got[i].common_distance is None) == (want is None) and (want is None or abs(got[i].common_distance - want) < 1e-9), i
         assert got[i].base_failed == failed[i]
     assert not got[200].kept and got[201].kept  # another language than its own; none of its own
+    monkeypatch.setattr(q, "LITERAL_WORDS", 10)
     fixed = {x.doc_id: x for x in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_common_distance=0.4).collect()}
+    assert all(fixed[i].common_distance == x.common_distance for i, x in got.items())
     for i, x in fixed.items():
         assert x.kept == (not failed[i] and (x.class_distance or 0) <= q.MAX_CLASS_DISTANCE and (x.common_distance or 0) <= 0.4)
 
