@@ -16,7 +16,7 @@ def canonical_sha256(**fields: Column) -> Column:
 
 
 def key_list_sha256(keys: Column) -> Column:
-    """Digest of a group's sorted keys, written as a JSON list."""
+    """Digest of a group's sorted keys, written as a JSON list. The format is one text, so a group's keys meet in one task: groups should be chromosomes or the like."""
     quoted = F.transform(F.array_sort(F.collect_list(keys)), lambda k: F.concat(F.lit('"'), k, F.lit('"')))
     return F.sha2(F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]")), 256)
 
