@@ -39,7 +39,8 @@ def training_tuples(windows: DataFrame, edits: DataFrame, *, seed: str, quota: d
     met = variants_in_windows(windows, edits)
     order = Window.partitionBy("id", "edit_source").orderBy(priority(seed, F.concat_ws(":", "id", "source_row_id")), "source_row_id")
     limit = F.create_map(*(F.lit(x) for pair in quota.items() for x in pair))
-    real = met.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= limit[F.col("edit_source")])
+    # the literal bound lets Spark keep only so many rows a group before the shuffle
+    real = met.withColumn("slot", F.row_number().over(order)).where((F.col("slot") <= max(quota.values())) & (F.col("slot") <= limit[F.col("edit_source")]))
     real = real.select("id", "edit_source", "source_row_id", (F.col("pos") - 1 - F.col("start_bp")).alias("rel_pos"), F.col("slot").cast("int").alias("slot"))
     wanted = windows.select("id", (F.col("end_bp") - F.col("start_bp")).alias("span"), F.explode(limit).alias("edit_source", "want"))
     have = real.groupBy("id", "edit_source").agg(F.count("*").alias("have"))
