@@ -14,6 +14,7 @@ from helixmill.llm.mixing import mix
 from helixmill.llm.near_dedup import near_duplicates
 from helixmill.llm.pii import BASE, PATTERNS, find_pii, joined
 from helixmill.llm.quality import quality
+from helixmill.llm.substring_dedup import remove_repeated_windows
 from helixmill.llm.suffix_dedup import remove_repeats
 
 
@@ -76,7 +77,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op8_licenses, op9_html, op10_quality)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_windows(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op8_licenses, op9_html, op10_quality, op11_substring_dedup)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
@@ -86,4 +92,20 @@ with n as (
   select *, first_value(doc_id) over (partition by norm order by n_chars desc, doc_id) as keep_id, count(*) over (partition by norm) as group_size from n
 )
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from k""",
+    "op11_substring_dedup": r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), starts as (
+  select doc_id, unnest(range(1, len(words) - 48)) as p, words from w where len(words) >= 50
+), windows as (
+  select doc_id, p, doc_id > min(doc_id) over (partition by array_to_string(words[p:p + 49], ' ')) as gone from starts
+), places as (
+  select doc_id, unnest(range(1, len(words) + 1)) as p, unnest(words) as word from w
+), marked as (
+  select places.doc_id, places.p, word, coalesce(max(case when gone then 1 else 0 end) over (partition by places.doc_id order by places.p rows between 49 preceding and current row), 0) as cut
+  from places left join windows on places.doc_id = windows.doc_id and places.p = windows.p
+), cut as (
+  select doc_id, count(*) as n_words, sum(cut) as n_removed, coalesce(string_agg(word, ' ' order by p) filter (cut = 0), '') as kept from marked group by doc_id
+)
+select documents.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join cut on documents.doc_id = cut.doc_id""",
 }
