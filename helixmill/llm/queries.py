@@ -16,7 +16,7 @@ from helixmill.llm.pii import BASE, PATTERNS, find_pii, joined
 from helixmill.llm.quality import quality
 from helixmill.llm.substring_dedup import remove_repeated_windows
 from helixmill.llm.suffix_dedup import remove_repeats
-
+from helixmill.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, compress
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -82,7 +82,54 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op8_licenses, op9_html, op10_quality, op11_substring_dedup)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _vector_codes_sql() -> str:
+    """Each round is two common tables: the parts' nearest entries, and the new codebooks."""
+    assign = """
+a{k} as (
+  select vec, part, arg_min(entry, d * {entries} + entry) as entry, min(d) as d from (
+    select parts.vec, parts.part, c.entry, sum((parts.x - c.x) * (parts.x - c.x)) as d from parts join c{k} c on parts.part = c.part and parts.place = c.place group by all
+  ) group by all
+)"""
+    update = """
+c{n} as (
+  select c.part, c.entry, c.place, case when count(m.x) = 0 then any_value(c.x) else (sum(m.x) - ((sum(m.x) % count(m.x)) + count(m.x)) % count(m.x)) // count(m.x) end as x
+  from c{k} c left join (select a{k}.part, a{k}.entry, parts.place, parts.x from a{k} join parts on a{k}.vec = parts.vec and a{k}.part = parts.part) m
+  on c.part = m.part and c.entry = m.entry and c.place = m.place group by c.part, c.entry, c.place
+)"""
+    tables = [
+        f"""
+usable as (
+  select vec_id, embedding::double[] as v, label, row_number() over (order by vec_id nulls last, embedding) as vec from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), kept as (
+  select * from usable where len(v) = (select len(v) from usable where vec = 1)
+), spread as (
+  select vec, unnest(range(len(v))) as i, unnest(v) as x, len(v) // {PARTS} as width from kept
+), parts as (
+  select vec, i // width as part, i % width as place, floor({SCALE} * x)::bigint as x from spread
+), c0 as (
+  select part, rank - 1 as entry, place, x from parts join (select vec, row_number() over (order by vec) as rank from kept) using (vec) where rank <= {ENTRIES}
+)"""
+    ]
+    for k in range(ROUNDS):
+        tables += [assign.format(k=k, entries=ENTRIES), update.format(k=k, n=k + 1)]
+    tables.append(assign.format(k=ROUNDS, entries=ENTRIES))
+    tables.append(f"""
+coded as (
+  select vec, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from a{ROUNDS} group by vec
+)""")
+    return f"""
+with {",".join(tables)}
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+  (select sha256(string_agg(x::bigint::varchar, ',' order by part, entry, place)) from c{ROUNDS}) as codebooks_sha256
+from coded join kept using (vec)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op8_licenses, op9_html, op10_quality, op11_substring_dedup, op12_vector_codes)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
@@ -108,4 +155,5 @@ with w as (
   select doc_id, count(*) as n_words, sum(cut) as n_removed, coalesce(string_agg(word, ' ' order by p) filter (cut = 0), '') as kept from marked group by doc_id
 )
 select documents.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join cut on documents.doc_id = cut.doc_id""",
+    "op12_vector_codes": _vector_codes_sql(),
 }
