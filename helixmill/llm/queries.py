@@ -9,6 +9,7 @@ from helixmill.llm.bpe import encode_and_decode
 from helixmill.llm.exact_dedup import exact_dedup
 from helixmill.llm.html_extract import extract
 from helixmill.llm.langid import identify
+from helixmill.llm.lexical_search import build_index, search
 from helixmill.llm.licenses import scan
 from helixmill.llm.mixing import mix
 from helixmill.llm.near_dedup import near_duplicates
@@ -129,7 +130,11 @@ select vec_id, code, error, sum(error) over (partition by label)::bigint as labe
 from coded join kept using (vec)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op8_licenses, op9_html, op10_quality, op11_substring_dedup, op12_vector_codes)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_exact_dedup, op4_minhash, op5_bpe, op6_language_id, op7_mixing, op8_licenses, op9_html, op10_quality, op11_substring_dedup, op12_vector_codes, op13_lexical_search)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
@@ -156,4 +161,24 @@ with w as (
 )
 select documents.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join cut on documents.doc_id = cut.doc_id""",
     "op12_vector_codes": _vector_codes_sql(),
+    "op13_lexical_search": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+), i as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from benchmark
+), s as (
+  select count(*) as docs, sum(len(terms))::bigint as total from d where len(terms) > 0
+), wanted as (
+  select item_id, term, count(*) as times from (select item_id, unnest(terms) as term from i) group by all
+), held as (
+  select doc_id, n, term, count(*) as tf from (select doc_id, len(terms) as n, unnest(terms) as term from d) group by all
+), frequency as (
+  select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from held, s where term in (select term from wanted) group by term, docs
+), scored as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::bigint as score
+  from wanted join frequency using (term) join held using (term), s group by all
+)
+select item_id, rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0
+) where rank <= 10""",
 }

@@ -49,11 +49,15 @@ _space[[32, 9, 10, 11, 12, 13]] = True
 
 def word_bounds(part: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, start and end of each word of the texts that end at `ends` (which begins with 0)."""
-    inside = ~_space[part]
+    return bounds(~_space[part], ends)
+
+
+def bounds(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of each run of bytes inside, where runs end with their text."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
-    edge = ends[(ends > 0) & (ends < len(part))]
+    edge = ends[(ends > 0) & (ends < len(inside))]
     first[edge], last[edge - 1] = inside[edge], inside[edge - 1]
     start = np.flatnonzero(first)
     return np.searchsorted(ends, start, "right") - 1, start, np.flatnonzero(last) + 1
