@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -77,6 +78,7 @@ class Page:
         self.children = [0]
         self.breaks: list[int] = []  # text nodes before which a new block or line begins
         self.stack, self.tags = [0], ["#root"]
+        self.open_at: dict[str, list[int]] = defaultdict(list)  # by tag, the places on the stack where it is open: no end tag walks the stack
         self._new_block = True
         at, n = 0, len(source)
         while at < n:
@@ -132,34 +134,35 @@ class Page:
             k = ENCLOSING.index(tag)
             inside = inside[:k] + (inside[k] + 1,) + inside[k + 1 :]
         here = self._node(parent, inside, (up[0] + 1, 0, 0, 0, tag == "p", self.children[parent], up[6] + good, up[7] + bad, bad - good), None)
+        self.open_at[tag].append(len(self.tags))
         self.stack.append(here)
         self.tags.append(tag)
 
+    def _innermost(self, tags) -> int:
+        """The innermost place on the stack with one of these tags, 0 without any."""
+        return max((places[-1] for t in tags if (places := self.open_at.get(t))), default=0)
+
+    def _pop_to(self, k: int) -> None:
+        while len(self.tags) > k:
+            self._pop()
+
     def _pop(self) -> None:
         if self.tags[-1] not in INLINE:
             self._new_block = True
         self.end[self.stack.pop()] = len(self.parent)
-        self.tags.pop()
+        self.open_at[self.tags.pop()].pop()
 
     def _implied(self, tags: set[str], barrier) -> None:
-        for k in range(len(self.tags) - 1, 0, -1):
-            if self.tags[k] in tags:
-                while len(self.tags) > k:
-                    self._pop()
-                return
-            if self.tags[k] in barrier:
-                return
+        k = self._innermost(tags)
+        if k and k >= self._innermost(barrier):
+            self._pop_to(k)
 
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._new_block = True
-        for k in range(len(self.tags) - 1, 0, -1):
-            if self.tags[k] == tag:
-                while len(self.tags) > k:
-                    self._pop()
-                return
-            if tag in INLINE and self.tags[k] in BARRIER:
-                return
+        k = self._innermost((tag,))
+        if k and not (tag in INLINE and self._innermost(BARRIER) > k):
+            self._pop_to(k)
 
     def _put_text(self, raw: str) -> None:
         text = _SPACE.sub(" ", entities.unescape(raw))

@@ -236,3 +236,18 @@ def test_licenses_in_texts_shorter_than_a_window(spark):
     got = {(r.doc_id, r.license, r.first_word, round(r.containment, 4)) for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     want = {(i, name, round(contained(t, template), 4)) for i, t in enumerate(texts) for name, template in TEMPLATES.items() if contained(t, template) >= 0.8}
     assert {(i, name, share) for i, name, _, share in got} == want and (0, "GPL-3.0-notice", 0, 0.875) in got
+
+
+@pytest.mark.parametrize("shape", ["{span}{x}", "{i}{div}", "{i}{b}", "{ptable}"])
+def test_nesting_is_read_in_linear_time(shape):
+    """20,000 nested or unmatched tags take well under a second; nothing walks the stack of open tags."""
+    import time
+
+    from helixmill.llm.html_extract import Page
+
+    n = 20_000
+    source = shape.format(span="<span>" * n, x="</x>" * n, i="<i>" * n, div="<div>a</div>" * n, b="</b>" * n, ptable="<p><table>" * n)
+    began = time.process_time()
+    page = Page(source)
+    assert len(page.parent) > n and time.process_time() - began < 1.5
+    assert not any(page.open_at.values())
