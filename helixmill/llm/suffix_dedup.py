@@ -108,11 +108,13 @@ ROW = "core long, full long, key long, place int, met boolean"
 def _batch(core, full, key, place) -> pa.RecordBatch:
     """Rows of a batch, combined before the shuffle: of suffixes equal here, all are met (repeated), and only the first goes to its core's bucket;
     the others go to buckets of their own. So neither a passage with many copies nor a periodic text fills one bucket."""
+    order = np.lexsort((full, core))
+    new = np.ones(len(core), bool)
+    new[1:] = (core[order][1:] != core[order][:-1]) | (full[order][1:] != full[order][:-1])
+    met, spare = np.zeros(len(core), bool), np.zeros(len(core), bool)
+    spare[order] = ~new
+    met[order] = ~new | np.append(~new[1:], False)
     with np.errstate(over="ignore"):
-        _, first, which, count = np.unique(mix(full) ^ core, return_index=True, return_inverse=True, return_counts=True)
-        met = count[which] > 1
-        spare = met.copy()
-        spare[first] = False
         own = mix(key.astype(np.int64).view(np.uint64) * np.uint64(3) + mix(place.astype(np.int64).view(np.uint64)) + np.uint64(1))
         core = np.where(spare, own, core)
     return pa.record_batch([pa.array(core.view(np.int64)), pa.array(full.view(np.int64)), pa.array(key, pa.int64()), pa.array(place.astype(np.int32)), pa.array(met)], ["core", "full", "key", "place", "met"])
