@@ -187,3 +187,26 @@ def test_near_duplicates_at_each_percent(spark):
     assert linked == {i: i - i % 2 for i in range(80)}
     assert all(r.kept for r in near_duplicates(docs).collect())
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == list(range(0, 80, 2))
+
+
+def test_equal_cores_with_other_fulls_are_not_met():
+    """Suffixes are equal in a batch only if both of their hashes are, whatever a mix of the two says."""
+    import numpy as np
+
+    from helixmill.llm.suffix_dedup import _batch
+
+    core, full = np.array([5, 5, 5, 9, 9], np.uint64), np.array([1, 2, 1, 1, 3], np.uint64)
+    rows = _batch(core, full, np.arange(5), np.arange(5)).to_pylist()
+    assert [r["met"] for r in rows] == [True, False, True, False, False]
+    assert [r["core"] == c for r, c in zip(rows, core.tolist(), strict=True)] == [True, True, False, True, True]
+
+
+def test_components_of_a_long_chain(spark):
+    """Rounds go on until the links are stars."""
+    n = 3000
+    links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {(r.doc_id, r.component_id) for r in components(links).collect()} == {(i, 0) for i in range(1, n + 1)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
