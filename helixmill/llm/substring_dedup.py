@@ -12,7 +12,7 @@ Counting all windows at once instead takes the first shuffle alone to 2.9 times
 comes after it; the README has the figures.
 
 Scale: each task combines equal keys of a batch before the shuffle: the batch's documents that share a key know it at once, and only one row goes to the key's group, so a passage of a third of
-all documents makes as many rows as there are batches. Groups are streamed by a sort, never held. Texts are shuffled, packed, only if they hold a repeated anchor; documents without any are cut from where they lie.
+all documents makes as many rows as there are batches. A text that repeats a window sends it once. Groups are streamed by a sort, never held. Texts are shuffled, packed, only if they hold a repeated anchor; documents without any are cut from where they lie.
 
 Cases: null text has no words. Texts under 50 words lose nothing. Rows with the same doc_id take nothing from one another. Rows without doc_id come after all others and take nothing from one another.
 Repeats inside one document stay, unless an earlier document has them too. Rows are told apart by hashes of doc_id and text, 64 bits and 64 more where these collide.
@@ -141,36 +141,37 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _anchor_rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-WINDOWS = "one long, two long, key long, doc long, place int, run int, met boolean"
+WINDOWS = "one long, two long, key long, doc long, place int, run int, of int"
+#: Kinds of rows in `of`: a window to be counted, a run of windows known to be removed, or else the place of an equal window of the same text, whose fate the run shares.
+OPEN, MET = -1, -2
 
 
-def _runs(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(key: np.ndarray, place: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows in order of key and place: where runs of successive places begin, and how long they are."""
     begin = np.ones(len(key), bool)
-    begin[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1] + 1)
+    begin[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1] + 1) | (of[1:] != of[:-1] + (of[:-1] >= 0))
     begins = np.flatnonzero(begin)
     return begins, np.diff(np.append(begins, len(key)))
 
 
 def _window_rows(one, two, key, doc, place) -> pa.RecordBatch:
-    """Of windows equal here, those of greater documents are met and go on as runs; one row goes to the window's group."""
-    order, new = _first_of(one, two, doc, key, place)
+    """Of windows equal here, those of greater documents are met, and those of the least one go to the window's group once a text; both go on as runs."""
+    order, new = _first_of(one, two, doc, key)
     one, two, key, doc, place = (x[order] for x in (one, two, key, doc, place))
     head = np.ones(len(one), bool)
     head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     least = doc[np.flatnonzero(head)][np.cumsum(head) - 1] if len(one) else doc
-    met = doc > least
-    gone = np.lexsort((place[met], key[met]))
-    k, p, d = (x[met][gone] for x in (key, place, doc))
-    begins, sizes = _runs(k, p)
-    k, p, d = k[begins], p[begins], d[begins]
+    first = place[np.flatnonzero(new)][np.cumsum(new) - 1] if len(one) else place
+    of = np.where(doc > least, MET, np.where(new, OPEN, first))
+    stay = of == OPEN
+    rest = np.lexsort((place[~stay], key[~stay]))
+    k, p, d, o = (x[~stay][rest] for x in (key, place, doc, of))
+    begins, sizes = _runs(k, p, o)
+    k, p, d, o = (x[begins] for x in (k, p, d, o))
     alone = _own(k, p)
-    stay = ~met
-    columns = [np.concatenate(x) for x in ((one[stay], alone), (two[stay], alone), (key[stay], k), (doc[stay], d), (place[stay], p))]
-    run = np.concatenate([np.ones(int(stay.sum()), np.int32), sizes.astype(np.int32)])
-    settled = np.concatenate([np.zeros(int(stay.sum()), bool), np.ones(len(k), bool)])
-    arrays = [pa.array(columns[0].view(np.int64)), pa.array(columns[1].view(np.int64)), pa.array(columns[2]), pa.array(columns[3]), pa.array(columns[4].astype(np.int32)), pa.array(run), pa.array(settled)]
-    return pa.record_batch(arrays, ["one", "two", "key", "doc", "place", "run", "met"])
+    columns = [np.concatenate(x) for x in ((one[stay], alone), (two[stay], alone), (key[stay], k), (doc[stay], d), (place[stay], p), (np.ones(int(stay.sum()), np.int64), sizes), (of[stay], o))]
+    arrays = [pa.array(x.view(np.int64)) for x in columns[:2]] + [pa.array(x) for x in columns[2:4]] + [pa.array(x.astype(np.int32)) for x in columns[4:]]
+    return pa.record_batch(arrays, ["one", "two", "key", "doc", "place", "run", "of"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +193,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CUT = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,words:long>>, kept string"
 
 
-def _cut_one(raw: bytes, places, runs) -> tuple[int, int, list[dict], str]:
+def _cut_one(raw: bytes, places, runs, of) -> tuple[int, int, list[dict], str]:
     words = raw.split()  # bytes split at the contract's six characters
     cover = np.zeros(len(words) + 1, np.int32)
+    sure = of < 0
+    if not sure.all():
+        begins = np.zeros(len(words) + 1, np.int32)
+        np.add.at(begins, places[sure], 1)
+        np.add.at(begins, (places + runs)[sure], -1)
+        repeated = np.cumsum(begins) > 0
+        more = [(p + k, 1) for p, n, o in zip(places[~sure], runs[~sure], of[~sure], strict=True) for k in np.flatnonzero(repeated[o : o + n])]
+        places, runs = (np.concatenate([x[sure], np.array([m[k] for m in more], np.int64)]) for k, x in enumerate((places, runs)))
     np.add.at(cover, places, 1)
     np.add.at(cover, places + runs - 1 + WIDTH, -1)
     gone = np.cumsum(cover)[:-1] > 0
@@ -211,14 +220,14 @@ _NONE = np.zeros(0, np.int64)
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [_cut_one((text or "").encode(), _NONE, _NONE) for text in batch.column(1).to_pylist()]
+        rows = [_cut_one((text or "").encode(), _NONE, _NONE, _NONE) for text in batch.column(1).to_pylist()]
         yield _cut_batch(batch.column(0), rows)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        lists = zip(batch.column(1), batch.column(2), batch.column(3), strict=True)
+        lists = zip(*(batch.column(k) for k in range(1, 5)), strict=True)
         rows = [_cut_one(unpack(packed.as_buffer()), *(np.asarray(x.values.to_numpy(), np.int64) for x in at)) for packed, *at in lists]
         yield _cut_batch(batch.column(0), rows)
 
@@ -240,10 +249,11 @@ def remove_repeated_windows(docs: DataFrame, *, broadcast_rows: int = BROADCAST_
     packed = arrow(_of(texts, lists, "left_semi", broadcast_rows).select("key", doc.alias("doc_id"), "text"), _pack, "key long, doc_id long, packed binary").dropDuplicates(["key"])
     counted = arrow(packed.join(lists, "key").select("key", "doc_id", "packed", "names"), _windows, WINDOWS)
     least = F.first("doc").over(Window.partitionBy("one", "two").orderBy("doc"))
-    gone = counted.select("key", "place", "run", (F.col("met") | (F.col("doc") > least)).alias("gone")).where("gone")
-    cuts = durable(gone.groupBy("key").agg(F.collect_list(F.struct("place", "run")).alias("at")).select("key", F.col("at.place").alias("places"), F.col("at.run").alias("runs")), "cuts")
+    gone = counted.select("key", "place", "run", "of", ((F.col("of") != OPEN) | (F.col("doc") > least)).alias("gone")).where("gone")
+    fields = {"places": "place", "runs": "run", "ofs": "of"}
+    cuts = durable(gone.groupBy("key").agg(F.collect_list(F.struct(*fields.values())).alias("at")).select("key", *(F.col(f"at.{c}").alias(n) for n, c in fields.items())), "cuts")
     met = arrow(_of(texts, cuts, "left_semi", broadcast_rows), _pack, "key long, doc_id long, packed binary").join(cuts, "key")
-    cut = arrow(met.select("doc_id", "packed", "places", "runs"), _cut, CUT)
+    cut = arrow(met.select("doc_id", "packed", *fields), _cut, CUT)
     return cut.unionByName(arrow(_of(texts, cuts, "left_anti", broadcast_rows).select("doc_id", "text"), _whole, CUT))
 
 
