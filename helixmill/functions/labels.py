@@ -41,10 +41,7 @@ def canonical_label(raw: Column) -> Column:
 def source_label(raw: Column, aliases: dict[str, str]) -> Column:
     """The key an alias stands for, after lower case, - and / to space and single spaces."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(raw), "[-/]", " "), r"\s+", " "))
-    out = None
-    for alias, key in aliases.items():
-        out = (F if out is None else out).when(plain == alias, key)
-    return out
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)), plain)
 
 
 def first_class(annotation: Column, groups: list[tuple[str, tuple[str, ...]]], default: str) -> Column:

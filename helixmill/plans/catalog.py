@@ -102,11 +102,20 @@ def g22(spark, sf_dir):
     return spark.createDataFrame([(research.gaussian_kl(pairs(spark, sf_dir), "x", 64),)], "kl double")
 
 
-@query("G2_many_edits", "select id, substr(seq, 1, 4) || 'GG' || substr(seq, 6, 10) || 'T' || substr(seq, 18) as edited from dseq where length(seq) >= 40", "dseq")
+@query(
+    "G2_many_edits",
+    """
+select id, case when n = 0 then seq when n < 18 then substr(seq, 1, n // 4) || 'GG' || substr(seq, n // 4 + 2)
+  else substr(seq, 1, n // 4) || 'GG' || substr(seq, n // 4 + 2, n // 2 - n // 4 - 1) || 'T' || substr(seq, n // 2 + 3) end as edited from (select id, seq, length(seq) as n from dseq)""",
+    "dseq",
+)
 def g2(spark, sf_dir):
-    s = sequences(spark, sf_dir).where("length(seq) >= 40")
-    edit = lambda at, n, alt: F.struct(F.lit(at).alias("at"), F.substring("seq", at + 1, n).alias("ref"), F.lit(alt).alias("alt"))
-    return s.select("id", dna.apply_edits(F.col("seq"), F.array(edit(4, 1, "GG"), edit(15, 2, "T"))).alias("edited"))
+    """An insertion at a quarter of every sequence, and a deletion in the middle of those of 18 bases or more."""
+    s = sequences(spark, sf_dir).withColumn("n", F.length("seq"))
+    edit = lambda at, n, alt: F.struct(at.cast("int").alias("at"), F.substring(F.col("seq"), at.cast("int") + 1, F.lit(n)).alias("ref"), F.lit(alt).alias("alt"))
+    first, second = edit(F.expr("n div 4"), 1, "GG"), edit(F.expr("n div 2"), 2, "T")
+    edits = F.when(F.col("n") == 0, F.slice(F.array(first), 1, 0)).when(F.col("n") < 18, F.array(first)).otherwise(F.array(first, second))
+    return s.select("id", dna.apply_edits(F.col("seq"), edits).alias("edited"))
 
 
 @query("G20_schedule", "select step, round(case when step < 10 then (step + 1) / cast(10 as double) when step < 80 then 1 else (100 - step) / cast(20 as double) end, 6) as rate from range(100) t(step)")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import dna, vectors
 from helixmill.functions.digests import key_list_sha256, priority
-from helixmill.operators import metrics, ranking, sampling, synthetic
+from helixmill.operators import corpus, metrics, ranking, sampling, synthetic
 from helixmill.operators import variants as ingest
 from helixmill.plans import research, scoring
-from helixmill.plans.proxies import draw_sql, keyed_variants, read, scored, sequences, variants, windows
+from helixmill.plans.proxies import CLEAN_SQL, corpus_records, draw_sql, keyed_variants, read, scored, sequences, variants, windows
 from helixmill.plans.proxies import vectors as pairs
 from helixmill.registry import query, r
 from helixmill.scratch import folder
@@ -150,19 +150,25 @@ def g17(spark, sf_dir):
     return made.select("id", *(r(F.element_at(name, d).cast("double"), 5).alias(f"{name}_{d}") for name in _POOLS for d in range(1, 5)))
 
 
+_LOGP = "(length({0}) - length(replace({0}, 'G', '')) + 2 * (length({0}) - length(replace({0}, 'C', '')))) / cast(length({0}) as double)"
+
+
 @query(
     "G23_X3_zero_shot",
-    "select id, round(b - a, 6) as score from (select id, (length(alt) - length(replace(alt, 'G', '')) + 2 * (length(alt) - length(replace(alt, 'C', '')))) / cast(length(alt) as double) as a, (length(w) - length(replace(w, 'G', '')) + 2 * (length(w) - length(replace(w, 'C', '')))) / cast(length(w) as double) as b from (select id, substr(seq, 1, 64) as w, substr(seq, 1, 20) || 'GGC' || substr(seq, 22, 43) as alt from dseq where length(seq) >= 64))",
+    f"""
+select id, round({_LOGP.format("seq")} - {_LOGP.format("alt")}, 6) as score from (
+  select id, seq, substr(seq, 1, length(seq) // 2) || 'GGC' || substr(seq, length(seq) // 2 + 2) as alt from dseq where length(seq) > 0
+)""",
     "dseq",
 )
 def g23(spark, sf_dir):
-    """Minus the gain in log-likelihood, by a pluggable scorer (here a stand-in that SQL can repeat); each distinct window is scored once."""
+    """Minus the gain in log-likelihood of whole sequences with an insertion in their middle, by a pluggable scorer (here a stand-in that SQL can repeat); each distinct one is scored once."""
 
     def logp(sequences_: pd.Series) -> pd.Series:
         return sequences_.map(lambda s: (s.count("G") + 2 * s.count("C")) / len(s))
 
-    s = sequences(spark, sf_dir).where("length(seq) >= 64")
-    rows = s.select("id", F.substring("seq", 1, 64).alias("ref_window"), F.concat(F.substring("seq", 1, 20), F.lit("GGC"), F.substring("seq", 22, 43)).alias("alt_window"))
+    middle = F.expr("length(seq) div 2").cast("int")
+    rows = sequences(spark, sf_dir).where("length(seq) > 0").select("id", F.col("seq").alias("ref_window"), dna.apply_edit(F.col("seq"), middle, F.substring("seq", middle + 1, F.lit(1)), F.lit("GGC")).alias("alt_window"))
     return scoring.zero_shot(rows, logp).select("id", r("score").alias("score"))
 
 
@@ -189,14 +195,22 @@ def x8(spark, sf_dir):
     return steps.select("id", F.col("k").cast("long").alias("k"), r(total, 5).alias("total"), rank.cast("long").alias("target_rank"))
 
 
-@query("ST5_X2_cache_build", "select distinct sha256(substr(seq, 1, 32)) as window_hash, round(length(replace(substr(seq, 1, 32), 'A', '')) / cast(32 as double), 6) as state from dseq where length(seq) >= 32", "dseq")
+@query(
+    "ST5_X2_cache_build",
+    """
+select distinct sha256(piece) as window_hash, round(length(replace(piece, 'A', '')) / cast(32 as double), 6) as state from (
+  select rpad(substr(seq, cast(spot as int) + 1, 32), 32, 'A') as piece from (select seq, unnest(range(0, length(seq), 32)) as spot from dseq)
+)""",
+    "dseq",
+)
 def st5(spark, sf_dir):
-    """Built in three runs over ever more requests, each encoding only the keys that no earlier run did."""
+    """All windows of all sequences, the last one padded. Built in three runs over ever more requests, each encoding only the keys that no earlier run did."""
 
     def encode(s: pd.Series) -> pd.Series:
         return s.map(lambda x: [float(len(x.replace("A", ""))) / 32])
 
-    s = sequences(spark, sf_dir).where("length(seq) >= 32").select("id", F.substring("seq", 1, 32).alias("sequence")).withColumn("window_hash", F.sha2("sequence", 256))
+    s = sequences(spark, sf_dir).where("length(seq) > 0").select("id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(32))).alias("at"))
+    s = s.select("id", F.rpad(F.substring("seq", F.col("at") + 1, F.lit(32)), 32, "A").alias("sequence")).withColumn("window_hash", F.sha2("sequence", 256))
     path = folder(spark, "cache")
     for part in (s.where("id % 3 = 0"), s.where("id % 3 < 2"), s):
         scoring.build_cache(part, path, encode)
@@ -206,17 +220,19 @@ def st5(spark, sf_dir):
 
 # evaluation sets, membership, splits, reports
 
-_CLEAN = "select coalesce(nullif(case when id % 3 = 0 then '' else 'r' || id end, ''), left(sha256(seq), 16)) as record_id, seq from dseq where length(seq) > 0 and id % 11 <> 0"
-
-
-@query("C2_corpus_windows", f"select record_id, start_bp, start_bp + 256 as end_bp, sha256(substr(seq, cast(start_bp + 1 as int), 256)) as digest from (select record_id, seq, unnest(range(16, length(seq) - 256 - 16 + 1, 128)) as start_bp from ({_CLEAN}) where length(seq) >= 288)", "dseq")
+@query(
+    "C2_corpus_windows",
+    f"""
+select record_id, start_bp, start_bp + 256 as end_bp, sha256(substr(seq, cast(start_bp + 1 as int), 256)) as digest from (
+  select record_id, seq, unnest(range(16, length(seq) - 256 - 16 + 1, 128)) as start_bp from ({CLEAN_SQL}) where length(seq) >= 288
+)""",
+    "dseq",
+)
 def c2(spark, sf_dir):
     """Records are cleaned and named, then cut into strided windows."""
-    s = sequences(spark, sf_dir).withColumn("seq", dna.dna(F.col("seq"))).where("length(seq) > 0 and id % 11 <> 0")
-    ident = F.when(F.col("id") % 3 != 0, F.concat(F.lit("r"), F.col("id").cast("string")))
-    named = s.select(F.coalesce(ident, F.substring(F.sha2("seq", 256), 1, 16)).alias("record_id"), "seq")
-    cut = named.select("record_id", "seq", F.explode(dna.window_starts(F.length("seq"), 256, 16, 128).cast("array<bigint>")).alias("start_bp"))
-    return cut.select("record_id", "start_bp", (F.col("start_bp") + 256).alias("end_bp"), F.sha2(F.substring("seq", F.col("start_bp").cast("int") + 1, F.lit(256)), 256).alias("digest"))
+    named = corpus.accepted(corpus_records(spark, sf_dir))
+    cut = named.select("record_id", "sequence", F.explode(dna.window_starts(F.length("sequence"), 256, 16, 128).cast("array<bigint>")).alias("start_bp"))
+    return cut.select("record_id", "start_bp", (F.col("start_bp") + 256).alias("end_bp"), F.sha2(F.substring("sequence", F.col("start_bp").cast("int") + 1, F.lit(256)), 256).alias("digest"))
 
 
 _AGREED = "select variant_key, min(source_row_id) as source_row_id, min(cls in ('P', 'LP')) as positive from vk where role = 'evaluation' and cls in ('P', 'LP', 'B', 'LB') group by variant_key having min(cls in ('P', 'LP')) = max(cls in ('P', 'LP'))"

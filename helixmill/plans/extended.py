@@ -6,20 +6,28 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import dna, labels, vectors
-from helixmill.operators import calibration, intervals, metrics, sampling
+from helixmill.operators import calibration, intervals, metrics, sampling, tiles
 from helixmill.plans import scoring
-from helixmill.plans.proxies import keyed_variants, read, scored, sequences, variants, vectors as pairs, windows
+from helixmill.plans.proxies import corpus_records, keyed_variants, on_reference, read, reference, scored, sequences, variants, vectors as pairs, windows
 from helixmill.registry import query, r
+from helixmill.sources import text
 from helixmill.streaming.events import epochs, not_done
 
 _L2 = "sqrt(list_sum(list_transform(list_zip(x, y), lambda q: (q[1] - q[2]) * (q[1] - q[2]))))"
 
 
-@query("F14_corpus_clean", "select coalesce(nullif(case when id % 3 = 0 then '' else cast(id as varchar) end, ''), left(sha256(seq), 16)) as record_id, length(seq) as n from dseq where length(seq) > 0 and id % 11 <> 0", "dseq")
+@query(
+    "F14_corpus_clean",
+    """
+select id, reason, case when id % 3 <> 0 then 'r' || id when reason is null then left(sha256(seq), 16) end as record_id,
+  case when reason is null then length(seq) end as n from (
+  select id, seq, case when id % 11 = 0 or length(seq) = 0 and id % 13 <> 5 then 'missing_sequence' when id % 7 = 3 then 'bad_source' when id % 13 = 5 then 'bad_sequence' end as reason from dseq
+)""",
+    "dseq",
+)
 def f14(spark, sf_dir):
-    s = sequences(spark, sf_dir).withColumn("seq", dna.dna(F.col("seq"))).where("length(seq) > 0 and id % 11 <> 0")
-    ident = F.nullif(F.when(F.col("id") % 3 == 0, "").otherwise(F.col("id").cast("string")), F.lit(""))
-    return s.select(F.coalesce(ident, F.substring(F.sha2("seq", 256), 1, 16)).alias("record_id"), F.length("seq").cast("long").alias("n"))
+    """Every record with why it is skipped, if it is; bad ones are planted in the records, and the operator's rules find them."""
+    return corpus_records(spark, sf_dir).select("id", "reason", "record_id", F.when(F.col("reason").isNull(), F.length("sequence")).cast("long").alias("n"))
 
 
 @query("F16_window_holdout", "select id from w where chrom <> '7' and id % 5 <> 0 and not exists (select 1 from (select chrom, start_bp, end_bp from w where id % 97 = 1) h where h.chrom = w.chrom and h.start_bp < w.end_bp and w.start_bp < h.end_bp)", "w")
@@ -49,11 +57,16 @@ def f19(spark, sf_dir):
     return w.join(counts, "id", "left").select("id", reason.alias("reason"))
 
 
-@query("F20_scoreable", "select v.source_row_id from v join dseq d on d.id = cast(v.chrom as int) where v.pos % 500 + 1 <= length(d.seq) and substr(d.seq, cast(v.pos % 500 + 1 as int), 1) = v.ref", "v", "dseq")
+@query(
+    "F20_scoreable",
+    "select source_row_id, case when n is null then 'missing_contig' when pos > n then 'outside' when substr(seq, cast(pos as int), 1) = ref then 'match' else 'mismatch' end as reads from rv",
+    "rv",
+)
 def f20(spark, sf_dir):
-    contigs = sequences(spark, sf_dir).where("id between 1 and 22").select(F.col("id").cast("string").alias("chrom"), "seq")
-    met = variants(spark, sf_dir).withColumn("at", (F.col("pos") % 500 + 1).cast("int")).join(contigs, "chrom")
-    return met.where((F.col("at") + F.length("ref") - 1 <= F.length("seq")) & (F.substring("seq", F.col("at"), F.length("ref")) == F.col("ref"))).select("source_row_id")
+    """Each variant against the reference's tiles: the contig exists, REF lies inside it and is what it has."""
+    contigs = reference(spark, sf_dir)
+    met = text.resolve_contigs(on_reference(spark, sf_dir, contigs), tiles.lengths(contigs))
+    return tiles.against_reference(met, tiles.with_halo(contigs, 16), longest=16).select("source_row_id", "reads")
 
 
 @query("F21_snv_key", "select source_row_id, case when ref <> alt then chrom || ':' || cast(pos as varchar) || ':' || ref || '>' || alt end as snv from v", "v")
@@ -211,6 +224,39 @@ def st4(spark, sf_dir):
     return not_done(w, w.where("id % 4 = 0"), "id").select("id")
 
 
-@query("C1_placed_windows", "select chrom, start_bp, start_bp + 512 as end_bp, count(*) as variant_count from (select distinct chrom, greatest(0, least(pos - 1 - 256, 1000000000 - 512)) as start_bp from v) w join v using (chrom) where w.start_bp < v.pos and v.pos <= w.start_bp + 512 group by 1, 2 having count(*) >= 12", "v")
+_SPOTS = """
+select chrom, any_value(seq) as seq, start_bp, count(*) as made from (
+  select chrom, seq, greatest(0, least(pos - 1 - 128, n - 256)) as start_bp from rv where pos <= n and substr(seq, cast(pos as int), 1) = ref
+) group by chrom, start_bp"""
+_COUNTED = f"""
+select s.chrom, s.start_bp, any_value(s.seq) as seq, any_value(s.made) as made, count(*) as variant_count from ({_SPOTS}) s
+join rv on rv.chrom = s.chrom and rv.n is not null and s.start_bp < rv.pos and rv.pos <= s.start_bp + 256 group by s.chrom, s.start_bp"""
+
+
+@query(
+    "C1_placed_windows",
+    f"""
+select 'gnomad:' || chrom || ':' || (start_bp + 1) || '-' || (start_bp + 256) as record_id, 'gnomad_common' as source, 'gnomad' as variant_source, chrom, start_bp, start_bp + 256 as end_bp,
+  sha256(rpad(substr(seq, cast(start_bp + 1 as int), 256), 256, 'A')) as digest, variant_count from ({_COUNTED}) where variant_count >= 3""",
+    "rv",
+)
 def c1(spark, sf_dir):
-    return scoring.placed_windows(variants(spark, sf_dir), F.lit(1_000_000_000), window=512, least=12)
+    """REF is checked, bases are cut from tiles, each window stands once, sparse ones are dropped."""
+    contigs = reference(spark, sf_dir)
+    placed, _ = scoring.placed_windows(on_reference(spark, sf_dir, contigs), contigs, window=256, least=3)
+    return placed.withColumn("digest", F.sha2("sequence", 256)).drop("sequence")
+
+
+@query(
+    "C1_placed_report",
+    f"""
+select count(*) filter (variant_count >= 3) as written, coalesce(sum(made - 1) filter (variant_count >= 3), 0)::bigint as duplicates, coalesce(sum(made) filter (variant_count < 3), 0)::bigint as sparse,
+  (select count(*) from rv where n is null) as missing_contig, (select count(*) from rv where n is not null and (pos > n or substr(seq, cast(pos as int), 1) <> ref)) as ref_mismatch from ({_COUNTED})""",
+    "rv",
+)
+def c1_report(spark, sf_dir):
+    """What became of each variant read."""
+    contigs = reference(spark, sf_dir)
+    return scoring.placed_windows(on_reference(spark, sf_dir, contigs), contigs, window=256, least=3)[1]
+
+

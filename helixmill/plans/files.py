@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixmill.operators import tiles
 from helixmill.operators import variants as ingest
-from helixmill.plans.proxies import keyed_variants, read, sequences, variants, windows
+from helixmill.plans.proxies import keyed_variants, read, reference, sequences, variants, windows
 from helixmill.registry import query, r
 from helixmill.scratch import folder
 from helixmill.sources import shards, text
@@ -67,12 +68,24 @@ def s7(spark, sf_dir):
     return text.read_jsonl(spark, path, "event_id long, event_type string, value double").select("event_id", "event_type", r("value").alias("value"))
 
 
-@query("S8_closed_jsonl", "select 'w' || id as record_id, chrom, start_bp, end_bp from w", "w")
+@query(
+    "S8_closed_jsonl",
+    """
+select 'gnomad:' || chrom || ':' || (start_bp + 1) || '-' || (start_bp + n) as record_id, 'gnomad_common' as source, 'gnomad' as variant_source, chrom, start_bp, start_bp + n as end_bp, digest, variant_count from (
+  select cast(id % 22 + 1 as varchar) as chrom, id * 64 as start_bp, length(seq) as n, sha256(seq) as digest, 1 + id % 9 as variant_count from dseq where length(seq) > 0
+)""",
+    "dseq",
+)
 def s8(spark, sf_dir):
-    """Each line must hold exactly these keys."""
-    path = folder(spark, "placed")
-    text.write_jsonl(windows(spark, sf_dir).select(F.concat(F.lit("w"), "id").alias("record_id"), "chrom", "start_bp", "end_bp"), path)
-    return text.read_jsonl(spark, path, "record_id string, chrom string, start_bp long, end_bp long", closed=True)
+    """Placed windows as lines and back: each line must hold exactly the eight keys, and its sequence must be as long as its interval."""
+    path, n = folder(spark, "placed"), F.length("seq")
+    s = sequences(spark, sf_dir).where(n > 0).withColumns({"chrom": (F.col("id") % 22 + 1).cast("string"), "start_bp": F.col("id") * 64})
+    name = F.concat(F.lit("gnomad:"), "chrom", F.lit(":"), F.col("start_bp") + 1, F.lit("-"), F.col("start_bp") + n)
+    lines = s.select(
+        name.alias("record_id"), F.lit("gnomad_common").alias("source"), F.lit("gnomad").alias("variant_source"), "chrom", "start_bp", (F.col("start_bp") + n).alias("end_bp"), F.col("seq").alias("sequence"), (F.col("id") % 9 + 1).alias("variant_count")
+    )
+    text.write_jsonl(lines, path)
+    return text.read_placed(spark, path).withColumn("digest", F.sha2("sequence", 256)).drop("sequence")
 
 
 @query("S9_S12_gnomad_shard", "select chrom, pos, ref, alt, cast(af as float) as af_global, cast(af / 2 as float) as af_afr, cast(null as float) as af_nfe, flt as filter, '2.0.0' as schema_version from v where flt = 'PASS' and af >= 0.01", "v")
@@ -160,15 +173,18 @@ def f25(spark, sf_dir):
     return text.genotypes_to_variants(_consumer_calls(spark, sf_dir), known).select("rsid", "outcome", "alt", "gt")
 
 
-@query("S18_vcf_sink", "select row_number() over (order by cast(chrom as int), pos, cast(source_row_id as varchar), ref, alt) as at, chrom, pos, cast(source_row_id as varchar) as id, ref, alt from v where cls = 'P'", "v")
+@query(
+    "S18_vcf_sink",
+    """
+select row_number() over (order by cast(chrom as int), pos, cast(source_row_id as varchar), ref, alt) as at, chrom, pos, cast(source_row_id as varchar) as id, ref, alt from v""",
+    "v",
+)
 def s18(spark, sf_dir):
-    """The file's lines in the order they stand there."""
+    """All lines of the sink's files, numbered as they stand there, file after file."""
     path = folder(spark, "vcf")
-    text.write_vcf(variants(spark, sf_dir).where("cls = 'P'").withColumn("id", F.col("source_row_id").cast("string")), path)
-    from pyspark.sql import Window
-
-    lines = spark.read.text(path).where("not startswith(value, '#')").select(F.split("value", "\t").alias("f"), F.row_number().over(Window.orderBy("_metadata.file_block_start", F.monotonically_increasing_id())).cast("long").alias("at"))
-    return lines.select("at", F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[2].alias("id"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"))
+    text.write_vcf(variants(spark, sf_dir).withColumn("id", F.col("source_row_id").cast("string")), path)
+    f = F.split("value", "\t")
+    return text.numbered_lines(spark, path).where("not startswith(value, '#')").select((F.col("at") - 2).alias("at"), f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[2].alias("id"), f[3].alias("ref"), f[4].alias("alt"))
 
 
 @query("S19_label_streams", "select chrom, pos, ref, alt, case when cls in ('P', 'LP') then 'positive' else 'negative' end as label, count(*) as copies from vk where role = 'evaluation' and cls in ('P', 'LP', 'B', 'LB') group by all", "vk")
@@ -184,11 +200,11 @@ def s19(spark, sf_dir):
 
 @query(
     "S20_score_sinks",
-    "select chrom, pos, ref, alt, sigma_raw, bucket_id, 'sha256:' || sha256('{\"alt\":\"' || alt || '\",\"chrom\":\"' || chrom || '\",\"pos\":' || pos || ',\"ref\":\"' || ref || '\"}') as input_commitment from (select distinct chrom, pos, ref, alt, cast(pos % 97 as double) / 4 as sigma_raw, source as bucket_id from v where cls = 'LP' and ref <> alt)",
+    "select chrom, pos, ref, alt, sigma_raw, bucket_id, 'sha256:' || sha256('{\"alt\":\"' || alt || '\",\"chrom\":\"' || chrom || '\",\"pos\":' || pos || ',\"ref\":\"' || ref || '\"}') as input_commitment from (select distinct chrom, pos, ref, alt, cast(pos % 97 as double) / 4 as sigma_raw, source as bucket_id from v where ref <> alt)",
     "v",
 )
 def s20(spark, sf_dir):
-    v = variants(spark, sf_dir).where("cls = 'LP' and ref <> alt")
+    v = variants(spark, sf_dir).where("ref <> alt")
     raw = (F.col("pos") % 97).cast("double") / 4
     scores = v.select("chrom", "pos", "ref", "alt", raw.alias("sigma_raw"), (raw / 25).alias("sigma_calibrated"), F.col("source").alias("bucket_id")).distinct()
     path, key = folder(spark, "scores"), ["chrom", "pos", "ref", "alt", "bucket_id"]
@@ -286,13 +302,24 @@ def f5(spark, sf_dir):
     return rows.select(F.col("id").cast("long").alias("source_row_id"), "review_status", "gene_symbol", "clinvar_id")
 
 
-@query("J16_reference_windows", "select source_row_id, start_bp, sha256(coalesce(substr(seq, cast(start_bp + 1 as int), 64), '')) as digest from (select v.source_row_id, k.start_bp % 200 as start_bp, d.seq from v left join (select chrom, start_bp + 1 as pos, min(start_bp) as start_bp from w group by 1, 2) k on k.chrom = v.chrom and k.pos = v.pos left join dseq d on d.id = cast(v.chrom as bigint))", "v", "w", "dseq")
+@query(
+    "J16_reference_windows",
+    """
+select source_row_id, start_bp, sha256(coalesce(substr(seq, cast(start_bp + 1 as int), 64), '')) as digest from (
+  select v.source_row_id, k.start_bp % 200 as start_bp, d.seq from v
+  left join (select chrom, start_bp + 1 as pos, min(start_bp) as start_bp from w group by 1, 2) k on k.chrom = v.chrom and k.pos = v.pos
+  left join dseq d on d.id = cast(v.chrom as bigint)
+)""",
+    "v",
+    "w",
+    "dseq",
+)
 def j16(spark, sf_dir):
-    """The last step of the lookup chain: the window's bases from the contig, as FASTA has it; none without a window."""
+    """The last step of the lookup chain: the window's bases from the reference's tiles; none without a window."""
     w = windows(spark, sf_dir).groupBy("chrom", (F.col("start_bp") + 1).alias("pos")).agg((F.min("start_bp") % 200).alias("start_bp"))
-    contigs = sequences(spark, sf_dir).where("id between 1 and 22").select(F.col("id").cast("string").alias("chrom"), "seq")
-    met = variants(spark, sf_dir).join(w, ["chrom", "pos"], "left").join(F.broadcast(contigs), "chrom", "left")
-    return met.select("source_row_id", "start_bp", F.sha2(F.coalesce(F.substring("seq", F.col("start_bp").cast("int") + 1, F.lit(64)), F.lit("")), 256).alias("digest"))
+    met = variants(spark, sf_dir).join(w, ["chrom", "pos"], "left").withColumnRenamed("chrom", "contig")
+    found = tiles.fetch(met, tiles.with_halo(reference(spark, sf_dir), 64), F.col("start_bp"), 64, "bases")
+    return found.select("source_row_id", "start_bp", F.sha2(F.coalesce("bases", F.lit("")), 256).alias("digest"))
 
 
 @query("G24_json", "select event_id, '{\"kind\":\"' || event_type || '\",\"nested\":{\"id\":' || event_id || ',\"none\":null}}' as report, event_type as kind from events")

@@ -17,9 +17,11 @@ SQL = {
     "w": "select o_orderkey as id, cast(o_custkey % 22 + 1 as varchar) as chrom, cast(o_orderkey * 8 - (o_orderkey * 8) % 64 as bigint) as start_bp, cast(o_orderkey * 8 - (o_orderkey * 8) % 64 + 4096 as bigint) as end_bp from orders",
     "sl": "select d.doc_id as id, l.quality as label, l.toxic as other, cast(d.n_chars % 50 as double) as score, cast(d.n_chars as double) as value, d.lang as grp from documents d join labels l on d.doc_id = l.doc_id",
     "e": "select a.vec_id as id, cast(a.label as int) as split, cast(a.embedding as double[]) as x, cast(b.embedding as double[]) as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
+    "rv": """select v.source_row_id, cast(v.pos % 230 as varchar) as chrom, 1 + (v.pos * 131) % (coalesce(length(d.seq), 0) + 20) as pos, v.ref, v.alt, v.cls, length(d.seq) as n, d.seq
+ from v left join dseq d on d.id = v.pos % 230 and length(d.seq) > 0""",
     "dseq": """select doc_id as id, source, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAN') as seq from documents""",
 }
-_NEEDS = {"vk": ("v",)}
+_NEEDS = {"vk": ("v",), "rv": ("v", "dseq")}
 
 
 def with_views(*names: str) -> str:
@@ -79,6 +81,40 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAN").alias("seq"))
 
 
+#: Spellings of two sources.
+ALIASES = {f"src {n}": ("genome", "mrna")[n % 2] for n in range(100)}
+CLEAN_SQL = """
+select case when id % 3 = 0 then left(sha256(seq), 16) else 'r' || id end as record_id, seq, case when cast(replace(source, 'src', '') as int) % 2 = 0 then 'genome' else 'mrna' end as source
+from dseq where length(seq) > 0 and id % 11 <> 0 and id % 7 <> 3 and id % 13 <> 5"""
+
+
+def corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as a hub has them, judged: some lack a sequence, some have an unknown source, some hold other letters, some are blank by name, and the cases and spellings vary."""
+    from helixmill.operators.corpus import judged
+
+    n = F.col("id")
+    sequence = F.when(n % 11 == 0, F.lit(None)).when(n % 13 == 5, F.concat("seq", F.lit("-J"))).when(n % 2 == 0, F.lower("seq")).otherwise(F.col("seq"))
+    source = F.when(n % 14 == 3, F.lit(None)).when(n % 7 == 3, "elsewhere").otherwise(F.regexp_replace("source", "src", " SRC-/ "))
+    name = F.when(n % 3 == 0, " ").otherwise(F.concat(F.lit("r"), n.cast("string")))
+    return judged(sequences(spark, sf_dir).select("id", name.alias("record_id"), sequence.alias("sequence"), source.alias("source")), ALIASES)
+
+
+def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence as a contig named by its id, in tiles."""
+    from helixmill.operators.tiles import of_sequences
+
+    return of_sequences(sequences(spark, sf_dir).select(F.col("id").cast("string").alias("contig"), F.col("seq").alias("sequence")))
+
+
+def on_reference(spark: SparkSession, sf_dir: str, contigs: DataFrame) -> DataFrame:
+    """Variants over 230 contigs, some of which don't exist; some positions lie past a contig's end, and most REFs are not what the contig has."""
+    from helixmill.operators.tiles import lengths
+
+    v = variants(spark, sf_dir).withColumn("contig", (F.col("pos") % 230).cast("string"))
+    met = v.join(lengths(contigs), "contig", "left").withColumn("pos", F.col("pos") * 131 % (F.coalesce("length", F.lit(0)) + 20) + 1)
+    return met.select("source_row_id", F.col("contig").alias("chrom"), "pos", "ref", "alt", "cls")
+
+
 def draw_sql(ident: str, n: int | str, seed: str = "7") -> str:
     """SQL of functions.digests.draw for an SQL text expression."""
     return f"cast(('0x' || substr(sha256('{seed}:' || {ident}), 1, 15))::ubigint % ({n}) as bigint)"

@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.digests import draw, priority
-from helixmill.operators.intervals import variants_in_windows, windows_off
+from helixmill.functions.dna import MAX_ALLELE
+from helixmill.operators import tiles
+from helixmill.operators.intervals import variants_in_windows, window_counts, windows_off
+from helixmill.scratch import stored
+from helixmill.sources import text
 
 #: Tuples a window gives per source.
 QUOTA = {"gnomad": 3, "clinvar": 3, "snv": 1, "indel": 1}
@@ -51,12 +55,27 @@ def training_tuples(windows: DataFrame, edits: DataFrame, *, seed: str, quota: d
     return real.unionByName(synthetic)
 
 
-def placed_windows(variants: DataFrame, length: Column, *, window: int, least: int) -> DataFrame:
-    """Distinct windows centred on variants that hold at least `least` variants: chrom, start_bp, end_bp, variant_count. length: of the chromosome."""
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - 1 - window // 2, length - window))
-    spots = variants.select("chrom", start.cast("long").alias("start_bp")).distinct().withColumn("end_bp", F.col("start_bp") + window)
-    counts = variants_in_windows(spots, variants.select("chrom", "pos", "ref")).groupBy("chrom", "start_bp", "end_bp").agg(F.count("*").alias("variant_count"))
-    return counts.where(F.col("variant_count") >= least)
+def placed_windows(variants: DataFrame, contigs: DataFrame, *, window: int, least: int, source: str = "gnomad_common", variant_source: str = "gnomad", tile: int = tiles.TILE) -> tuple[DataFrame, DataFrame]:
+    """Windows centred on variants (chrom, pos, ref) whose REF the reference has, once each, that hold at least `least` variants, with their bases: rows of text.PLACED. And one row that says
+    what became of the variants read: written, duplicates of a window written, in a sparse window, of another REF, or on no contig. contigs: tiles (contig, start, sequence).
+
+    All variants on a contig count for a window, as REF is checked for its centre only. A window reaches no further than its contig; one longer than the contig is padded."""
+    reach = max(window, MAX_ALLELE)
+    halo = tiles.with_halo(contigs, reach, tile=tile)
+    size = tiles.lengths(contigs)
+    known = text.resolve_contigs(variants.select("chrom", "pos", "ref"), size).join(size, "contig", "left")
+    judged = stored(tiles.against_reference(known, halo, longest=reach, tile=tile), "judged")
+    start = F.greatest(F.lit(0), F.least(F.col("pos") - 1 - window // 2, F.col("length") - window))
+    spots = judged.where("reads = 'match'").groupBy("chrom", "contig", start.cast("long").alias("start_bp")).agg(F.count("*").alias("made"))
+    spots = spots.withColumn("end_bp", F.col("start_bp") + window).withColumn("id", F.concat(F.lit(f"{variant_source}:"), "chrom", F.lit(":"), F.col("start_bp") + 1, F.lit("-"), "end_bp"))
+    counts = window_counts(spots.select("id", "chrom", "start_bp", "end_bp"), judged.where("reads <> 'missing_contig'").select("chrom", "pos", "ref"))
+    counted = stored(spots.join(counts, "id").withColumnRenamed("n", "variant_count"), "spots")
+    dense = tiles.fetch(counted.where(F.col("variant_count") >= least), halo, F.col("start_bp"), window, "bases", tile=tile)
+    placed = dense.select(F.col("id").alias("record_id"), F.lit(source).alias("source"), F.lit(variant_source).alias("variant_source"), "chrom", "start_bp", "end_bp", F.rpad("bases", window, "A").alias("sequence"), "variant_count")
+    is_dense = F.col("variant_count") >= least
+    kept = counted.agg(F.count_if(is_dense).alias("written"), F.coalesce(F.sum(F.when(is_dense, F.col("made") - 1)), F.lit(0)).alias("duplicates"), F.coalesce(F.sum(F.when(~is_dense, F.col("made"))), F.lit(0)).alias("sparse"))
+    read = judged.agg(F.count_if(F.col("reads") == "missing_contig").alias("missing_contig"), F.count_if(F.col("reads").isin("mismatch", "outside")).alias("ref_mismatch"))
+    return placed, kept.join(F.broadcast(read))
 
 
 def encode_missing(requests: DataFrame, cache: DataFrame, encode: Callable[[pd.Series], pd.Series], *, key: str = "window_hash") -> DataFrame:

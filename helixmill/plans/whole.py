@@ -14,13 +14,17 @@ from helixmill.registry import query, r
 
 @query(
     "J20_pairwise_mean",
-    f"select batch, round(avg({_L2}), 6) as mean_distance, count(*) as n from (select a.vec_id // 128 as batch, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on a.vec_id // 128 = b.vec_id // 128 and a.vec_id < b.vec_id and a.label = b.label) group by batch",
+    f"""
+select batch, round(avg({_L2}), 6) as mean_distance, count(*) as n from (
+  select a.vec_id // 128 as batch, a.embedding::double[] as x, b.embedding::double[] as y
+  from embeddings a join embeddings b on a.vec_id // 128 = b.vec_id // 128 and a.vec_id < b.vec_id
+) group by batch""",
 )
 def j20(spark, sf_dir):
-    """Each batch of 128 vectors, as the monitor takes them; pairs of one label."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 128").alias("batch"), "label", F.col("embedding").cast("array<double>").alias("x"))
-    other = e.select(F.col("vec_id").alias("other"), "batch", "label", F.col("x").alias("y"))
-    met = e.join(other, ["batch", "label"]).where("vec_id < other")
+    """Every pair of each batch of 128 vectors, as the monitor takes them; a batch bounds its pairs."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 128").alias("batch"), F.col("embedding").cast("array<double>").alias("x"))
+    other = e.select(F.col("vec_id").alias("other"), "batch", F.col("x").alias("y"))
+    met = e.join(other, "batch").where("vec_id < other")
     return met.groupBy("batch").agg(r(F.avg(vectors.l2(F.col("x"), F.col("y")))).alias("mean_distance"), F.count("*").alias("n"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions.dna import chrom_rank, importer_chrom, vcf_chrom
+from helixmill.functions.dna import chrom_rank, closed_chrom, importer_chrom, vcf_chrom
+from helixmill.scratch import stored
 
 #: Genotypes that mean no call.
 NO_CALLS = ("", "--", "00", "NC", "II", "DD", "I", "D", "DI", "-", "NA")
@@ -87,18 +90,26 @@ def read_fasta(spark: SparkSession, path: str, *, tile: int = TILE) -> DataFrame
     """contig, start, sequence: contigs in tiles of `tile` bases, upper case. An empty or repeated contig is an error.
 
     A line's place is its file, the start of its split in it and its number there. Splits are summed first (bases before and after the last header), so a split's lines only
-    need what came before it, one row a split; no task holds a file's lines or a contig as one string."""
+    need what came before it, one row a split; no task holds a file's lines or a contig as one string. Lines are read once, and stored with their places."""
     split, file = F.col("_metadata.file_block_start"), F.col("_metadata.file_path")
     lines = spark.read.text(path).select(F.trim("value").alias("line"), file.alias("file"), split.alias("split"), F.monotonically_increasing_id().alias("at")).where("line <> ''")
-    inside = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("file", "split").orderBy("at")
+    inside = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     header = F.col("line").startswith(">")
     bases = F.when(header, 0).otherwise(F.length("line"))
     head = F.when(header, F.struct("split", "at", F.split_part(F.substring("line", 2, 1_000_000), F.lit(" "), F.lit(1)).alias("name")))
-    local = lines.withColumn("head", F.max(head).over(inside)).withColumn("upto", F.sum(bases).over(inside))
-    local = local.withColumn("from_head", F.max(F.when(header, F.col("upto"))).over(inside))
-    # per split: its last header, and the bases after it (all, without one)
-    ends = local.groupBy("file", "split").agg(F.max("head").alias("last"), (F.max("upto") - F.coalesce(F.max("from_head"), F.lit(0))).alias("tail"))
+    local = lines.withColumns({"head": F.max(head).over(inside), "upto": F.sum(bases).over(inside), "bare": header & F.lead("line").over(order).startswith(">")})
+    local = stored(local.withColumn("from_head", F.max(F.when(header, F.col("upto"))).over(inside)), "fasta")
+    # per split: its first and last line, its last header, and the bases after it (all, without one)
+    edges = F.min_by(header, "at").alias("first_is_head"), F.max_by(header, "at").alias("last_is_head"), F.bool_or("bare").alias("bare")
+    ends = stored(local.groupBy("file", "split").agg(F.max("head").alias("last"), (F.max("upto") - F.coalesce(F.max("from_head"), F.lit(0))).alias("tail"), *edges), "splits")
     along = Window.partitionBy("file").orderBy("split")
+    bare = F.col("bare") | (F.col("last_is_head") & F.coalesce(F.lead("first_is_head").over(along), F.lit(True)))
+    if ends.select(bare.alias("bare")).where("bare").limit(1).count():
+        raise ValueError("a contig of the FASTA has no bases")
+    named = local.where(header).select(F.col("head.name").alias("name")).groupBy("name").count().where("count > 1 or name = ''")
+    if named.limit(1).count():
+        raise ValueError("a contig stands twice in the FASTA, or has no name")
     before, until = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # bases of the open contig when a split begins: the tails since the last split with a header
     with_run = ends.withColumn("run", F.sum(F.when(F.col("last").isNotNull(), 1).otherwise(0)).over(until))
@@ -113,9 +124,6 @@ def read_fasta(spark: SparkSession, path: str, *, tile: int = TILE) -> DataFrame
     low = F.greatest(F.col("from"), F.col("tile") * tile)
     piece = F.substring("line", (low - F.col("from") + 1).cast("int"), (F.least(F.col("from") + F.length("line"), (F.col("tile") + 1) * tile) - low).cast("int"))
     whole_tiles = parts.groupBy("name", "tile").agg(F.array_sort(F.collect_list(F.struct(F.col("from"), piece.alias("s")))).alias("p"))
-    twice = lines.where(header).groupBy(F.split_part(F.substring("line", 2, 1_000_000), F.lit(" "), F.lit(1)).alias("name")).count().where("count > 1 or name = ''")
-    if twice.limit(1).count():
-        raise ValueError("a contig stands twice in the FASTA, or has no name")
     return whole_tiles.select(F.col("name").alias("contig"), (F.col("tile") * tile).alias("start"), F.upper(F.array_join(F.col("p.s"), "")).alias("sequence"))
 
 
@@ -147,6 +155,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, *, closed: bool = Fa
     return lines.select(checked.alias("r")).select("r.*")
 
 
+#: Keys of a placed window's line.
+PLACED = "record_id string, source string, variant_source string, chrom string, start_bp long, end_bp long, sequence string, variant_count long"
+
+
+def read_placed(spark: SparkSession, path: str) -> DataFrame:
+    """Placed windows from JSON lines of exactly the eight keys. A blank name, a chromosome in another than its plain spelling, a negative start, no variants, other letters than upper-case bases, or an interval of another
+    length than its sequence is an error."""
+    rows = read_jsonl(spark, path, PLACED, closed=True)
+    blank = [F.coalesce(F.trim(c), F.lit("")) == "" for c in ("record_id", "source", "variant_source", "chrom", "sequence")]
+    spelled = ~F.coalesce(closed_chrom(F.col("chrom")) == F.col("chrom"), F.lit(False))
+    rules = {"a name is blank": reduce(lambda a, b: a | b, blank), "the chromosome is not in its plain spelling": spelled, "start_bp is below 0": F.col("start_bp") < 0, "variant_count is below 1": F.col("variant_count") < 1}
+    rules |= {"the sequence is not upper-case bases": ~F.col("sequence").rlike("^[ACGTN]+$"), "the interval is not as long as the sequence": F.col("end_bp") - F.col("start_bp") != F.length("sequence")}
+    reason = F.coalesce(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(why)) for why, bad in rules.items()))
+    error = F.raise_error(F.concat(F.lit("bad placed window: "), reason)).cast("string")
+    return rows.withColumn("record_id", F.when(reason.isNull(), F.col("record_id")).otherwise(error))
+
+
 def parsed_type(schema: str) -> str:
     return "struct<" + ",".join(f"{p.split()[0]}:{' '.join(p.split()[1:])}" for p in schema.split(",")) + ">"
 
@@ -175,10 +200,21 @@ def genotypes_to_variants(calls: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def write_vcf(rows: DataFrame, path: str) -> None:
-    """rows of chrom, pos, id, ref, alt by chromosome rank, position, id and alleles, after a header. A single sorted text file is one task's work: shards should stay Parquet."""
+    """rows of chrom, pos, id, ref, alt by chromosome rank, position, id and alleles, after a header. The files in order of their names are the sorted whole: each task writes a range of it, the first one the header."""
     header = rows.sparkSession.createDataFrame([(0, "##fileformat=VCFv4.2"), (1, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO")], "n int, value string").select(F.lit(-1).alias("c"), F.col("n").cast("bigint").alias("p"), F.lit("").alias("i"), "value")
-    body = rows.select(chrom_rank(F.col("chrom")).alias("c"), F.col("pos").cast("bigint").alias("p"), F.concat_ws("\t", F.coalesce("id", F.lit(".")), "ref", "alt").alias("i"), F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit(".")).alias("value"))
-    header.unionByName(body).coalesce(1).sortWithinPartitions("c", "p", "i").select("value").write.text(path)
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."))
+    body = rows.select(chrom_rank(F.col("chrom")).alias("c"), F.col("pos").cast("bigint").alias("p"), F.concat_ws("\t", F.coalesce("id", F.lit(".")), "ref", "alt").alias("i"), line.alias("value"))
+    header.unionByName(body).orderBy("c", "p", "i").select("value").write.text(path)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, at: all lines of the files below path, numbered from 1 in the order of file names and places. Lines are counted per split, and only these counts are summed along."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("_row"))
+    counts = stored(lines.groupBy("file", "split").agg(F.count("*").alias("n")), "lines")
+    along = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    offsets = counts.select("file", "split", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("file", "split").orderBy("_row")
+    return lines.join(offsets, ["file", "split"]).select("value", (F.col("before") + F.row_number().over(inside)).alias("at"))
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
