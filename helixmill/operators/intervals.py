@@ -7,9 +7,12 @@ The bin is also the remedy for skew: there are 25 chromosomes but many bins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixmill.operators.ranking import running
+from helixmill.scratch import stored
+
 BIN = 4096
 
 
@@ -25,24 +28,35 @@ def variants_in_windows(windows: DataFrame, variants: DataFrame, *, width: int =
     return v.join(w, (F.col("chrom") == F.col("_chrom")) & (v["_bin"] == w["_bin"]) & inside).drop("_bin", "_chrom")
 
 
-def window_counts(windows: DataFrame, variants: DataFrame, *, width: int = BIN) -> DataFrame:
-    """id, n of the windows (id, chrom, start_bp, end_bp) that hold a variant, without making the pairs. Variants of one base are counted per position and summed along the
-    chromosome; a window's number is the difference of two such sums. Only variants of longer REF, which may stick out of a window, are joined."""
-    ends = windows.select("id", "chrom", F.explode(F.array(F.struct(F.col("start_bp").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end_bp").alias("at"), F.lit(1).alias("sign")))).alias("e")).select("id", "chrom", "e.at", "e.sign")
-    points = variants.where(F.length("ref") <= 1).groupBy("chrom", "pos").agg(F.count("*").alias("n")).withColumn("_bin", F.floor(F.col("pos") / width))
-    line = F.array_sort(F.collect_list(F.struct("pos", "n")))  # of one bin: at most `width` positions
-    bins = points.groupBy("chrom", "_bin").agg(line.alias("points"), F.sum("n").alias("all"))
-    along = Window.partitionBy("chrom").orderBy("_bin")  # one row a bin that has variants
-    summed = bins.withColumn("before", F.coalesce(F.sum("all").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("next", F.lead("_bin").over(along))
-    # the bins up to the next one with variants, or to the last one a window reaches, repeat its sum
-    last = F.coalesce(F.col("next") - 1, F.greatest(F.col("_bin"), F.col("reach")))
-    reach = ends.groupBy("chrom").agg(F.floor(F.max("at") / width).alias("reach"))
-    every = summed.join(F.broadcast(reach), "chrom").select("chrom", "points", "before", "all", F.col("_bin").alias("first"), F.explode(F.sequence(F.col("_bin"), last)).alias("_bin")).withColumn("points", F.when(F.col("_bin") == F.col("first"), F.col("points")))
-    inside = F.aggregate(F.filter("points", lambda p: p["pos"] <= F.col("at")), F.lit(0).cast("long"), lambda s, p: s + p["n"])
-    upto = F.col("before") + F.when(F.col("_bin") > F.col("first"), F.col("all")).otherwise(inside)
-    singles = ends.withColumn("_bin", F.floor(F.col("at") / width)).join(every, ["chrom", "_bin"]).groupBy("id").agg(F.sum(F.col("sign") * upto).alias("n"))
-    longer = variants_in_windows(windows, variants.where(F.length("ref") > 1), width=width).groupBy("id").agg(F.count("*").alias("n"))
-    return singles.unionByName(longer).groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
+def upto(points: DataFrame, edges: DataFrame, by: list[str], ident: list[str], n: Column) -> tuple[DataFrame, DataFrame]:
+    """points (by, pos, ident) and edges (by, pos) with upto: the sum of `n` over the points at or before them, in the order of pos and ident. Both go along the chromosome once, in one order, so no pairs are made, and what
+    lies between two points costs nothing."""
+    both = points.withColumns({"_kind": F.lit(0), "_points": n}).unionByName(edges.withColumns({"_kind": F.lit(1), "_points": F.lit(0)}), allowMissingColumns=True)
+    seen = stored(running(both, by, ["pos", "_kind", *ident], upto=F.col("_points")).drop("_points"), "upto")
+    part = lambda kind, columns: seen.where(F.col("_kind") == kind).select(*columns, "upto")
+    return part(0, points.columns), part(1, edges.columns)
+
+
+def edges_of(windows: DataFrame) -> DataFrame:
+    """id, chrom, pos and side (0 start, 1 end) of windows."""
+    ends = F.array(F.struct(F.col("start_bp").alias("pos"), F.lit(0).alias("side")), F.struct(F.col("end_bp").alias("pos"), F.lit(1).alias("side")))
+    return windows.where("chrom is not null").select("id", "chrom", F.explode(ends).alias("e")).select("id", "chrom", "e.pos", "e.side")
+
+
+def sticking_out(windows: DataFrame, variants: DataFrame) -> DataFrame:
+    """Pairs of a window (id) and a variant (its columns but chrom and pos) that begins in the window, and whose REF of n_ref bases ends beyond it: an equi-join on the window's end."""
+    longer = variants.where("n_ref > 1").select("*", F.explode(F.expr("sequence(pos, pos + n_ref - 2)")).alias("end_bp"))
+    return longer.join(windows.select("id", "chrom", "start_bp", "end_bp"), ["chrom", "end_bp"]).where("pos > start_bp").drop("chrom", "pos", "end_bp", "start_bp", "n_ref")
+
+
+def window_counts(windows: DataFrame, variants: DataFrame) -> DataFrame:
+    """id, n of the windows (id, chrom, start_bp, end_bp) that hold a variant, without making the pairs. Variants are counted per position and summed along the chromosome; a window's
+    number is the difference of two such sums, less the variants of longer REF that begin in it and end beyond."""
+    points = variants.groupBy("chrom", "pos").agg(F.count("*").alias("at"))
+    _, edges = upto(points, edges_of(windows), ["chrom"], [], F.col("at"))
+    within = edges.select("id", ((F.col("side") * 2 - 1) * F.col("upto")).alias("n"))
+    out = sticking_out(windows, variants.select("chrom", "pos", F.length("ref").alias("n_ref"))).select("id", F.lit(-1).cast("long").alias("n"))
+    return within.unionByName(out).groupBy("id").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def windows_with(windows: DataFrame, variants: DataFrame, *, hit: bool = True, width: int = BIN) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.functions.digests import priority
-from helixmill.operators.ranking import met, running, seeded_rank, value_bin, value_ranks
+from helixmill.operators.ranking import met, running, seeded_rank, value_ranks
 
 
 def auroc(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -18,14 +18,14 @@ def auroc(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _wins(sums: DataFrame, by: list[str]) -> DataFrame:
-    one = running(sums, by, value_bin(F.col("score").cast("double")), ["score"], upto=F.col("n"))
+    one = running(sums, by, ["score"], upto=F.col("n"))
     wins = F.sum(F.col("p") * (F.col("upto") - F.col("n") / F.lit(2.0)))
     return one.groupBy(*by).agg((wins / F.nullif(F.sum("p") * F.sum("n"), F.lit(0)).cast("double")).alias("auroc"), F.sum(F.col("p") + F.col("n")).alias("n"))
 
 
 def average_precision(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Stable descending order: ties by id. (Rows of scores within a 64th of an octave are sorted together.)"""
-    seen = running(rows, by, -value_bin(F.col("score").cast("double")), [F.desc("score"), "id"], hits=F.col("label"), at=F.lit(1))
+    """Stable descending order: ties by id."""
+    seen = running(rows, by, [F.col("score").isNull(), -F.col("score"), "id"], hits=F.col("label"), at=F.lit(1))
     return seen.groupBy(*by).agg((F.sum(F.when(F.col("label") == 1, F.col("hits") / F.col("at").cast("double"))) / F.nullif(F.sum("label"), F.lit(0)).cast("double")).alias("average_precision"))
 
 

@@ -109,8 +109,27 @@ def sm9(spark, sf_dir):
 
 # training tuples
 
-_MET = "select w.id, v.source_row_id, v.pos - 1 - w.start_bp as rel_pos, case when v.source = 'R' then 'clinvar' else 'gnomad' end as edit_source from v join w on v.chrom = w.chrom and w.start_bp < v.pos and v.pos <= w.end_bp"
-_REAL = f"select id, edit_source, source_row_id, rel_pos, slot from (select *, row_number() over (partition by id, edit_source order by sha256('7:' || id || ':' || source_row_id), source_row_id) as slot from ({_MET})) where slot <= 3"
+_MET = """
+select w.id, v.source_row_id, v.pos - 1 - w.start_bp as rel_pos, case when v.source = 'R' then 'clinvar' else 'gnomad' end as edit_source, v.pos
+from v join w on v.chrom = w.chrom and w.start_bp < v.pos and v.pos <= w.end_bp"""
+_POOL = f"""
+select id, source_row_id, rel_pos, edit_source, row_number() over (partition by id, edit_source order by pos, source_row_id) - 1 as o, count(*) over (partition by id, edit_source) as n from ({_MET})"""
+
+
+def _drawn(i: int) -> str:
+    """SQL: the i-th draw among n - m + i + 1 of a window's edits of a source."""
+    return draw_sql(f"id || ':' || edit_source || ':{i}'", f"n - m + {i} + 1")
+
+
+#: Floyd's algorithm for up to three of n: a number drawn before gives way to the last one.
+_REAL = f"""
+select id, edit_source, source_row_id, rel_pos, case o when c0 then 1 when c1 then 2 else 3 end as slot from (
+  select *, case when m > 2 then case when t2 = c0 or t2 = c1 then n - m + 2 else t2 end end as c2 from (
+    select *, case when m > 1 then case when t1 = c0 then n - m + 1 else t1 end end as c1 from (
+      select *, {_drawn(0)} as c0, {_drawn(1)} as t1, {_drawn(2)} as t2 from (select *, least(3, n) as m from ({_POOL}))
+    )
+  )
+) where o = c0 or o = c1 or o = c2"""
 _SHORT = f"select w.id, s.edit_source, s.want, coalesce(h.have, 0) as have from w cross join (values ('gnomad', 3), ('clinvar', 3), ('snv', 1), ('indel', 1)) s(edit_source, want) left join (select id, edit_source, count(*) as have from ({_REAL}) group by 1, 2) h on h.id = w.id and h.edit_source = s.edit_source where coalesce(h.have, 0) < s.want"
 _SPOT = draw_sql("id || ':' || edit_source || ':' || slot", 3968)
 _TUPLES = f"select id, edit_source, source_row_id, rel_pos, slot from ({_REAL}) union all select id, case when edit_source = 'indel' then 'indel' else 'snv' end, null, {_SPOT} + 64, slot from (select id, edit_source, unnest(range(have + 1, want + 1)) as slot from ({_SHORT}))"
@@ -294,7 +313,7 @@ _L2 = "sqrt(list_sum(list_transform(list_zip(x, y), lambda q: (q[1] - q[2]) * (q
 def c11(spark, sf_dir):
     """Recall, mean reciprocal rank and mean distance per split."""
     e = pairs(spark, sf_dir).select("id", "split", vectors.l2(F.col("x"), F.col("y")).alias("d")).withColumn("key", F.round("d", 9))
-    ranked = ranking.running(e, ["split"], ranking.value_bin(F.col("key")), ["key", "id"], rank=F.lit(1))
+    ranked = ranking.running(e, ["split"], ["key", "id"], rank=F.lit(1))
     return ranked.groupBy("split").agg(F.count("*").alias("n"), r(F.avg(F.when(F.col("rank") <= 5, 1.0).otherwise(0.0))).alias("recall_at_5"), r(F.avg(F.lit(1.0) / F.col("rank"))).alias("mrr"), r(F.avg("d")).alias("mean_l2"))
 
 

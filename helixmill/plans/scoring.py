@@ -9,11 +9,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.functions.digests import draw, priority
+from helixmill.functions.digests import draw
 from helixmill.functions.dna import MAX_ALLELE
 from helixmill.operators import tiles
-from helixmill.operators.intervals import variants_in_windows, window_counts, windows_off
-from helixmill.scratch import stored
+from helixmill.operators.intervals import edges_of, sticking_out, upto, window_counts, windows_off
+from helixmill.scratch import few, stored
 from helixmill.sources import text
 
 #: Tuples a window gives per source.
@@ -35,17 +35,45 @@ def hold_out_edits(edits: DataFrame, *, keys: DataFrame | None = None, chroms: l
     return out.where(F.col("chrom").isNull() | ~F.col("chrom").isin(chroms)) if chroms else out
 
 
-def training_tuples(windows: DataFrame, edits: DataFrame, *, seed: str, quota: dict[str, int] = QUOTA) -> DataFrame:
-    """window id, edit_source, source_row_id, rel_pos, slot: per window and source the first edits in a seeded order; what gnomad and clinvar lack
-    falls back to synthetic single-base slots (source_row_id null, rel_pos from the seed). edits has chrom, pos, ref, alt, edit_source, source_row_id."""
-    from pyspark.sql import Window
+def _chosen(seed: str, ident: Column, n: Column, k: Column) -> Column:
+    """min(k, n) distinct whole numbers below n, each set of them as likely as any other (Floyd's algorithm), in the order they were drawn."""
+    m = F.least(n, k)
+
+    def step(taken: Column, i: Column) -> Column:
+        last = n - m + i
+        t = draw(seed, F.concat_ws(":", ident, i), last + 1)
+        return F.array_append(taken, F.when(F.array_contains(taken, t), last).otherwise(t))
+
+    return F.when(m > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), m - 1), F.expr("cast(array() as array<bigint>)"), step)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def sampled_edits(windows: DataFrame, edits: DataFrame, *, seed: str, quota: dict[str, int]) -> DataFrame:
+    """id, edit_source, source_row_id, rel_pos, slot: of each window and source, edits drawn without replacement among those whose REF lies inside the window.
 
-    met = variants_in_windows(windows, edits)
-    order = Window.partitionBy("id", "edit_source").orderBy(priority(seed, F.concat_ws(":", "id", "source_row_id")), "source_row_id")
+    Edits are numbered along (chrom, edit_source), so a window's are a range of numbers; a seeded draw picks some of them, and only these are fetched, by an equi-join on the number. Work grows with windows and edits, not with
+    their pairs. Edits that begin in a window and end beyond it are found by its end, and the draw leaves their numbers out."""
+    limit = F.create_map(*(F.lit(x) for pair in quota.items() for x in pair))
+    sources = few(edits.select("edit_source").distinct(), "sources")
+    edges = edges_of(windows).join(sources)  # a few sources
+    columns = edits.select("chrom", "edit_source", "pos", "source_row_id", F.length("ref").alias("n_ref"))
+    points, ends = upto(columns, edges, ["chrom", "edit_source"], ["source_row_id"], F.lit(1))
+    spans = ends.groupBy("id", "chrom", "edit_source").agg(*(F.max(F.when(F.col("side") == k, F.col("upto"))).alias(name) for k, name in ((0, "lo"), (1, "hi"))), F.min("pos").alias("start_bp")).where("lo < hi")
+    beyond = sticking_out(windows, points.select("chrom", "edit_source", "pos", "n_ref", F.col("upto").alias("number")))
+    cut = beyond.groupBy("id", "edit_source").agg(F.array_sort(F.collect_list("number")).alias("out"))
+    some = spans.join(cut, ["id", "edit_source"], "left").withColumn("out", F.coalesce("out", F.expr("cast(array() as array<bigint>)")))
+    drawn = some.withColumn("chosen", _chosen(seed, F.concat_ws(":", "id", "edit_source"), F.col("hi") - F.col("lo") - F.size("out"), limit[F.col("edit_source")].cast("long")))
+    numbered = drawn.select("id", "chrom", "edit_source", "start_bp", "lo", "out", F.posexplode("chosen").alias("slot", "rank"))
+    number = F.aggregate("out", F.col("lo") + 1 + F.col("rank"), lambda at, gone: at + F.when(gone <= at, 1).otherwise(0))
+    wanted = numbered.select("id", "chrom", "edit_source", "start_bp", number.alias("upto"), (F.col("slot") + 1).cast("int").alias("slot"))
+    met = wanted.join(points.select("chrom", "edit_source", "upto", "source_row_id", "pos"), ["chrom", "edit_source", "upto"])
+    return met.select("id", "edit_source", "source_row_id", (F.col("pos") - 1 - F.col("start_bp")).alias("rel_pos"), "slot")
+
+
+def training_tuples(windows: DataFrame, edits: DataFrame, *, seed: str, quota: dict[str, int] = QUOTA) -> DataFrame:
+    """window id, edit_source, source_row_id, rel_pos, slot: per window and source a seeded draw of edits; what gnomad and clinvar lack falls back to synthetic single-base slots
+    (source_row_id null, rel_pos from the seed). edits has chrom, pos, ref, edit_source, source_row_id."""
+    real = stored(sampled_edits(windows, edits, seed=seed, quota=quota), "real")
     limit = F.create_map(*(F.lit(x) for pair in quota.items() for x in pair))
-    # the literal bound lets Spark keep only so many rows a group before the shuffle
-    real = met.withColumn("slot", F.row_number().over(order)).where((F.col("slot") <= max(quota.values())) & (F.col("slot") <= limit[F.col("edit_source")]))
-    real = real.select("id", "edit_source", "source_row_id", (F.col("pos") - 1 - F.col("start_bp")).alias("rel_pos"), F.col("slot").cast("int").alias("slot"))
     wanted = windows.select("id", (F.col("end_bp") - F.col("start_bp")).alias("span"), F.explode(limit).alias("edit_source", "want"))
     have = real.groupBy("id", "edit_source").agg(F.count("*").alias("have"))
     short = wanted.join(have, ["id", "edit_source"], "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < want")

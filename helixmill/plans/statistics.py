@@ -30,20 +30,18 @@ def w2(spark, sf_dir):
 @query("W3_cumulative_positives", "select id, cast(sum(label) over (partition by grp order by score desc, id rows unbounded preceding) as bigint) as hits from sl", "sl")
 def w3(spark, sf_dir):
     s = scored(spark, sf_dir)
-    return ranking.running(s, ["grp"], -ranking.value_bin(F.col("score")), [F.desc("score"), "id"], hits=F.col("label")).select("id", F.col("hits").cast("long").alias("hits"))
+    return ranking.running(s, ["grp"], [F.col("score").isNull(), -F.col("score"), "id"], hits=F.col("label")).select("id", F.col("hits").cast("long").alias("hits"))
 
 
 @query("W6_shard_numbers", "select source_row_id, (row_number() over (partition by chrom order by pos, source_row_id) - 1) // 1000 as shard from v", "v")
 def w6(spark, sf_dir):
-    v = ranking.running(variants(spark, sf_dir), ["chrom"], F.floor(F.col("pos") / 65536), ["pos", "source_row_id"], at=F.lit(1))
+    v = ranking.running(variants(spark, sf_dir), ["chrom"], ["pos", "source_row_id"], at=F.lit(1))
     return v.select("source_row_id", F.expr("cast((at - 1) div 1000 as bigint)").alias("shard"))
 
 
 @query("T1_T9_canonical_order", "select source_row_id, row_number() over (partition by role order by cast(chrom as int), pos, ref, alt, source_row_id) as at from vk", "vk")
 def t1(spark, sf_dir):
-    rank = dna.chrom_rank(F.col("chrom"))
-    stretch = rank.cast("long") * (1 << 32) + F.floor(F.col("pos") / 65536)
-    v = ranking.running(keyed_variants(spark, sf_dir), ["role"], stretch, [rank, "pos", "ref", "alt", "source_row_id"], at=F.lit(1))
+    v = ranking.running(keyed_variants(spark, sf_dir), ["role"], [dna.chrom_rank(F.col("chrom")), "pos", "ref", "alt", "source_row_id"], at=F.lit(1))
     return v.select("source_row_id", F.col("at").cast("long").alias("at"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixmill.functions import digests, dna, labels, vectors
-from helixmill.operators import calibration, intervals, metrics, sampling, variants
+from helixmill.operators import calibration, intervals, metrics, ranking, sampling, variants
 from helixmill.plans import catalog, composites, extended, files, runtime, statistics, whole  # noqa: F401  they register their queries
 from helixmill.plans.proxies import keyed_variants, scored, sequences
 from helixmill.plans.proxies import read as table
@@ -340,9 +340,8 @@ def a16(spark, sf_dir):
 
 @query("W4_target_rank", f"select id, row_number() over (partition by split order by round({_L2}, 9), id) as target_rank from e", "e")
 def w4(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return e_rows(spark, sf_dir).select("id", F.row_number().over(Window.partitionBy("split").orderBy(r(vectors.l2(F.col("x"), F.col("y")), 9), "id")).cast("long").alias("target_rank"))
+    e = e_rows(spark, sf_dir).select("id", "split", r(vectors.l2(F.col("x"), F.col("y")), 9).alias("d"))
+    return ranking.running(e, ["split"], ["d", "id"], target_rank=F.lit(1)).select("id", F.col("target_rank").cast("long").alias("target_rank"))
 
 
 @query("T3_elites", f"select id, round({_L2}, 6) as objective from e order by round({_L2}, 6), id limit 16", "e")

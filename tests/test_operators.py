@@ -14,11 +14,19 @@ from helixmill.plans import research, scoring
 from helixmill.sources import shards, text
 
 
-def test_value_bins_never_fall(spark):
-    r = random.Random(1)
-    values = sorted([0.0, -0.0, 1e-300, -1e300, 5.0, 4.999999999999999] + [r.uniform(-3, 3) * 10 ** r.randrange(-9, 9) for _ in range(2000)])
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").select("i", ranking.value_bin(F.col("v")).alias("b")).orderBy("i").collect()
-    assert all(a.b <= b.b for a, b in zip(rows, rows[1:])) and len({x.b for x in rows}) > 500
+@pytest.mark.parametrize("values", ["narrow", "one", "skewed", "text"])
+def test_bins_hold_equal_numbers(spark, values):
+    """Whatever the values are: all between 1000 and 1001, all the same (ids tell them apart), over many octaves, or digests; bins never fall along the order."""
+    r, n = random.Random(1), 20_000
+    make = {"narrow": lambda i: 1000 + r.random(), "one": lambda i: 7.0, "skewed": lambda i: r.choice([-1, 1]) * 10 ** r.uniform(-9, 9), "text": lambda i: f"{r.getrandbits(64):016x}"}[values]
+    rows = [(i, "g" if i % 10 else "small", make(i)) for i in range(n)]
+    frame = spark.createDataFrame(rows, f"id long, g string, v {'string' if values == 'text' else 'double'}").repartition(5).cache()
+    found = ranking.binned(frame, ["g"], ["v", "id"], per_bin=2000).collect()
+    sizes = collections.Counter(x["_bin"] for x in found if x.g == "g")
+    assert len(found) == n and len(sizes) == 9 and max(sizes.values()) < 2 * 2000 and {x["_bin"] for x in found if x.g == "small"} == {0}
+    order = [x["_bin"] for x in sorted((x for x in found if x.g == "g"), key=lambda x: (x.v, x.id))]
+    assert order == sorted(order)
+    assert ranking.binned(frame, ["g"], ["v", "id"], per_bin=n) is None
 
 
 @pytest.fixture(scope="module")
@@ -29,9 +37,10 @@ def ranked(spark):
     return rows, spark.createDataFrame(rows, "id long, g string, score double, label int, value double").repartition(5)
 
 
-def test_running_sums_and_ranks(spark, ranked):
+@pytest.mark.parametrize("per_bin", [10, 100, 10_000])
+def test_running_sums_and_ranks(spark, ranked, per_bin):
     rows, frame = ranked
-    got = {x.id: (x.at, x.hits) for x in ranking.running(frame, ["g"], -ranking.value_bin(F.col("score")), [F.desc("score"), "id"], at=F.lit(1), hits=F.col("label")).collect()}
+    got = {x.id: (x.at, x.hits) for x in ranking.running(frame, ["g"], [-F.col("score"), "id"], per_bin=per_bin, at=F.lit(1), hits=F.col("label")).collect()}
     ranks = collections.defaultdict(dict)
     for x in ranking.value_ranks(frame, ["g"], "score", "rank").collect():
         ranks[x.g][x.score] = x.rank
@@ -90,7 +99,7 @@ def test_window_counts_are_the_pairs(spark):
     w, v = spark.createDataFrame(windows, "id long, chrom string, start_bp long, end_bp long"), spark.createDataFrame(variants, "chrom string, pos long, ref string")
     want = {i: n for i, c, s, e in windows if (n := sum(c == d and s < p <= e and p - 1 + len(x) <= e for d, p, x in variants))}
     assert {x.id: x.n for x in intervals.window_counts(w, v).collect()} == want
-    assert {x.id: x.n for x in intervals.window_counts(w, v, width=64).collect()} == want
+    assert {x.id: x.n for x in intervals.window_counts(w, v).collect()} == want
     assert intervals.window_counts(w, v.where("pos < 0")).count() == 0
 
 
@@ -159,3 +168,33 @@ def test_logistic_probe_is_its_optimum(spark):
     w = research.logistic_probe(spark.createDataFrame(rows, "x double, z double, y int"), ["x", "z"], "y")
     gradient = [sum((y - 1 / (1 + math.exp(-(w[0] * x + w[1] * z + w[2])))) * v for x, z, y in rows for v in [(x, z, 1.0)[k]]) for k in range(3)]
     assert max(map(abs, gradient)) < 1e-6 and w[0] > 0 > w[1]
+
+
+def test_tuples_are_drawn_by_ordinals(spark):
+    """Without replacement, among edits whose REF lies inside; long REFs that stick out of a window are never drawn, and the numbers drawn are those of Floyd's algorithm."""
+    import hashlib
+
+    r = random.Random(8)
+    windows = [(i, r.choice("12"), s, s + r.choice([40, 64])) for i, s in enumerate(r.sample(range(0, 900), 60))] + [(99, None, 0, 64)]
+    edits = [(r.choice("12"), p, "ACGTACGT"[: r.choice([1, 1, 1, 2, 5, 8])], r.choice(["gnomad", "clinvar"]), k) for k, p in enumerate(r.choices(range(1, 960), k=700))]
+    quota = {"gnomad": 3, "clinvar": 2, "snv": 1}
+    frames = spark.createDataFrame(windows, "id long, chrom string, start_bp long, end_bp long"), spark.createDataFrame(edits, "chrom string, pos long, ref string, edit_source string, source_row_id long").repartition(4)
+    got = collections.defaultdict(dict)
+    for x in scoring.sampled_edits(*frames, seed="s", quota=quota).collect():
+        got[x.id, x.edit_source][x.slot] = (x.source_row_id, x.rel_pos)
+    for i, chrom, start, end in windows:
+        for source in ("gnomad", "clinvar"):
+            pool = sorted((p, k) for c, p, ref, s, k in edits if c == chrom and s == source and start < p and p - 1 + len(ref) <= end)
+            taken, m = [], min(quota[source], len(pool))
+            for j in range(m):
+                last = len(pool) - m + j
+                t = int(hashlib.sha256(f"s:{i}:{source}:{j}".encode()).hexdigest()[:15], 16) % (last + 1)
+                taken.append(last if t in taken else t)
+            assert got.get((i, source), {}) == {j + 1: (pool[t][1], pool[t][0] - 1 - start) for j, t in enumerate(taken)}
+
+
+def test_window_counts_with_far_positions(spark):
+    """A wild position makes no rows between it and the others, and points on an edge belong to the window that ends there."""
+    windows = spark.createDataFrame([(1, "1", 0, 10), (2, "1", 10, 20), (3, "1", 10**14, 10**14 + 5), (4, "2", 0, 10**15), (5, None, 0, 10)], "id long, chrom string, start_bp long, end_bp long")
+    variants = spark.createDataFrame([("1", 10, "A"), ("1", 11, "A"), ("1", 20, "A"), ("1", 10**14 + 5, "A"), ("1", 10**14 + 6, "A"), ("2", 5, "A"), ("2", 5, "A")], "chrom string, pos long, ref string")
+    assert {x.id: x.n for x in intervals.window_counts(windows, variants).collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
