@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.digests import priority
 from helixmill.operators.ranking import seeded_rank
+from helixmill.scratch import stored
 
 
 def bucket_samples(rows: DataFrame, seed: str, limit: int) -> DataFrame:
@@ -18,14 +19,18 @@ def bucket_samples(rows: DataFrame, seed: str, limit: int) -> DataFrame:
 def calibrate(samples: DataFrame, grid: int) -> DataFrame:
     """bucket_id, n_calibration, sigma_grid, cdf: the share of values up to each point of an even grid from min to max.
 
-    A value's bin is the first grid point not under it, so bins are counted once and summed along the grid; a bucket's sample is bounded, its grid too."""
-    stats = samples.groupBy("bucket_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
-    point = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / F.lit(float(grid - 1))
-    points = stats.withColumn("sigma_grid", F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.when(i == grid - 1, F.col("hi")).otherwise(point(i))))
-    values = samples.groupBy("bucket_id").agg(F.array_sort(F.collect_list("value")).alias("sorted"))
-    met = points.join(values, "bucket_id")
-    cdf = F.transform("sigma_grid", lambda x: F.size(F.filter("sorted", lambda v: v <= x)) / F.col("n").cast("double"))
-    return met.select("bucket_id", F.col("n").alias("n_calibration"), cdf.alias("cdf"), "sigma_grid")
+    A value's place is the first grid point not under it. Values are counted per place, and counts are summed along the grid, so a bucket may hold any number of values."""
+    stats = stored(samples.groupBy("bucket_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")), "stats")
+    point = lambda i: F.when(i >= grid - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * i / F.lit(float(grid - 1)))
+    near = F.coalesce(F.ceil((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * (grid - 1)), F.lit(0)).cast("int")
+    # rounding may put the estimate a point off
+    at = F.when(point(near - 1) >= F.col("value"), near - 1).when(point(near) < F.col("value"), near + 1).otherwise(near)
+    counts = samples.join(stats, "bucket_id").select("bucket_id", F.greatest(F.lit(0), at).alias("i")).groupBy("bucket_id", "i").agg(F.count("*").alias("c"))
+    points = stats.select("bucket_id", "n", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i")).withColumn("x", point(F.col("i")))
+    along = Window.partitionBy("bucket_id").orderBy("i")
+    summed = points.join(counts, ["bucket_id", "i"], "left").withColumn("cdf", F.sum(F.coalesce("c", F.lit(0))).over(along) / F.col("n").cast("double"))
+    line = F.array_sort(F.collect_list(F.struct("i", "x", "cdf")))  # a grid's points
+    return summed.groupBy("bucket_id").agg(F.first("n").alias("n_calibration"), line.alias("g")).select("bucket_id", "n_calibration", F.col("g.cdf").alias("cdf"), F.col("g.x").alias("sigma_grid"))
 
 
 def choose_bucket(rows: DataFrame, sizes: DataFrame, least: int) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions.digests import priority
+from helixmill.functions.digests import draw, priority
 from helixmill.operators.ranking import met, running, seeded_rank, value_ranks
+from helixmill.scratch import few, stored
 
 
 def auroc(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -69,40 +68,57 @@ def folds(rows: DataFrame, k: int, seed: str, by: str = "label") -> DataFrame:
     return seeded_rank(rows, [by], priority(seed, F.col("id")), "id", "fold").withColumn("fold", (F.col("fold") - 1) % k)
 
 
-def _poisson_cuts() -> list[float]:
-    cuts, p, total = [], math.exp(-1), 0.0
-    for k in range(1, 9):
-        total += p
-        cuts.append(total)
-        p /= k
-    return cuts
-
-
-#: A uniform draw at or above the k-th means k copies or more.
-POISSON_CUTS = _poisson_cuts()
-
-
-def bootstrap(rows: DataFrame, replicates: int, seed: str) -> DataFrame:
-    """Rows with (replicate, copies): each row's number of draws is Poisson(1) from a hash, the usual large-sample stand-in for n draws with replacement, so no row
-    number, shuffle or driver loop is needed. Rows without a draw are left out."""
-    draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("id").cast("string")), 256), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
-    copies = sum(F.when(F.col("draw") >= c, 1).otherwise(0) for c in POISSON_CUTS)
-    many = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", draw)
-    return many.withColumn("copies", copies).where("copies > 0").drop("draw")
-
-
-def bootstrap_auroc(rows: DataFrame, replicates: int, seed: str) -> DataFrame:
-    """AUROC of each replicate, weighted by copies."""
-    drawn = bootstrap(rows, replicates, seed)
-    sums = drawn.groupBy("replicate", "score").agg(F.sum(F.col("label") * F.col("copies")).alias("p"), F.sum((1 - F.col("label")) * F.col("copies")).alias("n"))
+#: Rows of a bin that draws are dealt to.
+BIN_ROWS = 1024
+#: Draws that one task deals to bins.
+CHUNK = 1 << 20
+
+
+def resampled(rows: DataFrame, replicates: int, seed: str, strata: list[str], columns: list[str], *, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """The exact bootstrap: per replicate and stratum as many draws with replacement as the stratum has rows, one row a draw: strata, replicate, columns.
+
+    Rows are numbered by id and stand in bins of bin_rows. Draws are first dealt to bins (a draw's bin is that of a uniform number below n), of which only the counts per replicate and bin are shuffled; then each bin's draws pick their rows
+    within the bin, so neither draws nor rows of a replicate ever move. All draws are hashes of seed, stratum, replicate and their own number."""
+    if not strata:
+        return resampled(rows.withColumn("_all", F.lit("")), replicates, seed, ["_all"], columns, bin_rows=bin_rows).drop("_all")
+    name = F.concat_ws(":", *strata)
+    numbered = running(rows.select(*dict.fromkeys([*strata, "id", *columns])), strata, ["id"], _at=F.lit(1))
+    spot = F.col("_at") - 1
+    bins = stored(numbered.groupBy(*strata, F.expr(f"(_at - 1) div {bin_rows}").alias("_bin")).agg(F.array_sort(F.collect_list(F.struct((spot % bin_rows).alias("_place"), *(F.col(c).alias(f"_c_{c}") for c in columns)))).alias("_rows")), "bins")
+    sizes = stored(bins.groupBy(*strata).agg(F.sum(F.size("_rows")).cast("long").alias("_n")), "strata")
+    each = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    alone = each.where(F.col("_n") <= bin_rows).select(*strata, "replicate", F.lit(0).cast("long").alias("_bin"), F.col("_n").alias("_draws"))
+    large = each.where(F.col("_n") > bin_rows).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(CHUNK).cast("long")))).repartition(*strata, "replicate", "_from")
+    j = large.withColumn("_j", F.explode(F.sequence(F.col("_from"), F.least(F.col("_n"), F.col("_from") + CHUNK) - 1)))
+    dealt = j.withColumn("_o", draw(seed, F.concat_ws(":", name, "replicate", "_j"), F.col("_n"))).groupBy(*strata, "replicate", F.expr(f"_o div {bin_rows}").alias("_bin")).agg(F.count("*").alias("_draws"))
+    counts = alone.unionByName(dealt)
+    both = met(counts, bins, [*strata, "_bin"])
+    picks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_draws") - 1), lambda i: draw(seed, F.concat_ws(":", name, "replicate", F.concat(F.lit("b"), "_bin"), i), F.size("_rows").cast("long")))
+    drawn = both.select(*strata, "replicate", "_rows", F.explode(picks).alias("_pick")).select(*strata, "replicate", F.get("_rows", F.col("_pick").cast("int")).alias("_r"))
+    return drawn.select(*strata, "replicate", *(F.col(f"_r._c_{c}").alias(c) for c in columns if c not in strata))
+
+
+def bootstrap_auroc(rows: DataFrame, replicates: int, seed: str, *, stratified: bool = True, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """AUROC of each replicate; stratified: positives and negatives are resampled apart."""
+    drawn = resampled(rows, replicates, seed, ["label"] if stratified else [], ["label", "score"], bin_rows=bin_rows)
+    sums = drawn.groupBy("replicate", "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     return _wins(sums, ["replicate"]).select("replicate", "auroc")
 
 
-def permutation_p(rows: DataFrame, permutations: int, seed: str) -> DataFrame:
+def permutation_p(rows: DataFrame, permutations: int, seed: str, *, digits: int = 3) -> DataFrame:
     """p_value: (hits + 1) / (permutations + 1), where a hit is a relabeling whose positives' scores sum to no less than the real ones. Relabeling k takes as positive
-    the rows that come first in the order of sha256(seed:k:id), as many as there are."""
-    real = rows.agg(F.sum("label").alias("positives"), F.sum(F.col("label") * F.col("score")).alias("seen"))
+    the rows that come first in the order of sha256(seed:k:id), as many as there are.
+
+    Rows are counted and summed per relabeling and hash prefix, which combines before the shuffle; only rows of the one prefix per relabeling that the cut goes through are ranked."""
+    real = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("positives"), F.sum(F.col("label") * F.col("score")).alias("seen"))
     many = rows.select("id", "score", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("k"))
-    ranked = seeded_rank(many, ["k"], priority(seed, F.concat_ws(":", "k", "id")), "id", "at")
-    sums = ranked.join(F.broadcast(real)).groupBy("k").agg(F.sum(F.when(F.col("at") <= F.col("positives"), F.col("score")).otherwise(0)).alias("drawn"), F.first("seen").alias("seen"))
-    return sums.agg(((F.count_if(F.col("drawn") >= F.col("seen")) + 1) / (F.count("*") + 1).cast("double")).alias("p_value"))
+    marked = many.withColumn("p", priority(seed, F.concat_ws(":", "k", "id"))).withColumn("bin", F.conv(F.substring("p", 1, digits), 16, 10).cast("long"))
+    sums = stored(marked.groupBy("k", "bin").agg(F.count("*").alias("n"), F.sum("score").alias("s")), "prefixes")
+    along = Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # one row a prefix
+    before = sums.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).join(F.broadcast(real))
+    whole = before.where(F.col("before") + F.col("n") <= F.col("positives")).select("k", F.col("s").alias("drawn"))
+    cut = few(before.where((F.col("before") < F.col("positives")) & (F.col("before") + F.col("n") > F.col("positives"))).select("k", "bin", (F.col("positives") - F.col("before")).alias("left")), "cuts")
+    ranked = running(marked.join(cut, ["k", "bin"]), ["k"], ["p", "id"], at=F.lit(1)).where(F.col("at") <= F.col("left")).select("k", F.col("score").alias("drawn"))
+    drawn = whole.unionByName(ranked).groupBy("k").agg(F.sum("drawn").alias("drawn"))
+    every = sums.select("k").distinct().join(drawn, "k", "left").join(F.broadcast(real))
+    return every.agg(((F.count_if(F.coalesce("drawn", F.lit(0.0)) >= F.coalesce("seen", F.lit(0.0))) + 1) / (F.count("*") + 1).cast("double")).alias("p_value"))

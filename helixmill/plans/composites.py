@@ -9,6 +9,7 @@ from helixmill.functions import dna, vectors
 from helixmill.functions.digests import key_list_sha256, priority
 from helixmill.operators import corpus, metrics, ranking, sampling, synthetic
 from helixmill.operators import variants as ingest
+from helixmill.operators.quantiles import quantiles
 from helixmill.plans import research, scoring
 from helixmill.plans.proxies import CLEAN_SQL, corpus_records, draw_sql, keyed_variants, read, scored, sequences, variants, windows
 from helixmill.plans.proxies import vectors as pairs
@@ -330,8 +331,9 @@ def c12(spark, sf_dir):
     rows = e.select("id", (F.col("id") % 5).alias("fold"), (F.col("split") % 2).alias("label"), "x")
     scores = research.project(rows, research.fold_directions(rows)).withColumn("score", F.round("score", 9))
     auroc = metrics.auroc(scores, []).select(r("auroc", 5).alias("auroc"))
-    geometry = e.select(vectors.l2(F.col("x"), F.col("y")).alias("d")).agg(r(F.avg("d")).alias("mean_l2"), r(F.median("d")).alias("median_l2"), F.count("*").alias("n"))
-    return auroc.join(F.broadcast(geometry))
+    far = e.select(vectors.l2(F.col("x"), F.col("y")).alias("d"))
+    geometry = far.agg(r(F.avg("d")).alias("mean_l2"), F.count("*").alias("n"))
+    return auroc.join(F.broadcast(geometry)).join(F.broadcast(quantiles(far, [], "d", {"q": 0.5}).select(r("q").alias("median_l2"))))
 
 
 @query(

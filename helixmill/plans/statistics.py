@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helixmill.functions import dna, labels, vectors
 from helixmill.operators import calibration, intervals, metrics, ranking
 from helixmill.plans import research
-from helixmill.plans.proxies import keyed_variants, scored, variants, windows
+from helixmill.plans.proxies import draw_sql, keyed_variants, scored, variants, windows
 from helixmill.plans.proxies import vectors as pairs
 from helixmill.registry import query, r
 from helixmill.scratch import stored
@@ -127,26 +127,67 @@ def c8(spark, sf_dir):
 # resampling: draws are sha256 digests, so SQL repeats them
 
 
-def _boot(score: str, replicates: int) -> str:
-    copies = " + ".join(f"case when draw >= {c!r} then 1 else 0 end" for c in metrics.POISSON_CUTS)
-    drawn = f"select replicate, {score} as s, label, cast(('0x' || substr(sha256('7:' || replicate || ':' || id), 1, 13))::ubigint as double) / 4503599627370496 as draw from sl, range({replicates}) t(replicate)"
-    sums = f"select replicate, s, sum(label * c) as p, sum((1 - label) * c) as n from (select *, {copies} as c from ({drawn})) group by 1, 2"
-    under = f"select *, coalesce(sum(n) over (partition by replicate order by s rows between unbounded preceding and 1 preceding), 0) as under from ({sums})"
-    return f"select replicate, sum(p * (under + n / cast(2 as double))) / nullif(cast(sum(p) as double) * cast(sum(n) as double), 0) as auroc from ({under}) group by 1"
+#: Small, so that draws are dealt to bins on the smallest tables too.
+_BIN = 64
 
 
-@query("A26_bootstrap_auroc", f"select replicate, round(auroc, 6) as auroc from ({_boot('score', 40)})", "sl")
+def _boot(score: str, replicates: int, stratum: str) -> str:
+    """SQL: AUROC of each replicate of the exact bootstrap. Draws are dealt to bins of rows in order of id, then pick rows within them."""
+    bin_ = f"{draw_sql(f"g || ':' || replicate || ':' || j", 'n')} // {_BIN}"
+    pick = draw_sql("g || ':' || replicate || ':b' || bin || ':' || i", f"least({_BIN}, n - bin * {_BIN})")
+    return f"""
+select replicate, sum(p * (under + n / cast(2 as double))) / nullif(cast(sum(p) as double) * cast(sum(n) as double), 0) as auroc from (
+  select *, coalesce(sum(n) over (partition by replicate order by s rows between unbounded preceding and 1 preceding), 0) as under from (
+    select replicate, s, sum(label) as p, sum(1 - label) as n from (
+      select g, replicate, bin * {_BIN} + {pick} as o from (
+        select g, n, replicate, bin, unnest(range(draws)) as i from (
+          select g, n, replicate, 0 as bin, n as draws from z, range({replicates}) t(replicate) where n <= {_BIN}
+          union all
+          select g, n, replicate, bin, count(*) from (
+            select g, n, replicate, {bin_} as bin from (select g, n, replicate, unnest(range(n)) as j from z, range({replicates}) t(replicate) where n > {_BIN})
+          ) group by all
+        )
+      )
+    ) join (select {stratum} as g, {score} as s, label, row_number() over (partition by {stratum} order by id) - 1 as o from sl) using (g, o) group by 1, 2
+  )
+) group by 1"""
+
+
+def _sized(stratum: str, body: str) -> str:
+    """SQL with the view z: strata and their sizes."""
+    return f", z as (select {stratum} as g, count(*) as n from sl group by 1) {body}"
+
+
+def _with_labels(body: str) -> str:
+    from helixmill.plans.proxies import with_views
+
+    return with_views("sl").rstrip() + body
+
+
+@query("A26_bootstrap_auroc", _with_labels(_sized("label::varchar", f"select replicate, round(auroc, 6) as auroc from ({_boot('score', 40, 'label::varchar')})")))
 def a26(spark, sf_dir):
-    return metrics.bootstrap_auroc(scored(spark, sf_dir), 40, "7").select(F.col("replicate").cast("long").alias("replicate"), r("auroc").alias("auroc"))
+    """Positives and negatives are drawn apart, as many as there are of each."""
+    return metrics.bootstrap_auroc(scored(spark, sf_dir), 40, "7", bin_rows=_BIN).select(F.col("replicate").cast("long").alias("replicate"), r("auroc").alias("auroc"))
 
 
-@query("A25_paired_bootstrap", f"select round(quantile_cont(d, 0.025), 6) as lo, round(quantile_cont(d, 0.5), 6) as mid, round(quantile_cont(d, 0.975), 6) as hi from (select a.auroc - b.auroc as d from ({_boot('score', 40)}) a join ({_boot('value', 40)}) b using (replicate))", "sl")
+@query(
+    "A25_paired_bootstrap",
+    _with_labels(
+        _sized(
+            "''",
+            f"""
+select round(quantile_cont(d, 0.025), 6) as lo, round(quantile_cont(d, 0.5), 6) as mid, round(quantile_cont(d, 0.975), 6) as hi from (
+  select a.auroc - b.auroc as d from ({_boot("score", 40, "''")}) a join ({_boot("value", 40, "''")}) b using (replicate)
+)""",
+        )
+    ),
+)
 def a25(spark, sf_dir):
+    """Both scores on the same draws of all rows."""
     s = scored(spark, sf_dir)
-    a = metrics.bootstrap_auroc(s, 40, "7").select("replicate", F.col("auroc").alias("a"))
-    b = metrics.bootstrap_auroc(s.withColumn("score", F.col("value")), 40, "7").select("replicate", F.col("auroc").alias("b"))
-    d = a.join(b, "replicate").select((F.col("a") - F.col("b")).alias("d"))
-    return d.agg(r(F.percentile("d", 0.025)).alias("lo"), r(F.percentile("d", 0.5)).alias("mid"), r(F.percentile("d", 0.975)).alias("hi"))
+    one = lambda rows: metrics.bootstrap_auroc(rows, 40, "7", stratified=False, bin_rows=_BIN)
+    d = one(s).select("replicate", F.col("auroc").alias("a")).join(one(s.withColumn("score", F.col("value"))).select("replicate", F.col("auroc").alias("b")), "replicate").select((F.col("a") - F.col("b")).alias("d"))
+    return d.agg(r(F.percentile("d", 0.025)).alias("lo"), r(F.percentile("d", 0.5)).alias("mid"), r(F.percentile("d", 0.975)).alias("hi"))  # one row a replicate
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import digests, dna, labels, vectors
 from helixmill.operators import calibration, intervals, metrics, ranking, sampling, variants
+from helixmill.operators.quantiles import quantiles
 from helixmill.plans import catalog, composites, extended, files, runtime, statistics, whole  # noqa: F401  they register their queries
 from helixmill.plans.proxies import keyed_variants, scored, sequences
 from helixmill.plans.proxies import read as table
@@ -272,25 +273,31 @@ def a12(spark, sf_dir):
 
 @query("A13_quantiles", "select grp, round(quantile_cont(value, 0.025), 6) as lo, round(quantile_cont(value, 0.5), 6) as mid, round(quantile_cont(value, 0.975), 6) as hi from sl group by grp", "sl")
 def a13(spark, sf_dir):
-    return scored(spark, sf_dir).groupBy("grp").agg(*(r(F.percentile("value", q)).alias(name) for name, q in (("lo", 0.025), ("mid", 0.5), ("hi", 0.975))))
+    found = quantiles(scored(spark, sf_dir), ["grp"], "value", {"lo": 0.025, "mid": 0.5, "hi": 0.975})
+    return found.select("grp", *(r(n).alias(n) for n in ("lo", "mid", "hi")))
 
 
 @query("A18_describe", "select split, round(avg(n), 6) as mean, round(median(n), 6) as median, round(stddev_pop(n), 6) as std from (select split, sqrt(list_sum(list_transform(x, lambda q: q * q))) as n from e) group by split", "e")
 def a18(spark, sf_dir):
     rows = e_rows(spark, sf_dir).select("split", vectors.norm(F.col("x")).alias("n"))
-    return rows.groupBy("split").agg(r(F.avg("n")).alias("mean"), r(F.median("n")).alias("median"), r(F.stddev_pop("n")).alias("std"))
+    means = rows.groupBy("split").agg(r(F.avg("n")).alias("mean"), r(F.stddev_pop("n")).alias("std"))
+    return ranking.met(means, quantiles(rows, ["split"], "n", {"q": 0.5}).select("split", r("q").alias("median")), ["split"])
 
 
 @query("A30_adjustment", "select grp, round(stddev_pop(score - value), 6) as std, round(avg(abs(score - value)), 6) as mean_abs, round(quantile_cont(abs(score - value), 0.95), 6) as p95, max(abs(score - value)) as max_abs, count(distinct round(score - value, 8)) = 1 as constant from sl group by grp", "sl")
 def a30(spark, sf_dir):
-    d = F.col("score") - F.col("value")
-    return scored(spark, sf_dir).groupBy("grp").agg(r(F.stddev_pop(d)).alias("std"), r(F.avg(F.abs(d))).alias("mean_abs"), r(F.percentile(F.abs(d), 0.95)).alias("p95"), F.max(F.abs(d)).alias("max_abs"), (F.count_distinct(F.round(d, 8)) == 1).alias("constant"))
+    rows = scored(spark, sf_dir).select("grp", (F.col("score") - F.col("value")).alias("d")).withColumn("a", F.abs("d"))
+    same = F.min(F.round("d", 8)) == F.max(F.round("d", 8))
+    whole = rows.groupBy("grp").agg(r(F.stddev_pop("d")).alias("std"), r(F.avg("a")).alias("mean_abs"), F.max("a").alias("max_abs"), same.alias("constant"))
+    return ranking.met(whole, quantiles(rows, ["grp"], "a", {"q": 0.95}).select("grp", r("q").alias("p95")), ["grp"])
 
 
 @query("A31_score_summary", "select count(*) as n, count(value) as finite, min(value) as lo, max(value) as hi, round(avg(value), 6) as mean, median(value) as p50 from (select try_cast(case when l_linenumber % 5 = 0 then 'n/a' else cast(l_quantity as varchar) end as double) as value from lineitem)")
 def a31(spark, sf_dir):
     value = F.when(F.col("l_linenumber") % 5 == 0, "n/a").otherwise(F.col("l_quantity").cast("string")).try_cast("double")
-    return table(spark, sf_dir, "lineitem").select(value.alias("value")).agg(F.count("*").alias("n"), F.count("value").alias("finite"), F.min("value").alias("lo"), F.max("value").alias("hi"), r(F.avg("value")).alias("mean"), F.median("value").alias("p50"))
+    rows = table(spark, sf_dir, "lineitem").select(value.alias("value"))
+    whole = rows.agg(F.count("*").alias("n"), F.count("value").alias("finite"), F.min("value").alias("lo"), F.max("value").alias("hi"), r(F.avg("value")).alias("mean"))
+    return whole.join(F.broadcast(quantiles(rows, [], "value", {"p50": 0.5})))
 
 
 @query("A35_histogram", "select event_type, count(*) filter (value <= 10) as le_10, count(*) filter (value <= 50) as le_50, count(*) filter (value <= 100) as le_100, count(*) as le_inf, round(sum(value), 4) as total from events group by event_type")

@@ -198,3 +198,64 @@ def test_window_counts_with_far_positions(spark):
     windows = spark.createDataFrame([(1, "1", 0, 10), (2, "1", 10, 20), (3, "1", 10**14, 10**14 + 5), (4, "2", 0, 10**15), (5, None, 0, 10)], "id long, chrom string, start_bp long, end_bp long")
     variants = spark.createDataFrame([("1", 10, "A"), ("1", 11, "A"), ("1", 20, "A"), ("1", 10**14 + 5, "A"), ("1", 10**14 + 6, "A"), ("2", 5, "A"), ("2", 5, "A")], "chrom string, pos long, ref string")
     assert {x.id: x.n for x in intervals.window_counts(windows, variants).collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
+@pytest.mark.parametrize("whole", [0, 10**6])
+def test_quantiles_are_exact(spark, whole):
+    """Against sorted values, with ties, one value, nulls, a null group, and brackets that bind."""
+    import numpy as np
+
+    from helixmill.operators.quantiles import quantiles
+
+    r = random.Random(3)
+    groups = {"ties": [float(r.randrange(5)) for _ in range(700)], "wide": [r.choice([-1, 1]) * 10 ** r.uniform(-8, 8) for _ in range(3000)], "one": [4.0], "same": [2.5] * 400, None: [r.random() for _ in range(50)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("ties", None), ("nothing", None)]
+    shares = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.95, "e": 1.0}
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    for accuracy in (50, 10_000):
+        got = {x.g: x for x in quantiles(frame, ["g"], "v", shares, accuracy=accuracy, whole=whole).collect()}
+        assert set(got) == {*groups, "nothing"} and got["nothing"].c is None
+        for g, vs in groups.items():
+            for name, q in shares.items():
+                assert got[g][name] == pytest.approx(np.quantile(vs, q), rel=1e-12)
+    assert quantiles(frame.where("g = 'ties'"), [], "v", {"m": 0.5}).first().m == float(np.quantile(groups["ties"], 0.5))
+
+
+@pytest.mark.parametrize("bin_rows", [8, 1000])
+def test_bootstrap_draws_as_many_as_there_are(spark, bin_rows):
+    """In each replicate and stratum; the draws are uniform, and those of the hashes."""
+    rows = [(i * 3, int(i % 5 == 0), float(i)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "id long, label int, score double").repartition(3)
+    drawn = metrics.resampled(frame, 50, "s", ["label"], ["score"], bin_rows=bin_rows).collect()
+    assert collections.Counter((x.replicate, x.label) for x in drawn) == {(b, k): 24 if k else 96 for b in range(50) for k in (0, 1)}
+    assert all((x.score % 5 == 0) == bool(x.label) for x in drawn)
+    often = collections.Counter(x.score for x in drawn)
+    assert len(often) == 120 and 25 < min(often.values()) and max(often.values()) < 80
+    plain = metrics.resampled(frame, 5, "s", [], ["label", "score"], bin_rows=bin_rows).collect()
+    assert collections.Counter(x.replicate for x in plain) == dict.fromkeys(range(5), 120)
+    aurocs = [x.auroc for x in metrics.bootstrap_auroc(frame, 20, "s", bin_rows=bin_rows).collect()]
+    assert len(aurocs) == 20 and len(set(aurocs)) > 10 and abs(sum(aurocs) / 20 - 0.48) < 0.1
+
+
+def test_calibration_counts_each_place(spark):
+    """Equal to a count of values up to each grid point, with values on grid points, ties, and a bucket of one value."""
+    from helixmill.operators import calibration
+
+    r = random.Random(6)
+    buckets = {"a": [r.random() for _ in range(500)], "grid": [i / 10 for i in range(11) for _ in range(3)], "one": [0.3] * 4, "thirds": [i / 3 for i in range(31)]}
+    frame = spark.createDataFrame([(b, v) for b, vs in buckets.items() for v in vs], "bucket_id string, value double")
+    for x in calibration.calibrate(frame, 31).collect():
+        vs = buckets[x.bucket_id]
+        assert x.n_calibration == len(vs) and x.sigma_grid[-1] == max(vs) and len(x.cdf) == 31
+        assert list(x.cdf) == [sum(v <= p for v in vs) / len(vs) for p in x.sigma_grid]
+
+
+def test_permutations_are_brute_force(spark):
+    import hashlib
+
+    r = random.Random(2)
+    rows = [(i, float(r.randrange(9)), int(r.random() < 0.3)) for i in range(300)]
+    m, seen = sum(x[2] for x in rows), sum(x[1] for x in rows if x[2])
+    hits = sum(sum(s for _, s in sorted((hashlib.sha256(f"7:{k}:{i}".encode()).hexdigest(), s) for i, s, _ in rows)[:m]) >= seen for k in range(40))
+    for digits in (1, 3):
+        assert metrics.permutation_p(spark.createDataFrame(rows, "id long, score double, label int"), 40, "7", digits=digits).first().p_value == (hits + 1) / 41
