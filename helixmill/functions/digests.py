@@ -45,3 +45,9 @@ def draw(seed: str, ident: Column, n: Column | int) -> Column:
     """A whole number from 0 to n - 1: the first 60 bits of sha256(seed:ident) modulo n."""
     first = F.conv(F.substring(priority(seed, ident), 1, 15), 16, 10).cast("long")
     return first % (F.lit(n) if isinstance(n, int) else n)
+
+
+def framed(text: Column) -> Column:
+    """The text's UTF-8 bytes after their number as 8 bytes, the highest first."""
+    raw = F.encode(text, "UTF-8")
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(raw).cast("long")), 16, F.lit("0"))), raw)

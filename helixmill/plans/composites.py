@@ -6,16 +6,17 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from helixmill.functions import dna, vectors
-from helixmill.functions.digests import key_list_sha256, priority
-from helixmill.operators import corpus, metrics, ranking, sampling, synthetic
+from helixmill.functions.digests import canonical_json, priority
+from helixmill.operators import corpus, interval_index, metrics, ranking, sampling, synthetic, tiles
 from helixmill.operators import variants as ingest
 from helixmill.operators.quantiles import quantiles
+from helixmill.operators.rowsets import rowset_digest
 from helixmill.plans import research, scoring
-from helixmill.plans.proxies import CLEAN_SQL, corpus_records, draw_sql, keyed_variants, read, scored, sequences, variants, windows
+from helixmill.plans.proxies import CLEAN_SQL, corpus_records, draw_sql, keyed_variants, on_reference, read, reference, scored, sequences, variants, windows
 from helixmill.plans.proxies import vectors as pairs
 from helixmill.registry import query, r
-from helixmill.scratch import folder
-from helixmill.sources import shards
+from helixmill.scratch import folder, stored
+from helixmill.sources import shards, text
 from helixmill.streaming import events
 
 # synthetic edits; SQL repeats the draws
@@ -255,18 +256,41 @@ def c2(spark, sf_dir):
     return cut.select("record_id", "start_bp", (F.col("start_bp") + 256).alias("end_bp"), F.sha2(F.substring("sequence", F.col("start_bp").cast("int") + 1, F.lit(256)), 256).alias("digest"))
 
 
-_AGREED = "select variant_key, min(source_row_id) as source_row_id, min(cls in ('P', 'LP')) as positive from vk where role = 'evaluation' and cls in ('P', 'LP', 'B', 'LB') group by variant_key having min(cls in ('P', 'LP')) = max(cls in ('P', 'LP'))"
+_AGREED = """
+select chrom, pos, ref, alt, min(cls in ('P', 'LP')) as positive from rv
+where cls in ('P', 'LP', 'B', 'LB') and n is not null and pos <= n and substr(seq, cast(pos as int), 1) = ref and ref <> alt
+group by chrom, pos, ref, alt having min(cls in ('P', 'LP')) = max(cls in ('P', 'LP'))"""
 
 
 @query(
     "C3_eval_set",
-    f"select a.variant_key, a.positive from (select *, row_number() over (partition by positive order by sha256('7:' || variant_key), variant_key) as rn from ({_AGREED})) a join (select positive, count(*) as k, sum(count(*)) over () as total from ({_AGREED}) group by positive) n on n.positive = a.positive where a.rn <= case when n.total <= 200 then n.k else greatest(1, round_even(cast(200 as double) * n.k / n.total, 0)) end",
-    "vk",
+    f"""
+select a.chrom, a.pos, a.ref, a.alt, case when a.positive then 'positive' else 'negative' end as label from (
+  select *, row_number() over (partition by positive order by sha256('7:' || chrom || ':' || pos || ':' || ref || ':' || alt), chrom || ':' || pos || ':' || ref || ':' || alt) as rn from ({_AGREED})
+) a join (select positive, count(*) as k, sum(count(*)) over () as total from ({_AGREED}) group by positive) n on n.positive = a.positive
+where a.rn <= case when n.total <= 200 then n.k else greatest(1, round_even(cast(200 as double) * n.k / n.total, 0)) end""",
+    "rv",
 )
 def c3(spark, sf_dir):
-    """Labels of the held chromosome, one per key and only where all agree, under a stratified cap."""
-    agreed = ingest.consistent_first(keyed_variants(spark, sf_dir).where("role = 'evaluation'")).withColumn("positive", F.col("cls").isin("P", "LP"))
-    return sampling.stratified_cap(agreed, "positive", "variant_key", 200, "7").select("variant_key", "positive")
+    """Labelled variants, one per key and only where all its labels agree, that the reference's tiles can score, under a stratified cap; written as label lines and a VCF, read back and met."""
+    contigs = reference(spark, sf_dir)
+    path, key = folder(spark, "eval"), ["chrom", "pos", "ref", "alt"]
+    evaluation_set(on_reference(spark, sf_dir, contigs).where("ref <> alt"), contigs, path, cap=200, seed="7")
+    lines = text.read_jsonl(spark, f"{path}/labels", "chrom string, pos long, ref string, alt string, label string", closed=True)
+    return lines.join(text.read_vcf(spark, f"{path}/variants").select(*key), key)
+
+
+def evaluation_set(rows, contigs, path: str, *, cap: int, seed: str) -> None:
+    """Writes labels and variants of rows (chrom, pos, ref, alt, cls, source_row_id): labelled ones, one a key, without keys of both classes or that can't be scored, and no more than about cap."""
+    named = rows.withColumn("variant_key", F.concat_ws(":", "chrom", "pos", "ref", "alt"))
+    agreed = ingest.consistent_first(named)
+    parts = F.split("variant_key", ":")
+    keyed = agreed.select("variant_key", "source_row_id", F.col("cls").isin("P", "LP").alias("positive"), parts[0].alias("chrom"), parts[1].cast("long").alias("pos"), parts[2].alias("ref"), parts[3].alias("alt"))
+    known = text.resolve_contigs(keyed, tiles.lengths(contigs))
+    good = tiles.against_reference(known, tiles.with_halo(contigs, dna.MAX_ALLELE), longest=dna.MAX_ALLELE).where("reads = 'match'")
+    chosen = sampling.stratified_cap(good, "positive", "variant_key", cap, seed)
+    labelled = chosen.select("chrom", "pos", "ref", "alt", "source_row_id", F.when(F.col("positive"), "positive").otherwise("negative").alias("label"), F.lit("evaluation").alias("role"))
+    shards.write_role(stored(labelled, "evaluation"), "evaluation", path)
 
 
 _MEMBERS = "select variant_key, chrom, pos, ref, alt, role, case when role = 'validation' then 1 when role = 'evaluation' then 2 else 0 end + case when cls in ('P', 'LP', 'B', 'LB') then 4 else 0 end as reason_mask, source, cast(source_row_id as varchar) as source_row_id, cls as clinical_significance from vk"
@@ -361,11 +385,58 @@ def c14(spark, sf_dir):
     return sampling.first_k_per(keys, ["split", "positive"], "variant_key", 40, "7")
 
 
-@query("C15_snapshot", f"select role, chrom, count(*) as n, sha256('[\"' || string_agg(variant_key, '\",\"' order by variant_key) || '\"]') as keys_sha256 from (select distinct role, chrom, variant_key from ({_MEMBERS}) where reason_mask >= 4) group by 1, 2", "vk")
+def _tree_sql(rows: str, by: str, text: str, order: str) -> str:
+    """SQL: the tree digest of up to 1,024 x 1,024 rows a group."""
+    frame = f"hex(unhex(lpad(printf('%x', octet_length(encode({text}))), 16, '0')) || encode({text}))"
+    leaves = f"select {by}, o // 1024 as c, count(*) as n, sha256(unhex(string_agg({frame}, '' order by o))) as d from (select *, row_number() over (partition by {by} order by {order}) - 1 as o from ({rows})) group by {by}, c"
+    return f"select {by}, sum(n)::bigint as n, case when count(*) = 1 then any_value(d) else sha256(unhex(string_agg(d, '' order by c))) end as digest from ({leaves}) group by {by}"
+
+
+_MEMBER_TEXT = "'{\"alt\":\"' || alt || '\",\"chrom\":\"' || chrom || '\",\"pos\":' || pos || ',\"ref\":\"' || ref || '\",\"role\":\"' || role || '\"}'"
+
+
+@query("H4_rowset_digest", _tree_sql(f"select * from ({_MEMBERS})", "role", _MEMBER_TEXT, "cast(chrom as int), pos, ref, alt, source_row_id"), "vk")
+def h4_rowset(spark, sf_dir):
+    """Framed rows in canonical order, digested as a tree."""
+    c, rows = F.col, _membership(spark, sf_dir)
+    json = canonical_json(chrom=c("chrom"), pos=c("pos"), ref=c("ref"), alt=c("alt"), role=c("role"))
+    return rowset_digest(rows, ["role"], [dna.chrom_rank(c("chrom")), "pos", "ref", "alt", "source_row_id"], json)
+
+
+@query("C15_snapshot", _tree_sql(f"select distinct role, chrom, variant_key from ({_MEMBERS}) where reason_mask >= 4", "role, chrom", "variant_key", "variant_key"), "vk")
 def c15(spark, sf_dir):
     """The snapshot's rows are those membership selects; per role and chromosome, their number and the digest of their keys."""
     chosen = _membership(spark, sf_dir).where("reason_mask >= 4").select("role", "chrom", "variant_key").distinct()
-    return chosen.groupBy("role", "chrom").agg(F.count("*").alias("n"), key_list_sha256(F.col("variant_key")).alias("keys_sha256"))
+    return rowset_digest(chosen, ["role", "chrom"], ["variant_key"], F.col("variant_key"))
+
+
+def _indexed(spark, sf_dir):
+    rows = _membership(spark, sf_dir).select("variant_key", "chrom", "pos", "ref", "alt", "role", "reason_mask", "source_row_id", (F.col("pos") - 1).alias("start_bp"), (F.col("pos") - 1 + F.length("ref")).alias("end_bp"))
+    rows = stored(rows, "members")
+    return interval_index.build(rows, buckets=8), rows
+
+
+@query(
+    "C4_store_verification",
+    """
+select unnest(['order', 'bins', 'missing', 'extra', 'end_is_start_and_ref', 'role_is_known', 'role_of_chromosome']) as check, 0::bigint as failures
+union all select 'repeated', count(*) from (select 1 from vk group by variant_key, source_row_id having count(*) > 1)""",
+    "vk",
+)
+def c4_verify(spark, sf_dir):
+    """The stored index against the rows it came from, and against the rules of membership."""
+    index, rows = _indexed(spark, sf_dir)
+    rules = {"end_is_start_and_ref": F.col("end_bp") == F.col("start_bp") + F.length("ref"), "role_is_known": F.col("role").isin("train", "validation", "evaluation"), "role_of_chromosome": F.col("role") == ingest.role(F.col("chrom"))}
+    return interval_index.verify(index, rows, ["variant_key", "source_row_id"], rules)
+
+
+@query("C5_window_audit", "select m.role, count(distinct w.id) as windows, count(*) as pairs, count(distinct w.id) filter (m.role <> 'train') as held_windows from w join vk m on m.chrom = w.chrom and w.start_bp < m.pos and m.pos <= w.end_bp group by m.role", "vk", "w")
+def c5_audit(spark, sf_dir):
+    """Windows that hold members of each role, found in the stored index."""
+    index, _ = _indexed(spark, sf_dir)
+    asked = windows(spark, sf_dir).select(F.col("id").alias("q_id"), F.col("chrom").alias("q_chrom"), F.col("start_bp").alias("q_start"), F.col("end_bp").alias("q_end"))
+    met = interval_index.overlapping(index, asked).groupBy("role", "q_id").agg(F.count("*").alias("n"))
+    return met.groupBy("role").agg(F.count("*").alias("windows"), F.sum("n").alias("pairs"), F.count_if(F.col("role") != "train").alias("held_windows"))
 
 
 @query("C18_tuple_counts", f"select edit_source, count(*) as n, count(distinct id) as windows from ({_TUPLES}) group by edit_source", "v", "w")
@@ -374,17 +445,35 @@ def c18(spark, sf_dir):
     return _tuples(spark, sf_dir).groupBy("edit_source").agg(F.count("*").alias("n"), F.count_distinct("id").alias("windows"))
 
 
-@query("ST6_windowed_stream", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
-def st6(spark, sf_dir):
-    """The events replayed as a stream; each trigger's counts replace the ones before, so the table holds the whole."""
-    from helixmill.scratch import stored
+def _as_stream(rows, order: str, parts: int):
+    """rows as a stream of `parts` files, in ascending order from file to file."""
+    spark, source = rows.sparkSession, folder(rows.sparkSession, "stream")
+    at = F.unix_micros(order) if dict(rows.dtypes)[order] == "timestamp" else F.col(order)
+    bounds = rows.select(F.percentile_approx(at, [k / parts for k in range(1, parts)]).alias("b")).first()["b"]
+    part = sum((F.when(at > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    for k in range(parts):  # one after the other, so that file times follow the order
+        rows.where(part == k).coalesce(4).write.parquet(f"{source}/{k}")
+    return events.read_stream(spark, f"{source}/*", rows, files_per_batch=4)
 
-    source = folder(spark, "events-in")
-    rows = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows.repartition(3).write.parquet(source)
-    stream = events.read_stream(spark, source, rows, files_per_batch=1)
-    latest: list = []
-    run = events.windowed_counts(stream, "1 hour", "10 minutes").writeStream.outputMode("complete").option("checkpointLocation", folder(spark, "events-state")).foreachBatch(lambda rows, _: latest.append(stored(rows, "counts")) or None).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return latest[-1].select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 4).alias("total"))
 
+@query(
+    "ST6_windowed_stream",
+    """
+select start, event_type, n, total from (select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2)
+where start + interval '1 hour' <= (select max(ts) - interval '10 minutes' from events)""",
+)
+def st6(spark, sf_dir):
+    """The events replayed as a stream in append mode: each hour is written once, when the watermark has passed it, and its state is dropped; the hours still open at the end aren't written."""
+    rows = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = folder(spark, "counts")
+    events.append_batches(events.windowed_counts(_as_stream(rows, "ts", 4), "1 hour", "10 minutes"), path, folder(spark, "events-state")).awaitTermination()
+    return spark.read.parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 4).alias("total"))
+
+
+@query("ST6_variants_against_windows", "select w.id, count(*) as n, min(v.source_row_id) as first_row from v join w on v.chrom = w.chrom and w.start_bp < v.pos and v.pos <= w.end_bp group by w.id", "v", "w")
+def st6_join(spark, sf_dir):
+    """Variants that arrive as a stream meet a table of windows, batch by batch."""
+    path = folder(spark, "met")
+    met = events.variants_against(_as_stream(variants(spark, sf_dir).select("chrom", "pos", "ref", "source_row_id"), "pos", 3), windows(spark, sf_dir))
+    events.append_batches(met.select("id", "source_row_id"), path, folder(spark, "met-state")).awaitTermination()
+    return spark.read.parquet(path).groupBy("id").agg(F.count("*").alias("n"), F.min("source_row_id").alias("first_row"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 
 def epochs(rows: DataFrame, count: int, seed: str, ident: str) -> DataFrame:
@@ -32,6 +33,18 @@ def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("window.start", "window.end", "event_type", "n", "total")
 
 
+def append_batches(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Runs the stream over what there is now, in append mode, to Parquet below path, a folder a batch.
+
+    A batch that is run again after a failure overwrites its own folder, so each row is there once, whatever was written before; a query started again with the same checkpoint goes on where the last one stopped. Aggregates need a watermark:
+    a window is written once, when the watermark has passed its end, and its state is dropped then."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
 def variants_against(stream: DataFrame, windows: DataFrame) -> DataFrame:
     """Streamed variants joined with a static table of windows."""
     from helixmill.operators.intervals import variants_in_windows
