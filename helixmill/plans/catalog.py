@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import dna
 from helixmill.operators import calibration, intervals, metrics
-from helixmill.plans import research
-from helixmill.plans.proxies import keyed_variants, read, scored, sequences, variants, vectors as pairs, windows
+from helixmill.plans import forest, research
+from helixmill.plans.proxies import keyed_variants, read, scored, sequences, variants, vectors as pairs, windows, with_views
 from helixmill.registry import query, r
 from helixmill.sources import text
 
@@ -97,9 +97,60 @@ def a22(spark, sf_dir):
     return spark.createDataFrame([(int(np.searchsorted(total, q)) + 1, q) for q in (0.5, 0.9)], "components int, share double")
 
 
-@query("G22_gaussian_kl")
+_COVARIANCE = """
+select a.i, b.i as j, avg(a.v * b.v) - avg(a.v) * avg(b.v) as c from (select id, unnest(x) as v, unnest(range(64)) as i from e) a
+join (select id, unnest(x) as v, unnest(range(64)) as i from e) b on a.id = b.id group by a.i, b.i"""
+
+
+@query("A22_spectrum_moments", f"select round(sum(c) filter (i = j), 6) as variance, round(power(sum(c) filter (i = j), 2) / sum(c * c), 4) as effective_components from ({_COVARIANCE})", "e")
+def a22_moments(spark, sf_dir):
+    """From the eigenvalues of all 64 components: their sum, and the square of the sum over the sum of squares. (SQL has these from the matrix: its trace, and the sum of its squared cells.)"""
+    values = research.eigenvalues(pairs(spark, sf_dir), "x", 64)
+    return spark.createDataFrame([(round(float(values.sum()), 6), round(float(values.sum() ** 2 / (values**2).sum()), 4))], "variance double, effective_components double")
+
+
+#: SQL: elimination of all 64 columns, one a step; the pivots' logarithms sum up to that of the determinant.
+_PIVOTS = f"""
+recursive_steps as (
+  select 0 as k, i, j, c from ({_COVARIANCE})
+  union all
+  select k + 1, i, j, c - max(case when j = k then c end) over (partition by i) * max(case when i = k then c end) over (partition by j) / max(case when i = k and j = k then c end) over () from recursive_steps where k < 63 and i >= k and j >= k
+)"""
+
+
+@query(
+    "G22_gaussian_kl",
+    with_views("e").replace("with ", "with recursive ", 1).rstrip()
+    + f""",{_PIVOTS}
+select round(0.5 * (t.trace + m.squares - 64 - d.logs), 4) as kl from (select sum(c) filter (i = j) as trace from ({_COVARIANCE})) t,
+  (select sum(power(v, 2)) as squares from (select avg(v) as v from (select unnest(x) as v, unnest(range(64)) as i from e) group by i)) m, (select sum(ln(c)) as logs from recursive_steps where i = k and j = k) d""",
+)
 def g22(spark, sf_dir):
-    return spark.createDataFrame([(research.gaussian_kl(pairs(spark, sf_dir), "x", 64),)], "kl double")
+    """All 64 components, from the eigenvalues; SQL eliminates columns and takes the pivots."""
+    return spark.createDataFrame([(round(research.gaussian_kl(pairs(spark, sf_dir), "x", 64), 4),)], "kl double")
+
+
+@query("A29_forest_residual")
+def a29_forest(spark, sf_dir):
+    """A logistic baseline on three features, fitted on two thirds of the rows, and a forest on what it misses; of the other third: baseline, residual adjustment and their clamped sum."""
+    s = scored(spark, sf_dir).withColumn("x", F.array(F.col("score"), F.col("value"), F.col("other").cast("double")))
+    train = s.where("id % 3 <> 0").withColumns({"u": F.col("score") / 50, "w": F.col("value") / 5000})
+    weights = research.logistic_probe(train, ["u", "w", "other"], "label", lam=1.0)
+    odds = F.lit(float(weights[0])) * F.col("score") / 50 + F.lit(float(weights[1])) * F.col("value") / 5000 + F.lit(float(weights[2])) * F.col("other") + F.lit(float(weights[3]))
+    base = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+    model = forest.fit(train.select("id", "x", (F.col("label") - base).alias("y")), 3, trees=20, depth=3, least=20, seed="7")
+    held = forest.predict(s.where("id % 3 = 0").withColumn("baseline", base), model, "adjustment")
+    return held.select("id", r("baseline").alias("baseline"), r("adjustment").alias("adjustment"), r(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("baseline") + F.col("adjustment")))).alias("residual"))
+
+
+@query("C12_predictability")
+def c12_predictability(spark, sf_dir):
+    """Displacements between successive vectors; a label's vectors are one group, held out together."""
+    e = pairs(spark, sf_dir)
+    action = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: (k == F.col("id") % 12).cast("double"))
+    rows = e.select("id", (F.col("split") % 5).alias("fold"), (F.col("id") % 12).alias("cls"), (F.col("id") % 2).cast("int").alias("label"), F.col("x").alias("s"), action.alias("a"), F.zip_with("y", "x", lambda p, q: p - q).alias("d"))
+    found = research.predictability(rows, 64, 12, lam=10.0)
+    return found.select("predictor", "n", r("mean_cosine", 5).alias("mean_cosine"), r("error", 5).alias("error"), r("auroc", 5).alias("auroc"))
 
 
 @query(

@@ -10,7 +10,7 @@ from helixmill.plans import research
 from helixmill.plans.proxies import draw_sql, keyed_variants, scored, variants, windows
 from helixmill.plans.proxies import vectors as pairs
 from helixmill.registry import query, r
-from helixmill.scratch import stored
+from helixmill.scratch import few, stored
 from helixmill.streaming.events import after_cursor, epochs
 
 _L2 = "sqrt(list_sum(list_transform(list_zip(x, y), lambda q: (q[1] - q[2]) * (q[1] - q[2]))))"
@@ -113,15 +113,30 @@ def g10(spark, sf_dir):
     return calibration.choose_bucket(rows, sizes, LEAST).select("id", "bucket_id")
 
 
-@query("C8_scoring", f"select id, bucket_id, round(sigma_raw, 5) as sigma_raw, round(least(1, sigma_raw / 16), 5) as sigma_calibrated, n < 30 as low_confidence from (select id, case when split % 2 = 0 then 'even' else 'odd' end as bucket_id, {_L2} as sigma_raw, count(*) over (partition by split % 2) as n from e)", "e")
+_RAW = f"select id, case when split % 2 = 0 then 'even' else 'odd' end as bucket_id, {_L2} as v from e"
+_TABLE = f"""
+select bucket_id, any_value(n) as n, list(x order by i) as g, list((select count(*) from ({_RAW}) r where r.id % 2 = 0 and r.bucket_id = p.bucket_id and r.v <= p.x) / cast(n as double) order by i) as c from (
+  select bucket_id, n, i, case when i = 10 then hi else lo + (hi - lo) * i / cast(10 as double) end as x from (
+    select bucket_id, min(v) as lo, max(v) as hi, count(*) as n from ({_RAW}) where id % 2 = 0 group by bucket_id
+  ), range(11) t(i)
+) p group by bucket_id"""
+
+
+@query(
+    "C8_scoring",
+    f"""
+select id, bucket_id, round(v, 5) as sigma_raw, n < 100 as low_confidence, round(case when u = 0 then c[1] when u >= 11 then c[11] when g[u + 1] = g[u] then greatest(c[u], c[u + 1])
+  else c[u] + (c[u + 1] - c[u]) * (v - g[u]) / (g[u + 1] - g[u]) end, 5) as sigma_calibrated
+from (select r.id, r.bucket_id, r.v, n, g, c, len(list_filter(g, lambda q: q < v)) as u from ({_RAW}) r join ({_TABLE}) using (bucket_id) where r.id % 2 = 1)""",
+    "e",
+)
 def c8(spark, sf_dir):
-    """Raw distance of all components, its percentile on its bucket's grid (even, from 0 to 16), and the bucket's confidence."""
-    raw = pairs(spark, sf_dir).select("id", F.when(F.col("split") % 2 == 0, "even").otherwise("odd").alias("bucket_id"), vectors.l2(F.col("x"), F.col("y")).alias("sigma_raw"))
-    places = F.sequence(F.lit(0), F.lit(32))
-    grid, cdf = F.transform(places, lambda i: i / F.lit(2.0)), F.transform(places, lambda i: i / F.lit(32.0))
-    table = raw.groupBy("bucket_id").agg(F.count("*").alias("n")).select("bucket_id", "n", grid.alias("sigma_grid"), cdf.alias("cdf"))
-    met = raw.join(F.broadcast(table), "bucket_id")
-    return met.select("id", "bucket_id", r("sigma_raw", 5).alias("sigma_raw"), r(calibration.percentile_on_grid(F.col("sigma_raw"), F.col("sigma_grid"), F.col("cdf")), 5).alias("sigma_calibrated"), (F.col("n") < 30).alias("low_confidence"))
+    """Half of the rows calibrate a grid of eleven points per bucket; the other half's raw distances become percentiles on their bucket's grid, with its confidence."""
+    raw = pairs(spark, sf_dir).select("id", F.when(F.col("split") % 2 == 0, "even").otherwise("odd").alias("bucket_id"), vectors.l2(F.col("x"), F.col("y")).alias("value"))
+    table = few(calibration.calibrate(raw.where("id % 2 = 0"), 11), "grids", 1000)
+    met = raw.where("id % 2 = 1").join(table, "bucket_id")
+    scaled = calibration.percentile_on_grid(F.col("value"), F.col("sigma_grid"), F.col("cdf"))
+    return met.select("id", "bucket_id", r("value", 5).alias("sigma_raw"), r(scaled, 5).alias("sigma_calibrated"), (F.col("n_calibration") < 100).alias("low_confidence"))
 
 
 # resampling: draws are sha256 digests, so SQL repeats them
