@@ -1,4 +1,8 @@
-"""License texts and the notices that name a license, as their licenses word them."""
+"""License texts and the notices that name a license, as their licenses word them. Long texts are the files of `license_files`, verbatim."""
+
+from __future__ import annotations
+
+import pkgutil
 
 #: What stands in for names and years in a text is left out, so that only the common wording counts.
 _BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
@@ -79,4 +83,7 @@ NOTICES = {
     "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
-TEMPLATES = TEXTS | NOTICES
+#: Whole texts of licenses that are mostly named by a header.
+LONG = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+FILES = {f"{name}-text": pkgutil.get_data(__package__, f"license_files/{name}.txt").decode() for name in LONG}
+TEMPLATES = TEXTS | FILES | NOTICES

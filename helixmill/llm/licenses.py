@@ -9,7 +9,8 @@ W is such that a text with 0.8 of a template's shingles, its words in order, has
 shingles, an added one four, so there are t / 20 such places at most and one run between them has 0.8 t / (t / 20 + 1) shingles or more. Texts with the words out of order
 depend on the bands. A text without any shingle of any template can't contain 0.8 of one, so it skips the windows.
 
-Templates are whole license texts (MIT, BSD, ISC, Zlib, BSL, Unlicense and others, file headers of Apache, GPL, LGPL and MPL) and one-sentence notices (`license_texts.py`). A text that holds
+Templates are whole license texts (MIT, BSD, ISC, Zlib, BSL, Unlicense and others; Apache, GPL, LGPL, MPL and CC0 with all their sections), file headers of Apache, GPL, LGPL and MPL, and one-sentence notices (`license_texts.py`).
+A notice of one shingle has windows of one shingle, so its bands are a lookup of that shingle and the verification can't but agree. A text that holds
 the three-clause BSD license holds most of the two-clause one, so both are reported, each with its containment.
 
 Scale: one pass, no shuffle; templates are a fixed list. Work grows with a text's length, and with its hits.

@@ -251,3 +251,70 @@ def test_nesting_is_read_in_linear_time(shape):
     page = Page(source)
     assert len(page.parent) > n and time.process_time() - began < 1.5
     assert not any(page.open_at.values())
+
+
+def test_whole_long_licenses(spark):
+    """Texts of real length: whole, in prose, with a word in 60 changed, half of one, and two after one another."""
+    from helixmill.llm.license_texts import FILES
+
+    r = random.Random(12)
+    assert all(len(t) > 5000 for t in FILES.values())
+
+    def edited(text, every):
+        w = text.split()
+        for k in range(r.randrange(every), len(w), every):
+            w[k] = f"changed{k}"
+        return " ".join(w)
+
+    names = sorted(FILES)
+    texts = [*(FILES[n] for n in names), *("Some prose before it. " * 30 + edited(FILES[n], 60) + " and after it." * 40 for n in names), *(FILES[n][: len(FILES[n]) // 2] for n in names), FILES["GPL-3.0-text"] + "\n" + FILES["Apache-2.0-text"], *(edited(FILES[n], 6) for n in names)]
+    found = collections.defaultdict(dict)
+    for row in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect():
+        if row.license in FILES:
+            found[row.doc_id][row.license] = row
+    n = len(names)
+    for k, name in enumerate(names):
+        assert found[k][name].containment == 1.0 and found[k][name].first_word == 0
+        assert set(found[n + k]) == {name} and 0.85 < found[n + k][name].containment < 0.95 and found[n + k][name].first_word >= 100
+        assert name not in found[2 * n + k] and not found[3 * n + 1 + k]
+    assert {"GPL-3.0-text", "Apache-2.0-text"} == set(found[3 * n])
+
+
+def test_quality_limits_are_brute_force(spark):
+    """The word limits are recomputed from the measured distances: per octave of length, upper quartile plus three times the interquartile range of the scaled, binned distances of the reference documents, with the nearest
+    octaves pooled until there are enough."""
+    import math
+
+    from helixmill.llm import quality as q
+
+    r = random.Random(21)
+    pool = "the of and to in is that it was for on with as at by from this be are have or an not but they which one all were there we when your can said use each how their if will up other about out many then them these so some her would make like him into time has look two more".split()
+    prose = lambda n: " ".join(r.choices(pool, [1 / (k + 1) for k in range(len(pool))], k=n))
+    rows = [(i, prose(int(2 ** r.uniform(3, 9))), "en") for i in range(260)]
+    rows += [(1000 + i, " ".join("".join(r.choice("aeioustrn") for _ in range(r.randint(3, 8))) for _ in range(200)), r.choice(["en", None])) for i in range(6)]
+    got = q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: name for i, _, name in rows}
+    scaled, per = {}, collections.defaultdict(list)
+    for x in got:
+        octave = x.n_words.bit_length()
+        if x.common_distance is not None:
+            scaled[x.doc_id] = x.common_distance * math.sqrt(x.n_words / 2 ** (octave - 1))
+            if lang[x.doc_id] is not None and not x.base_failed:
+                per[octave].append(math.floor(scaled[x.doc_id] * q.DISTANCE_BINS))
+    limits = {}
+    for octave in per:
+        pooled = []
+        for other in sorted(per, key=lambda o: (o > octave, abs(o - octave))):
+            pooled += [math.ceil(k * max(1.0, 2 ** ((other - octave) / 2))) for k in per[other]]
+            if len(pooled) >= q.LEAST_REFERENCES:
+                break
+        if len(pooled) >= q.LEAST_REFERENCES:
+            pooled.sort()
+            quartile = lambda share: (pooled[math.ceil(share * len(pooled)) - 1] + 1) / q.DISTANCE_BINS
+            limits[octave] = quartile(0.75) + q.FENCE * (quartile(0.75) - quartile(0.25))
+    assert len(limits) >= 3
+    for x in got:
+        known = [o for o in limits if o <= x.n_words.bit_length()]
+        far = x.doc_id in scaled and bool(known) and scaled[x.doc_id] > limits[max(known)]
+        assert x.kept == (not x.base_failed and not far and (x.class_distance or 0) <= q.MAX_CLASS_DISTANCE)
+    assert not any(x.kept for x in got if x.doc_id >= 1000) and sum(x.kept for x in got) > 200
