@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm._base import durable
+from helixmill.llm._base import drop, durable, settled, tables
 from helixmill.llm.exact_dedup import exact_dedup
 from helixmill.llm.langid import identify
 from helixmill.llm.mixing import mix
@@ -104,9 +104,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = durable(docs, name)
-    return docs
+    """Each stage's tables are deleted once its result is written, and each result once the next one is, so at most two of them stand side by side."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        drop(spark, before)
+        before = [tables[-1]]
+    return STAGES[-1][1](spark, docs, sf_dir)

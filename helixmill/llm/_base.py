@@ -8,6 +8,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,30 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables durable() has written and nothing has deleted.
+tables: list[str] = []
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        tables.remove(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns as a durable table; the tables it wrote on its way are deleted, as only the result is read from here on."""
+    before = len(tables)
+    out = durable(make(), name)
+    drop(out.sparkSession, tables[before:-1])
+    return out
+
+
 #: What operators keep in a worker during a task; emptied after it, since idle workers stay and their memory counts.
 worker_caches: list[dict] = []
 
