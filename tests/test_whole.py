@@ -28,9 +28,9 @@ def tables(spark, tmp_path_factory):
 def test_every_batch_of_vectors(spark, tables):
     folder, vectors, *_ = tables
     want = collections.defaultdict(list)
-    for i, x, a in vectors:
-        for j, y, b in vectors[:i]:
-            if i // 128 == j // 128 and a == b:
+    for i, x, _ in vectors:
+        for j, y, _ in vectors[:i]:
+            if i // 128 == j // 128:
                 want[i // 128].append(math.dist(x, y))
     got = {x.batch: (x.mean_distance, x.n) for x in QUERIES["J20_pairwise_mean"](spark, folder).collect()}
     assert got.keys() == want.keys() == {0, 1, 2}
