@@ -90,9 +90,13 @@ def test_tuples_are_drawn(spark, tables):
     real, made = [], []
     for i, c, s in windows:
         for source, want in {"gnomad": 3, "clinvar": 3, "snv": 1, "indel": 1}.items():
-            inside = sorted((sha(f"{i}:{pos}"), pos) for chrom, pos, x in edits if chrom == c and x == source and s < pos <= s + 4096)[:want]
-            real += [(i, source, pos, pos - 1 - s, k + 1) for k, (_, pos) in enumerate(inside)]
-            made += [(i, "indel" if source == "indel" else "snv", k + 1) for k in range(len(inside), want)]
+            inside, taken = sorted(pos for chrom, pos, x in edits if chrom == c and x == source and s < pos <= s + 4096), []
+            for k in range(min(want, len(inside))):  # Floyd's algorithm
+                last = len(inside) - min(want, len(inside)) + k
+                t = int(sha(f"{i}:{source}:{k}")[:15], 16) % (last + 1)
+                taken.append(last if t in taken else t)
+            real += [(i, source, inside[t], inside[t] - 1 - s, k + 1) for k, t in enumerate(taken)]
+            made += [(i, "indel" if source == "indel" else "snv", k + 1) for k in range(len(taken), want)]
     got = QUERIES["C6_training_tuples"](spark, folder).collect()
     assert sorted(tuple(x) for x in got if x.source_row_id is not None) == sorted(real) and real
     assert sorted((x.id, x.edit_source, x.slot) for x in got if x.source_row_id is None) == sorted(made) and made
