@@ -30,8 +30,10 @@ def _placed(rows: DataFrame, n: int, kind: str, seed: str, span: Column) -> Data
     """rows n times (k) with rel_pos and ref of `span` bases: the first of ATTEMPTS places that holds no N; without one, or in too short a sequence, no edit."""
     many = rows.where(F.length("seq") >= 2 * MARGIN + 16).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("span", span)
     at = lambda a: (draw(seed, _name(kind, F.lit("at"), a.cast("string")), F.length("seq") - 2 * MARGIN - F.col("span")) + MARGIN).cast("int")
-    tried = F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), lambda a: F.transform(F.array(at(a)), lambda p: F.struct(p.alias("rel_pos"), F.substring("seq", p + 1, F.col("span")).alias("ref")))[0])
-    good = F.get(F.filter(tried, lambda x: ~x["ref"].contains("N")), F.lit(0))
+    try_ = lambda a: F.transform(F.array(at(a)), lambda p: F.struct(p.alias("rel_pos"), F.substring("seq", p + 1, F.col("span")).alias("ref")))
+    fits = lambda tried: F.get(F.filter(tried, lambda x: ~x["ref"].contains("N")), F.lit(0))
+    # the first place mostly fits; the others are only drawn where it doesn't
+    good = F.coalesce(fits(try_(F.lit(0))), fits(F.transform(F.sequence(F.lit(1), F.lit(ATTEMPTS - 1)), lambda a: try_(a)[0])))
     return many.withColumn("spot", good).where("spot is not null").select(*rows.columns, "k", "span", "spot.rel_pos", "spot.ref")
 
 

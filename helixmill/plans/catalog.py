@@ -14,7 +14,10 @@ from helixmill.registry import query, r
 from helixmill.sources import text
 
 
-@query("S1_S3_vcf_parse", "select source_row_id, chrom, pos, ref, alt, af, flt as filter from v where alt <> 'A' union all select source_row_id, chrom, pos, ref, 'ACGT', af, flt from v", "v")
+@query("S1_S3_vcf_parse", """
+select source_row_id, chrom, pos, ref, alt, af, flt as filter
+from v where alt <> 'A' union all select source_row_id, chrom, pos, ref, 'ACGT', af, flt
+from v""", "v")
 def s1(spark, sf_dir):
     """Lines with a dropped ALT (.), one to three ALTs, per-ALT and shared AF lists, a flag and a repeated key."""
     v = variants(spark, sf_dir)
@@ -26,7 +29,9 @@ def s1(spark, sf_dir):
     return rows.select(F.col("id").cast("long").alias("source_row_id"), "chrom", "pos", "ref", "alt", "af", "filter")
 
 
-@query("S14_S15_cache_versions", "select l_partkey as k, l_linenumber as ordinal, case when p_partkey is null then null when p_size % 2 = 0 then 3 else 2 end as version from lineitem left join (select * from part where p_size <= 40) on p_partkey = l_partkey")
+@query("S14_S15_cache_versions", """
+select l_partkey as k, l_linenumber as ordinal, case when p_partkey is null then null when p_size % 2 = 0 then 3 else 2 end as version
+from lineitem left join (select * from part where p_size <= 40) on p_partkey = l_partkey""")
 def s14(spark, sf_dir):
     """prefer_v3: each request gets the newest version of its key, or null."""
     p = read(spark, sf_dir, "part").where("p_size <= 40")
@@ -59,20 +64,28 @@ def f10(spark, sf_dir):
     return keyed_variants(spark, sf_dir).select("source_row_id", ((F.size(parts) == 5) & (again == key)).alias("canonical"))
 
 
-@query("J13_C10_leakage", "select a.role as left_role, b.role as right_role, count(*) as shared from (select distinct role, ref || alt || source as k from vk) a join (select distinct role, ref || alt || source as k from vk) b on a.k = b.k and a.role < b.role group by 1, 2", "vk")
+@query("J13_C10_leakage", """
+select a.role as left_role, b.role as right_role, count(*) as shared
+from (select distinct role, ref || alt || source as k from vk) a
+join (select distinct role, ref || alt || source as k from vk) b on a.k = b.k and a.role < b.role
+group by 1, 2""", "vk")
 def c10(spark, sf_dir):
     keys = keyed_variants(spark, sf_dir).select("role", F.concat("ref", "alt", "source").alias("k")).distinct()
     other = keys.select(F.col("role").alias("right_role"), "k")
     return keys.join(other, "k").where("role < right_role").groupBy(F.col("role").alias("left_role"), "right_role").agg(F.count("*").alias("shared"))
 
 
-@query("A15_sparse_buckets", "select grp as bucket_id, count(*) as n, case when count(*) < 60 then 'backs_off' else 'low_confidence' end as warning from sl group by grp having count(*) < 100", "sl")
+@query("A15_sparse_buckets", """
+select grp as bucket_id, count(*) as n, case when count(*) < 60 then 'backs_off' else 'low_confidence' end as warning
+from sl group by grp having count(*) < 100""", "sl")
 def a15(spark, sf_dir):
     per = scored(spark, sf_dir).groupBy(F.col("grp").alias("bucket_id")).agg(F.count("*").alias("n")).where("n < 100")
     return per.withColumn("warning", F.when(F.col("n") < 60, "backs_off").otherwise("low_confidence"))
 
 
-@query("A29_prior_baseline", "select grp, round(avg(label), 6) as prior, round(avg(power(label - p, 2)), 6) as brier from (select *, avg(label) over () as p from sl) group by grp", "sl")
+@query("A29_prior_baseline", """
+select grp, round(avg(label), 6) as prior, round(avg(power(label - p, 2)), 6) as brier
+from (select *, avg(label) over () as p from sl) group by grp""", "sl")
 def a29(spark, sf_dir):
     s = scored(spark, sf_dir)
     prior = s.agg(F.avg("label").alias("p"))
@@ -102,7 +115,9 @@ select a.i, b.i as j, avg(a.v * b.v) - avg(a.v) * avg(b.v) as c from (select id,
 join (select id, unnest(x) as v, unnest(range(64)) as i from e) b on a.id = b.id group by a.i, b.i"""
 
 
-@query("A22_spectrum_moments", f"select round(sum(c) filter (i = j), 6) as variance, round(power(sum(c) filter (i = j), 2) / sum(c * c), 4) as effective_components from ({_COVARIANCE})", "e")
+@query("A22_spectrum_moments", f"""
+select round(sum(c) filter (i = j), 6) as variance, round(power(sum(c) filter (i = j), 2) / sum(c * c), 4) as effective_components
+from ({_COVARIANCE})""", "e")
 def a22_moments(spark, sf_dir):
     """From the eigenvalues of all 64 components: their sum, and the square of the sum over the sum of squares. (SQL has these from the matrix: its trace, and the sum of its squared cells.)"""
     values = research.eigenvalues(pairs(spark, sf_dir), "x", 64)
@@ -169,7 +184,9 @@ def g2(spark, sf_dir):
     return s.select("id", dna.apply_edits(F.col("seq"), edits).alias("edited"))
 
 
-@query("G20_schedule", "select step, round(case when step < 10 then (step + 1) / cast(10 as double) when step < 80 then 1 else (100 - step) / cast(20 as double) end, 6) as rate from range(100) t(step)")
+@query("G20_schedule", """
+select step, round(case when step < 10 then (step + 1) / cast(10 as double) when step < 80 then 1 else (100 - step) / cast(20 as double) end, 6) as rate
+from range(100) t(step)""")
 def g20(spark, sf_dir):
     """Warm-up, stable, decay."""
     step = F.col("step")
@@ -177,14 +194,18 @@ def g20(spark, sf_dir):
     return spark.range(100).withColumnRenamed("id", "step").select("step", r(rate).alias("rate"))
 
 
-@query("G26_substitution_class", "select source_row_id, case when ref = alt then null when ref || alt in ('AG', 'GA', 'CT', 'TC') then 'transition' else 'transversion' end as kind, ref || '>' || alt as substitution from v", "v")
+@query("G26_substitution_class", """
+select source_row_id, case when ref = alt then null when ref || alt in ('AG', 'GA', 'CT', 'TC') then 'transition' else 'transversion' end as kind, ref || '>' || alt as substitution
+from v""", "v")
 def g26(spark, sf_dir):
     both = F.concat("ref", "alt")
     kind = F.when(F.col("ref") != F.col("alt"), F.when(both.isin("AG", "GA", "CT", "TC"), "transition").otherwise("transversion"))
     return variants(spark, sf_dir).select("source_row_id", kind.alias("kind"), F.concat("ref", F.lit(">"), "alt").alias("substitution"))
 
 
-@query("H5_commitment", "select source_row_id, sha256('{\"edit\":{\"alt\":\"' || alt || '\",\"pos\":' || cast(pos as varchar) || ',\"ref\":\"' || ref || '\"},\"pool\":{\"radius\":8,\"type\":\"centered\"},\"window\":null}') as commitment from v", "v")
+@query("H5_commitment", """
+select source_row_id, sha256('{\"edit\":{\"alt\":\"' || alt || '\",\"pos\":' || cast(pos as varchar) || ',\"ref\":\"' || ref || '\"},\"pool\":{\"radius\":8,\"type\":\"centered\"},\"window\":null}') as commitment
+from v""", "v")
 def h5(spark, sf_dir):
     nested = F.struct(F.struct("alt", "pos", "ref").alias("edit"), F.struct(F.lit(8).alias("radius"), F.lit("centered").alias("type")).alias("pool"), F.lit(None).cast("string").alias("window"))
     return variants(spark, sf_dir).select("source_row_id", F.sha2(F.to_json(nested, {"ignoreNullFields": "false"}), 256).alias("commitment"))
@@ -197,14 +218,20 @@ def t6(spark, sf_dir):
     return first_k(scored(spark, sf_dir), "id", 30, "11").select("id")
 
 
-@query("C9_evaluation", "select count(*) as n, cast(sum(label) as bigint) as positives, round((select sum(case when p.score > q.score then cast(1 as double) when p.score = q.score then cast(0.5 as double) else 0 end) / count(*) from sl p, sl q where p.label = 1 and q.label = 0), 6) as auroc from sl", "sl")
+@query("C9_evaluation", """
+select count(*) as n, cast(sum(label) as bigint) as positives, round((select sum(case when p.score > q.score then cast(1 as double) when p.score = q.score then cast(0.5 as double) else 0 end) / count(*)
+    from sl p, sl q where p.label = 1 and q.label = 0), 6) as auroc
+from sl""", "sl")
 def c9(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("split", F.lit("eval"))
     counts = s.groupBy("split").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"))
     return counts.join(metrics.auroc(s, ["split"]).drop("n"), "split").select("n", "positives", r("auroc").alias("auroc"))
 
 
-@query("C17_collapse_alerts", "select split, round(avg(vp), 6) < 0.9 as low_variance, count(*) as dims from (select split, i, var_pop(v) as vp from (select split, unnest(x) as v, unnest(range(64)) as i from e) group by split, i) group by split", "e")
+@query("C17_collapse_alerts", """
+select split, round(avg(vp), 6) < 0.9 as low_variance, count(*) as dims
+from (select split, i, var_pop(v) as vp from (select split, unnest(x) as v, unnest(range(64)) as i
+    from e) group by split, i) group by split""", "e")
 def c17(spark, sf_dir):
     many = pairs(spark, sf_dir).select("split", F.posexplode("x").alias("i", "v"))
     return many.groupBy("split", "i").agg(F.var_pop("v").alias("vp")).groupBy("split").agg((r(F.avg("vp")) < 0.9).alias("low_variance"), F.count("*").alias("dims"))

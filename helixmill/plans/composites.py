@@ -25,8 +25,13 @@ from helixmill.streaming import events
 def _tries(kind: str, span: str) -> str:
     """SQL: sequences times k, with the first of eight places whose `span` bases hold no N (rel_pos), if there is one."""
     at = draw_sql(f"'{kind}:' || id || ':' || k || ':at:' || a", f"length(seq) - 128 - ({span})") + " + 64"
-    inside = f"select id, seq, k, span, a, {at.replace(f'({span})', 'span')} as p from (select id, seq, k, {span} as span from dseq, range(2) t(k) where length(seq) >= 144), range(8) u(a)"
-    good = f"select id, seq, k, span, a, p, row_number() over (partition by id, k order by a) as try from ({inside}) where position('N' in substr(seq, cast(p + 1 as int), cast(span as int))) = 0"
+    inside = f"""
+select id, seq, k, span, a, {at.replace(f'({span})', 'span')} as p
+from (select id, seq, k, {span} as span from dseq, range(2) t(k)
+  where length(seq) >= 144), range(8) u(a)"""
+    good = f"""
+select id, seq, k, span, a, p, row_number() over (partition by id, k order by a) as try
+from ({inside}) where position('N' in substr(seq, cast(p + 1 as int), cast(span as int))) = 0"""
     return f"select id, seq, k, span, p as rel_pos, substr(seq, cast(p + 1 as int), cast(span as int)) as ref from ({good}) where try = 1"
 
 
@@ -42,11 +47,15 @@ def _changed(base: str, name: str) -> str:
 _SNV_ALT = _changed("ref", "'snv:' || id || ':' || k || ':alt'")
 _SNV = f"select id, k, rel_pos, ref, {_SNV_ALT} as alt from ({_tries('snv', '1')})"
 _MNV_BASE = _changed("substr(ref, cast(j as int), 1)", "'mnv:' || id || ':' || k || ':alt:' || j")
-_MNV = f"select id, k, rel_pos, ref, array_to_string(list_transform(range(1, length(ref) + 1), lambda j: {_MNV_BASE}), '') as alt from ({_tries('mnv', _len_sql('mnv') + ' + 1')})"
+_MNV = f"""
+select id, k, rel_pos, ref, array_to_string(list_transform(range(1, length(ref) + 1), lambda j: {_MNV_BASE}), '') as alt
+from ({_tries('mnv', _len_sql('mnv') + ' + 1')})"""
 _INDEL_LENGTH = _len_sql('indel')
 _IN = draw_sql("'indel:' || id || ':' || k || ':type'", 2) + " = 0"
 _BASE = "substr('ACGT', cast(" + draw_sql("'indel:' || id || ':' || k || ':base:' || j", 4) + " as int) + 1, 1)"
-_INDEL = f"select id, k, rel_pos, ref, case when {_IN} then ref || array_to_string(list_transform(range(1, {_len_sql('indel')} + 1), lambda j: {_BASE}), '') else substr(ref, 1, 1) end as alt from ({_tries('indel', f'case when {_IN} then 1 else {_INDEL_LENGTH} + 1 end')})"
+_INDEL = f"""
+select id, k, rel_pos, ref, case when {_IN} then ref || array_to_string(list_transform(range(1, {_len_sql('indel')} + 1), lambda j: {_BASE}), '') else substr(ref, 1, 1) end as alt
+from ({_tries('indel', f'case when {_IN} then 1 else {_INDEL_LENGTH} + 1 end')})"""
 _TYPE = draw_sql("'type:' || id || ':' || k", 10)
 WEIGHTS = {"snv": 5, "indel": 3, "mnv": 2}
 
@@ -70,7 +79,12 @@ def sm4_mnvs(spark, sf_dir):
     return _edits(synthetic.mnvs(sequences(spark, sf_dir).select("id", "seq"), 2, "7"))
 
 
-_ACTIONS = f"select kind, a.id, k, rel_pos, ref, alt, cast(rel_pos * 8 // length(seq) as bigint) as bin from (select 'snv' as kind, * from ({_SNV}) where {_TYPE} < 5 union all select 'indel', * from ({_INDEL}) where {_TYPE} between 5 and 7 union all select 'mnv', * from ({_MNV}) where {_TYPE} >= 8) a join dseq d on d.id = a.id"
+_ACTIONS = f"""
+select kind, a.id, k, rel_pos, ref, alt, cast(rel_pos * 8 // length(seq) as bigint) as bin
+from (select 'snv' as kind, * from ({_SNV}) where {_TYPE} < 5
+  union all select 'indel', * from ({_INDEL}) where {_TYPE} between 5 and 7
+  union all select 'mnv', * from ({_MNV}) where {_TYPE} >= 8) a
+join dseq d on d.id = a.id"""
 _BEST = f"select * from (select *, abs(rel_pos - 300) as objective from ({_ACTIONS})) order by objective, id, k limit 40"
 
 
@@ -101,7 +115,11 @@ _DISTRACT = _SNV.replace("range(2) t(k)", "range(6) t(k)")
 
 @query(
     "SM9_distractors",
-    f"select id, rank, sha256(sequence) as digest from (select id, sequence, row_number() over (partition by id order by k) - 1 as rank from (select s.id, substr(seq, 1, cast(rel_pos as int)) || alt || substr(seq, cast(rel_pos + 2 as int)) as sequence, min(k) as k from ({_DISTRACT}) s join dseq d on d.id = s.id group by 1, 2)) where rank < 3",
+    f"""
+select id, rank, sha256(sequence) as digest from (select id, sequence, row_number() over (partition by id order by k) - 1 as rank
+  from (select s.id, substr(seq, 1, cast(rel_pos as int)) || alt || substr(seq, cast(rel_pos + 2 as int)) as sequence, min(k) as k
+    from ({_DISTRACT}) s join dseq d on d.id = s.id group by 1, 2))
+where rank < 3""",
     "dseq",
 )
 def sm9(spark, sf_dir):
@@ -132,9 +150,18 @@ select id, edit_source, source_row_id, rel_pos, case o when c0 then 1 when c1 th
     )
   )
 ) where o = c0 or o = c1 or o = c2"""
-_SHORT = f"select w.id, s.edit_source, s.want, coalesce(h.have, 0) as have from w cross join (values ('gnomad', 3), ('clinvar', 3), ('snv', 1), ('indel', 1)) s(edit_source, want) left join (select id, edit_source, count(*) as have from ({_REAL}) group by 1, 2) h on h.id = w.id and h.edit_source = s.edit_source where coalesce(h.have, 0) < s.want"
+_SHORT = f"""
+select w.id, s.edit_source, s.want, coalesce(h.have, 0) as have
+from w cross join (values ('gnomad', 3), ('clinvar', 3), ('snv', 1), ('indel', 1)) s(edit_source, want)
+left join (select id, edit_source, count(*) as have from ({_REAL})
+  group by 1, 2) h on h.id = w.id and h.edit_source = s.edit_source
+where coalesce(h.have, 0) < s.want"""
 _SPOT = draw_sql("id || ':' || edit_source || ':' || slot", 3968)
-_TUPLES = f"select id, edit_source, source_row_id, rel_pos, slot from ({_REAL}) union all select id, case when edit_source = 'indel' then 'indel' else 'snv' end, null, {_SPOT} + 64, slot from (select id, edit_source, unnest(range(have + 1, want + 1)) as slot from ({_SHORT}))"
+_TUPLES = f"""
+select id, edit_source, source_row_id, rel_pos, slot from ({_REAL})
+union all select id, case when edit_source = 'indel' then 'indel' else 'snv' end, null, {_SPOT} + 64, slot
+from (select id, edit_source, unnest(range(have + 1, want + 1)) as slot
+  from ({_SHORT}))"""
 
 
 def _tuples(spark, sf_dir):
@@ -149,7 +176,9 @@ def c6(spark, sf_dir):
     return _tuples(spark, sf_dir)
 
 
-@query("SM3_allocation", f"select id, count(*) filter (edit_source = 'gnomad') as gnomad, count(*) filter (edit_source = 'clinvar') as clinvar, count(*) filter (edit_source = 'snv') as snv, count(*) filter (edit_source = 'indel') as indel from ({_TUPLES}) group by id", "v", "w")
+@query("SM3_allocation", f"""
+select id, count(*) filter (edit_source = 'gnomad') as gnomad, count(*) filter (edit_source = 'clinvar') as clinvar, count(*) filter (edit_source = 'snv') as snv, count(*) filter (edit_source = 'indel') as indel
+from ({_TUPLES}) group by id""", "v", "w")
 def sm3(spark, sf_dir):
     """Per window: 3, 3, 1 and 1, with what real sources lack moved to single bases."""
     return _tuples(spark, sf_dir).groupBy("id").agg(*(F.count_if(F.col("edit_source") == s).alias(s) for s in ("gnomad", "clinvar", "snv", "indel")))
@@ -200,7 +229,10 @@ _SHIFTED = "sqrt(list_sum(list_transform(list_zip(p, y), lambda q: power(q[1] -
 _STATES = " union all ".join(f"select id, {k} as k, {state} as p, y from e" for k, state in ((1, _STEP.format("x")), (2, _STEP.format(_STEP.format("x"))), (3, _STEP.format(_STEP.format(_STEP.format("x"))))))
 
 
-@query("X6_X7_X8_rollout", f"select id, k, round(list_sum(any_value(p)), 5) as total, 1 + count(*) filter (c <> 2 and round(d, 9) < round(t, 9)) as target_rank from (select id, k, p, c, {_SHIFTED} as d, {_SHIFTED.replace('(c - 2)', '0')} as t from ({_STATES}), range(4) u(c)) group by id, k", "e")
+@query("X6_X7_X8_rollout", f"""
+select id, k, round(list_sum(any_value(p)), 5) as total, 1 + count(*) filter (c <> 2 and round(d, 9) < round(t, 9)) as target_rank
+from (select id, k, p, c, {_SHIFTED} as d, {_SHIFTED.replace('(c - 2)', '0')} as t
+  from ({_STATES}), range(4) u(c)) group by id, k""", "e")
 def x8(spark, sf_dir):
     """States assembled by key, the predictor fed its own output three times, and the target's rank among shifted candidates after each step."""
     e = pairs(spark, sf_dir)
@@ -293,7 +325,9 @@ def evaluation_set(rows, contigs, path: str, *, cap: int, seed: str) -> None:
     shards.write_role(stored(labelled, "evaluation"), "evaluation", path)
 
 
-_MEMBERS = "select variant_key, chrom, pos, ref, alt, role, case when role = 'validation' then 1 when role = 'evaluation' then 2 else 0 end + case when cls in ('P', 'LP', 'B', 'LB') then 4 else 0 end as reason_mask, source, cast(source_row_id as varchar) as source_row_id, cls as clinical_significance from vk"
+_MEMBERS = """
+select variant_key, chrom, pos, ref, alt, role, case when role = 'validation' then 1 when role = 'evaluation' then 2 else 0 end + case when cls in ('P', 'LP', 'B', 'LB') then 4 else 0 end as reason_mask, source, cast(source_row_id as varchar) as source_row_id, cls as clinical_significance
+from vk"""
 
 
 def _membership(spark, sf_dir):
@@ -332,7 +366,10 @@ _L2 = "sqrt(list_sum(list_transform(list_zip(x, y), lambda q: (q[1] - q[2]) * (q
 
 @query(
     "C11_rollout_metrics",
-    f"select split, count(*) as n, round(avg(cast(rank <= 5 as int)), 6) as recall_at_5, round(avg(1 / cast(rank as double)), 6) as mrr, round(avg(d), 6) as mean_l2 from (select split, d, row_number() over (partition by split order by round(d, 9), id) as rank from (select *, {_L2} as d from e)) group by split",
+    f"""
+select split, count(*) as n, round(avg(cast(rank <= 5 as int)), 6) as recall_at_5, round(avg(1 / cast(rank as double)), 6) as mrr, round(avg(d), 6) as mean_l2
+from (select split, d, row_number() over (partition by split order by round(d, 9), id) as rank
+  from (select *, {_L2} as d from e)) group by split""",
     "e",
 )
 def c11(spark, sf_dir):
@@ -343,12 +380,26 @@ def c11(spark, sf_dir):
 
 
 _LABELLED = "select id, id % 5 as fold, split % 2 as label, x from e"
-_MEANS = f"select fold, i, (sum(s1) over (partition by i) - s1) / (sum(n1) over (partition by i) - n1) - (sum(s0) over (partition by i) - s0) / (sum(n0) over (partition by i) - n0) as d from (select fold, i, sum(case when label = 1 then v else 0 end) as s1, sum(case when label = 0 then v else 0 end) as s0, count(*) filter (label = 1) as n1, count(*) filter (label = 0) as n0 from (select fold, label, unnest(x) as v, unnest(range(64)) as i from ({_LABELLED})) group by 1, 2)"
-_SCORES = f"select a.id, a.label, round(sum(a.v * m.d), 9) as score from (select id, fold, label, unnest(x) as v, unnest(range(64)) as i from ({_LABELLED})) a join ({_MEANS}) m on m.fold = a.fold and m.i = a.i group by 1, 2"
-_WINS = "select sum(p * (under + n / cast(2 as double))) / (cast(sum(p) as double) * sum(n)) as auroc from (select *, coalesce(sum(n) over (order by score rows between unbounded preceding and 1 preceding), 0) as under from (select score, sum(label) as p, sum(1 - label) as n from ({0}) group by 1))"
-
-
-@query("C12_edit_response", f"select round(a.auroc, 5) as auroc, round(g.mean, 6) as mean_l2, round(g.median, 6) as median_l2, g.n from ({_WINS.format(_SCORES)}) a, (select avg(d) as mean, median(d) as median, count(*) as n from (select {_L2} as d from e)) g", "e")
+_MEANS = f"""
+select fold, i, (sum(s1) over (partition by i) - s1) / (sum(n1) over (partition by i) - n1) - (sum(s0) over (partition by i) - s0) / (sum(n0) over (partition by i) - n0) as d
+from (select fold, i, sum(case when label = 1 then v else 0 end) as s1, sum(case when label = 0 then v else 0 end) as s0, count(*) filter (label = 1) as n1, count(*) filter (label = 0) as n0
+  from (select fold, label, unnest(x) as v, unnest(range(64)) as i
+    from ({_LABELLED})) group by 1, 2)"""
+_SCORES = f"""
+select a.id, a.label, round(sum(a.v * m.d), 9) as score from (select id, fold, label, unnest(x) as v, unnest(range(64)) as i
+  from ({_LABELLED})) a join ({_MEANS}) m on m.fold = a.fold and m.i = a.i
+group by 1, 2"""
+_WINS = """
+select sum(p * (under + n / cast(2 as double))) / (cast(sum(p) as double) * sum(n)) as auroc
+from (select *, coalesce(sum(n) over (order by score rows between unbounded preceding and 1 preceding), 0) as under
+  from (select score, sum(label) as p, sum(1 - label) as n from ({0})
+    group by 1))"""
+
+
+@query("C12_edit_response", f"""
+select round(a.auroc, 5) as auroc, round(g.mean, 6) as mean_l2, round(g.median, 6) as median_l2, g.n
+from ({_WINS.format(_SCORES)}) a, (select avg(d) as mean, median(d) as median, count(*) as n
+  from (select {_L2} as d from e)) g""", "e")
 def c12(spark, sf_dir):
     """Geometry of the edits, and the AUROC of directions that each row's own fold had no part in."""
     e = pairs(spark, sf_dir)
@@ -362,7 +413,11 @@ def c12(spark, sf_dir):
 
 @query(
     "C13_gates",
-    f"select name, round(auroc, 6) as auroc, auroc >= 0.45 as passes, round(auroc - 0.5, 6) as over_constant from (select 'score' as name, a.auroc from ({_WINS.format('select score, label from sl')}) a union all select 'value', a.auroc from ({_WINS.format('select value as score, label from sl')}) a union all select 'residual', a.auroc from ({_WINS.format('select round(value - m, 6) as score, label from (select *, avg(value) over (partition by grp) as m from sl)')}) a)",
+    f"""
+select name, round(auroc, 6) as auroc, auroc >= 0.45 as passes, round(auroc - 0.5, 6) as over_constant
+from (select 'score' as name, a.auroc from ({_WINS.format('select score, label from sl')}) a
+  union all select 'value', a.auroc from ({_WINS.format('select value as score, label from sl')}) a
+  union all select 'residual', a.auroc from ({_WINS.format('select round(value - m, 6) as score, label from (select *, avg(value) over (partition by grp) as m from sl)')}) a)""",
     "sl",
 )
 def c13(spark, sf_dir):
@@ -377,7 +432,11 @@ def c13(spark, sf_dir):
     return out
 
 
-@query("C14_benchmark_inputs", "select split, variant_key, positive from (select *, row_number() over (partition by split, positive order by sha256('7:' || variant_key), variant_key) as rn from (select distinct role as split, variant_key, cls in ('P', 'LP') as positive from vk where role <> 'train' and cls in ('P', 'LP', 'B', 'LB'))) where rn <= 40", "vk")
+@query("C14_benchmark_inputs", """
+select split, variant_key, positive from (select *, row_number() over (partition by split, positive order by sha256('7:' || variant_key), variant_key) as rn
+  from (select distinct role as split, variant_key, cls in ('P', 'LP') as positive
+    from vk where role <> 'train' and cls in ('P', 'LP', 'B', 'LB')))
+where rn <= 40""", "vk")
 def c14(spark, sf_dir):
     """Equal numbers of both classes per held split, in seeded order."""
     rows = keyed_variants(spark, sf_dir).where(F.col("cls").isin("P", "LP", "B", "LB") & (F.col("role") != "train"))
@@ -388,8 +447,13 @@ def c14(spark, sf_dir):
 def _tree_sql(rows: str, by: str, text: str, order: str) -> str:
     """SQL: the tree digest of up to 1,024 x 1,024 rows a group."""
     frame = f"hex(unhex(lpad(printf('%x', octet_length(encode({text}))), 16, '0')) || encode({text}))"
-    leaves = f"select {by}, o // 1024 as c, count(*) as n, sha256(unhex(string_agg({frame}, '' order by o))) as d from (select *, row_number() over (partition by {by} order by {order}) - 1 as o from ({rows})) group by {by}, c"
-    return f"select {by}, sum(n)::bigint as n, case when count(*) = 1 then any_value(d) else sha256(unhex(string_agg(d, '' order by c))) end as digest from ({leaves}) group by {by}"
+    leaves = f"""
+select {by}, o // 1024 as c, count(*) as n, sha256(unhex(string_agg({frame}, '' order by o))) as d
+from (select *, row_number() over (partition by {by} order by {order}) - 1 as o
+  from ({rows})) group by {by}, c"""
+    return f"""
+select {by}, sum(n)::bigint as n, case when count(*) = 1 then any_value(d) else sha256(unhex(string_agg(d, '' order by c))) end as digest
+from ({leaves}) group by {by}"""
 
 
 _MEMBER_TEXT = "'{\"alt\":\"' || alt || '\",\"chrom\":\"' || chrom || '\",\"pos\":' || pos || ',\"ref\":\"' || ref || '\",\"role\":\"' || role || '\"}'"
@@ -430,7 +494,10 @@ def c4_verify(spark, sf_dir):
     return interval_index.verify(index, rows, ["variant_key", "source_row_id"], rules)
 
 
-@query("C5_window_audit", "select m.role, count(distinct w.id) as windows, count(*) as pairs, count(distinct w.id) filter (m.role <> 'train') as held_windows from w join vk m on m.chrom = w.chrom and w.start_bp < m.pos and m.pos <= w.end_bp group by m.role", "vk", "w")
+@query("C5_window_audit", """
+select m.role, count(distinct w.id) as windows, count(*) as pairs, count(distinct w.id) filter (m.role <> 'train') as held_windows
+from w join vk m on m.chrom = w.chrom and w.start_bp < m.pos and m.pos <= w.end_bp
+group by m.role""", "vk", "w")
 def c5_audit(spark, sf_dir):
     """Windows that hold members of each role, found in the stored index."""
     index, _ = _indexed(spark, sf_dir)
@@ -470,7 +537,10 @@ def st6(spark, sf_dir):
     return spark.read.parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("total", 4).alias("total"))
 
 
-@query("ST6_variants_against_windows", "select w.id, count(*) as n, min(v.source_row_id) as first_row from v join w on v.chrom = w.chrom and w.start_bp < v.pos and v.pos <= w.end_bp group by w.id", "v", "w")
+@query("ST6_variants_against_windows", """
+select w.id, count(*) as n, min(v.source_row_id) as first_row
+from v join w on v.chrom = w.chrom and w.start_bp < v.pos and v.pos <= w.end_bp
+group by w.id""", "v", "w")
 def st6_join(spark, sf_dir):
     """Variants that arrive as a stream meet a table of windows, batch by batch."""
     path = folder(spark, "met")

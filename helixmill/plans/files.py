@@ -43,7 +43,11 @@ def s4(spark, sf_dir):
     return text.read_vcf(spark, path, strict=False).select(F.col("id").cast("long").alias("source_row_id"), "chrom", "pos", "ref", "alt")
 
 
-@query("S5_fasta", "select contig, start, sha256(piece) as digest, length(piece) as n from (select 'd' || id as contig, i * 1000 as start, substr(seq, cast(i * 1000 + 1 as int), 1000) as piece from (select id, seq, unnest(range(cast(ceil(length(seq) / cast(1000 as double)) as bigint))) as i from dseq where length(seq) > 0))", "dseq")
+@query("S5_fasta", """
+select contig, start, sha256(piece) as digest, length(piece) as n
+from (select 'd' || id as contig, i * 1000 as start, substr(seq, cast(i * 1000 + 1 as int), 1000) as piece
+  from (select id, seq, unnest(range(cast(ceil(length(seq) / cast(1000 as double)) as bigint))) as i
+    from dseq where length(seq) > 0))""", "dseq")
 def s5(spark, sf_dir):
     """Contigs in lines of 60 bases, some in lower case, read in tiles of 1,000."""
     s = sequences(spark, sf_dir).where("length(seq) > 0")
@@ -53,7 +57,9 @@ def s5(spark, sf_dir):
     return tiles.select("contig", F.col("start").cast("long").alias("start"), F.sha2("sequence", 256).alias("digest"), F.length("sequence").cast("long").alias("n"))
 
 
-@query("S6_contig_alias", "select source_row_id, case when cast(chrom as int) % 3 = 0 then null when cast(chrom as int) % 2 = 0 then 'chr' || chrom else chrom end as contig from v", "v")
+@query("S6_contig_alias", """
+select source_row_id, case when cast(chrom as int) % 3 = 0 then null when cast(chrom as int) % 2 = 0 then 'chr' || chrom else chrom end as contig
+from v""", "v")
 def s6(spark, sf_dir):
     """Chromosomes spelled either way against contigs spelled either way, a third of them absent."""
     v = variants(spark, sf_dir).withColumn("chrom", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("chr"), "chrom")).otherwise(F.col("chrom")))
@@ -88,7 +94,9 @@ def s8(spark, sf_dir):
     return text.read_placed(spark, path).withColumn("digest", F.sha2("sequence", 256)).drop("sequence")
 
 
-@query("S9_S12_gnomad_shard", "select chrom, pos, ref, alt, cast(af as float) as af_global, cast(af / 2 as float) as af_afr, cast(null as float) as af_nfe, flt as filter, '2.0.0' as schema_version from v where flt = 'PASS' and af >= 0.01", "v")
+@query("S9_S12_gnomad_shard", """
+select chrom, pos, ref, alt, cast(af as float) as af_global, cast(af / 2 as float) as af_afr, cast(null as float) as af_nfe, flt as filter, '2.0.0' as schema_version
+from v where flt = 'PASS' and af >= 0.01""", "v")
 def s9(spark, sf_dir):
     """The shard is written with all population columns, of which this source has one, and read with its schema and version checked."""
     good, _ = ingest.prepare(variants(spark, sf_dir), ingest.gnomad_reject())
@@ -97,7 +105,9 @@ def s9(spark, sf_dir):
     return shards.read_shard(spark, path, shards.GNOMAD).select("chrom", "pos", "ref", "alt", "af_global", "af_afr", "af_nfe", "filter", "schema_version")
 
 
-@query("S10_clinvar_shard", "select chrom, pos, ref, alt, cls as clinical_significance, '' as review_status, cast(null as varchar) as gene_symbol, source_row_id as clinvar_id from v where ref <> alt", "v")
+@query("S10_clinvar_shard", """
+select chrom, pos, ref, alt, cls as clinical_significance, '' as review_status, cast(null as varchar) as gene_symbol, source_row_id as clinvar_id
+from v where ref <> alt""", "v")
 def s10(spark, sf_dir):
     good, _ = ingest.prepare(variants(spark, sf_dir), ingest.clinvar_reject())
     path = folder(spark, "clinvar")
@@ -152,7 +162,9 @@ def _consumer_calls(spark, sf_dir):
     return out
 
 
-_CALLS = "select source_row_id, chrom, pos, ref, alt, ['23andme', 'ancestry', 'myheritage', 'sequencing'][cast(source_row_id % 4 + 1 as int)] as kind, case pos % 5 when 0 then alt || ref when 1 then alt || alt when 4 then '--' else ref || ref end as genotype from v"
+_CALLS = """
+select source_row_id, chrom, pos, ref, alt, ['23andme', 'ancestry', 'myheritage', 'sequencing'][cast(source_row_id % 4 + 1 as int)] as kind, case pos % 5 when 0 then alt || ref when 1 then alt || alt when 4 then '--' else ref || ref end as genotype
+from v"""
 
 
 @query("S17_consumer_genotypes", f"select kind, 'rs' || source_row_id as rsid, chrom, pos, genotype from ({_CALLS})", "v")
@@ -187,7 +199,10 @@ def s18(spark, sf_dir):
     return text.numbered_lines(spark, path).where("not startswith(value, '#')").select((F.col("at") - 2).alias("at"), f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[2].alias("id"), f[3].alias("ref"), f[4].alias("alt"))
 
 
-@query("S19_label_streams", "select chrom, pos, ref, alt, case when cls in ('P', 'LP') then 'positive' else 'negative' end as label, count(*) as copies from vk where role = 'evaluation' and cls in ('P', 'LP', 'B', 'LB') group by all", "vk")
+@query("S19_label_streams", """
+select chrom, pos, ref, alt, case when cls in ('P', 'LP') then 'positive' else 'negative' end as label, count(*) as copies
+from vk where role = 'evaluation' and cls in ('P', 'LP', 'B', 'LB')
+group by all""", "vk")
 def s19(spark, sf_dir):
     """A held role's labels and variants are written as two streams; here both are read and met again."""
     rows = keyed_variants(spark, sf_dir).where(F.col("cls").isin("P", "LP", "B", "LB")).withColumn("label", F.when(F.col("cls").isin("P", "LP"), "positive").otherwise("negative"))
@@ -200,7 +215,10 @@ def s19(spark, sf_dir):
 
 @query(
     "S20_score_sinks",
-    "select chrom, pos, ref, alt, sigma_raw, bucket_id, 'sha256:' || sha256('{\"alt\":\"' || alt || '\",\"chrom\":\"' || chrom || '\",\"pos\":' || pos || ',\"ref\":\"' || ref || '\"}') as input_commitment from (select distinct chrom, pos, ref, alt, cast(pos % 97 as double) / 4 as sigma_raw, source as bucket_id from v where ref <> alt)",
+    """
+select chrom, pos, ref, alt, sigma_raw, bucket_id, 'sha256:' || sha256('{\"alt\":\"' || alt || '\",\"chrom\":\"' || chrom || '\",\"pos\":' || pos || ',\"ref\":\"' || ref || '\"}') as input_commitment
+from (select distinct chrom, pos, ref, alt, cast(pos % 97 as double) / 4 as sigma_raw, source as bucket_id
+  from v where ref <> alt)""",
     "v",
 )
 def s20(spark, sf_dir):
@@ -217,7 +235,10 @@ def s20(spark, sf_dir):
 
 @query(
     "S22_record_dispatch",
-    "select kind, count(*) as n, count(distinct key) as n_keys, count(label) as n_labels, min(pos) as first_pos, count(distinct chrom) as n_chroms from (select chrom || ':' || pos || ':' || ref || ':' || alt as key, chrom, pos, ['jsonl', 'parquet', 'plain', 'vcf'][cast(source_row_id % 4 + 1 as int)] as kind, case when source_row_id % 4 < 2 then cls end as label from v) group by kind",
+    """
+select kind, count(*) as n, count(distinct key) as n_keys, count(label) as n_labels, min(pos) as first_pos, count(distinct chrom) as n_chroms
+from (select chrom || ':' || pos || ':' || ref || ':' || alt as key, chrom, pos, ['jsonl', 'parquet', 'plain', 'vcf'][cast(source_row_id % 4 + 1 as int)] as kind, case when source_row_id % 4 < 2 then cls end as label
+  from v) group by kind""",
     "v",
 )
 def s22(spark, sf_dir):
@@ -238,7 +259,10 @@ def s22(spark, sf_dir):
     return out.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("key").alias("n_keys"), F.count("label").alias("n_labels"), F.min("pos").alias("first_pos"), F.count_distinct("chrom").alias("n_chroms"))
 
 
-@query("S23_scored_csv", "select 'a' || o_orderkey as accession, round(o_totalprice, 2) as score, 'k' || min(l_linenumber) as key from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 5 <> 0 group by 1, 2")
+@query("S23_scored_csv", """
+select 'a' || o_orderkey as accession, round(o_totalprice, 2) as score, 'k' || min(l_linenumber) as key
+from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 5 <> 0
+group by 1, 2""")
 def s23(spark, sf_dir):
     """A CSV of scores, a fifth of them not numbers, and a mapping with several keys an accession."""
     orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
@@ -263,7 +287,9 @@ def s25(spark, sf_dir):
     return good.select("chrom", "pos", "ref", "alt", "af")
 
 
-@query("F2_frequency_keys", "select source_row_id, case when source = 'R' then null else af end as af, case when source = 'A' then af / 2 else af / 4 end as af_afr, cast(null as double) as af_nfe from v", "v")
+@query("F2_frequency_keys", """
+select source_row_id, case when source = 'R' then null else af end as af, case when source = 'A' then af / 2 else af / 4 end as af_afr, cast(null as double) as af_nfe
+from v""", "v")
 def f2(spark, sf_dir):
     """The global frequency under either of its other names, a population under lower and upper case, one that is absent."""
     v = variants(spark, sf_dir)
@@ -276,7 +302,9 @@ def f2(spark, sf_dir):
 
 @query(
     "F3_tolerant_numbers",
-    "select source_row_id, case source_row_id % 6 when 0 then cast(pos as double) when 1 then cast(pos as double) / 8 else null end as x, case source_row_id % 3 when 0 then pos when 1 then pos else null end as n from v",
+    """
+select source_row_id, case source_row_id % 6 when 0 then cast(pos as double) when 1 then cast(pos as double) / 8 else null end as x, case source_row_id % 3 when 0 then pos when 1 then pos else null end as n
+from v""",
     "v",
 )
 def f3(spark, sf_dir):
@@ -289,7 +317,9 @@ def f3(spark, sf_dir):
 
 @query(
     "F5_clinvar_fields",
-    "select source_row_id, case when source = 'N' then '' else 'criteria_provided' end as review_status, case when source = 'R' then null else 'G' || chrom end as gene_symbol, case source when 'A' then source_row_id + 5 when 'R' then source_row_id + 9 else source_row_id end as clinvar_id from v",
+    """
+select source_row_id, case when source = 'N' then '' else 'criteria_provided' end as review_status, case when source = 'R' then null else 'G' || chrom end as gene_symbol, case source when 'A' then source_row_id + 5 when 'R' then source_row_id + 9 else source_row_id end as clinvar_id
+from v""",
     "v",
 )
 def f5(spark, sf_dir):
@@ -322,7 +352,9 @@ def j16(spark, sf_dir):
     return found.select("source_row_id", "start_bp", F.sha2(F.coalesce("bases", F.lit("")), 256).alias("digest"))
 
 
-@query("G24_json", "select event_id, '{\"kind\":\"' || event_type || '\",\"nested\":{\"id\":' || event_id || ',\"none\":null}}' as report, event_type as kind from events")
+@query("G24_json", """
+select event_id, '{\"kind\":\"' || event_type || '\",\"nested\":{\"id\":' || event_id || ',\"none\":null}}' as report, event_type as kind
+from events""")
 def g24(spark, sf_dir):
     """Nested JSON out and in again, nulls kept."""
     e = read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(F.col("event_id").alias("id"), F.lit(None).cast("string").alias("none")).alias("nested")), {"ignoreNullFields": "false"}).alias("report"))

@@ -13,10 +13,18 @@ SQL = {
  substr('ACGT', cast((l_suppkey + 1 + l_linenumber % 3) % 4 as int) + 1, 1) as alt, l_discount as af, case when l_returnflag = 'R' then 'LowQual' else 'PASS' end as flt,
  case cast(l_quantity as int) % 6 when 0 then 'P' when 1 then 'LP' when 2 then 'B' when 3 then 'LB' when 4 then 'VUS' else 'OTHER' end as cls,
  cast(l_orderkey * 8 + l_linenumber as bigint) as source_row_id, l_returnflag as source from lineitem""",
-    "vk": "select *, 'GRCh38:' || chrom || ':' || cast(pos as varchar) || ':' || ref || ':' || alt as variant_key, case when chrom = '20' then 'validation' when chrom = '21' then 'evaluation' else 'train' end as role from v",
-    "w": "select o_orderkey as id, cast(o_custkey % 22 + 1 as varchar) as chrom, cast(o_orderkey * 8 - (o_orderkey * 8) % 64 as bigint) as start_bp, cast(o_orderkey * 8 - (o_orderkey * 8) % 64 + 4096 as bigint) as end_bp from orders",
-    "sl": "select d.doc_id as id, l.quality as label, l.toxic as other, cast(d.n_chars % 50 as double) as score, cast(d.n_chars as double) as value, d.lang as grp from documents d join labels l on d.doc_id = l.doc_id",
-    "e": "select a.vec_id as id, cast(a.label as int) as split, cast(a.embedding as double[]) as x, cast(b.embedding as double[]) as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
+    "vk": """
+select *, 'GRCh38:' || chrom || ':' || cast(pos as varchar) || ':' || ref || ':' || alt as variant_key, case when chrom = '20' then 'validation' when chrom = '21' then 'evaluation' else 'train' end as role
+from v""",
+    "w": """
+select o_orderkey as id, cast(o_custkey % 22 + 1 as varchar) as chrom, cast(o_orderkey * 8 - (o_orderkey * 8) % 64 as bigint) as start_bp, cast(o_orderkey * 8 - (o_orderkey * 8) % 64 + 4096 as bigint) as end_bp
+from orders""",
+    "sl": """
+select d.doc_id as id, l.quality as label, l.toxic as other, cast(d.n_chars % 50 as double) as score, cast(d.n_chars as double) as value, d.lang as grp
+from documents d join labels l on d.doc_id = l.doc_id""",
+    "e": """
+select a.vec_id as id, cast(a.label as int) as split, cast(a.embedding as double[]) as x, cast(b.embedding as double[]) as y
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""",
     "rv": """select v.source_row_id, cast(v.pos % 230 as varchar) as chrom, 1 + (v.pos * 131) % (coalesce(length(d.seq), 0) + 20) as pos, v.ref, v.alt, v.cls, length(d.seq) as n, d.seq
  from v left join dseq d on d.id = v.pos % 230 and length(d.seq) > 0""",
     "dseq": """select doc_id as id, source, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAN') as seq from documents""",

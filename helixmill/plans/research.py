@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.operators.metrics import auroc
-from helixmill.scratch import stored
+from helixmill.scratch import few, stored
 
 
 #: Widths up to which sums of products are columns of one aggregate.
@@ -98,7 +98,7 @@ def project(rows: DataFrame, directions: DataFrame) -> DataFrame:
     """id, label, score: each row on the direction its own fold had no part in."""
     by_fold = directions.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "direction"))), lambda d: d["direction"]).alias("d"))
     score = F.aggregate(F.zip_with("x", "d", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.join(F.broadcast(by_fold), "fold").select("id", "label", score.alias("score"))
+    return rows.join(few(by_fold, "directions", 1000), "fold").select("id", "label", score.alias("score"))
 
 
 def fold_moments(rows: DataFrame, columns: list[str], widths: list[int]) -> dict[int, np.ndarray]:
@@ -160,11 +160,11 @@ def predictability(rows: DataFrame, state: int, actions: int, *, lam: float = 1.
             models[k] = rest[y, -1] / rest[-1, -1], ones, _weights(rest, x + a, y, lam, standardize=True, intercept=True)
     many = rows.select("fold", "cls", F.posexplode("d").alias("i", "v")).groupBy("fold", "cls", "i").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
     all_ = many.groupBy("cls", "i").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
-    pairs_ = many.select("fold").distinct().join(F.broadcast(all_)).join(many, ["fold", "cls", "i"], "left")  # folds x classes x components
+    pairs_ = many.select("fold").distinct().join(few(all_, "classes")).join(many, ["fold", "cls", "i"], "left")  # folds x classes x components
     left = F.col("all_n") - F.coalesce("n", F.lit(0))
     mean = F.when(left >= least, (F.col("all_s") - F.coalesce("s", F.lit(0.0))) / left)
     means = pairs_.groupBy("fold", "cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", mean.alias("v")))), lambda p: p["v"]).alias("class_mean"))
-    met = rows.join(F.broadcast(means), ["fold", "cls"]).select("id", "label", F.col("fold").cast("int").alias("fold"), *(F.col(c).cast("array<double>").alias(c) for c in ("s", "a", "d", "class_mean")))
+    met = rows.join(few(means, "means", 10_000), ["fold", "cls"]).select("id", "label", F.col("fold").cast("int").alias("fold"), *(F.col(c).cast("array<double>").alias(c) for c in ("s", "a", "d", "class_mean")))
 
     def score(batches):
         for batch in batches:

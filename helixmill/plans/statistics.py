@@ -16,7 +16,9 @@ from helixmill.streaming.events import after_cursor, epochs
 _L2 = "sqrt(list_sum(list_transform(list_zip(x, y), lambda q: (q[1] - q[2]) * (q[1] - q[2]))))"
 
 
-@query("J2_window_counts", "select w.id, count(*) as n from v join w on v.chrom = w.chrom and w.start_bp < v.pos and v.pos <= w.end_bp and v.pos - 1 + length(v.ref) <= w.end_bp group by w.id", "v", "w")
+@query("J2_window_counts", """
+select w.id, count(*) as n from v join w on v.chrom = w.chrom and w.start_bp < v.pos and v.pos <= w.end_bp and v.pos - 1 + length(v.ref) <= w.end_bp
+group by w.id""", "v", "w")
 def j2(spark, sf_dir):
     return intervals.window_counts(windows(spark, sf_dir), variants(spark, sf_dir))
 
@@ -49,8 +51,13 @@ def t1(spark, sf_dir):
 
 
 SAMPLE, LEAST = 60, 40
-_CHAIN = "c as (select id, value, unnest([grp || '|' || g || '|none', grp || '|' || g, grp, '*']) as bucket_id from (select *, case label when 1 then 'high' else 'low' end as g from sl))"
-_SAMPLED = f", {_CHAIN}, k as (select * from (select *, row_number() over (partition by bucket_id order by sha256('7:' || bucket_id || ':' || id), id) as rn from c) where rn <= {SAMPLE})"
+_CHAIN = """
+c as (select id, value, unnest([grp || '|' || g || '|none', grp || '|' || g, grp, '*']) as bucket_id
+  from (select *, case label when 1 then 'high' else 'low' end as g
+    from sl))"""
+_SAMPLED = f"""
+, {_CHAIN}, k as (select * from (select *, row_number() over (partition by bucket_id order by sha256('7:' || bucket_id || ':' || id), id) as rn
+    from c) where rn <= {SAMPLE})"""
 
 
 def _cal(body: str) -> str:
@@ -70,8 +77,14 @@ def sm6(spark, sf_dir):
     return calibration.bucket_samples(_calibration_rows(spark, sf_dir), "7", SAMPLE).groupBy("bucket_id", "value").agg(F.count("*").alias("n"))
 
 
-_GRID = "select bucket_id, i, n, case when i = 10 then hi else lo + (hi - lo) * i / cast(10 as double) end as x from (select bucket_id, min(value) as lo, max(value) as hi, count(*) as n from k group by 1), range(11) t(i)"
-_CDF_FULL = _cal(f"select bucket_id, i, n as n_calibration, x as sigma, cast((select count(*) from k where k.bucket_id = q.bucket_id and k.value <= q.x) as double) / n as cdf from ({_GRID}) q")
+_GRID = """
+select bucket_id, i, n, case when i = 10 then hi else lo + (hi - lo) * i / cast(10 as double) end as x
+from (select bucket_id, min(value) as lo, max(value) as hi, count(*) as n
+  from k group by 1), range(11) t(i)"""
+_CDF_FULL = _cal(f"""
+select bucket_id, i, n as n_calibration, x as sigma, cast((select count(*)
+    from k where k.bucket_id = q.bucket_id and k.value <= q.x) as double) / n as cdf
+from ({_GRID}) q""")
 _CDF = f"select bucket_id, i, n_calibration, round(sigma, 6) as sigma, round(cdf, 6) as cdf from ({_CDF_FULL})"
 
 
@@ -89,7 +102,9 @@ def a14(spark, sf_dir):
     return _long(_calibrated(spark, sf_dir))
 
 
-@query("S13_C7_calibration_table", f"select bucket_id, i, n_calibration, round(cast(cast(sigma as float) as double), 6) as sigma, round(cast(cast(cdf as float) as double), 6) as cdf from ({_CDF_FULL})")
+@query("S13_C7_calibration_table", f"""
+select bucket_id, i, n_calibration, round(cast(cast(sigma as float) as double), 6) as sigma, round(cast(cast(cdf as float) as double), 6) as cdf
+from ({_CDF_FULL})""")
 def s13(spark, sf_dir):
     """The calibration run: the table is written (zstd) and read again, with its schema and version checked."""
     from helixmill.scratch import folder
@@ -207,7 +222,11 @@ def a25(spark, sf_dir):
 
 @query(
     "A27_permutation_p",
-    "select (count(*) filter (drawn >= seen) + 1) / cast(count(*) + 1 as double) as p_value from (select k, sum(score) as drawn from (select *, row_number() over (partition by k order by sha256('7:' || k || ':' || id), id) as spot from sl, range(60) t(k)) where spot <= (select sum(label) from sl) group by k), (select sum(score) filter (label = 1) as seen from sl)",
+    """
+select (count(*) filter (drawn >= seen) + 1) / cast(count(*) + 1 as double) as p_value
+from (select k, sum(score) as drawn from (select *, row_number() over (partition by k order by sha256('7:' || k || ':' || id), id) as spot
+    from sl, range(60) t(k)) where spot <= (select sum(label) from sl)
+  group by k), (select sum(score) filter (label = 1) as seen from sl)""",
     "sl",
 )
 def a27(spark, sf_dir):
@@ -216,7 +235,10 @@ def a27(spark, sf_dir):
 
 # linear models
 
-_EIGEN = "select n, m1, m2, (a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b) as l1, (a + c) / 2 - sqrt(power((a - c) / 2, 2) + b * b) as l2 from (select count(*) as n, avg(x[1]) as m1, avg(x[2]) as m2, var_pop(x[1]) as a, var_pop(x[2]) as c, covar_pop(x[1], x[2]) as b from e)"
+_EIGEN = """
+select n, m1, m2, (a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b) as l1, (a + c) / 2 - sqrt(power((a - c) / 2, 2) + b * b) as l2
+from (select count(*) as n, avg(x[1]) as m1, avg(x[2]) as m2, var_pop(x[1]) as a, var_pop(x[2]) as c, covar_pop(x[1], x[2]) as b
+  from e)"""
 
 
 @query("A22_explained_variance_of_two", f"select round(l1 / (l1 + l2), 5) as first, round(l2 / (l1 + l2), 5) as second from ({_EIGEN})", "e")
@@ -244,7 +266,10 @@ def a24(spark, sf_dir):
     return spark.createDataFrame([(round(float(w1), 4), round(float(w2), 4), round(float(intercept), 2))], "w1 double, w2 double, intercept double")
 
 
-@query("A29_logistic_probe", "select round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 5) as weight, round(ln(p0 / (1 - p0)), 5) as intercept from (select avg(label) filter (grp = 'en') as p1, avg(label) filter (grp <> 'en') as p0 from sl)", "sl")
+@query("A29_logistic_probe", """
+select round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 5) as weight, round(ln(p0 / (1 - p0)), 5) as intercept
+from (select avg(label) filter (grp = 'en') as p1, avg(label) filter (grp <> 'en') as p0
+  from sl)""", "sl")
 def a29(spark, sf_dir):
     """One binary feature, so that the fitted odds are those of its two classes."""
     w, intercept = research.logistic_probe(scored(spark, sf_dir).withColumn("x", F.when(F.col("grp") == "en", 1).otherwise(0)), ["x"], "label")
@@ -275,13 +300,18 @@ def st3(spark, sf_dir):
     return after_cursor(rows, 1, cursor["priority"]).select(F.col("epoch").cast("long").alias("epoch"), "id")
 
 
-@query("G15_normalised", "select id, round(x[1] / n, 4) as first, round(x[32] / n, 4) as middle, round(x[64] / n, 4) as last from (select *, sqrt(list_sum(list_transform(x, lambda q: q * q))) as n from e)", "e")
+@query("G15_normalised", """
+select id, round(x[1] / n, 4) as first, round(x[32] / n, 4) as middle, round(x[64] / n, 4) as last
+from (select *, sqrt(list_sum(list_transform(x, lambda q: q * q))) as n
+  from e)""", "e")
 def g15(spark, sf_dir):
     n = pairs(spark, sf_dir).select("id", vectors.normalised(F.col("x")).alias("u"))
     return n.select("id", *(r(F.element_at("u", i).cast("double"), 4).alias(name) for i, name in ((1, "first"), (32, "middle"), (64, "last"))))
 
 
-_RECEIPTS = "r as (select case when id % 11 = 3 then id + 1000000000 else id end as id, case when id % 13 = 5 then -score else score end as score, case when id % 9 = 0 then null else value end as value, grp, label from sl)"
+_RECEIPTS = """
+r as (select case when id % 11 = 3 then id + 1000000000 else id end as id, case when id % 13 = 5 then -score else score end as score, case when id % 9 = 0 then null else value end as value, grp, label
+  from sl)"""
 
 
 def _score_and_receipts(spark, sf_dir):
@@ -292,13 +322,22 @@ def _score_and_receipts(spark, sf_dir):
     return stored(s, "scores"), stored(receipts, "receipts")
 
 
-@query("J19_receipt_equality", f"select s.id, s.score is not distinct from r.score and s.value is not distinct from r.value and s.grp is not distinct from r.grp and s.label is not distinct from r.label as equal from sl s join (with {_RECEIPTS} select * from r) r on r.id = s.id", "sl")
+@query("J19_receipt_equality", f"""
+select s.id, s.score is not distinct from r.score and s.value is not distinct
+from r.value and s.grp is not distinct from r.grp and s.label is not distinct
+from r.label as equal from sl s join (with {_RECEIPTS} select *
+  from r) r on r.id = s.id""", "sl")
 def j19(spark, sf_dir):
     scores, receipts = _score_and_receipts(spark, sf_dir)
     return metrics.equal_fields(scores, receipts, "id", ["score", "value", "grp", "label"]).select("id", "equal")
 
 
-@query("C16_receipts", f"select case when s.id is null then 'extra_receipt' when r.id is null then 'missing_receipt' when s.score is not distinct from r.score and s.value is not distinct from r.value and s.grp is not distinct from r.grp and s.label is not distinct from r.label then 'verified' else 'mismatched' end as state, count(*) as n from sl s full join (with {_RECEIPTS} select * from r) r on r.id = s.id group by 1", "sl")
+@query("C16_receipts", f"""
+select case when s.id is null then 'extra_receipt' when r.id is null then 'missing_receipt' when s.score is not distinct
+from r.score and s.value is not distinct from r.value and s.grp is not distinct
+from r.grp and s.label is not distinct from r.label then 'verified' else 'mismatched' end as state, count(*) as n
+from sl s full join (with {_RECEIPTS} select * from r) r on r.id = s.id
+group by 1""", "sl")
 def c16(spark, sf_dir):
     """The report over both tables: verified, mismatched, missing and extra."""
     scores, receipts = _score_and_receipts(spark, sf_dir)

@@ -41,7 +41,10 @@ def j13(spark, sf_dir):
     return intervals.overlapping_pairs(w, w).where("l_id < r_id")
 
 
-@query("C10_region_overlaps", "select count(*) as n from (select distinct a.id as l, b.id as r from w a join w b on a.chrom = b.chrom and a.start_bp < b.end_bp and b.start_bp < a.end_bp where a.chrom in ('20', '21') and a.id <> b.id)", "w")
+@query("C10_region_overlaps", """
+select count(*) as n from (select distinct a.id as l, b.id as r
+  from w a join w b on a.chrom = b.chrom and a.start_bp < b.end_bp and b.start_bp < a.end_bp
+  where a.chrom in ('20', '21') and a.id <> b.id)""", "w")
 def c10_regions(spark, sf_dir):
     """Every window of the held-out chromosomes against every other window."""
     w = windows(spark, sf_dir)
@@ -51,7 +54,10 @@ def c10_regions(spark, sf_dir):
 _KMER = "case when length(k) < 6 or position('N' in k) > 0 then -1 else " + " + ".join(f"{4 ** (6 - i)} * {_DIGIT.format(i)}" for i in range(1, 7)) + " end"
 
 
-@query("G5_kmer_ids", f"select id, len(ids) as n_ids, sha256(coalesce(array_to_string(ids, ','), '')) as ids_sha256 from (select id, list_transform(regexp_extract_all(coalesce(seq, ''), '.{{1,6}}'), lambda k: {_KMER}) as ids from dseq)", "dseq")
+@query("G5_kmer_ids", f"""
+select id, len(ids) as n_ids, sha256(coalesce(array_to_string(ids, ','), '')) as ids_sha256
+from (select id, list_transform(regexp_extract_all(coalesce(seq, ''), '.{{1,6}}'), lambda k: {_KMER}) as ids
+  from dseq)""", "dseq")
 def g5(spark, sf_dir):
     """Count and digest of all ids of every sequence."""
     s = sequences(spark, sf_dir).select("id", dna.kmer_ids(F.col("seq")).alias("ids"))
@@ -68,7 +74,10 @@ CAP = 50
 
 @query(
     "T5_stratified_cap",
-    f"select s.id, s.grp from (select *, row_number() over (partition by grp order by sha256('7:' || cast(id as varchar)), id) as r from sl) s join (select grp, count(*) as k, sum(count(*)) over () as total from sl group by grp) n on s.grp = n.grp where s.r <= case when n.total <= {CAP} then n.k else greatest(1, round_even(cast({CAP} as double) * n.k / n.total, 0)) end",
+    f"""
+select s.id, s.grp from (select *, row_number() over (partition by grp order by sha256('7:' || cast(id as varchar)), id) as r
+  from sl) s join (select grp, count(*) as k, sum(count(*)) over () as total
+  from sl group by grp) n on s.grp = n.grp where s.r <= case when n.total <= {CAP} then n.k else greatest(1, round_even(cast({CAP} as double) * n.k / n.total, 0)) end""",
     "sl",
 )
 def t5(spark, sf_dir):

@@ -42,7 +42,10 @@ def f4(spark, sf_dir):
 
 @query(
     "F9_canonical_variant",
-    "select source_row_id, variant_key, 'sha256:' || sha256('{\"alt\":\"' || alt || '\",\"assembly\":\"GRCh38\",\"chrom\":\"' || chrom || '\",\"pos\":' || cast(pos + 3 as varchar) || ',\"ref\":\"' || ref || '\"}') as variant_digest from (select *  replace ('GRCh38:' || chrom || ':' || cast(pos + 3 as varchar) || ':' || ref || ':' || alt as variant_key) from vk)",
+    """
+select source_row_id, variant_key, 'sha256:' || sha256('{\"alt\":\"' || alt || '\",\"assembly\":\"GRCh38\",\"chrom\":\"' || chrom || '\",\"pos\":' || cast(pos + 3 as varchar) || ',\"ref\":\"' || ref || '\"}') as variant_digest
+from (select *  replace ('GRCh38:' || chrom || ':' || cast(pos + 3 as varchar) || ':' || ref || ':' || alt as variant_key)
+  from vk)""",
     "vk",
 )
 def f9(spark, sf_dir):
@@ -55,7 +58,10 @@ def f9(spark, sf_dir):
 
 @query(
     "F11_edit_type",
-    "select kind, count(*) as n from (select case when len_a > 16 or len_r > 16 then 'SV' when len_r = 1 and len_a = 1 then 'SNV' when len_r = len_a then 'MNV' when len_r = 1 then 'INS' when len_a = 1 then 'DEL' else 'DELINS' end as kind from (select pos % 19 + 1 as len_r, source_row_id % 17 + 1 as len_a from v)) group by 1",
+    """
+select kind, count(*) as n from (select case when len_a > 16 or len_r > 16 then 'SV' when len_r = 1 and len_a = 1 then 'SNV' when len_r = len_a then 'MNV' when len_r = 1 then 'INS' when len_a = 1 then 'DEL' else 'DELINS' end as kind
+  from (select pos % 19 + 1 as len_r, source_row_id % 17 + 1 as len_a
+    from v)) group by 1""",
     "v",
 )
 def f11(spark, sf_dir):
@@ -68,7 +74,9 @@ def f7(spark, sf_dir):
     return v_rows(spark, sf_dir).select("source_row_id", labels.binary_label(F.array("cls")).alias("label"))
 
 
-@query("F6_clinical_significance", "select source_row_id, case cls when 'P' then 'LP' when 'LP' then 'LP' when 'B' then 'LB' when 'LB' then 'LB' when 'VUS' then 'VUS' else 'OTHER' end as cls from v", "v")
+@query("F6_clinical_significance", """
+select source_row_id, case cls when 'P' then 'LP' when 'LP' then 'LP' when 'B' then 'LB' when 'LB' then 'LB' when 'VUS' then 'VUS' else 'OTHER' end as cls
+from v""", "v")
 def f6(spark, sf_dir):
     raw = F.create_map(*(F.lit(x) for x in ("P", "Pathogenic/Likely_pathogenic", "LP", "Likely%20pathogenic", "B", "Benign|Likely_benign", "LB", "likely_benign", "VUS", "Uncertain_significance|Pathogenic", "OTHER", "drug_response")))
     return v_rows(spark, sf_dir).select("source_row_id", labels.clinical_significance(raw[F.col("cls")]).alias("cls"))
@@ -88,14 +96,18 @@ def f15(spark, sf_dir):
 
 @query(
     "A1_role_crosstab",
-    "select source, count(*) filter (role = 'train') as train, count(*) filter (role = 'validation') as validation, count(*) filter (role = 'evaluation') as evaluation, count(distinct variant_key) as n_keys from vk group by source",
+    """
+select source, count(*) filter (role = 'train') as train, count(*) filter (role = 'validation') as validation, count(*) filter (role = 'evaluation') as evaluation, count(distinct variant_key) as n_keys
+from vk group by source""",
     "vk",
 )
 def a1(spark, sf_dir):
     return variants.role_crosstab(keyed_variants(spark, sf_dir), "source")
 
 
-_BEST = "select * from (select *, row_number() over (partition by variant_key order by case cls when 'P' then 0 when 'LP' then 1 when 'B' then 2 when 'LB' then 3 else 9 end, source_row_id, cls) as rn from vk) where rn = 1"
+_BEST = """
+select * from (select *, row_number() over (partition by variant_key order by case cls when 'P' then 0 when 'LP' then 1 when 'B' then 2 when 'LB' then 3 else 9 end, source_row_id, cls) as rn
+  from vk) where rn = 1"""
 
 
 @query("W1_best_label", f"select variant_key, cls, source_row_id from ({_BEST})", "vk")
@@ -103,7 +115,9 @@ def w1(spark, sf_dir):
     return variants.best_label(keyed_variants(spark, sf_dir)).select("variant_key", "cls", "source_row_id")
 
 
-@query("A2_class_role_counts", f"select cls, count(*) filter (role = 'train') as train, count(*) filter (role = 'validation') as validation, count(*) filter (role = 'evaluation') as evaluation, count(distinct variant_key) as n_keys from ({_BEST}) group by cls", "vk")
+@query("A2_class_role_counts", f"""
+select cls, count(*) filter (role = 'train') as train, count(*) filter (role = 'validation') as validation, count(*) filter (role = 'evaluation') as evaluation, count(distinct variant_key) as n_keys
+from ({_BEST}) group by cls""", "vk")
 def a2(spark, sf_dir):
     return variants.role_crosstab(variants.best_label(keyed_variants(spark, sf_dir)), "cls")
 
@@ -113,14 +127,19 @@ def a3(spark, sf_dir):
     return variants.cross_role_leaks(keyed_variants(spark, sf_dir).withColumn("variant_key", F.concat("source", "ref", "alt")))
 
 
-@query("A4_label_conflicts", "select variant_key from (select chrom || ':' || cast(pos // 16 as varchar) as variant_key, cls from vk where cls in ('P', 'LP', 'B', 'LB')) group by 1 having min(cls in ('P', 'LP')) <> max(cls in ('P', 'LP'))", "vk")
+@query("A4_label_conflicts", """
+select variant_key from (select chrom || ':' || cast(pos // 16 as varchar) as variant_key, cls
+  from vk where cls in ('P', 'LP', 'B', 'LB')) group by 1 having min(cls in ('P', 'LP')) <> max(cls in ('P', 'LP'))""", "vk")
 def a4(spark, sf_dir):
     return variants.label_conflicts(keyed_variants(spark, sf_dir).withColumn("variant_key", F.concat_ws(":", "chrom", F.expr("cast(pos div 16 as string)"))))
 
 
 @query(
     "A5_consistent_first",
-    "select variant_key, min({'a': source_row_id, 'b': cls}).b as cls, min(source_row_id) as source_row_id from (select chrom || ':' || cast(pos // 16 as varchar) as variant_key, cls, source_row_id from vk where cls in ('P', 'LP', 'B', 'LB')) group by 1 having min(cls in ('P', 'LP')) = max(cls in ('P', 'LP'))",
+    """
+select variant_key, min({'a': source_row_id, 'b': cls}).b as cls, min(source_row_id) as source_row_id
+from (select chrom || ':' || cast(pos // 16 as varchar) as variant_key, cls, source_row_id
+  from vk where cls in ('P', 'LP', 'B', 'LB')) group by 1 having min(cls in ('P', 'LP')) = max(cls in ('P', 'LP'))""",
     "vk",
 )
 def a5(spark, sf_dir):
@@ -130,14 +149,18 @@ def a5(spark, sf_dir):
 
 @query(
     "A7_gnomad_audit",
-    "select count(*) as n, min(pos) as min_pos, max(pos) as max_pos, count(af) as n_af, cast(0 as bigint) as bad_ref, cast(0 as bigint) as bad_alt, count(*) filter (pos < 1) as bad_pos, count(*) filter (cast(af as float) < cast(0.01 as float)) as bad_af, count(*) filter (flt <> 'PASS') as bad_filter, min(case when cast(af as float) < cast(0.01 as float) or flt <> 'PASS' then source_row_id end) as first_bad from v",
+    """
+select count(*) as n, min(pos) as min_pos, max(pos) as max_pos, count(af) as n_af, cast(0 as bigint) as bad_ref, cast(0 as bigint) as bad_alt, count(*) filter (pos < 1) as bad_pos, count(*) filter (cast(af as float) < cast(0.01 as float)) as bad_af, count(*) filter (flt <> 'PASS') as bad_filter, min(case when cast(af as float) < cast(0.01 as float) or flt <> 'PASS' then source_row_id end) as first_bad
+from v""",
     "v",
 )
 def a7(spark, sf_dir):
     return variants.gnomad_audit(v_rows(spark, sf_dir))
 
 
-@query("A8_clinvar_audit", "select chrom, count(*) as n, min(pos) as min_pos, max(pos) as max_pos, count(*) filter (cls in ('P', 'LP')) as positive, count(*) filter (cls in ('B', 'LB')) as negative from v group by chrom", "v")
+@query("A8_clinvar_audit", """
+select chrom, count(*) as n, min(pos) as min_pos, max(pos) as max_pos, count(*) filter (cls in ('P', 'LP')) as positive, count(*) filter (cls in ('B', 'LB')) as negative
+from v group by chrom""", "v")
 def a8(spark, sf_dir):
     return v_rows(spark, sf_dir).groupBy("chrom").agg(F.count("*").alias("n"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"), F.count_if(F.col("cls").isin("P", "LP")).alias("positive"), F.count_if(F.col("cls").isin("B", "LB")).alias("negative"))
 
@@ -189,7 +212,9 @@ def j3(spark, sf_dir):
 _HOLD = "h as (select chrom, start_bp, start_bp + 50000 as end_bp from w where id % 97 = 1)"
 
 
-@query("J4_windows_off_holdouts", f"select id from (with {_HOLD} select id from w where not exists (select 1 from h where h.chrom = w.chrom and h.start_bp < w.end_bp and w.start_bp < h.end_bp))", "w")
+@query("J4_windows_off_holdouts", f"""
+select id from (with {_HOLD} select id from w where not exists (select 1
+    from h where h.chrom = w.chrom and h.start_bp < w.end_bp and w.start_bp < h.end_bp))""", "w")
 def j4(spark, sf_dir):
     w = w_rows(spark, sf_dir)
     return intervals.windows_off(w, w.where("id % 97 = 1").withColumn("end_bp", F.col("start_bp") + 50000)).select("id")
@@ -207,20 +232,28 @@ def j6(spark, sf_dir):
     return rows.join(rows.where("role <> 'train'").select("variant_key"), "variant_key", "left_semi").select("source_row_id")
 
 
-@query("J7_score_join", "select case when l.doc_id is null then 'extra_score' when d.doc_id is null then 'missing_score' else 'both' end as state, count(*) as n from (select doc_id from labels where doc_id % 5 <> 0) l full join documents d on d.doc_id = l.doc_id group by 1")
+@query("J7_score_join", """
+select case when l.doc_id is null then 'extra_score' when d.doc_id is null then 'missing_score' else 'both' end as state, count(*) as n
+from (select doc_id from labels where doc_id % 5 <> 0) l full
+join documents d on d.doc_id = l.doc_id group by 1""")
 def j7(spark, sf_dir):
     found = metrics.join_scores(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").where("doc_id % 5 <> 0"), ["doc_id"])
     return found.groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("J11_reverse_alleles", "select count(*) as n from vk a where exists (select 1 from vk b where b.chrom = a.chrom and b.pos // 64 = a.pos // 64 and b.ref = a.alt and b.alt = a.ref)", "vk")
+@query("J11_reverse_alleles", """
+select count(*) as n from vk a where exists (select 1 from vk b
+  where b.chrom = a.chrom and b.pos // 64 = a.pos // 64 and b.ref = a.alt and b.alt = a.ref)""", "vk")
 def j11(spark, sf_dir):
     rows = keyed_variants(spark, sf_dir).withColumn("spot", F.expr("pos div 64"))
     turned = rows.select("chrom", "spot", F.col("alt").alias("ref"), F.col("ref").alias("alt")).distinct()
     return rows.join(turned, ["chrom", "spot", "ref", "alt"], "left_semi").agg(F.count("*").alias("n"))
 
 
-@query("J14_index_consistency", "select 'missing' as problem, count(*) as n from v where source_row_id % 7 = 0 union all select 'orphan', count(*) from v where source_row_id % 7 <> 0 and source_row_id not in (select source_row_id from v where flt = 'PASS')", "v")
+@query("J14_index_consistency", """
+select 'missing' as problem, count(*) as n from v where source_row_id % 7 = 0
+union all select 'orphan', count(*) from v where source_row_id % 7 <> 0 and source_row_id not in (select source_row_id
+  from v where flt = 'PASS')""", "v")
 def j14(spark, sf_dir):
     base = v_rows(spark, sf_dir)
     index = base.where("source_row_id % 7 <> 0").select("source_row_id")
@@ -235,7 +268,11 @@ def j15(spark, sf_dir):
     return v_rows(spark, sf_dir).join(wanted, "pos", "left_semi").groupBy("source_row_id").agg(F.count("*").alias("copies"))
 
 
-@query("J16_window_lookup_chain", "select v.source_row_id, coalesce(k.start_bp, c.start_bp) as start_bp from v left join (select chrom, start_bp + 1 as pos, min(start_bp) as start_bp from w group by 1, 2) k on k.chrom = v.chrom and k.pos = v.pos left join (select chrom, min(start_bp) as start_bp from w group by 1) c on c.chrom = v.chrom", "v", "w")
+@query("J16_window_lookup_chain", """
+select v.source_row_id, coalesce(k.start_bp, c.start_bp) as start_bp
+from v left join (select chrom, start_bp + 1 as pos, min(start_bp) as start_bp
+  from w group by 1, 2) k on k.chrom = v.chrom and k.pos = v.pos
+left join (select chrom, min(start_bp) as start_bp from w group by 1) c on c.chrom = v.chrom""", "v", "w")
 def j16(spark, sf_dir):
     w = w_rows(spark, sf_dir)
     by_key = w.groupBy("chrom", (F.col("start_bp") + 1).alias("pos")).agg(F.min("start_bp").alias("a"))
@@ -246,19 +283,29 @@ def j16(spark, sf_dir):
 # metrics
 
 
-@query("A9_auroc", "select grp, round(sum(case when p.score > n.score then cast(1 as double) when p.score = n.score then cast(0.5 as double) else 0 end) / count(*), 6) as auroc from sl p join sl n using (grp) where p.label = 1 and n.label = 0 group by grp", "sl")
+@query("A9_auroc", """
+select grp, round(sum(case when p.score > n.score then cast(1 as double) when p.score = n.score then cast(0.5 as double) else 0 end) / count(*), 6) as auroc
+from sl p join sl n using (grp) where p.label = 1 and n.label = 0
+group by grp""", "sl")
 def a9(spark, sf_dir):
     return metrics.auroc(scored(spark, sf_dir), ["grp"]).where("auroc is not null").select("grp", r("auroc").alias("auroc"))
 
 
-@query("A10_average_precision", "select grp, round(sum(case when label = 1 then cast(h as double) / k else 0 end) / sum(label), 6) as average_precision from (select *, sum(label) over o as h, row_number() over o as k from sl window o as (partition by grp order by score desc, id)) group by grp", "sl")
+@query("A10_average_precision", """
+select grp, round(sum(case when label = 1 then cast(h as double) / k else 0 end) / sum(label), 6) as average_precision
+from (select *, sum(label) over o as h, row_number() over o as k
+  from sl window o as (partition by grp order by score desc, id))
+group by grp""", "sl")
 def a10(spark, sf_dir):
     return metrics.average_precision(scored(spark, sf_dir), ["grp"]).select("grp", r("average_precision").alias("average_precision"))
 
 
 @query(
     "A11_threshold_metrics",
-    "select grp, n, accuracy, sensitivity, specificity, round((sensitivity + specificity) / 2, 6) as balanced_accuracy from (select grp, count(*) as n, round(cast(count(*) filter ((score >= 25) = (label = 1)) as double) / count(*), 6) as accuracy, cast(count(*) filter (score >= 25 and label = 1) as double) / count(*) filter (label = 1) as sensitivity, cast(count(*) filter (score < 25 and label = 0) as double) / count(*) filter (label = 0) as specificity from sl group by grp)",
+    """
+select grp, n, accuracy, sensitivity, specificity, round((sensitivity + specificity) / 2, 6) as balanced_accuracy
+from (select grp, count(*) as n, round(cast(count(*) filter ((score >= 25) = (label = 1)) as double) / count(*), 6) as accuracy, cast(count(*) filter (score >= 25 and label = 1) as double) / count(*) filter (label = 1) as sensitivity, cast(count(*) filter (score < 25 and label = 0) as double) / count(*) filter (label = 0) as specificity
+  from sl group by grp)""",
     "sl",
 )
 def a11(spark, sf_dir):
@@ -266,25 +313,34 @@ def a11(spark, sf_dir):
     return out.select("grp", "n", r("accuracy").alias("accuracy"), "sensitivity", "specificity", r("balanced_accuracy").alias("balanced_accuracy"))
 
 
-@query("A12_spearman", "select grp, round(corr(rx, ry), 6) as spearman from (select grp, rank() over (partition by grp order by score) + (count(*) over (partition by grp, score) - 1) / cast(2 as double) as rx, rank() over (partition by grp order by value) + (count(*) over (partition by grp, value) - 1) / cast(2 as double) as ry from sl) group by grp", "sl")
+@query("A12_spearman", """
+select grp, round(corr(rx, ry), 6) as spearman from (select grp, rank() over (partition by grp order by score) + (count(*) over (partition by grp, score) - 1) / cast(2 as double) as rx, rank() over (partition by grp order by value) + (count(*) over (partition by grp, value) - 1) / cast(2 as double) as ry
+  from sl) group by grp""", "sl")
 def a12(spark, sf_dir):
     return metrics.spearman(scored(spark, sf_dir), "score", "value", ["grp"]).select("grp", r("spearman").alias("spearman"))
 
 
-@query("A13_quantiles", "select grp, round(quantile_cont(value, 0.025), 6) as lo, round(quantile_cont(value, 0.5), 6) as mid, round(quantile_cont(value, 0.975), 6) as hi from sl group by grp", "sl")
+@query("A13_quantiles", """
+select grp, round(quantile_cont(value, 0.025), 6) as lo, round(quantile_cont(value, 0.5), 6) as mid, round(quantile_cont(value, 0.975), 6) as hi
+from sl group by grp""", "sl")
 def a13(spark, sf_dir):
     found = quantiles(scored(spark, sf_dir), ["grp"], "value", {"lo": 0.025, "mid": 0.5, "hi": 0.975})
     return found.select("grp", *(r(n).alias(n) for n in ("lo", "mid", "hi")))
 
 
-@query("A18_describe", "select split, round(avg(n), 6) as mean, round(median(n), 6) as median, round(stddev_pop(n), 6) as std from (select split, sqrt(list_sum(list_transform(x, lambda q: q * q))) as n from e) group by split", "e")
+@query("A18_describe", """
+select split, round(avg(n), 6) as mean, round(median(n), 6) as median, round(stddev_pop(n), 6) as std
+from (select split, sqrt(list_sum(list_transform(x, lambda q: q * q))) as n
+  from e) group by split""", "e")
 def a18(spark, sf_dir):
     rows = e_rows(spark, sf_dir).select("split", vectors.norm(F.col("x")).alias("n"))
     means = rows.groupBy("split").agg(r(F.avg("n")).alias("mean"), r(F.stddev_pop("n")).alias("std"))
     return ranking.met(means, quantiles(rows, ["split"], "n", {"q": 0.5}).select("split", r("q").alias("median")), ["split"])
 
 
-@query("A30_adjustment", "select grp, round(stddev_pop(score - value), 6) as std, round(avg(abs(score - value)), 6) as mean_abs, round(quantile_cont(abs(score - value), 0.95), 6) as p95, max(abs(score - value)) as max_abs, count(distinct round(score - value, 8)) = 1 as constant from sl group by grp", "sl")
+@query("A30_adjustment", """
+select grp, round(stddev_pop(score - value), 6) as std, round(avg(abs(score - value)), 6) as mean_abs, round(quantile_cont(abs(score - value), 0.95), 6) as p95, max(abs(score - value)) as max_abs, count(distinct round(score - value, 8)) = 1 as constant
+from sl group by grp""", "sl")
 def a30(spark, sf_dir):
     rows = scored(spark, sf_dir).select("grp", (F.col("score") - F.col("value")).alias("d")).withColumn("a", F.abs("d"))
     same = F.min(F.round("d", 8)) == F.max(F.round("d", 8))
@@ -292,7 +348,10 @@ def a30(spark, sf_dir):
     return ranking.met(whole, quantiles(rows, ["grp"], "a", {"q": 0.95}).select("grp", r("q").alias("p95")), ["grp"])
 
 
-@query("A31_score_summary", "select count(*) as n, count(value) as finite, min(value) as lo, max(value) as hi, round(avg(value), 6) as mean, median(value) as p50 from (select try_cast(case when l_linenumber % 5 = 0 then 'n/a' else cast(l_quantity as varchar) end as double) as value from lineitem)")
+@query("A31_score_summary", """
+select count(*) as n, count(value) as finite, min(value) as lo, max(value) as hi, round(avg(value), 6) as mean, median(value) as p50
+from (select try_cast(case when l_linenumber % 5 = 0 then 'n/a' else cast(l_quantity as varchar) end as double) as value
+  from lineitem)""")
 def a31(spark, sf_dir):
     value = F.when(F.col("l_linenumber") % 5 == 0, "n/a").otherwise(F.col("l_quantity").cast("string")).try_cast("double")
     rows = table(spark, sf_dir, "lineitem").select(value.alias("value"))
@@ -300,7 +359,9 @@ def a31(spark, sf_dir):
     return whole.join(F.broadcast(quantiles(rows, [], "value", {"p50": 0.5})))
 
 
-@query("A35_histogram", "select event_type, count(*) filter (value <= 10) as le_10, count(*) filter (value <= 50) as le_50, count(*) filter (value <= 100) as le_100, count(*) as le_inf, round(sum(value), 4) as total from events group by event_type")
+@query("A35_histogram", """
+select event_type, count(*) filter (value <= 10) as le_10, count(*) filter (value <= 50) as le_50, count(*) filter (value <= 100) as le_100, count(*) as le_inf, round(sum(value), 4) as total
+from events group by event_type""")
 def a35(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(*(F.count_if(F.col("value") <= b).alias(f"le_{b}") for b in (10, 50, 100)), F.count("*").alias("le_inf"), r(F.sum("value"), 4).alias("total"))
 
@@ -333,13 +394,17 @@ def g14(spark, sf_dir):
     return e_rows(spark, sf_dir).select("id", r(vectors.region_l2(F.col("x"), F.col("y"), [0, 5, 63])).alias("region_l2"))
 
 
-@query("G16_edit_geometry", f"select id, round({_NORM.format('x')}, 6) as norm_s_ref, round({_NORM.format('y')}, 6) as norm_s_alt, round({_L2}, 6) as l2_delta, round({_L2} / {_NORM.format('x')}, 6) as rel_delta from e", "e")
+@query("G16_edit_geometry", f"""
+select id, round({_NORM.format('x')}, 6) as norm_s_ref, round({_NORM.format('y')}, 6) as norm_s_alt, round({_L2}, 6) as l2_delta, round({_L2} / {_NORM.format('x')}, 6) as rel_delta
+from e""", "e")
 def g16(spark, sf_dir):
     made = e_rows(spark, sf_dir).select("id", *vectors.edit_geometry(F.col("x"), F.col("y")))
     return made.select("id", *(r(c).alias(c) for c in ("norm_s_ref", "norm_s_alt", "l2_delta", "rel_delta")))
 
 
-@query("A16_rollout_summary", f"select split, count(*) as n, round(avg({_L2}), 6) as mean_l2, round(avg({_DOT} / ({_NORM.format('x')} * {_NORM.format('y')})), 6) as mean_cosine from e group by split", "e")
+@query("A16_rollout_summary", f"""
+select split, count(*) as n, round(avg({_L2}), 6) as mean_l2, round(avg({_DOT} / ({_NORM.format('x')} * {_NORM.format('y')})), 6) as mean_cosine
+from e group by split""", "e")
 def a16(spark, sf_dir):
     x, y = F.col("x"), F.col("y")
     return e_rows(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"), r(F.avg(vectors.l2(x, y))).alias("mean_l2"), r(F.avg(vectors.cosine(x, y))).alias("mean_cosine"))
@@ -356,13 +421,19 @@ def t3(spark, sf_dir):
     return e_rows(spark, sf_dir).select("id", r(vectors.l2(F.col("x"), F.col("y"))).alias("objective")).orderBy("objective", "id").limit(16)
 
 
-@query("A20_mean_difference", "select i, round(avg(v) filter (split % 2 = 1) - avg(v) filter (split % 2 = 0), 6) as direction from (select split, unnest(x) as v, unnest(range(64)) as i from e) group by i", "e")
+@query("A20_mean_difference", """
+select i, round(avg(v) filter (split % 2 = 1) - avg(v) filter (split % 2 = 0), 6) as direction
+from (select split, unnest(x) as v, unnest(range(64)) as i from e)
+group by i""", "e")
 def a20(spark, sf_dir):
     many = e_rows(spark, sf_dir).select("split", F.posexplode("x").alias("i", "v"))
     return many.groupBy(F.col("i").cast("long").alias("i")).agg(r(F.avg(F.when(F.col("split") % 2 == 1, F.col("v"))) - F.avg(F.when(F.col("split") % 2 == 0, F.col("v")))).alias("direction"))
 
 
-@query("A17_collapse_variance", "select split, round(avg(vp), 6) as mean_variance from (select split, i, var_pop(v) as vp from (select split, unnest(x) as v, unnest(range(64)) as i from e) group by split, i) group by split", "e")
+@query("A17_collapse_variance", """
+select split, round(avg(vp), 6) as mean_variance from (select split, i, var_pop(v) as vp
+  from (select split, unnest(x) as v, unnest(range(64)) as i from e)
+  group by split, i) group by split""", "e")
 def a17(spark, sf_dir):
     many = e_rows(spark, sf_dir).select("split", F.posexplode("x").alias("i", "v"))
     return many.groupBy("split", "i").agg(F.var_pop("v").alias("vp")).groupBy("split").agg(r(F.avg("vp")).alias("mean_variance"))
@@ -380,7 +451,9 @@ def f13(spark, sf_dir):
 _GC = "(length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / cast(nullif(length(replace(seq, 'N', '')), 0) as double)"
 
 
-@query("G6_G7_gc", f"select id, round({_GC}, 6) as gc, case when {_GC} <= 1 / cast(3 as double) then 'low' when {_GC} >= 2 / cast(3 as double) then 'high' when {_GC} is not null then 'mid' end as gc_bin from dseq", "dseq")
+@query("G6_G7_gc", f"""
+select id, round({_GC}, 6) as gc, case when {_GC} <= 1 / cast(3 as double) then 'low' when {_GC} >= 2 / cast(3 as double) then 'high' when {_GC} is not null then 'mid' end as gc_bin
+from dseq""", "dseq")
 def g6(spark, sf_dir):
     s = sequences(spark, sf_dir).withColumn("gc", dna.gc_fraction(F.col("seq")))
     return s.select("id", r("gc").alias("gc"), dna.gc_bin(F.col("gc")).alias("gc_bin"))
@@ -391,7 +464,9 @@ def h3(spark, sf_dir):
     return sequences(spark, sf_dir).select("id", dna.window_sha256(F.lower("seq")).alias("content_hash"))
 
 
-@query("G3_extract_window", "select id, rpad(substr(seq, cast(greatest(0, least(pos - 32, length(seq) - 64)) as int) + 1, 64), 64, 'A') as sequence from (select *, (id * 37) % (length(seq) + 1) as pos from dseq)", "dseq")
+@query("G3_extract_window", """
+select id, rpad(substr(seq, cast(greatest(0, least(pos - 32, length(seq) - 64)) as int) + 1, 64), 64, 'A') as sequence
+from (select *, (id * 37) % (length(seq) + 1) as pos from dseq)""", "dseq")
 def g3(spark, sf_dir):
     s = sequences(spark, sf_dir).withColumn("at", ((F.col("id") * 37) % (F.length("seq") + 1)).cast("int"))
     return s.select("id", dna.extract_window(F.col("seq"), F.col("at"), 64).alias("sequence"))
@@ -413,7 +488,9 @@ def sm1(spark, sf_dir):
     return sampling.fraction(scored(spark, sf_dir), "id", 0.25, "7").select("id")
 
 
-@query("SM2_categorical", f"select source, count(*) as n from (select case when {_DRAW} < 0.5 then 'gnomad' when {_DRAW} < 0.75 then 'clinvar' when {_DRAW} < 0.85 then 'snv' else 'indel' end as source from sl) group by 1", "sl")
+@query("SM2_categorical", f"""
+select source, count(*) as n from (select case when {_DRAW} < 0.5 then 'gnomad' when {_DRAW} < 0.75 then 'clinvar' when {_DRAW} < 0.85 then 'snv' else 'indel' end as source
+  from sl) group by 1""", "sl")
 def sm2(spark, sf_dir):
     mix = {"gnomad": 0.5, "clinvar": 0.25, "snv": 0.1, "indel": 0.15}
     return sampling.categorical(scored(spark, sf_dir), "id", mix, "7", "source").groupBy("source").agg(F.count("*").alias("n"))
@@ -429,7 +506,9 @@ def sm7(spark, sf_dir):
     return sampling.first_k_per(w_rows(spark, sf_dir), ["chrom"], "id", 5, "7").select("id")
 
 
-@query("T4_balanced", "select id from (select id, label, row_number() over (partition by label order by sha256('7:' || cast(id as varchar)), id) as r from sl) where r <= 20", "sl")
+@query("T4_balanced", """
+select id from (select id, label, row_number() over (partition by label order by sha256('7:' || cast(id as varchar)), id) as r
+  from sl) where r <= 20""", "sl")
 def t4(spark, sf_dir):
     return sampling.balanced(scored(spark, sf_dir), "label", "id", 40, "7").select("id")
 
@@ -439,12 +518,16 @@ def sm8(spark, sf_dir):
     return metrics.folds(scored(spark, sf_dir), 5, "7").select("id", F.col("fold").cast("long").alias("fold"))
 
 
-@query("H1_canonical_digest", "select source_row_id, sha256('{\"alt\":\"' || alt || '\",\"chrom\":\"' || chrom || '\",\"pos\":' || cast(pos as varchar) || ',\"ref\":\"' || ref || '\"}') as digest from v", "v")
+@query("H1_canonical_digest", """
+select source_row_id, sha256('{\"alt\":\"' || alt || '\",\"chrom\":\"' || chrom || '\",\"pos\":' || cast(pos as varchar) || ',\"ref\":\"' || ref || '\"}') as digest
+from v""", "v")
 def h1(spark, sf_dir):
     c = F.col
     return v_rows(spark, sf_dir).select("source_row_id", F.sha2(digests.canonical_json(ref=c("ref"), alt=c("alt"), pos=c("pos"), chrom=c("chrom")), 256).alias("digest"))
 
 
-@query("H4_key_list_digest", "select chrom, sha256('[\"' || string_agg(variant_key, '\",\"' order by variant_key) || '\"]') as digest from vk where role <> 'train' group by chrom", "vk")
+@query("H4_key_list_digest", """
+select chrom, sha256('[\"' || string_agg(variant_key, '\",\"' order by variant_key) || '\"]') as digest
+from vk where role <> 'train' group by chrom""", "vk")
 def h4(spark, sf_dir):
     return keyed_variants(spark, sf_dir).where("role <> 'train'").groupBy("chrom").agg(digests.key_list_sha256(F.col("variant_key")).alias("digest"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.dna import chrom_rank, closed_chrom, importer_chrom, vcf_chrom
-from helixmill.scratch import stored
+from helixmill.scratch import few, stored
 
 #: Genotypes that mean no call.
 NO_CALLS = ("", "--", "00", "NC", "II", "DD", "I", "D", "DI", "-", "NA")
@@ -139,7 +139,7 @@ def resolve_contigs(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     names = rows.select("chrom").distinct()
     tried = names.select("chrom", F.posexplode(contig_candidates(F.col("chrom"))).alias("at", "contig"))
     found = tried.join(contigs.select("contig").distinct(), "contig").groupBy("chrom").agg(F.min_by("contig", "at").alias("contig"))
-    return rows.join(F.broadcast(found), "chrom", "left")  # one row a chromosome
+    return rows.join(few(found, "spellings"), "chrom", "left")  # one row a chromosome
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, *, closed: bool = False) -> DataFrame:
