@@ -78,6 +78,7 @@ def release() -> None:
     for cache in worker_caches:
         cache.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what they have
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
