@@ -6,13 +6,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from helixmill.functions import dna, vectors
-from helixmill.functions.digests import canonical_json, priority
+from helixmill.functions.digests import canonical_json, draw, pick, priority
 from helixmill.operators import corpus, interval_index, metrics, ranking, sampling, synthetic, tiles
 from helixmill.operators import variants as ingest
 from helixmill.operators.quantiles import quantiles
 from helixmill.operators.rowsets import rowset_digest
 from helixmill.plans import research, scoring
-from helixmill.plans.proxies import CLEAN_SQL, corpus_records, draw_sql, keyed_variants, on_reference, read, reference, scored, sequences, variants, windows
+from helixmill.plans.proxies import CLEAN_SQL, corpus_records, draw_sql, keyed_variants, on_reference, read, reference, scored, sequences, variants, windows, with_views
 from helixmill.plans.proxies import vectors as pairs
 from helixmill.registry import query, r
 from helixmill.scratch import folder, stored
@@ -110,6 +110,56 @@ def x5(spark, sf_dir):
     return types.select(F.lit("type").alias("part"), "name", r("weight").alias("weight")).unionByName(bins.select(F.lit("bin").alias("part"), "name", r("weight").alias("weight")))
 
 
+KINDS, BINS, ELITES, PLAN_ROUNDS = ("snv", "indel", "mnv"), 8, 40, 3
+_POOL_OF_EDITS = f"""
+select kind, a.id, k, cast(rel_pos * {BINS} // length(seq) as int) as bin, abs(rel_pos - 300) + abs(length(alt) - length(ref)) as objective from (
+  select 'snv' as kind, id, k, rel_pos, ref, alt from ({_SNV}) union all select 'indel', id, k, rel_pos, ref, alt from ({_INDEL}) union all select 'mnv', id, k, rel_pos, ref, alt from ({_MNV})
+) a join dseq d on d.id = a.id"""
+
+
+def _plan_sql() -> str:
+    """Each round: the weights pick a kind and accept a bin for every (id, k), the best candidates are its elites, and their shares refit the weights."""
+    unit = lambda what, t: f"({draw_sql(f"'{t}:{what}:' || id || ':' || k", 1 << 52)} / {2.0**52!r})"
+    tables = ["pool as (" + _POOL_OF_EDITS + ")", "w0 as (select 0.5::double as snv, 0.3::double as indel, 0.2::double as mnv)", f"b0 as (select range::int as bin, 0.125::double as w from range({BINS}))"]
+    for t in range(PLAN_ROUNDS):
+        share = lambda k, t=t: f"0.5::double * {k} + 0.5::double * (select count(*) from e{t} where kind = '{k}') / {ELITES} as {k}"
+        tables += [
+            f"""
+e{t} as (
+  select kind, id, k, pool.bin, objective from pool, w{t} join b{t} on b{t}.bin = pool.bin
+  where kind = case when {unit("kind", t)} < snv / (snv + indel + mnv) then 'snv' when {unit("kind", t)} < snv / (snv + indel + mnv) + indel / (snv + indel + mnv) then 'indel' else 'mnv' end
+    and {unit("bin", t)} < b{t}.w / (select max(w) from b{t}) order by objective, id, k limit {ELITES}
+)""",
+            f"w{t + 1} as (select {', '.join(map(share, KINDS))} from w{t})",
+            f"b{t + 1} as (select bin, 0.5::double * w + 0.5::double * (select count(*) from e{t} where e{t}.bin = b{t}.bin) / {ELITES} as w from b{t})",
+        ]
+    last = PLAN_ROUNDS
+    rows = " union all ".join(f"select 'type' as part, '{k}' as name, round({k}, 6) as weight from w{last}" for k in KINDS)
+    return with_views("dseq").rstrip() + ", " + ",".join(tables) + f" {rows} union all select 'bin', cast(bin as varchar), round(w, 6) from b{last}"
+
+
+@query("X4_plan_rounds", _plan_sql())
+def x4(spark, sf_dir):
+    """Three rounds of the planner over all edits of all sequences; the driver holds a weight per kind and bin."""
+    seqs = sequences(spark, sf_dir).select("id", "seq")
+    pool = None
+    for kind, make in (("snv", synthetic.snvs), ("indel", synthetic.indels), ("mnv", synthetic.mnvs)):
+        one = make(seqs, 2, "7").select(F.lit(kind).alias("kind"), "id", "k", F.expr(f"cast(rel_pos * {BINS} div length(seq) as int)").alias("bin"), (F.abs(F.col("rel_pos") - 300) + F.abs(F.length("alt") - F.length("ref"))).alias("objective"))
+        pool = one if pool is None else pool.unionByName(one)
+    pool = stored(pool, "pool")
+    kinds, bins = {"snv": 0.5, "indel": 0.3, "mnv": 0.2}, {str(b): 1 / BINS for b in range(BINS)}
+    for t in range(PLAN_ROUNDS):
+        unit = lambda what, t=t: draw("7", F.concat_ws(":", F.lit(t), F.lit(what), "id", "k"), 1 << 52) / F.lit(2.0**52)
+        top = max(bins.values())
+        accept = F.create_map(*(x for b, w in bins.items() for x in (F.lit(int(b)), F.lit(w / top))))
+        elites = pool.where((F.col("kind") == pick(unit("kind"), kinds)) & (unit("bin") < accept[F.col("bin")])).orderBy("objective", "id", "k").limit(ELITES)
+        elites = stored(elites.withColumn("bin", F.col("bin").cast("string")), "elites")
+        counts = {c: dict(elites.groupBy(c).count().collect()) for c in ("kind", "bin")}  # a row a kind or bin
+        kinds, bins = ({n: 0.5 * w + 0.5 * counts[c].get(n, 0) / ELITES for n, w in old.items()} for c, old in (("kind", kinds), ("bin", bins)))
+    rows = [("type", k, round(w, 6)) for k, w in kinds.items()] + [("bin", b, round(w, 6)) for b, w in bins.items()]
+    return spark.createDataFrame(rows, "part string, name string, weight double")
+
+
 _DISTRACT = _SNV.replace("range(2) t(k)", "range(6) t(k)")
 
 
