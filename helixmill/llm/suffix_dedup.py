@@ -14,7 +14,7 @@ repeated; a bucket of one has no repeats; only in buckets with different fulls d
 ties of more than 73, 169, 193 and 200 bytes. Equality of two strings is that of two independent 64-bit hashes.
 
 Scale: a bucket is a key of a sort, so Spark spills it and never holds it in memory; copies of a passage are combined in each task's batches before they are
-shuffled, and go on to the next level as one suffix. One row in 65 bytes is
+shuffled, and go on to the next level as one suffix. A core with many surroundings (a license line in very many files) is found in a sample of the texts, and its bucket is split by full. One row in 65 bytes is
 shuffled at the first level. Texts move once, packed, to meet their spans; they move to the inner levels only if the ids that need them
 outgrow the broadcast bound.
 
@@ -39,6 +39,8 @@ LENGTH = 200
 SPANS = (128, 32, 8, 1)
 CORE = LENGTH - SPANS[0] + 1
 SLICE = 1 << 19
+#: One in so many texts is looked at for cores that stand in many places, and in how many spans of those a core must be seen.
+HOT_ONE_IN, HOT_LEAST = 64, 32
 BROADCAST_ROWS = 500_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -155,12 +157,30 @@ def _inner(span: int, outer: int):
     return run
 
 
-def _settle(rows: DataFrame) -> DataFrame:
-    """Sort each bucket by full: key, place, again (all starts of the span are repeated), probe (it goes to the next level)."""
-    bucket = Window.partitionBy("core")
-    line = bucket.orderBy("full")
+def hot_cores(texts: DataFrame, *, one_in: int = HOT_ONE_IN, least: int = HOT_LEAST, most: int = BROADCAST_ROWS) -> DataFrame | None:
+    """Cores that stand before many different surroundings, such as a license line's, seen in one of `one_in` texts: core, hot. At most `most` of them: the bound rises until they are few enough. None without any."""
+    some = arrow(texts.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(one_in)) == 0).select("key", "text"), _samples, ROW)
+    seen = durable(some.groupBy("core").agg(F.count("*").alias("n"), F.min("full").alias("lo"), F.max("full").alias("hi")).where((F.col("n") >= least) & (F.col("lo") != F.col("hi"))).select("core", "n"), "hot")
+    while (n := seen.where(F.col("n") >= least).count()) > most:
+        least *= 2
+    return seen.where(F.col("n") >= least).select("core", F.lit(True).alias("hot")) if n else None
+
+
+def _settle(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Sort each bucket by full: key, place, again (all starts of the span are repeated), probe (it goes to the next level).
+
+    A hot core's bucket is dealt by full as well: equal fulls still meet, and that its fulls differ is known. Which cores count as hot makes no difference to the result."""
+    if hot is None:
+        dealt = rows.withColumns({"hot": F.lit(False), "bucket": F.col("core")})
+    else:
+        known = F.coalesce("hot", F.lit(False))
+        dealt = rows.join(F.broadcast(hot), "core", "left").withColumn("hot", known).withColumn("bucket", F.when(F.col("hot"), F.xxhash64("core", "full")).otherwise(F.col("core")))
+    bucket = Window.partitionBy("bucket")
+    line = bucket.orderBy("core", "full")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = rows.select("*", F.lag("full").over(line).alias("before"), F.lead("full").over(line).alias("after"), (F.min("full").over(whole) != F.max("full").over(whole)).alias("mixed"))
+    same = lambda step: F.when(step("core").over(line) == F.col("core"), step("full").over(line))
+    mixed = F.col("hot") | (F.min("full").over(whole) != F.max("full").over(whole))
+    seen = dealt.select("*", same(F.lag).alias("before"), same(F.lead).alias("after"), mixed.alias("mixed"))
     first = F.col("before").isNull() | (F.col("before") != F.col("full"))
     again = F.col("met") | F.coalesce(F.col("before") == F.col("full"), F.lit(False)) | F.coalesce(F.col("after") == F.col("full"), F.lit(False))
     marked = seen.select("key", "place", again.alias("again"), (F.col("mixed") & first).alias("probe"))
@@ -210,10 +230,10 @@ def _keyed(docs: DataFrame, key_bits: int) -> DataFrame:
     return texts.select("key", "doc_id", "text")
 
 
-def remove_repeats(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, key_bits: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, key_bits: int = 64, hot_one_in: int = HOT_ONE_IN, hot_least: int = HOT_LEAST) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     texts = _keyed(docs, key_bits)
-    levels = [durable(_settle(arrow(texts.select("key", "text"), _samples, ROW)), "level")]
+    levels = [durable(_settle(arrow(texts.select("key", "text"), _samples, ROW), hot_cores(texts, one_in=hot_one_in, least=hot_least)), "level")]
     for outer, span in zip(SPANS, SPANS[1:], strict=False):
         probes = levels[-1].where("probe").groupBy("key").agg(F.collect_list("place").alias("places"))
         ids = durable(probes.select("key"), "ids")

@@ -210,3 +210,41 @@ def test_components_of_a_long_chain(spark):
         assert {(r.doc_id, r.component_id) for r in components(links).collect()} == {(i, 0) for i in range(1, n + 1)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_suffixes_of_a_hot_core(spark):
+    """A line of 73 to 199 bytes in most texts, between other words: its buckets are split, and the result is that without a split, which is brute force."""
+    import random
+
+    from helixmill.llm.suffix_dedup import _keyed, _samples, _settle, hot_cores
+    from helixmill.llm import suffix_dedup
+    from helixmill.llm._base import arrow
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, long = noise(150), noise(260)
+    texts = [noise(r.randint(60, 120)) + line + noise(r.randint(60, 120)) for _ in range(300)] + [noise(50) + long + noise(50) for _ in range(12)] + [texts_ for texts_ in [noise(400)] * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    keyed = _keyed(docs, 64)
+    hot = hot_cores(keyed, one_in=1, least=50)
+    assert hot is not None and hot_cores(keyed, one_in=1, least=10_000) is None and hot_cores(keyed, one_in=1, least=50, most=1).count() <= 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        rows = arrow(keyed.select("key", "text"), _samples, suffix_dedup.ROW)
+        mark = lambda frame: sorted((x.key, x.place, x.again, x.probe) for x in frame.collect())
+        assert mark(_settle(rows, hot)) == mark(_settle(rows))
+        largest = lambda by: rows.join(F.broadcast(hot), "core", "left").groupBy(*by).count().agg(F.max("count")).first()[0]
+        assert largest(["core"]) > 100 and largest(["core", "full"]) < 30
+        got = [sorted((x.doc_id, x.n_removed, x.n_spans, bytes(x.kept)) for x in remove_repeats(docs, **options).collect()) for options in ({}, {"hot_one_in": 1, "hot_least": 20})]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    starts = collections.Counter(t[i : i + LENGTH] for t in texts for i in range(len(t) - LENGTH + 1))
+    want = []
+    for d, t in enumerate(texts):
+        gone = [False] * len(t)
+        for i in range(len(t) - LENGTH + 1):
+            if starts[t[i : i + LENGTH]] > 1:
+                gone[i : i + LENGTH] = [True] * LENGTH
+        want.append((d, sum(gone), sum(g and not b for g, b in zip(gone, [False, *gone])), "".join(c for c, g in zip(t, gone) if not g).encode()))
+    assert got[0] == got[1] == want and sum(w[1] > 0 for w in want) >= 15
