@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from helixmill.llm._base import arrow, durable, flat, slices, worker_caches
 
 DOCS_PER_LANG = 1500
+#: Rows that are predicted and handed back at a time.
+PIECE = 500
 #: The sample's ids are broadcast up to this many.
 BROADCAST_ROWS = 500_000
 ORDER = 3
@@ -231,7 +233,8 @@ def identify(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, keep: tuple
             _trees.clear()
             _trees[version] = Trees(shared.value)
         trees = _trees.get(version)
-        for batch in batches:
+        # small pieces: the kept texts go back as they came, and neither side should hold a whole batch twice
+        for batch in (whole.slice(i, PIECE) for whole in batches for i in range(0, whole.num_rows, PIECE)):
             data, at = flat(batch.column(text_at))
             n = len(at) - 1
             langs, score = np.full(n, "und", object), np.zeros(n)
