@@ -109,5 +109,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
         drop(spark, before)
-        before = [tables[-1]]
+        before = [tables()[-1]]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -45,12 +46,18 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    tables.append(path)
+    tables().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Paths of the tables durable() has written and nothing has deleted.
-tables: list[str] = []
+_here = threading.local()
+
+
+def tables() -> list[str]:
+    """Paths of the tables that durable() has written in this thread and nothing has deleted."""
+    if not hasattr(_here, "tables"):
+        _here.tables = []
+    return _here.tables
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
@@ -58,14 +65,14 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        tables.remove(path)
+        tables().remove(path)
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """What make() returns as a durable table; the tables it wrote on its way are deleted, as only the result is read from here on."""
-    before = len(tables)
+    before = len(tables())
     out = durable(make(), name)
-    drop(out.sparkSession, tables[before:-1])
+    drop(out.sparkSession, tables()[before:-1])
     return out
 
 

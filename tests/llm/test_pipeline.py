@@ -141,6 +141,6 @@ def test_pipeline_is_brute_force(spark, tmp_path):
         want.append((x[0], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(x[1].encode()).hexdigest()))
     assert sorted(coded) == sorted(want)
 
-    before = len(tables)
+    before = len(tables())
     assert sorted(tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(want)
-    assert len(tables) <= before + 1  # of all tables the run wrote, the last stage's input is left
+    assert len(tables()) <= before + 1  # of all tables the run wrote, the last stage's input is left
