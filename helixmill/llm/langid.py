@@ -38,7 +38,7 @@ PIECE = 500
 BROADCAST_ROWS = 500_000
 ORDER = 3
 #: Tables of more cells are kept sparsely.
-MAX_CELLS = 40_000_000
+MAX_CELLS = 4_000_000
 #: Score: the winner's share of 2 ** -bits, with at most this many bytes' worth of evidence.
 EVIDENCE_BYTES = 100
 SLICE = 1 << 20
