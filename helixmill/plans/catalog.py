@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixmill.functions import dna
-from helixmill.operators import calibration, intervals, metrics
+from helixmill.operators import calibration, intervals, metrics, ranking
 from helixmill.plans import forest, research
 from helixmill.plans.proxies import keyed_variants, read, scored, sequences, variants, vectors as pairs, windows, with_views
 from helixmill.registry import query, r
@@ -184,14 +184,25 @@ def g2(spark, sf_dir):
     return s.select("id", dna.apply_edits(F.col("seq"), edits).alias("edited"))
 
 
-@query("G20_schedule", """
-select step, round(case when step < 10 then (step + 1) / cast(10 as double) when step < 80 then 1 else (100 - step) / cast(20 as double) end, 6) as rate
-from range(100) t(step)""")
+#: Fixed values of the schedule: steps of warm-up, the step decay begins at, all steps.
+WARM_UP, DECAY, STEPS = 10, 80, 100
+
+
+@query(
+    "G20_schedule",
+    f"""
+select id, step, round(case when step < {WARM_UP} then (step + 1) / cast({WARM_UP} as double) when step < {DECAY} then 1 else ({STEPS} - step) / cast({STEPS - DECAY} as double) end, 6) as rate
+from (select id, (row_number() over (partition by chrom order by start_bp, id) - 1) * {STEPS} // count(*) over (partition by chrom) as step from w)""",
+    "w",
+)
 def g20(spark, sf_dir):
-    """Warm-up, stable, decay."""
+    """The rate that each training window is seen at, when a chromosome's windows are gone through in order within a run's steps: warm-up, stable, decay."""
+    w = ranking.running(windows(spark, sf_dir).select("id", "chrom", "start_bp"), ["chrom"], ["start_bp", "id"], at=F.lit(1))
+    counts = w.groupBy("chrom").agg(F.max("at").alias("n"))
+    placed = ranking.met(w, counts, ["chrom"]).withColumn("step", F.expr(f"(at - 1) * {STEPS} div n"))
     step = F.col("step")
-    rate = F.when(step < 10, (step + 1) / F.lit(10.0)).when(step < 80, F.lit(1.0)).otherwise((100 - step) / F.lit(20.0))
-    return spark.range(100).withColumnRenamed("id", "step").select("step", r(rate).alias("rate"))
+    rate = F.when(step < WARM_UP, (step + 1) / F.lit(float(WARM_UP))).when(step < DECAY, F.lit(1.0)).otherwise((STEPS - step) / F.lit(float(STEPS - DECAY)))
+    return placed.select("id", "step", r(rate).alias("rate"))
 
 
 @query("G26_substitution_class", """
