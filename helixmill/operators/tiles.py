@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixmill.scratch import few
 
-TILE = 16_384
+TILE = 4096
 
 
 def of_sequences(contigs: DataFrame, *, tile: int = TILE) -> DataFrame:

@@ -370,7 +370,7 @@ def evaluation_set(rows, contigs, path: str, *, cap: int, seed: str) -> None:
     keyed = agreed.select("variant_key", "source_row_id", F.col("cls").isin("P", "LP").alias("positive"), parts[0].alias("chrom"), parts[1].cast("long").alias("pos"), parts[2].alias("ref"), parts[3].alias("alt"))
     known = text.resolve_contigs(keyed, tiles.lengths(contigs))
     good = tiles.against_reference(known, tiles.with_halo(contigs, dna.MAX_ALLELE), longest=dna.MAX_ALLELE).where("reads = 'match'")
-    chosen = sampling.stratified_cap(good, "positive", "variant_key", cap, seed)
+    chosen = sampling.stratified_cap(stored(good, "scoreable"), "positive", "variant_key", cap, seed)
     labelled = chosen.select("chrom", "pos", "ref", "alt", "source_row_id", F.when(F.col("positive"), "positive").otherwise("negative").alias("label"), F.lit("evaluation").alias("role"))
     shards.write_role(stored(labelled, "evaluation"), "evaluation", path)
 

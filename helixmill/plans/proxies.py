@@ -108,10 +108,11 @@ def corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence as a contig named by its id, in tiles."""
+    """Every sequence as a contig named by its id, in tiles, stored as a genome is."""
     from helixmill.operators.tiles import of_sequences
+    from helixmill.scratch import stored
 
-    return of_sequences(sequences(spark, sf_dir).select(F.col("id").cast("string").alias("contig"), F.col("seq").alias("sequence")))
+    return stored(of_sequences(sequences(spark, sf_dir).select(F.col("id").cast("string").alias("contig"), F.col("seq").alias("sequence"))), "reference")
 
 
 def on_reference(spark: SparkSession, sf_dir: str, contigs: DataFrame) -> DataFrame:

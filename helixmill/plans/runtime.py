@@ -12,7 +12,7 @@ from helixmill.functions import dna, vectors
 from helixmill.operators import calibration, tiles
 from helixmill.plans.proxies import reference, sequences
 from helixmill.registry import query, r
-from helixmill.scratch import few, folder
+from helixmill.scratch import few, folder, stored
 from helixmill.sources import text
 
 Encoder = Callable[[pd.Series], pd.Series]
@@ -52,7 +52,8 @@ class Runtime:
         met = tiles.fetch(good.withColumn("start", start), halo, F.col("start"), window, "bases", tile=tile)
         name = F.concat_ws(":", "chrom", "pos", "ref", "alt").alias("id")
         cut = met.select(name, F.rpad("bases", window, "A").alias("ref_window"), (F.col("pos") - 1 - F.col("start")).cast("int").alias("at"), "ref", "alt", bucket.alias("bucket_id"))
-        return self.score(cut.withColumn("alt_window", dna.apply_edit(F.col("ref_window"), F.col("at"), F.col("ref"), F.col("alt"))).dropDuplicates(["id"]))
+        edited = cut.withColumn("alt_window", dna.apply_edit(F.col("ref_window"), F.col("at"), F.col("ref"), F.col("alt"))).dropDuplicates(["id"])
+        return self.score(stored(edited, "edited"))  # windows are read for their sequences and for their states
 
 
 @query(
