@@ -1,9 +1,8 @@
 """Quality rules by distribution divergence.
 
 A document's histogram over character classes and its histogram over its language's common words and all other words are compared with the language's reference by
-Jensen-Shannon distance (base 2, so 0 to 1). A language's common words are the `COMMON_WORDS` most frequent words of a sample of its labelled documents (some
-`words_docs` of them, by hash); its references are the summed histograms of all its labelled documents that pass the base rules. A document is compared with its own language, one
-without a language with the nearest. It is rejected if a distance is over its limit; a text of too few characters or words is no evidence (minimum-length guards).
+Jensen-Shannon distance (base 2, so 0 to 1). A language's common words are the `COMMON_WORDS` most frequent words of all its labelled documents; its references are
+the summed histograms of all its labelled documents that pass the base rules. A document is compared with its own language, one without a language with the nearest. It is rejected if a distance is over its limit; a text of too few characters or words is no evidence (minimum-length guards).
 
 The limit of the word distance comes from the reference documents' own distances. These shrink with the root of the number of words, so per octave of that
 number they are scaled to the octave's least length; there the limit is the upper quartile plus FENCE interquartile ranges, which junk among
@@ -13,7 +12,7 @@ fewer, there is no limit.
 Everything is built-in SQL functions. 5-word windows are compared by 64-bit hashes of their words' hashes, within one document only; texts
 whose windows are all distinct (one hash set shows it) skip the sort that finds where windows repeat.
 
-Scale: one pass over the sampled texts finds common words, one pass over all texts makes a narrow table of counts; words and references are one row a language, and reach the rows as a
+Scale: one pass over all labelled texts counts words, which tasks sum before they are shuffled; one pass over all texts makes a narrow table of counts; words and references are one row a language, and reach the rows as a
 one-row table.
 
 Cases: null text has no words and fails the base rules. A table without languages has no references: the base rules alone decide. Rows
@@ -33,8 +32,8 @@ WINDOW = 5
 MIN_WORDS, REPEAT_PERCENT = 10, 20
 SYMBOLS = "[#*$%&|<>]"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
-#: Words of a language's histogram, and the labelled documents a language that they are learned from (expected; all, where there are fewer).
-COMMON_WORDS, WORDS_DOCS = 32, 2000
+#: Words of a language's histogram.
+COMMON_WORDS = 32
 #: Common words of all languages together are part of the plan up to so many; beyond it the same words are found more slowly.
 LITERAL_WORDS = 5_000
 MIN_CHARS, MIN_COMMON_WORDS = 80, 30
@@ -46,13 +45,10 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def common_words(docs: DataFrame, *, words_docs: int = WORDS_DOCS) -> DataFrame:
-    """language, words: the most frequent words, in lower case, of a sample of each language's documents."""
-    labelled = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("language"), "doc_id", "text")
-    sizes = labelled.groupBy("language").agg(F.count("*").alias("n"))
-    place = F.xxhash64(F.lit(31), "doc_id") / F.lit(2.0**64) + 0.5
-    sample = labelled.join(F.broadcast(sizes), "language").where(place * F.col("n") < words_docs)
-    found = sample.select("language", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))
+def common_words(docs: DataFrame) -> DataFrame:
+    """language, words: the most frequent words, in lower case, of all documents of each language."""
+    labelled = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("language"), F.lower("text").alias("text"))
+    found = labelled.select("language", F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''").groupBy("language", "word").agg(F.count("*").alias("n"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))).where(F.col("r") <= COMMON_WORDS)
     return best.groupBy("language").agg(F.array_sort(F.collect_list("word")).alias("words"))
 
@@ -193,9 +189,9 @@ def fences(measured: DataFrame) -> dict[int, float]:
     return out
 
 
-def quality(docs: DataFrame, *, max_class_distance: float = MAX_CLASS_DISTANCE, max_common_distance: float | None = None, words_docs: int = WORDS_DOCS) -> DataFrame:
+def quality(docs: DataFrame, *, max_class_distance: float = MAX_CLASS_DISTANCE, max_common_distance: float | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance, common_distance, kept. max_common_distance: in place of the references' fences."""
-    counts = durable(features(docs, durable(common_words(docs, words_docs=words_docs), "words")), "features")
+    counts = durable(features(docs, durable(common_words(docs), "words")), "features")
     octave = F.length(F.bin("n_words"))
     scaled = F.col("common_distance") * F.sqrt(F.col("n_words") / F.pow(F.lit(2.0), octave - 1))
     measured = durable(distances(counts).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", octave.alias("octave"), scaled.alias("scaled")), "measured")

@@ -137,6 +137,18 @@ def test_quality(spark, docs, no_docs):
     assert all(x.kept != x.base_failed for x in quality(docs.withColumn("lang", docs.lang.substr(9, 1)).replace("", None, ["lang"])).collect())  # no references
 
 
+def test_common_words_are_those_of_all_documents(spark):
+    """More documents of a language than were once sampled, with words of almost the same frequency; and one document of another."""
+    from helixmill.llm.quality import COMMON_WORDS, common_words
+
+    r = random.Random(11)
+    rows = [(i, " \n".join(f"W{r.randrange(64)}" for _ in range(4)) + "\t", "en") for i in range(5000)]
+    rows += [(5000, " q Q\vp", "fr"), (5001, "zz " * 500, None), (5002, None, "en"), (5003, " ", "de")]
+    times = collections.Counter(w.lower() for _, t, lang in rows if lang == "en" and t for w in t.split())
+    want = {"en": sorted(sorted(times, key=lambda w: (-times[w], w))[:COMMON_WORDS]), "fr": ["p", "q"]}
+    assert {x.language: x.words for x in common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == want
+
+
 def test_quality_rejects_symbols(spark):
     from samples import words
 
