@@ -10,6 +10,8 @@ An empty table stays empty. Extra columns are kept, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ def _free(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _met(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = durable(ids, "ids")
+def _met(docs: DataFrame, make: Callable[[], DataFrame], how: str) -> DataFrame:
+    """docs joined with the ids that make() returns; the tables it writes on its way are deleted."""
+    ids = settled(make, "ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     return docs.join(few, "doc_id", how)
 
@@ -57,9 +60,9 @@ def _unique(docs: DataFrame) -> tuple[DataFrame, str]:
     if top >= 1 << 62:
         return durable(marked.withColumn("doc_id", F.monotonically_increasing_id()), "numbered"), own
     known = marked.where("doc_id is not null")
-    odd = marked.where("doc_id is null").unionByName(_met(known, twice, "left_semi"))
+    odd = marked.where("doc_id is null").unionByName(_met(known, lambda: twice, "left_semi"))
     numbered = durable(odd.withColumn("doc_id", F.lit(top + 1) + F.monotonically_increasing_id()), "numbered")
-    return _met(known, twice, "left_anti").unionByName(numbered), own
+    return _met(known, lambda: twice, "left_anti").unionByName(numbered), own
 
 
 def _own(rows: DataFrame, own: str, docs: DataFrame) -> DataFrame:
@@ -75,13 +78,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     rows, own = _unique(docs)
-    return _own(_met(rows, exact_dedup(rows).where("not kept").select("doc_id"), "left_anti"), own, docs)
+    return _own(_met(rows, lambda: exact_dedup(rows).where("not kept").select("doc_id"), "left_anti"), own, docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.8 or more) stays."""
     rows, own = _unique(docs)
-    return _own(_met(rows, near_duplicates(rows, percent=NEAR_PERCENT).where("not kept").select("doc_id"), "left_anti"), own, docs)
+    return _own(_met(rows, lambda: near_duplicates(rows, percent=NEAR_PERCENT).where("not kept").select("doc_id"), "left_anti"), own, docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,7 +92,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, own = _unique(docs)
     times, copy = _free(rows, "times", "copy")
     often = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    drawn = mix(rows).select("doc_id", often.alias(times)).where(F.col(times) > 0)
+    drawn = lambda: mix(rows).select("doc_id", often.alias(times)).where(F.col(times) > 0)
     return _own(_met(rows, drawn, "inner").withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times)))), own, docs)
 
 

@@ -11,12 +11,13 @@ by signature (a pair that reaches the similarity has a chance below 1e-7 to agre
 components, those outside its least member's component are compared with all members, in blocks of chunks, by signature and then exactly, and only
 links that join components leave a block: so no link between members of a bucket that matters is lost, whatever the bucket's size. A bucket whose members all
 link with its least costs nothing more; one whose members mostly don't costs comparisons in the square of those. Its rows go to one block per chunk of
-`chunk_bytes` of signatures and sets, so up to that size each is sent once; beyond it a row is sent as often as there are chunks.
+`chunk_bytes` of signatures and sets, so up to that size each is sent once, whichever side it stands on; beyond it a row is sent as often as there are chunks.
 
 Equality of shingles is that of their 54-bit hashes: two texts of 300 shingles each count a shared one too many with a chance of some 5e-12.
 
-Scale: texts are read twice and never shuffled unless the candidates outgrow the broadcast bound; shuffled are band values (16 bytes each), and shingle sets
-of pairs that pass the signature test. A document of very many pairs, and a bucket of very many members, are met in parts (`part_rows`), so no task meets them whole.
+Scale: texts are read twice and never shuffled unless the candidates outgrow the broadcast bound; shuffled are band values (16 bytes each), signatures of documents
+that share a bucket, and shingle sets of pairs that pass the signature test; all signatures are shuffled only if the copies or the candidates outgrow that bound, or if a doc_id repeats.
+Tables are deleted once nothing reads them. A document of very many pairs, and a bucket of very many members, are met in parts (`part_rows`), so no task meets them whole.
 Nothing is collected; components settle by star contraction of links.
 
 Cases: null or blank text has an empty set and links with nothing; fewer than five words are one shingle. Rows without doc_id link with nothing
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm._base import arrow, durable, mix
+from helixmill.llm._base import arrow, drop, durable, mix, settled, tables
 from helixmill.llm.components import UnionFind, components, pairs_array
 from helixmill.llm.shingles import sets_of
 
@@ -172,7 +173,11 @@ def _blocks(by: Banding, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                     yield from block.links()
                 block = _Block(by, (bucket, l, r), band)
             sign, shingles = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in ((9, "<u2"), (10, "<u8")))
-            block.sides[is_left].append((doc, component, apart, bands[k].copy(), sign, shingles))
+            row = (doc, component, apart, bands[k].copy(), sign, shingles)
+            if is_left:
+                block.sides[True].append(row)
+            if apart and (l == r or not is_left):  # a chunk that meets itself is sent once
+                block.sides[False].append(row)
     if block is not None:
         yield from block.links()
 
@@ -217,21 +222,37 @@ def _fetch(pairs: DataFrame, table: DataFrame, name: str, other: str, many: Data
     return dealt.join(spread, [name, "part"]).drop("part")
 
 
-def _sets(ids: DataFrame, docs: DataFrame, broadcast_rows: int) -> DataFrame:
-    """doc_id, shingles of these documents."""
+def _few(ids: DataFrame, broadcast_rows: int) -> DataFrame:
+    """These doc_ids, marked for broadcast if they are few enough."""
     ids = durable(ids, "ids")
-    few = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(few, "doc_id", "left_semi")
-    return durable(arrow(texts, _blobs, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    return F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+
+
+def _sets(ids: DataFrame, docs: DataFrame, unique: bool) -> DataFrame:
+    """doc_id, shingles of these documents; unique: no doc_id repeats."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    sets = arrow(texts, _blobs, "doc_id long, shingles binary")
+    return durable(sets if unique else sets.dropDuplicates(["doc_id"]), "sets")
 
 
 def _side(table: DataFrame, column: str, name: str) -> DataFrame:
     return table.select(F.col("doc_id").alias(name), F.col(column).alias(f"{column}_{name}"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, by: Banding, broadcast_rows: int, part_rows: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def _likely(pairs: DataFrame, heads: DataFrame, by: Banding, broadcast_rows: int, part_rows: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree often enough; heads are met once, to get the signatures of these pairs' documents."""
+    signs = durable(heads.select("doc_id", "sign").join(_few(_ends(pairs), broadcast_rows), "doc_id", "left_semi"), "seen")
+    met = _fetch(pairs.join(_side(signs, "sign", "b"), "b"), _side(signs, "sign", "a"), "a", "b", _many(pairs, "a", part_rows), broadcast_rows)
+    return arrow(met.select("a", "b", "sign_a", "sign_b"), partial(_alike, by), "a long, b long")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, unique: bool, by: Banding, broadcast_rows: int, part_rows: int) -> DataFrame:
     """The pairs (a, b) that link by their full sets; a is the end that may have very many pairs, so its set comes last and isn't sent with each."""
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, broadcast_rows)
+    sets = _sets(_few(_ends(pairs), broadcast_rows), docs, unique)
     met = _fetch(pairs.join(_side(sets, "shingles", "b"), "b"), _side(sets, "shingles", "a"), "a", "b", _many(pairs, "a", part_rows), broadcast_rows)
     return arrow(met.select("a", "b", "shingles_a", "shingles_b"), partial(_linked, by), "a long, b long")
 
@@ -240,15 +261,15 @@ def _in_buckets(in_bands: DataFrame, broadcast_rows: int, part_rows: int) -> Dat
     """doc_id, band, bucket, least, n of all members of buckets of two or more."""
     buckets = durable(in_bands.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
     if buckets.count() <= broadcast_rows:
-        return durable(in_bands.join(F.broadcast(buckets), "bucket"), "members")
+        return in_bands.join(F.broadcast(buckets), "bucket")
     large = durable(buckets.where(F.col("n") > part_rows), "large")
     if not 0 < large.count() <= broadcast_rows:
-        return durable(in_bands.join(buckets, "bucket"), "members")
+        return in_bands.join(buckets, "bucket")
     small = in_bands.join(F.broadcast(large.select("bucket")), "bucket", "left_anti").join(buckets.where(F.col("n") <= part_rows), "bucket")
-    return durable(small.unionByName(in_bands.join(F.broadcast(large), "bucket")), "members")
+    return small.unionByName(in_bands.join(F.broadcast(large), "bucket"))
 
 
-def _apart(members: DataFrame, found: DataFrame, heads: DataFrame, docs: DataFrame, by: Banding, broadcast_rows: int, chunk_bytes: int) -> DataFrame | None:
+def _apart(members: DataFrame, found: DataFrame, heads: DataFrame, docs: DataFrame, unique: bool, by: Banding, broadcast_rows: int, chunk_bytes: int) -> DataFrame | None:
     """Links between members of buckets of three or more that aren't one component yet; None if all are."""
     labelled = members.where("n > 2").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     split = labelled.groupBy("bucket").agg(F.max(F.when(F.col("doc_id") == F.col("least"), F.col("component_id"))).alias("main"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
@@ -258,20 +279,32 @@ def _apart(members: DataFrame, found: DataFrame, heads: DataFrame, docs: DataFra
         return None
     few = (lambda x: F.broadcast(x)) if n <= broadcast_rows else (lambda x: x)
     rest = durable(labelled.join(few(split), "bucket").select("bucket", "band", "doc_id", "component_id", (F.col("component_id") != F.col("main")).alias("apart")), "rest")
-    sets = _sets(rest.select("doc_id").distinct(), docs, broadcast_rows)
-    whole = rest.join(heads.select("doc_id", "bands", "sign"), "doc_id").join(sets, "doc_id")
-    bytes_of = F.octet_length("shingles") + F.octet_length("sign") + 8 * by.bands
-    sizes = durable(whole.groupBy("bucket").agg(F.ceil(F.sum(bytes_of) / chunk_bytes).alias("chunks")), "sizes")
+    ids = _few(rest.select("doc_id").distinct(), broadcast_rows)
+    sets = _sets(ids, docs, unique)
+    sized = rest.join(sets.select("doc_id", (F.octet_length("shingles") + (2 * by.rows + 8) * by.bands).alias("bytes")), "doc_id")
+    sizes = durable(sized.groupBy("bucket").agg(F.ceil(F.sum("bytes") / chunk_bytes).alias("chunks")), "sizes")
     # chunk numbers below 0 are documents that are a chunk of their own
-    chunk = F.when(bytes_of * 8 >= chunk_bytes, -1 - F.shiftrightunsigned(F.xxhash64("doc_id"), 2)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
-    rows = durable(whole.join(few(sizes), "bucket").withColumn("chunk", chunk).drop("chunks"), "rows")
+    chunk = F.when(F.col("bytes") * 8 >= chunk_bytes, -1 - F.shiftrightunsigned(F.xxhash64("doc_id"), 2)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+    rows = durable(sized.join(few(sizes), "bucket").withColumn("chunk", chunk).drop("chunks", "bytes"), "rows")
     chunks = durable(rows.groupBy("bucket", "chunk").agg(F.bool_or("apart").alias("apart")), "chunks")
     blocks = durable(chunks.select("bucket", F.col("chunk").alias("l")).join(chunks.where("apart").select("bucket", F.col("chunk").alias("r")), "bucket"), "blocks")
     some = F.broadcast(blocks) if blocks.count() <= broadcast_rows else blocks
-    part = lambda side, apart: rows.where(apart).join(some, (rows.bucket == some.bucket) & (rows.chunk == some[side])).drop(rows.bucket)
-    both = part("l", F.lit(True)).withColumn("is_left", F.lit(True)).unionByName(part("r", F.col("apart")).withColumn("is_left", F.lit(False)))
-    in_order = both.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r").select(*BLOCK)
-    return durable(arrow(in_order, partial(_blocks, by), "a long, b long"), "more")
+    part = lambda blocks, side: rows.join(blocks, (rows.bucket == blocks.bucket) & (rows.chunk == blocks[side])).drop(rows.bucket)
+    both = part(some, "l").withColumn("is_left", F.lit(True)).unionByName(part(some.where("l <> r"), "r").where("apart").withColumn("is_left", F.lit(False)))
+    whole = both.join(heads.join(ids, "doc_id", "left_semi").join(sets, "doc_id"), "doc_id")
+    in_order = whole.repartition("bucket", "l", "r").sortWithinPartitions("bucket", "l", "r").select(*BLOCK)
+    return arrow(in_order, partial(_blocks, by), "a long, b long")
+
+
+def _heads(signs: DataFrame, full: DataFrame, classes: DataFrame, broadcast_rows: int) -> tuple[DataFrame, bool]:
+    """doc_id, bands, sign of each class's representative, and whether no doc_id repeats. If none does and the others are few, these are left out as signs is read; else
+    the representatives are a table of their own."""
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    others = durable(full.select("doc_id").join(reps, "doc_id", "left_anti").distinct(), "others")
+    unique = not signs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if unique and others.count() <= broadcast_rows:
+        return full.select("doc_id", "bands", "sign").join(F.broadcast(others), "doc_id", "left_anti"), unique
+    return durable(full.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sign"), "heads"), unique
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS, part_rows: int = PART_ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -280,15 +313,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, broadcast_rows:
     signs = durable(arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), partial(_signs, by), SIGNS), "signs")
     full = signs.where("n_shingles > 0 and doc_id is not null")
     classes = durable(full.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = durable(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands", "sign"), "heads")
-    members = _in_buckets(heads.select("doc_id", F.posexplode("bands").alias("band", "bucket")), broadcast_rows, part_rows)
+    heads, unique = _heads(signs, full, classes, broadcast_rows)
+    members = settled(lambda: _in_buckets(heads.select("doc_id", F.posexplode("bands").alias("band", "bucket")), broadcast_rows, part_rows), "members")
 
     stars = durable(members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    signed = _fetch(stars.join(_side(heads, "sign", "b"), "b"), _side(heads, "sign", "a"), "a", "b", _many(stars, "a", part_rows), broadcast_rows)
-    likely = durable(arrow(signed.select("a", "b", "sign_a", "sign_b"), partial(_alike, by), "a long, b long"), "likely")
-    links = durable(_verify(likely, docs, by, broadcast_rows, part_rows), "verified")
+    likely = settled(lambda: _likely(stars, heads, by, broadcast_rows, part_rows), "likely")
+    links = settled(lambda: _verify(likely, docs, unique, by, broadcast_rows, part_rows), "verified")
     found = components(links)
-    more = _apart(members, found, heads, docs, by, broadcast_rows, chunk_bytes)
+    before = len(tables())
+    more = _apart(members, found, heads, docs, unique, by, broadcast_rows, chunk_bytes)
+    inside, more = tables()[before:], more if more is None else durable(more, "more")
+    drop(docs.sparkSession, inside)
     if more is not None and more.limit(1).count():
         found = components(links.union(more))
 

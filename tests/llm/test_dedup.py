@@ -97,6 +97,25 @@ def test_near_duplicates_across_a_bucket(spark):
         assert got == {d: root(d) for d in sets}, options
 
 
+def test_near_duplicates_keep_few_tables(spark):
+    """Signatures are written once, unless their shuffle is asked for; sets and signatures of pairs and blocks are deleted once their links are found. Copies, and texts that share buckets with one they don't link with."""
+    from helixmill.llm._base import tables
+
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(6):
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base).upper())]
+        at = [*range(20, 200, 30)] if i == 0 else [5 + 7 * i]  # too many edits to link with the first, then few
+        base = [f"e{i}.{k}" if k in at else w for k, w in enumerate(base)]
+    docs, results = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for options in ({}, {"broadcast_rows": 0, "chunk_bytes": 6000}):
+        before = len(tables())
+        results.append(sorted(near_duplicates(docs, **options).collect()))
+        left = {path.rsplit("/", 1)[1].split("-")[0] for path in tables()[before:]}
+        assert left <= {"signs", "classes", "others", "members", "stars", "likely", "verified", "links", "more"} | ({"heads"} if options else set())
+        assert "more" in left
+    assert results[0] == results[1] and [r.doc_id for r in results[0] if r.kept] == [0, 2] and len(results[0]) == len(rows)
+
+
 def test_near_duplicates_find_every_link(spark):
     """Recall against brute force: 300 texts with edits that put pairs above and below the similarity."""
     import itertools

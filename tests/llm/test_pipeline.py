@@ -26,6 +26,17 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(r.doc_id for r in ran.collect()) == sorted(coded)
 
 
+def test_stages_leave_only_ids(spark):
+    """Called one by one, the stages that look for ids leave these alone in the shared folder."""
+    from helixmill.llm._base import tables
+
+    docs = spark.createDataFrame([r for r in cases() if r[0] is not None], SCHEMA).dropDuplicates(["doc_id"])
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.mixing):
+        before = len(tables())
+        assert stage(spark, docs, "").count()
+        assert {path.rsplit("/", 1)[1].split("-")[0] for path in tables()[before:]} == {"ids", "twice"}
+
+
 def kept(spark, stage, docs):
     return sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in stage(spark, docs, "").collect())
 
