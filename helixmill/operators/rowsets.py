@@ -11,6 +11,8 @@ from helixmill.scratch import stored
 
 #: Rows, or digests, of a chunk.
 FAN = 1024
+#: More than any group has: all its digests are one chunk.
+ALL = 1 << 62
 
 
 def _chunks(rows: DataFrame, by: list[str], fan: int) -> DataFrame:
@@ -20,14 +22,17 @@ def _chunks(rows: DataFrame, by: list[str], fan: int) -> DataFrame:
     return made.select(*by, (F.col("_chunk") + 1).alias("_at"), "_sha", "_n")
 
 
-def rowset_digest(rows: DataFrame, by: list[str], order: list[Column | str], text: Column, *, fan: int = FAN) -> DataFrame:
+def rowset_digest(rows: DataFrame, by: list[str], order: list[Column | str], text: Column, *, fan: int = FAN, levels: int | None = None) -> DataFrame:
     """by, n, digest of each group's rows in this order (which must tell all rows apart, but for equal ones).
 
-    Each row is framed: 8 bytes of length and its text. A chunk's digest is the sha256 of its frames; chunks of digests are digested likewise, as raw bytes, until a group has one. A group of up to fan rows has the digest of its frames."""
+    Each row is framed: 8 bytes of length and its text. A chunk's digest is the sha256 of its frames; chunks of digests are digested likewise, as raw bytes, until a group has one. A group of up to fan rows has the digest of its frames.
+
+    With `levels`, a tree has no more of them: in the last one a group's digests are digested together however many they are, in one task. With two levels that is 32 bytes for each fan rows of a group."""
     if not by:
-        return rowset_digest(rows.withColumn("_all", F.lit(0)), ["_all"], order, text, fan=fan).drop("_all")
+        return rowset_digest(rows.withColumn("_all", F.lit(0)), ["_all"], order, text, fan=fan, levels=levels).drop("_all")
+    fan_at = lambda depth: ALL if depth == levels else fan
     numbered = running(rows.withColumn("_bytes", framed(text)), by, order, _at=F.lit(1)).withColumn("_n", F.lit(1).cast("long"))
-    level, done = _chunks(numbered.select(*by, "_at", "_bytes", "_n"), by, fan), None
+    level, done, depth = _chunks(numbered.select(*by, "_at", "_bytes", "_n"), by, fan_at(1)), None, 1
     while True:
         level = stored(level, "digests")
         marked = met(level, level.groupBy(*by).agg(F.max("_at").alias("_most")), by)
@@ -36,4 +41,5 @@ def rowset_digest(rows: DataFrame, by: list[str], order: list[Column | str], tex
         open_ = marked.where("_most > 1")
         if not open_.limit(1).count():
             return done
-        level = _chunks(open_.select(*by, "_at", F.unhex("_sha").alias("_bytes"), "_n"), by, fan)
+        depth += 1
+        level = _chunks(open_.select(*by, "_at", F.unhex("_sha").alias("_bytes"), "_n"), by, fan_at(depth))

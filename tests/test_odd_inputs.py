@@ -23,3 +23,35 @@ def test_edits_of_sequences_without_letters(spark, tmp_path):
     oracle.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     got = {(x.id, x.edited) for x in QUERIES["G2_many_edits"](spark, str(tmp_path)).collect()}
     assert got == set(oracle.execute(ORACLE_SQL["G2_many_edits"]).fetchall())
+
+
+def two_levels(texts, fan):
+    leaves = [b"".join(len(t.encode()).to_bytes(8, "big") + t.encode() for t in texts[i : i + fan]) for i in range(0, len(texts), fan)]
+    digests = [hashlib.sha256(x) for x in leaves]
+    return digests[0].hexdigest() if len(digests) == 1 else hashlib.sha256(b"".join(x.digest() for x in digests)).hexdigest()
+
+
+def test_rowset_trees_of_two_levels(spark):
+    """Groups of more than fan * fan rows, of one leaf and of as many as a level holds."""
+    groups = {"a": [f"é{i}" for i in range(137)], "b": ["x"], "c": ["", "", "y"], None: [str(i) for i in range(9)]}
+    frame = spark.createDataFrame([(g, i, t) for g, ts in groups.items() for i, t in enumerate(ts)], "g string, i int, t string").repartition(5)
+    got = {x.g: (x.n, x.digest) for x in rowsets.rowset_digest(frame, ["g"], ["i"], F.col("t"), fan=3, levels=2).collect()}
+    assert got == {g: (len(ts), two_levels(ts, 3)) for g, ts in groups.items()}
+
+
+def same_in_small_chunks(spark, monkeypatch, name):
+    """The query against its SQL, both with chunks of 4 rows, so that groups hold far more than 4 * 4."""
+    if not Path(DATA).exists():
+        pytest.skip("no test tables")
+    monkeypatch.setattr(composites, "rowset_digest", functools.partial(rowsets.rowset_digest, fan=4))
+    oracle = duckdb.connect()
+    for t in TABLES:
+        oracle.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    assert ORACLE_SQL[name].count("// 1024") == 1
+    ours, theirs = QUERIES[name](spark, str(DATA)).toPandas(), oracle.execute(ORACLE_SQL[name].replace("// 1024", "// 4")).df()
+    assert theirs.n.max() > 64
+    pd.testing.assert_frame_equal(plain(ours), plain(theirs))
+
+
+def test_member_rows_beyond_two_full_levels(spark, monkeypatch):
+    same_in_small_chunks(spark, monkeypatch, "H4_rowset_digest")
