@@ -55,3 +55,7 @@ def same_in_small_chunks(spark, monkeypatch, name):
 
 def test_member_rows_beyond_two_full_levels(spark, monkeypatch):
     same_in_small_chunks(spark, monkeypatch, "H4_rowset_digest")
+
+
+def test_snapshot_keys_beyond_two_full_levels(spark, monkeypatch):
+    same_in_small_chunks(spark, monkeypatch, "C15_snapshot")
