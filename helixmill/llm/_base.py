@@ -41,11 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut, any executor may be lost."""
+def durable(df: DataFrame, name: str, *, per_file: int = 0) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage is cut, any executor may be lost. With per_file, a file has no more rows: for rows of many MB, as Parquet's pages and Spark's column batches are cut by numbers of
+    rows (100 and 4,096), not by bytes, but never go beyond a file."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", per_file).parquet(path)
     tables().append(path)
     return spark.read.schema(df.schema).parquet(path)
 

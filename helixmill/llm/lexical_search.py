@@ -9,7 +9,7 @@ byte) and quotients q (level two). An impact is q / STEP rounded up, so STEP * i
 Search takes items in blocks. The first scan reads level one only: per item and document the upper bound, and the lower bound one STEP a term below. The kth greatest lower bound of an item is a score that k documents reach, so only
 documents whose upper bound reaches it can be among the first k. The second scan reads level two, only of segments that hold such documents, and scores each of them exactly, in 64-bit integers.
 
-Scale: building is one pass without a shuffle (and one before it that counts N and L); scans are one pass each, a segment at a time. Shuffled are document frequencies of the block's terms, per task at most k lower
+Scale: building is one pass without a shuffle (and one before it that counts N and L); scans are one pass each, a segment at a time. The index's files hold FILE_SEGMENTS segments each, so memory doesn't grow with a task's share of the input. Shuffled are document frequencies of the block's terms, per task at most k lower
 bounds an item, and per segment at most k exact scores an item: copies by the thousand that share a score are settled within their segments, by doc_id. The driver holds a block of items (256 of them, 200,000 distinct terms;
 one longer item is a block by itself), their frequencies and one bound each.
 
@@ -43,6 +43,8 @@ K = 10
 #: q is below 10 ** 6, so 255 steps hold it.
 STEP = 3922
 SEGMENT_DOCS, SEGMENT_BYTES = 4096, 8 << 20
+#: Segments of a file; its writer and its readers hold them at once.
+FILE_SEGMENTS = 2
 BLOCK_ITEMS, BLOCK_TERMS = 256, 200_000
 BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
@@ -98,7 +100,7 @@ def build_index(docs: DataFrame) -> Index:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     n = F.regexp_count("text", F.lit(TERM)).cast("long")
     seen = texts.select(n.alias("n")).agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    return Index(durable(arrow(texts, partial(_segments, seen["docs"], max(1, seen["terms"])), INDEX), "index"), seen["docs"], seen["terms"])
+    return Index(durable(arrow(texts, partial(_segments, seen["docs"], max(1, seen["terms"])), INDEX), "index", per_file=FILE_SEGMENTS), seen["docs"], seen["terms"])
 
 
 class Block(NamedTuple):

@@ -174,3 +174,17 @@ def test_impacts_are_bounds():
     assert impact.max() <= 255 and (lexical_search.STEP * impact >= q).all() and (lexical_search.STEP * (impact - 1) < q).all()
     huge = lexical_search.quotients(np.array([3]), np.array([10**6]), 10**12, 10**15)
     assert huge[0] == 3 * 10**9 // (3000 + 8 * (25 + 75 * 10**6 * 10**12 // 10**15))
+
+
+def test_files_of_the_index_hold_few_segments(spark):
+    """Segments are rows of many MB, and a file's are held at once: their number doesn't grow with a task's documents."""
+    docs = spark.createDataFrame([(i, f"{words(i, 20)} w{i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        index = lexical_search.build_index(docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = collections.Counter(r.file for r in index.segments.select(F.input_file_name().alias("file")).collect())
+    assert sum(files.values()) == 10 and max(files.values()) <= lexical_search.FILE_SEGMENTS
+    found = lexical_search.search(index, spark.createDataFrame([(1, "w7"), (2, "w33")], "item_id long, text string")).collect()
+    assert {(r.item_id, r.doc_id) for r in found} == {(1, 7), (2, 33)}
