@@ -222,15 +222,17 @@ from (select distinct chrom, pos, ref, alt, cast(pos % 97 as double) / 4 as sigm
     "v",
 )
 def s20(spark, sf_dir):
+    """Scores and receipts, written as gzipped JSON lines and read back: the scores that have a receipt."""
     v = variants(spark, sf_dir).where("ref <> alt")
     raw = (F.col("pos") % 97).cast("double") / 4
-    scores = v.select("chrom", "pos", "ref", "alt", raw.alias("sigma_raw"), (raw / 25).alias("sigma_calibrated"), F.col("source").alias("bucket_id")).distinct()
-    path, key = folder(spark, "scores"), ["chrom", "pos", "ref", "alt", "bucket_id"]
-    shards.write_scores(scores, "model-a", path)
+    rows = v.select("chrom", "pos", "ref", "alt", F.col("source").alias("bucket_id")).distinct()
+    scores = rows.select("chrom", "pos", "ref", "alt", raw.alias("sigma_raw"), (raw / 25).alias("sigma_calibrated"), "bucket_id")
+    path = folder(spark, "scores")
+    shards.write_scores(scores, "model-a", path, compression="gzip")
     again = text.read_jsonl(spark, f"{path}/scores", "chrom string, pos long, ref string, alt string, sigma_raw double, sigma_calibrated double, bucket_id string")
     receipts = text.read_jsonl(spark, f"{path}/receipts", "chrom string, pos long, ref string, alt string, model_id string, input_commitment string, output_commitment string")
-    checked = shards.with_commitments(again, "model-a").join(receipts.select(F.col("input_commitment"), F.col("output_commitment")).distinct(), ["input_commitment", "output_commitment"])
-    return checked.select(*key[:4], "sigma_raw", "bucket_id", "input_commitment")
+    checked = shards.with_commitments(shards.receipted(again, receipts), "model-a")
+    return checked.select("chrom", "pos", "ref", "alt", "sigma_raw", "bucket_id", "input_commitment")
 
 
 @query(

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from helixmill.functions.dna import chrom_rank, closed_chrom, importer_chrom, vcf_chrom
 from helixmill.scratch import few, stored
@@ -142,7 +143,7 @@ def resolve_contigs(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     return rows.join(few(found, "spellings"), "chrom", "left")  # one row a chromosome
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, *, closed: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, *, closed: bool = False) -> DataFrame:
     """JSON lines of a fixed schema; a broken line is an error. closed: each line must hold exactly the schema's keys, once each."""
     if not closed:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -217,6 +218,6 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(offsets, ["file", "split"]).select("value", (F.col("before") + F.row_number().over(inside)).alias("at"))
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
-    """Fields in alphabetical order, nulls kept."""
-    rows.select(*sorted(rows.columns)).write.option("ignoreNullFields", "false").json(path)
+def write_jsonl(rows: DataFrame, path: str, **options: str) -> None:
+    """Fields in alphabetical order, nulls kept. options are the writer's, such as compression; readers know it by the files' names."""
+    rows.select(*sorted(rows.columns)).write.option("ignoreNullFields", "false").options(**options).json(path)

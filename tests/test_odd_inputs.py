@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from test_oracle import DATA, TABLES, plain
 
 from helixmill.operators import rowsets
-from helixmill.plans import composites
+from helixmill.plans import composites, files
 from helixmill.queries import ORACLE_SQL, QUERIES
+from helixmill.sources import shards, text
 
 
 def test_edits_of_sequences_without_letters(spark, tmp_path):
@@ -59,3 +60,28 @@ def test_member_rows_beyond_two_full_levels(spark, monkeypatch):
 
 def test_snapshot_keys_beyond_two_full_levels(spark, monkeypatch):
     same_in_small_chunks(spark, monkeypatch, "C15_snapshot")
+
+
+SCORE = "chrom string, pos long, ref string, alt string, sigma_raw double, sigma_calibrated double, bucket_id string"
+RECEIPT = "chrom string, pos long, ref string, alt string, model_id string, input_commitment string, output_commitment string"
+
+
+def test_scores_meet_their_receipts(spark, tmp_path):
+    """A score without a receipt, one whose receipt names another outcome, one with two receipts, and nulls."""
+    rows = [("1", p, "A", "C", p / 3, p / 7 if p % 4 else None, "b" if p % 3 else None) for p in range(12)]
+    shards.write_scores(spark.createDataFrame(rows, SCORE).repartition(3), "m", str(tmp_path), compression="gzip")
+    assert all(f.name.endswith(".json.gz") for name in ("scores", "receipts") for f in (tmp_path / name).glob("part-*"))
+    again, receipts = text.read_jsonl(spark, f"{tmp_path}/scores", SCORE), text.read_jsonl(spark, f"{tmp_path}/receipts", RECEIPT)
+    assert {tuple(x) for x in shards.receipted(again, receipts).collect()} == set(rows)
+    forged = receipts.where("pos <> 3").withColumn("output_commitment", F.when(F.col("pos") == 5, F.lit("sha256:0")).otherwise(F.col("output_commitment")))
+    found = shards.receipted(again, forged.unionByName(receipts.where("pos = 8"))).collect()
+    assert sorted(x.pos for x in found) == [p for p in range(12) if p not in (3, 5)]
+
+
+def test_score_sinks_are_small(spark, tmp_path, monkeypatch):
+    """Bytes of both sinks for each score: 348 as plain text."""
+    if not Path(DATA).exists():
+        pytest.skip("no test tables")
+    monkeypatch.setattr(files, "folder", lambda _, name: f"{tmp_path}/{name}")
+    n = QUERIES["S20_score_sinks"](spark, str(DATA)).count()
+    assert n > 1000 and sum(f.stat().st_size for f in (tmp_path / "scores").rglob("part-*")) < 150 * n
