@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracle import DATA, TABLES, plain
 
-from helixmill.operators import rowsets
+from helixmill.operators import ranking, rowsets, sampling
 from helixmill.plans import composites, files
 from helixmill.queries import ORACLE_SQL, QUERIES
 from helixmill.sources import shards, text
@@ -85,3 +85,21 @@ def test_score_sinks_are_small(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "folder", lambda _, name: f"{tmp_path}/{name}")
     n = QUERIES["S20_score_sinks"](spark, str(DATA)).count()
     assert n > 1000 and sum(f.stat().st_size for f in (tmp_path / "scores").rglob("part-*")) < 150 * n
+
+
+def test_few_of_a_group_are_chosen_without_storing_rows(spark, monkeypatch):
+    """Only more than a window keeps before its shuffle are ranked by stored rows; both choose the same."""
+    frame = spark.createDataFrame([(i, "gh"[i % 2] if i % 50 else None) for i in range(400)], "id long, g string").repartition(5)
+    few = {x.id for x in sampling.first_k_per(frame, ["g"], "id", 5, "7").collect()}
+    monkeypatch.setattr(sampling, "FEW", 4)
+    assert few == {x.id for x in sampling.first_k_per(frame, ["g"], "id", 5, "7").collect()} and len(few) == 15
+    monkeypatch.undo()
+
+    def refused(*_):
+        raise AssertionError("rows are stored")
+
+    monkeypatch.setattr(ranking, "stored", refused)
+    plan = sampling.first_k_per(frame, ["g"], "id", 5, "7")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    if Path(DATA).exists():
+        assert QUERIES["C5_split_evidence"](spark, str(DATA)).count() == 3
